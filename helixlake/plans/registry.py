@@ -1,13 +1,626 @@
-"""The registered queries of the library and their SQL twins."""
+"""The registered queries of the library and their SQL twins.
+
+Every query projects the driver's tables to the contract of an operator, applies it to the
+whole projection and returns flat columns, rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixlake.functions import vectors as V
+from helixlake.operators import coevolution as C
+from helixlake.operators import contacts, features, heads, narrative, series, streams
+from helixlake.plans import projections as P
+from helixlake.sources import readers, writers
+
 FLAGSHIP = "coevolution_partners"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, *ctes: str):
+    """Registers a query under the function's name, with its SQL over the named projections."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLE[f.__name__] = (P.with_sql(*ctes) if ctes else "") + sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def _r(column: str, digits: int = 6):
+    return F.round(column, digits).alias(column)
+
+
+_MI = ("residues", "letters", "freq", "counts", "mi")
+
+
+def _mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = P.residues(spark, sf_dir)
+    return C.coevolution(r, P.positions(r)).withColumn("mi_apc", F.round("mi_apc", 8))
+
+
+# Coevolution
+
+
+@_query("SELECT protein_id, pos, partner, CAST(rank AS INTEGER) AS rank, round(mi_apc, 5) AS mi_apc FROM partners", *_MI, "apc", "partners")
+def coevolution_partners(spark, d):
+    return C.select_partners(_mi(spark, d), mi_threshold=0.01).select("protein_id", "pos", "partner", "rank", _r("mi_apc", 5))
+
+
+@_query("SELECT protein_id, seq_id, seq_name, aligned || repeat('-', CAST(max(length(aligned)) OVER (PARTITION BY protein_id) - length(aligned) AS INTEGER)) AS aligned FROM msa", "msa")
+def padded_sequences(spark, d):
+    return C.pad_sequences(P.msa(spark, d))
+
+
+@_query()
+def sampled_sequences(spark, d):
+    return C.sample_sequences(P.msa(spark, d), max_seqs=20)
+
+
+_SCORED = """scored AS (SELECT m.protein_id, seq_id, aligned, sequence, (SELECT count(*) FROM range(40) r(i) WHERE i < least(length(u), length(sequence)) AND substr(u, CAST(i AS INTEGER) + 1, 1) = substr(sequence, CAST(i AS INTEGER) + 1, 1)) AS score
+  FROM (SELECT *, upper(replace(replace(aligned, '-', ''), '.', '')) AS u FROM msa) m JOIN targets USING (protein_id))"""
+P.SQL["scored"] = _SCORED
+P.SQL["best"] = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY score DESC, seq_id) AS n FROM scored) WHERE n = 1)"
+P.SQL["colmap"] = """colmap AS (SELECT * FROM (SELECT protein_id, CAST(c AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY protein_id ORDER BY c) - 1 AS INTEGER) AS pos, length(sequence) AS len
+  FROM best, range(40) r(c) WHERE c < length(aligned) AND substr(aligned, CAST(c AS INTEGER) + 1, 1) NOT IN ('-', '.', '*')) WHERE pos < len)"""
+
+
+@_query("SELECT protein_id, seq_id, CAST(score AS INTEGER) AS score FROM best", "msa", "targets", "scored", "best")
+def reference_rows(spark, d):
+    m = P.msa(spark, d)
+    return C.reference_rows(m, P.targets(m)).select("protein_id", "seq_id", F.col("score").cast("int").alias("score"))
+
+
+@_query("SELECT protein_id, col, pos FROM colmap", "msa", "targets", "scored", "best", "colmap")
+def column_map(spark, d):
+    m = P.msa(spark, d)
+    return C.column_map(C.reference_rows(m, P.targets(m)))
+
+
+@_query(f"""SELECT protein_id, pos, aa, count(*) AS n FROM (SELECT m.protein_id, pos, upper(substr(aligned, col + 1, 1)) AS aa FROM msa m JOIN colmap USING (protein_id)) WHERE aa IN ({P._IN}) GROUP BY ALL""", "msa", "targets", "scored", "best", "colmap")
+def melted_residues(spark, d):
+    m = P.msa(spark, d)
+    return C.letter_counts(C.melt_residues(m, C.column_map(C.reference_rows(m, P.targets(m)))))
+
+
+@_query("SELECT protein_id, pos, aa, round(f, 8) AS f FROM freq", "residues", "letters", "freq")
+def column_frequencies(spark, d):
+    r = P.residues(spark, d)
+    return C.column_frequencies(r, P.positions(r)).withColumn("f", F.round("f", 8))
+
+
+@_query("SELECT protein_id, pos_i, pos_j, aa_i, aa_j, n FROM counts", "residues", "counts")
+def pair_counts(spark, d):
+    return C.pair_counts(P.residues(spark, d))
+
+
+@_query("SELECT protein_id, pos_i, pos_j, aa_i, aa_j, n FROM counts", "residues", "counts")
+def pair_counts_joined(spark, d):
+    return C.pair_counts_joined(P.residues(spark, d))
+
+
+@_query("SELECT protein_id, pos_i, pos_j, total, round(mi, 6) AS mi FROM mi", *_MI)
+def mutual_information(spark, d):
+    r = P.residues(spark, d)
+    return C.mutual_information(C.pair_counts(r), C.column_frequencies(r, P.positions(r))).withColumn("mi", F.round("mi", 6))
+
+
+@_query("SELECT protein_id, pos_i, pos_j, round(mi, 5) AS mi, round(mi_apc, 5) AS mi_apc FROM apc", *_MI, "apc")
+def corrected_scores(spark, d):
+    r = P.residues(spark, d)
+    return C.coevolution(r, P.positions(r)).select("protein_id", "pos_i", "pos_j", _r("mi", 5), _r("mi_apc", 5))
+
+
+@_query("SELECT protein_id FROM residues GROUP BY protein_id HAVING count(DISTINCT pos) >= 10", "residues")
+def enough_columns(spark, d):
+    return C.enough_columns(P.positions(P.residues(spark, d)))
+
+
+_SYM = "(SELECT protein_id, pos, partner FROM partners UNION SELECT protein_id, partner, pos FROM partners)"
+
+
+@_query(f"SELECT protein_id, pos, string_agg(partner, ',' ORDER BY partner) AS partners FROM {_SYM} GROUP BY ALL", *_MI, "apc", "partners")
+def symmetrized_partners(spark, d):
+    edges = C.symmetrize(C.select_partners(_mi(spark, d), mi_threshold=0.01))
+    return C.partner_lists(edges).select("protein_id", "pos", F.concat_ws(",", F.transform("partners", lambda x: x.cast("string"))).alias("partners"))
+
+
+def _order_edges(spark, d):
+    """Links between an order's customer and each of its suppliers, by numbers mod 97, per priority."""
+    o, li = P.read(spark, d, "orders"), P.read(spark, d, "lineitem")
+    both = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    base = both.select(F.col("o_orderpriority").alias("protein_id"), (F.col("o_custkey") % 97).cast("int").alias("pos"), (F.col("l_suppkey") % 97).cast("int").alias("partner"), "l_linenumber").filter("pos != partner")
+    return base.filter("l_linenumber <= 2").drop("l_linenumber").distinct(), base.filter("l_linenumber = 3").drop("l_linenumber").distinct()
+
+
+P.SQL["links"] = """links AS (SELECT DISTINCT o_orderpriority AS protein_id, CAST(o_custkey % 97 AS INTEGER) AS pos, CAST(l_suppkey % 97 AS INTEGER) AS partner, least(l_linenumber, 4) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 97 <> l_suppkey % 97),
+  base AS (SELECT DISTINCT protein_id, pos, partner FROM links WHERE k <= 2), curated AS (SELECT DISTINCT protein_id, pos, partner FROM links WHERE k = 3),
+  merged AS (SELECT protein_id, pos, partner FROM (SELECT * FROM base UNION SELECT * FROM curated) UNION SELECT protein_id, partner, pos FROM (SELECT * FROM base UNION SELECT * FROM curated))"""
+
+
+@_query("SELECT * FROM merged", "links")
+def merged_edges(spark, d):
+    return C.merge_edges(*_order_edges(spark, d))
+
+
+@_query("SELECT * FROM base UNION SELECT * FROM curated", "links")
+def overlaid_edges(spark, d):
+    return C.overlay_edges(*_order_edges(spark, d))
+
+
+@_query(
+    """SELECT protein_id, CAST(count(DISTINCT pos) AS BIGINT) AS positions_with_partners, CAST(97 AS BIGINT) AS total_positions, CAST(count(*) // 2 AS BIGINT) AS total_pairs,
+       round(count(*) / count(DISTINCT pos), 6) AS mean_partners, 2 * count(DISTINCT pos) < 97 AS sparse FROM merged GROUP BY protein_id""",
+    "links",
+)
+def coverage_summary(spark, d):
+    edges = C.merge_edges(*_order_edges(spark, d))
+    proteins = P.read(spark, d, "orders").select(F.col("o_orderpriority").alias("protein_id"), F.lit(97).alias("seq_len")).distinct()
+    return C.coverage(edges, proteins).withColumn("mean_partners", F.round("mean_partners", 6))
+
+
+@_query(
+    """SELECT protein_id, pos, partner, 'computed' AS method FROM base WHERE protein_id < '3' UNION ALL
+       SELECT protein_id, pos, partner, 'curated_only' FROM curated WHERE protein_id NOT IN (SELECT protein_id FROM base WHERE protein_id < '3')""",
+    "links",
+)
+def source_fallback(spark, d):
+    base, curated = _order_edges(spark, d)
+    return C.first_source(("computed", base.filter("protein_id < '3'")), ("curated_only", curated))
+
+
+# Contacts
+
+
+@_query(
+    """SELECT structure_id, pos, partner, round(distance, 5) AS distance FROM (SELECT a.structure_id, a.pos, b.pos AS partner, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS distance
+       FROM ca a JOIN ca b ON a.structure_id = b.structure_id AND abs(a.pos - b.pos) > 2) WHERE distance < 8""",
+    "numbered",
+    "ca",
+)
+def structural_contacts(spark, d):
+    return contacts.structural_contacts(P.ca(spark, d)).withColumn("distance", F.round("distance", 5))
+
+
+@_query("SELECT protein_id, pos, layer, head, src, weight FROM attention WHERE abs(src - pos) BETWEEN 1 AND 5", "attention")
+def local_sources(spark, d):
+    return contacts.local_sources(P.attention(spark, d))
+
+
+# Series
+
+
+@_query("SELECT protein_id, layer, token, round(prob, 8) AS prob FROM probs", "logits", "probs")
+def softmax_probabilities(spark, d):
+    return series.softmax(P.logits(spark, d)).select("protein_id", "layer", "token", _r("prob", 8))
+
+
+@_query(
+    "SELECT protein_id, layer, token, round(prob, 8) AS correct_prob, CAST(rank AS INTEGER) AS correct_rank FROM (SELECT *, rank() OVER (PARTITION BY protein_id, layer ORDER BY logit DESC) AS rank FROM probs) WHERE token = 'click'",
+    "logits",
+    "probs",
+)
+def correct_ranks(spark, d):
+    probs = series.softmax(P.logits(spark, d))
+    truth = probs.select("protein_id", "pos").distinct().withColumn("token", F.lit("click"))
+    return series.correct_rank(probs, truth).select("protein_id", "layer", "token", _r("correct_prob", 8), "correct_rank")
+
+
+@_query(
+    "SELECT protein_id, layer, count(*) AS n, round(sum(prob), 6) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY protein_id, layer ORDER BY logit DESC) AS rank FROM probs) WHERE rank <= 2 GROUP BY ALL", "logits", "probs"
+)
+def top_tokens(spark, d):
+    top = series.top_tokens(series.softmax(P.logits(spark, d)), most=2)
+    return top.groupBy("protein_id", "layer").agg(F.count("*").alias("n"), F.round(F.sum("prob"), 6).alias("prob"))
+
+
+@_query("SELECT protein_id, layer, token AS aa, round(prob, 8) AS prob FROM probs WHERE token IN ('click', 'view')", "logits", "probs")
+def letter_probabilities(spark, d):
+    letters = P.read(spark, d, "events").select(F.col("event_type").alias("aa")).filter("aa IN ('click', 'view')").distinct()
+    return series.letter_probabilities(series.softmax(P.logits(spark, d)), letters).select("protein_id", "layer", "aa", _r("prob", 8))
+
+
+P.SQL["steps"] = "steps AS (SELECT b.label, a.rn AS layer, a.dim, b.x - a.x AS v FROM cells a JOIN cells b ON a.label = b.label AND a.dim = b.dim AND b.rn = a.rn + 1)"
+P.SQL["velocity"] = "velocity AS (SELECT CAST(s.label AS INTEGER) AS pos, layer, round(sum(v * d), 5) AS answer, round(sqrt(sum(v * v)), 5) AS magnitude FROM steps s JOIN direction USING (label, dim) GROUP BY ALL)"
+
+
+@_query("SELECT pos, layer, answer, magnitude FROM velocity", "numbered", "cells", "direction", "steps", "velocity")
+def velocity_profile(spark, d):
+    return series.velocity(P.hidden(spark, d), P.answers(spark, d)).select("pos", "layer", _r("answer", 5), _r("magnitude", 5))
+
+
+P.SQL["components"] = """components AS (SELECT CAST(a.label AS INTEGER) AS pos, a.rn // 2 AS layer, round(sum(a.x * d), 5) AS attention, round(sum(b.x * d), 5) AS mlp, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 5) AS attn_mlp_cosine
+  FROM cells a JOIN cells b ON a.label = b.label AND a.dim = b.dim AND b.rn = a.rn + 1 AND a.rn % 2 = 0 JOIN direction e ON e.label = a.label AND e.dim = a.dim GROUP BY a.label, a.rn)"""
+
+
+@_query("SELECT pos, CAST(layer AS INTEGER) AS layer, attention, mlp, attn_mlp_cosine FROM components", "numbered", "cells", "direction", "components")
+def component_projections(spark, d):
+    return series.component_projections(P.components(spark, d), P.answers(spark, d)).select("pos", "layer", _r("attention", 5), _r("mlp", 5), _r("attn_mlp_cosine", 5))
+
+
+@_query(
+    """SELECT CAST(label AS INTEGER) AS pos, component, CAST(layer AS INTEGER) AS layer, round(sqrt(sum(value * value)), 4) AS size FROM (SELECT label, rn % 2 AS k, CASE WHEN rn % 2 = 0 THEN 'attn' ELSE 'mlp' END AS component, rn // 2 + 1 AS layer, dim,
+         sum(x) OVER (PARTITION BY label, rn % 2, dim ORDER BY rn) AS value FROM cells UNION ALL SELECT label, rn % 2, CASE WHEN rn % 2 = 0 THEN 'attn' ELSE 'mlp' END, 0, dim, 0.0 FROM cells WHERE rn < 2) GROUP BY ALL""",
+    "numbered",
+    "cells",
+)
+def cumulative_components(spark, d):
+    c = series.cumulative_components(P.components(spark, d))
+    return c.groupBy("pos", "component", "layer").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("size"))
+
+
+@_query()
+def layer_spectrum(spark, d):
+    return series.spectrum(P.components(spark, d).withColumnRenamed("component", "kind"))
+
+
+@_query(
+    """SELECT pos, CAST(k AS INTEGER) AS k, round(sum(answer * CASE WHEN k = 0 THEN sqrt(1.0 / n) ELSE sqrt(2.0 / n) END * cos(pi() * k * (2 * step + 1) / (2 * n))), 4) AS coefficient
+       FROM (SELECT pos, answer, row_number() OVER (PARTITION BY pos ORDER BY layer) - 1 AS step, count(*) OVER (PARTITION BY pos) AS n FROM velocity), range(20) r(k) WHERE k < least(n, 20) GROUP BY ALL""",
+    "numbered", "cells", "direction", "steps", "velocity",
+)
+def answer_spectrum(spark, d):
+    v = series.velocity(P.hidden(spark, d), P.answers(spark, d)).withColumn("answer", F.round("answer", 5))
+    return series.scalar_spectrum(v, "answer", "pos").filter("k < 20").select("pos", "k", _r("coefficient", 4))
+
+
+@_query("SELECT protein_id, layer, aa, prob, CAST(row_number() OVER (PARTITION BY protein_id, layer ORDER BY prob DESC, aa) AS INTEGER) AS place FROM running", "running")
+def race_state(spark, d):
+    return series.race(P.running(spark, d)).select("protein_id", "layer", "aa", "prob", "place")
+
+
+@_query(
+    """SELECT protein_id, layer, from_aa, to_aa, round(from_prob * 100, 1) AS from_pct, round(to_prob * 100, 1) AS to_pct FROM (SELECT protein_id, layer, aa AS to_aa, prob AS to_prob, lag(aa) OVER w AS from_aa, lag(prob) OVER w AS from_prob FROM
+       (SELECT *, row_number() OVER (PARTITION BY protein_id, layer ORDER BY prob DESC, aa) AS n FROM running) WHERE n = 1 WINDOW w AS (PARTITION BY protein_id ORDER BY layer)) WHERE from_aa <> to_aa""",
+    "running",
+)
+def lead_changes(spark, d):
+    return series.lead_changes(P.running(spark, d)).drop("pos")
+
+
+@_query(
+    """SELECT protein_id, aa, final, peak, peak_layer, CAST(row_number() OVER (PARTITION BY protein_id ORDER BY final DESC, aa) AS INTEGER) AS rank FROM
+       (SELECT protein_id, aa, arg_max(prob, layer) AS final, max(prob) AS peak, min(layer) FILTER (WHERE prob = top) AS peak_layer FROM (SELECT *, max(prob) OVER (PARTITION BY protein_id, aa) AS top FROM running) GROUP BY ALL)""",
+    "running",
+)
+def trajectory_summary(spark, d):
+    return series.trajectories(P.running(spark, d)).select("protein_id", "aa", "final", "peak", "peak_layer", "rank")
+
+
+@_query(
+    """SELECT pos, CAST(layer + 1 AS INTEGER) AS layer, round(answer, 2) AS answer, CASE WHEN abs(attention) > 1.5 * abs(mlp) THEN 'attention' WHEN abs(mlp) > 1.5 * abs(attention) THEN 'mlp' ELSE 'both' END AS driver,
+         CASE WHEN answer > 0 THEN 'toward' ELSE 'away' END AS direction, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(round(answer, 2)) DESC, layer) AS n FROM velocity JOIN components USING (pos, layer) WHERE abs(answer) >= 0.1) WHERE n <= 10""",
+    "numbered", "cells", "direction", "steps", "velocity", "components",
+)
+def velocity_events(spark, d):
+    a = P.answers(spark, d)
+    v = series.velocity(P.hidden(spark, d), a).withColumn("answer", F.round("answer", 5))
+    c = series.component_projections(P.components(spark, d), a).select("protein_id", "pos", "layer", _r("attention", 5), _r("mlp", 5))
+    return series.key_velocity_events(v.join(c, ["protein_id", "pos", "layer"]), least=0.1).drop("protein_id")
+
+
+# Heads
+
+
+def _scored(spark, d):
+    labelled = heads.labelled_attention(P.attention(spark, d), P.attention_edges(P.attention(spark, d)))
+    c = heads.attention_by_category(labelled)
+    return labelled, c.join(P.head_scores(spark, d), list(heads.HEAD)).select(*heads.HEAD, "projection", *[F.round(k, 6).alias(k) for k in ("attn_structural", "attn_coevolving", "attn_local")])
+
+
+P.SQL["direction2"] = "direction2 AS (SELECT label AS pos, dim, d FROM direction)"
+P.SQL["scored_heads"] = "scored_heads AS (SELECT s.*, round(attn_structural, 6) AS attn_structural, round(attn_coevolving, 6) AS attn_coevolving, round(attn_local, 6) AS attn_local FROM categories JOIN scores s USING (protein_id, pos, layer, head))"
+_HEADS = ("attention", "labelled", "scores", "categories", "scored_heads")
+P.SQL["classed"] = """classed AS (SELECT *, CASE WHEN projection > 0.3 THEN 'writes_' || what WHEN projection < -0.3 THEN 'erases_' || what ELSE 'other' END AS type FROM (SELECT *, CASE WHEN attn_coevolving > 0.1 THEN 'coevolving' WHEN attn_structural > 0.1 THEN 'structural' WHEN attn_local > 0.15 THEN 'local' ELSE 'no_clear_source' END AS what FROM scored_heads) WHERE abs(projection) >= 0.3)"""
+
+
+@_query("SELECT CAST(label AS INTEGER) AS layer, CAST(rn // 10 AS INTEGER) AS pos, CAST(rn % 10 AS INTEGER) AS head, round(sum(x * d), 5) AS projection FROM cells JOIN direction2 USING (dim) WHERE direction2.pos = rn // 10 GROUP BY ALL", "numbered", "cells", "direction", "direction2")
+def head_projections(spark, d):
+    return heads.head_projections(P.head_out(spark, d), P.answers(spark, d)).select("pos", "layer", "head", _r("projection", 5))
+
+
+@_query()
+def head_outputs(spark, d):
+    """Values are the vectors of a layer's heads over tokens; the output weights are read off the first vectors."""
+    e = P.numbered(spark, d)
+    head = [F.lit("p").alias("protein_id"), F.lit(0).alias("pos"), F.col("label").alias("layer"), (F.col("rn") % 5).cast("int").alias("head"), F.expr("cast(rn div 5 as int)").alias("token")]
+    values = e.select(*head, F.slice("embedding", 1, 8).alias("vec"))
+    attention = e.select(*head, F.abs(F.get("embedding", F.lit(9))).cast("double").alias("weight"))
+    weights = e.filter("rn < 5").select(F.col("label").alias("layer"), F.col("rn").alias("head"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(16))).alias("rows"), F.slice("embedding", 1, 16).alias("bias_share"))
+    out = heads.head_outputs(attention, values, weights)
+    return out.select("layer", "head", F.round(V.norm("vec"), 6).alias("size"))
+
+
+@_query("SELECT pos, layer, head, attn_structural, attn_coevolving, attn_local FROM scored_heads", *_HEADS)
+def attention_categories(spark, d):
+    return _scored(spark, d)[1].select("pos", "layer", "head", "attn_structural", "attn_coevolving", "attn_local")
+
+
+@_query(
+    """SELECT pos, src, round(sum(abs(projection) * weight), 5) AS total, round(sum(CASE WHEN attn_structural > 0.1 THEN abs(projection) * weight ELSE 0 END), 5) AS structural, round(sum(CASE WHEN attn_coevolving > 0.1 THEN abs(projection) * weight ELSE 0 END), 5) AS coevolving
+       FROM attention JOIN scored_heads USING (protein_id, pos, layer, head) WHERE abs(projection) > 0.1 GROUP BY ALL""",
+    *_HEADS,
+)
+def source_importance(spark, d):
+    return heads.source_importance(P.attention(spark, d), _scored(spark, d)[1]).select("pos", "src", *[_r(c, 5) for c in ("total", "structural", "coevolving")])
+
+
+@_query(
+    """SELECT pos, layer, head, src, weight, substr('ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY', src + 1, 1) AS aa, CAST(n AS INTEGER) AS rank,
+         concat_ws(',', CASE WHEN structural = 1 THEN 'structural' END, CASE WHEN coevolving = 1 THEN 'coevolving' END, CASE WHEN local = 1 THEN 'local' END) AS labels
+       FROM (SELECT l.*, row_number() OVER (PARTITION BY pos, layer, head ORDER BY weight DESC, src) AS n FROM labelled l JOIN scored_heads USING (protein_id, pos, layer, head) WHERE abs(projection) >= 0.3) WHERE n <= 8 AND weight >= 0.01""",
+    *_HEADS,
+)
+def top_sources(spark, d):
+    labelled, scored = _scored(spark, d)
+    proteins = scored.select("protein_id").distinct().withColumn("sequence", F.lit(C.LETTERS * 3))
+    return heads.top_sources(labelled, scored, proteins).select("pos", "layer", "head", "src", "weight", "aa", "rank", F.concat_ws(",", "labels").alias("labels"))
+
+
+@_query("SELECT pos, layer, head, projection, type FROM classed", *_HEADS, "classed")
+def head_classes(spark, d):
+    return heads.classify_heads(_scored(spark, d)[1]).select("pos", "layer", "head", "projection", "type")
+
+
+@_query("SELECT pos, layer, head, projection, type, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(projection) DESC, layer, head) AS n FROM classed) WHERE n <= 30", *_HEADS, "classed")
+def writing_events(spark, d):
+    return heads.writing_events(heads.classify_heads(_scored(spark, d)[1])).select("pos", "layer", "head", "projection", "type", "rank")
+
+
+# Streams
+
+P.SQL["headcells"] = "headcells AS (SELECT CAST(label AS INTEGER) AS layer, rn // 10 AS pos, rn % 10 AS head, dim, x, avg(x) OVER (PARTITION BY label, rn // 10, dim) AS c FROM cells)"
+P.SQL["headcos"] = "headcos AS (SELECT CAST(pos AS INTEGER) AS pos, layer, CAST(head AS INTEGER) AS head, round(sqrt(sum(x * x)), 5) AS magnitude, round(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 5) AS centroid_cosine FROM headcells GROUP BY ALL)"
+
+
+@_query("SELECT pos, layer, head, magnitude, centroid_cosine FROM headcos", "numbered", "cells", "headcells", "headcos")
+def centroid_cosines(spark, d):
+    return streams.centroid_cosines(P.head_out(spark, d)).select("pos", "layer", "head", _r("magnitude", 5), _r("centroid_cosine", 5))
+
+
+@_query("SELECT pos, head, count(*) AS n_layers, min(centroid_cosine) AS lowest FROM headcos GROUP BY ALL HAVING min(centroid_cosine) < 0.2", "numbered", "cells", "headcells", "headcos")
+def cross_layer_profiles(spark, d):
+    cosines = streams.centroid_cosines(P.head_out(spark, d)).withColumn("centroid_cosine", F.round("centroid_cosine", 5))
+    return streams.cross_layer_profiles(cosines).select("pos", "head", F.size("series").cast("long").alias("n_layers"), "lowest")
+
+
+@_query()
+def isolated_heads(spark, d):
+    return streams.isolated_heads(P.head_out(spark, d))
+
+
+@_query()
+def head_clusters(spark, d):
+    return streams.cluster_heads(P.head_out(spark, d), limit=0.9)
+
+
+@_query("SELECT protein_id, layer, CAST(count(DISTINCT pos) AS BIGINT) AS detections, round(count(DISTINCT pos) / n, 6) AS rate FROM groupings JOIN (SELECT protein_id, count(DISTINCT pos) AS n FROM sides GROUP BY ALL) USING (protein_id) GROUP BY protein_id, layer, n HAVING count(DISTINCT pos) / n >= 0.3", "sides")
+def detection_rates(spark, d):
+    analysed = P.read(spark, d, "customer").select(F.col("c_mktsegment").alias("protein_id"), (F.col("c_custkey") % 60).cast("int").alias("pos"))
+    return streams.detection_rates(P.groupings(spark, d), analysed).select("protein_id", "layer", "detections", _r("rate"))
+
+
+P.SQL["together"] = "together AS (SELECT x.protein_id, x.layer, x.head AS head_i, y.head AS head_j, count(*) AS n, round(avg(CAST(x.side = y.side AS DOUBLE)), 6) AS frequency FROM assigned x JOIN assigned y USING (protein_id, pos, layer) GROUP BY ALL)"
+
+
+@_query("SELECT * FROM together", "sides", "together")
+def co_clustering(spark, d):
+    return streams.co_clustering(streams.assignments(P.groupings(spark, d))).withColumn("frequency", F.round("frequency", 6))
+
+
+@_query()
+def consistent_cores(spark, d):
+    return streams.consistent_cores(P.groupings(spark, d))
+
+
+def _small_cores(spark, d):
+    return P.groupings(spark, d).select("protein_id", "layer").distinct().withColumn("core", F.array(F.lit(1), F.lit(2)))
+
+
+P.SQL["holding"] = """holding AS (SELECT protein_id, pos, layer, inter_cos, count(*) FILTER (WHERE head IN (1, 2) AND side = 1) = 2 OR count(*) FILTER (WHERE head IN (1, 2) AND side = 0) = 2 AS holds FROM assigned JOIN groupings USING (protein_id, pos, layer) GROUP BY ALL)"""
+
+
+@_query("SELECT protein_id, layer, round(avg(CAST(holds AS DOUBLE)), 6) AS consistency FROM holding GROUP BY ALL", "sides", "holding")
+def group_consistency(spark, d):
+    return streams.group_consistency(P.groupings(spark, d), _small_cores(spark, d)).withColumn("consistency", F.round("consistency", 6))
+
+
+@_query("SELECT protein_id, layer, round(avg(inter_cos), 6) AS mean_cos, round(stddev_pop(inter_cos), 6) AS std_cos, min(inter_cos) AS min_cos, max(inter_cos) AS max_cos, count(*) AS n FROM holding WHERE holds GROUP BY ALL", "sides", "holding")
+def core_statistics(spark, d):
+    return streams.core_statistics(P.groupings(spark, d), _small_cores(spark, d)).select("protein_id", "layer", _r("mean_cos"), _r("std_cos"), "min_cos", "max_cos", "n")
+
+
+@_query(
+    """SELECT pos, layer, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 5) AS inter_cos, round(sqrt(sum(a * a)), 5) AS iso_mag, round(sqrt(sum(b * b)), 5) AS main_mag FROM
+       (SELECT CAST(pos AS INTEGER) AS pos, layer, dim, sum(CASE WHEN head IN (1, 2) THEN x ELSE 0 END) AS a, sum(CASE WHEN head IN (1, 2) THEN 0 ELSE x END) AS b FROM headcells WHERE pos < 3 GROUP BY ALL) GROUP BY ALL""",
+    "numbered", "cells", "headcells",
+)
+def core_metrics(spark, d):
+    ho = P.head_out(spark, d).filter("pos < 3")
+    cores = ho.select("protein_id", "layer").distinct().withColumn("core", F.array(F.lit(1), F.lit(2)))
+    return streams.core_metrics(ho, cores).select("pos", "layer", _r("inter_cos", 5), _r("iso_mag", 5), _r("main_mag", 5))
+
+
+# Features and neurons
+
+
+def _decoder(spark, d):
+    """Feature ids count the vectors of a label; the label is the layer."""
+    return P.numbered(spark, d).select(F.col("label").alias("sae_layer"), F.col("rn").cast("long").alias("feature_id"), "embedding").withColumnRenamed("embedding", "vec")
+
+
+@_query(
+    """SELECT t.pos, sae_layer, feature_id, act, round(sum(x * d), 5) AS answer_dot, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos, sae_layer ORDER BY act DESC, feature_id) AS n FROM
+         (SELECT CAST(b.label AS INTEGER) AS pos, CAST(a.label AS INTEGER) AS sae_layer, CAST(a.rn AS BIGINT) AS feature_id, round(greatest(a.embedding[1] * b.embedding[2], 0), 6) AS act FROM numbered a JOIN numbered b ON b.rn = 0)) t
+       JOIN cells c ON c.label = t.sae_layer AND c.rn = t.feature_id JOIN direction2 e ON e.pos = t.pos AND e.dim = c.dim WHERE n <= 20 GROUP BY ALL""",
+    "numbered", "cells", "direction", "direction2",
+)
+def hidden_top_features(spark, d):
+    e = P.numbered(spark, d)
+    other = e.filter("rn = 0").select(F.lit("p").alias("protein_id"), F.col("label").alias("pos"), F.get("embedding", F.lit(1)).alias("y"), F.lit(1).alias("one"))
+    act = e.select(F.col("label").alias("sae_layer"), F.col("rn").cast("long").alias("feature_id"), F.get("embedding", F.lit(0)).alias("x"), F.lit(1).alias("one")).join(F.broadcast(other), "one")
+    act = act.select("protein_id", "pos", "sae_layer", "feature_id", F.round(F.greatest(F.col("x") * F.col("y"), F.lit(0.0).cast("float")).cast("float"), 6).alias("act"))
+    return features.hidden_top_features(act, _decoder(spark, d), P.answers(spark, d)).select("pos", "sae_layer", "feature_id", "act", _r("answer_dot", 5), "rank")
+
+
+@_query()
+def feature_projections(spark, d):
+    vecs = P.hidden(spark, d).withColumn("sae_layer", F.col("pos"))
+    return features.feature_projections(vecs, _decoder(spark, d), ("pos", "layer"), most=20).select("pos", "layer", "feature_id", _r("projection", 5), "rank")
+
+
+@_query()
+def head_features(spark, d):
+    ho = P.head_out(spark, d)
+    scored = heads.head_projections(ho, P.answers(spark, d))
+    return features.head_features(ho, scored, _decoder(spark, d)).select("pos", "layer", "head", "feature_id", _r("projection", 5), "side", "rank")
+
+
+@_query(
+    """SELECT pos, layer, source, feature_id, proj, 'F' || layer || ':' || feature_id AS ref, CASE WHEN feature_id % 2 = 0 THEN p_name END AS summary, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos, layer ORDER BY abs(proj) DESC, source, feature_id) AS rank FROM
+         (SELECT *, row_number() OVER (PARTITION BY pos, layer, feature_id ORDER BY abs(proj) DESC, source) AS k FROM (SELECT *, row_number() OVER (PARTITION BY pos, layer, source ORDER BY abs(proj) DESC, feature_id) AS n FROM lists) WHERE n <= 8) WHERE k = 1)
+       LEFT JOIN part ON p_partkey = feature_id WHERE rank <= 8""",
+    "lists",
+)
+def feature_summary(spark, d):
+    return features.feature_summary(P.feature_lists(spark, d), P.feature_labels(spark, d)).drop("protein_id")
+
+
+def _pushed(spark, d):
+    m = P.mlp_act(spark, d)
+    return features.neuron_push(m, P.gain(spark, d), P.position_letters(m)).withColumn("contribution", F.round("contribution", 8))
+
+
+P.SQL["top"] = """top AS (SELECT *, row_number() OVER (PARTITION BY pos, layer, kind ORDER BY n) AS rank FROM (
+    SELECT *, 'writer' AS kind, row_number() OVER (PARTITION BY pos, layer ORDER BY round(contribution, 8) DESC, neuron) AS n FROM pushed UNION ALL SELECT *, 'eraser', row_number() OVER (PARTITION BY pos, layer ORDER BY round(contribution, 8), neuron) FROM pushed) WHERE n <= 20 AND act <> 0)"""
+
+
+@_query("SELECT pos, layer, count(*) FILTER (WHERE act > 0) AS n_active, round(sum(contribution), 5) AS total_answer_proj FROM pushed GROUP BY ALL", "mlp", "gain", "pushed")
+def neuron_census(spark, d):
+    return features.neuron_census(_pushed(spark, d)).select("pos", "layer", "n_active", _r("total_answer_proj", 5))
+
+
+@_query("SELECT pos, layer, neuron, kind, act, round(contribution, 6) AS contribution, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 10", "mlp", "gain", "pushed", "top")
+def top_neurons(spark, d):
+    return features.top_neurons(_pushed(spark, d)).select("pos", "layer", "neuron", "kind", "act", _r("contribution", 6), "rank")
+
+
+P.SQL["letters3"] = "letters3 AS (SELECT t.pos, t.layer, t.kind, t.rank, t.neuron, g.aa, row_number() OVER (PARTITION BY t.pos, t.layer, t.kind, t.neuron ORDER BY round(t.act * g.gain, 8) DESC, g.aa) AS k FROM top t JOIN gain g USING (layer, neuron) WHERE t.rank <= 10)"
+
+
+def _letters(spark, d):
+    m = P.mlp_act(spark, d)
+    g = P.gain(spark, d)
+    return features.neuron_letters(features.top_neurons(_pushed(spark, d)), g)
+
+
+@_query("SELECT pos, layer, kind, neuron, aa, CAST(k AS INTEGER) AS letter_rank FROM letters3", "mlp", "gain", "pushed", "top", "letters3")
+def neuron_letters(spark, d):
+    return _letters(spark, d).select("pos", "layer", "kind", "neuron", "aa", "letter_rank")
+
+
+@_query("SELECT pos, layer, kind, CAST(rank AS INTEGER) AS rank, 'N' || layer || ':' || neuron AS ref, string_agg(aa, '' ORDER BY k) AS votes FROM letters3 WHERE rank <= 3 AND k <= 3 AND layer >= 4 GROUP BY pos, layer, kind, rank, neuron", "mlp", "gain", "pushed", "top", "letters3")
+def neuron_summary(spark, d):
+    return features.neuron_summary(_letters(spark, d), first_layer=4).select("pos", "layer", "kind", "rank", "ref", F.array_join("votes", "").alias("votes"))
+
+
+# Narrative
+
+
+@_query("""SELECT doc_id, CASE WHEN p > 5 THEN '...' ELSE '' END || substr(s, greatest(p - 5, 0) + 1, p - greatest(p - 5, 0)) || '[' || substr(s, p + 1, 1) || ']' || substr(s, p + 2, least(p + 6, length(s)) - p - 1) || CASE WHEN p + 6 < length(s) THEN '...' ELSE '' END AS context
+    FROM (SELECT doc_id, substr(text, 1, 30) AS s, CAST(doc_id % least(length(text), 30) AS INTEGER) AS p FROM documents WHERE length(text) > 0)""")
+def sequence_contexts(spark, d):
+    docs = P.read(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, 30).alias("s"), (F.col("doc_id") % F.least(F.length("text"), F.lit(30))).cast("int").alias("p"))
+    return docs.select("doc_id", narrative.sequence_context(F.col("s"), F.col("p")).alias("context"))
+
+
+@_query()
+def evidence_documents(spark, d):
+    run = P.running(spark, d)
+    positions = run.select("protein_id", "pos").distinct().withColumn("correct", F.lit(True))
+    return narrative.evidence(positions, trajectories=series.trajectories(run).drop("values"), lead_changes=series.lead_changes(run))
+
+
+@_query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), -1) AS k, CASE WHEN event_id % 5 = 0 THEN 'not JSON' ELSE '' END AS reason FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{}' ELSE props END AS props FROM events)")
+def parsed_narratives(spark, d):
+    fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    rows = P.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(fenced).alias("raw"))
+    good, bad = narrative.parse_generated(rows, schema="k int", required=("k",))
+    return good.select("event_id", F.coalesce("narrative.k", F.lit(-1)).alias("k"), F.lit("").alias("reason")).unionByName(bad.select("event_id", F.lit(-1).alias("k"), "reason"))
+
+
+_QUALIFIED = """CASE WHEN user_id % 7 = 0 THEN 'F' || user_id WHEN user_id % 3 <> 0 THEN 'F10:' || user_id WHEN event_id % 2 = 0 AND event_id % 40 <= 20 THEN 'F10:' || user_id ELSE 'F30:' || user_id END"""
+
+
+@_query(f"""SELECT event_id AS pos, CASE WHEN event_id % 2 = 0 THEN 'At L' || event_id % 40 || ' ' ELSE 'Here ' END || {_QUALIFIED} || ' fires, not F7:' || event_id % 40 || ', while N' || user_id % 10 || ' rests' AS rewritten,
+    CASE WHEN user_id % 7 = 0 THEN 0 ELSE 1 END AS replacements FROM events""")
+def qualified_references(spark, d):
+    id_map = narrative.reference_map(P.reference_ids(spark, d))
+    return narrative.qualify(P.leaves(spark, d), id_map).select("pos", "rewritten", "replacements")
+
+
+@_query("SELECT event_id AS pos, 'F' AS kind, CAST(user_id AS INTEGER) AS ref_id FROM events UNION ALL SELECT event_id, 'N', CAST(user_id % 10 AS INTEGER) FROM events")
+def bare_references(spark, d):
+    return narrative.bare_references(P.leaves(spark, d)).select("pos", "kind", "ref_id")
+
+
+# Sources and sinks
+
+
+@_query("SELECT source AS protein_id, 'd' || doc_id AS seq_name, substr(s, 1, 40) AS aligned FROM (SELECT *, regexp_replace(text, '[^a-z]', '', 'g') AS s FROM documents WHERE lang = 'en') WHERE length(s) >= 40")
+def stockholm_alignments(spark, d):
+    """Families per source, written as Stockholm text in two blocks and parsed; names appear in both blocks."""
+    docs = P.read(spark, d, "documents").filter("lang = 'en'").select("source", "doc_id", F.regexp_replace("text", "[^a-z]", "").alias("s")).filter(F.length("s") >= 40)
+    text = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF AC "), "source", F.lit(".3\nd"), "doc_id", F.lit(" "), F.substring("s", 1, 20), F.lit("\n\n#=GC x y\nd"), "doc_id", F.lit("  "), F.substring("s", 21, 20), F.lit("\n"))
+    return readers.parse_stockholm(docs.select(F.concat("source", F.lit("/"), "doc_id").alias("family"), text.alias("text"))).select(F.substring_index("protein_id", "/", 1).alias("protein_id"), "seq_name", "aligned")
+
+
+@_query("SELECT source AS protein_id, 'd' || doc_id AS seq_name, substr(s, 1, 40) AS aligned FROM (SELECT *, regexp_replace(text, '[^a-z]', '', 'g') AS s FROM documents WHERE lang = 'en') WHERE length(s) >= 1")
+def fasta_alignments(spark, d):
+    docs = P.read(spark, d, "documents").filter("lang = 'en'").select("source", "doc_id", F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 40).alias("s"))
+    text = F.concat(F.lit(">d"), "doc_id", F.lit("\n"), F.substring("s", 1, 25), F.lit("\n"), F.substring("s", 26, 15), F.lit("\n>empty\n"))
+    return readers.parse_fasta(docs.select(F.col("source").alias("protein_id"), text.alias("text"))).select("protein_id", "seq_name", "aligned")
+
+
+@_query("SELECT structure_id, pos, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM ca WHERE pos % 10 < 8", "numbered", "ca")
+def pdb_atoms(spark, d):
+    """C-alpha lines in fixed columns, with other atoms and chains between; residues 9 and 10 of ten are on chain B."""
+    ca = P.ca(spark, d)
+    line = lambda atom: F.format_string("ATOM  %5d " + atom + " ALA %s%4d    %8.3f%8.3f%8.3f  1.00", F.col("pos"), F.when(F.col("pos") % 10 < 8, "A").otherwise("B"), F.col("pos") + 1, "x", "y", "z")
+    rows = ca.select("structure_id", F.explode(F.array(F.struct((F.col("pos") * 2).alias("line_no"), line(" CA ").alias("value")), F.struct((F.col("pos") * 2 + 1).alias("line_no"), line(" CB ").alias("value")))).alias("l")).select("structure_id", "l.*")
+    proteins = ca.groupBy("structure_id").agg((F.max("pos") + 1).alias("seq_len"))
+    return readers.parse_pdb(rows, proteins)
+
+
+@_query("SELECT pos, sum(projection) FILTER (WHERE layer = 1) AS layer1, max(projection) FILTER (WHERE layer = 3 AND head = 7) AS cell FROM scores GROUP BY pos", "scores")
+def layer_head_matrix(spark, d):
+    m = writers.matrix(P.head_scores(spark, d), "projection", 4, 20)
+    return m.select("pos", V.total(F.get("matrix", F.lit(1))).alias("layer1"), F.get(F.get("matrix", F.lit(3)), F.lit(7)).alias("cell"))
+
+
+@_query("SELECT protein_id, pos_i || ',' || pos_j AS k, round(mi_apc, 4) AS v FROM (SELECT *, round(mi_apc, 8) AS s FROM apc) WHERE s > 0.01", *_MI, "apc")
+def score_map(spark, d):
+    return writers.score_map(_mi(spark, d)).select("protein_id", F.explode("mi_matrix_nonzero").alias("k", "v"))
+
+
+@_query()
+def position_records(spark, d):
+    run = P.running(spark, d)
+    t = series.trajectories(run).groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("rank", "aa", "final"))).alias("trajectories"))
+    c = series.lead_changes(run).groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "from_aa", "to_aa"))).alias("lead_changes"))
+    return writers.position_records(run.select("protein_id", "pos").distinct(), {"candidate_trajectories": t, "lead_changes": c})
