@@ -30,7 +30,7 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     now, mark = stored(now, "edges"), None
     for _ in range(most):
         now = stored(_star(_star(now, small=False), small=True), "edges")
-        new = tuple(now.agg(F.count("*"), F.sum(F.crc32(F.concat_ws(":", F.hex("u"), F.hex("v"))))).first())
+        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if new == mark:
             break
         mark = new

@@ -5,16 +5,16 @@ at a similarity t share one of their first n - ceil(t n) + 1 shingles in any fix
 classes are routed to buckets by these (hash order, with the most frequent shingles
 last).  Buckets that hold two classes or more are worked in rounds:
 
-- First each class is compared with the smallest class of its buckets that it shares most
-  of them with.  That joins the bulk of a group of near copies in a linear number of
-  comparisons.  Classes joined already need no comparison with each other.
+- First each class is compared with the smallest classes of its buckets, the two that it
+  shares most of them with.  That joins the bulk of a group of near copies in a linear
+  number of comparisons.  Classes joined already need no comparison with each other.
 - Then, in each bucket that still holds several components, a signature tree is built:
   nodes hold the OR of their classes' shingle bitmaps and the range of their sizes, and
   pairs of nodes are descended from the root together, unless sizes or the largest
   possible overlap rule a link out or both hold one component.  All class pairs that are
   left are compared on their whole sets.
 
-The exact comparison uses 48 bits of each shingle's hash.
+The exact comparison uses 40 bits of each shingle's hash.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.llm.common import stored, table, text_or_empty
@@ -32,6 +33,7 @@ from helixlake.llm.graph import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 BITS = 2048
+CUT = 5  # bytes of a shingle's hash in the exact comparison
 
 
 class _Hashes(dict):
@@ -94,8 +96,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             yield ids[begin:end], texts[begin:end]
 
 
+def _longs(*columns: object) -> list[pa.Array]:
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
 def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, class, n) of all documents, and (shingle, times) of those that are met twice in a task's part."""
+    """(doc_id, mark, n) of all documents, and (shingle, times) of those that are met twice in a task's part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: list[np.ndarray] = []
@@ -121,20 +127,24 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 met, seen = [], set()
         yield common()
 
-    names = ["doc_id", "class", "n", "shingle", "times"]
-    return docs.mapInArrow(work, "doc_id bigint, class binary, n bigint, shingle bigint, times bigint")
+    names = ["doc_id", "mark", "n", "shingle", "times"]
+    return docs.mapInArrow(work, "doc_id bigint, mark binary, n bigint, shingle bigint, times bigint")
 
 
 def _routes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(shingle, class, n) for the first shingles of every class; those in ``frequent`` come last in the order."""
+    """(shingle, doc_id) of the shingles that are first for several documents; those in ``frequent`` come last in the order.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task sends one document of each set.  The rows are shuffled once, by shingle, and
+    runs of one row are left out as they stream by.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for _, texts in _blocks(batches):
+        for ids, texts in _blocks(batches):
             if len(seen) > 500_000:
                 seen = set()
-            tokens, classes, sizes = [], [], []
-            for s in shingle_sets(texts, width):
+            tokens, owners = [], []
+            for i, s in zip(ids, shingle_sets(texts, width), strict=True):
                 mark = fingerprint(s)
                 if not len(s) or mark in seen:
                     continue
@@ -142,82 +152,98 @@ def _routes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
                 p = prefix_length(len(s), percent)
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    first = np.concatenate([s[~late][:p], s[late][:p]])[:p]
-                else:
-                    first = s[:p]
-                tokens.append(first)
-                classes.extend([mark] * p)
-                sizes.append(np.full(p, len(s)))
+                    s = np.concatenate([s[~late][:p], s[late][:p]])[:p]
+                tokens.append(s[:p])
+                owners.append(np.full(p, i, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(classes, pa.binary()), pa.array(np.concatenate(sizes), pa.int64())], ["shingle", "class", "n"])
+                yield pa.RecordBatch.from_arrays(_longs(np.concatenate(tokens).view(np.int64), np.concatenate(owners)), ["shingle", "doc_id"])
 
-    return docs.mapInArrow(work, "shingle bigint, class binary, n bigint")
-
-
-def _shared(routes: DataFrame) -> DataFrame:
-    """Routes of the buckets with two classes or more, once each."""
-    several = routes.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter(F.col("low") != F.col("high"))
-    return routes.join(several.select("shingle"), "shingle").distinct()
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = owners = np.zeros(0, np.int64)  # the last rows, all of one shingle that may go on
+        again = False  # whether a row of that shingle has been sent on
+        for batch in batches:
+            k = np.concatenate([keys, batch.column(0).to_numpy()])
+            o = np.concatenate([owners, batch.column(1).to_numpy()])
+            same = k[1:] == k[:-1]
+            keep = np.zeros(len(k), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if again and len(k):
+                keep[0] = True
+            last = len(k) - 1  # only the last row waits for the next batch
+            out = keep[:last]
+            if out.any():
+                yield pa.RecordBatch.from_arrays(_longs(k[:last][out], o[:last][out]), ["shingle", "doc_id"])
+            again = bool(keep[last]) if last >= 0 else again
+            keys, owners = k[last:], o[last:]
+        if len(keys) and again:
+            yield pa.RecordBatch.from_arrays(_longs(keys, owners), ["shingle", "doc_id"])
+
+    kinds = "shingle bigint, doc_id bigint"
+    return docs.mapInArrow(send, kinds).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(several, kinds)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(class, n, cut shingles as bytes, bitmap) of the given documents."""
+    """(class, n, cut shingles as bytes, bitmap) of the given documents, a class being named by its document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _blocks(batches):
+        for ids, texts in _blocks(batches):
             sets = shingle_sets(texts, width)
-            cut = [np.unique(s >> np.uint64(16)) for s in sets]
-            packed = [c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for c in cut]
+            cut = [np.unique(s >> np.uint64(64 - 8 * CUT)) for s in sets]
+            packed = [c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CUT].tobytes() for c in cut]
             maps = []
             for c in cut:
                 bits = np.zeros(BITS, np.uint8)
                 bits[(c % np.uint64(BITS)).astype(np.int64)] = 1
                 maps.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()), pa.array(maps, pa.binary())], ["class", "n", "cut", "bitmap"])
+            yield pa.RecordBatch.from_arrays([*_longs(ids, [len(s) for s in sets]), pa.array(packed, pa.binary()), pa.array(maps, pa.binary())], ["class", "n", "cut", "bitmap"])
 
-    return docs.mapInArrow(work, "class binary, n bigint, cut binary, bitmap binary")
+    return docs.mapInArrow(work, "class bigint, n bigint, cut binary, bitmap binary")
 
 
 def _unpacked(cut: bytes) -> np.ndarray:
-    out = np.zeros((len(cut) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(cut, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(cut) // CUT, 8), np.uint8)
+    out[:, :CUT] = np.frombuffer(cut, np.uint8).reshape(-1, CUT)
     return out.view("<u8").ravel()
 
 
 def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
-    both = np.sort(np.concatenate([a, b]))
-    shared = int((both[1:] == both[:-1]).sum())
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs are merged
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose whole sets are linked.
+    """Those of the pairs (a, b, bucket) of classes whose whole sets are linked.
 
-    b's set is sent to each pair of b's once per cell of about a thousand partners, so that
-    one b with very many partners is spread over tasks.
+    A bucket's pairs are cut into cells of about a thousand classes on each side, and each
+    set is sent once to each cell that compares it, so that neither a set with very many
+    partners nor a large bucket meets in one task.
     """
-    cell = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("partners") / 1000)))
-    partners = pairs.groupBy("b").agg(F.count("*").alias("partners"))
-    dealt = pairs.join(partners, "b").select("a", "b", cell.alias("cell"))
-    dealt = dealt.join(sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("cut").alias("cut_a")), "a")
-    other = dealt.select("b", "cell").distinct().join(sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("cut").alias("cut_b")), "b")
-    rows = dealt.select("b", "cell", "a", F.col("n_a").alias("n"), F.col("cut_a").alias("cut")).unionByName(other.select("b", "cell", F.lit(None).cast("binary").alias("a"), F.col("n_b").alias("n"), F.col("cut_b").alias("cut")))
+    wide = pairs.groupBy("bucket").agg(*[F.ceil(F.approx_count_distinct(c) / 1000).alias(f"n_{c}") for c in "ab"])
+    part = lambda c: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.col(f"n_{c}")))
+    dealt = pairs.join(wide, "bucket").select("bucket", part("a").alias("x"), part("b").alias("y"), "a", "b")
+    cell = ["bucket", "x", "y"]
+    need = dealt.select(*cell, F.explode(F.array("a", "b")).alias("class")).distinct()
+    held = need.join(sets.select("class", "n", "cut"), "class").select(*cell, F.lit(0).alias("kind"), F.col("class").alias("a"), F.col("n").alias("b"), "cut")
+    rows = held.unionByName(dealt.select(*cell, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("cut")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, mine, n_b = None, None, 0
+        now, mine = None, {}
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for b, cell_no, a, n, cut in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a is None:  # sorted first: the set of b
-                    now, mine, n_b = (b, cell_no), _unpacked(cut), n
-                elif now != (b, cell_no):
-                    raise ValueError("a partner without its set")
-                elif linked(_unpacked(cut), n, mine, n_b, percent):
+            found: list[tuple[int, int]] = []
+            for *key, kind, a, b, cut in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, mine = key, {}
+                if kind == 0:  # the sets of a cell come first
+                    mine[a] = (_unpacked(cut), b)
+                elif linked(*mine[a], *mine[b], percent):
                     found.append((a, b))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(_longs(*zip(*found, strict=True)), ["a", "b"])
 
-    return rows.repartition("b", "cell").sortWithinPartitions("b", "cell", F.col("a").asc_nulls_first()).mapInArrow(work, "a binary, b binary")
+    return rows.repartition(*cell).sortWithinPartitions(*cell, "kind").mapInArrow(work, "a bigint, b bigint")
 
 
 class SignatureTree:
@@ -225,7 +251,7 @@ class SignatureTree:
 
     def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, component: np.ndarray, fan: int = 8):
         self.order = np.argsort(sizes, kind="stable")
-        words = bitmaps[self.order].view(np.uint64)
+        words = np.ascontiguousarray(bitmaps[self.order]).view(np.uint64)
         n = sizes[self.order]
         hidden = n - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
         comp = component[self.order].astype(np.int64)
@@ -261,31 +287,38 @@ class SignatureTree:
 
 
 def _tree_pairs(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Class pairs (a, b) of different components that no signature tree of a bucket rules out."""
+    """Class pairs (a, b, bucket) of different components that no signature tree of a bucket rules out; a > b."""
     rows = routes.join(sets.select("class", "bitmap"), "class").select("shingle", "class", "n", "component", "bitmap")
 
-    def bucket(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        names = [r[1] for r in rows]
-        number = {c: i for i, c in enumerate(sorted({r[3] for r in rows}))}
-        if len(number) < 2:
+    def bucket(shingle: int, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names, sizes, parts, maps = rows
+        low, number = np.unique(parts, return_inverse=True)
+        if len(low) < 2:
             return
-        tree = SignatureTree(np.array([r[2] for r in rows], np.int64), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1), np.array([number[r[3]] for r in rows]))
-        for a, b in tree.pairs(percent):
-            two = [(max(names[i], names[j]), min(names[i], names[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*two, strict=True)], ["a", "b"])
+        tree = SignatureTree(sizes, maps, number)
+        for i, j in tree.pairs(percent):
+            yield pa.RecordBatch.from_arrays(_longs(np.maximum(names[i], names[j]), np.minimum(names[i], names[j]), np.full(len(i), shingle)), ["a", "b", "bucket"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = []
+        shingle = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from bucket(held)
+            if not len(batch):
+                continue
+            keys, names, sizes, parts = (batch.column(i).to_numpy() for i in range(4))
+            maps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(keys), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and keys[x] != shingle:
+                    yield from bucket(shingle, [np.concatenate(c) for c in zip(*held, strict=True)])
                     held = []
-                held.append(row)
+                shingle = int(keys[x])
+                held.append([names[x:y], sizes[x:y], parts[x:y], maps[x:y]])
         if held:
-            yield from bucket(held)
+            yield from bucket(shingle, [np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a binary, b binary").distinct()
+    found = rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a bigint, b bigint, bucket bigint")
+    return found.groupBy("a", "b").agg(F.min("bucket").alias("bucket"))
 
 
 def _labelled(routes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -296,50 +329,47 @@ def _labelled(routes: DataFrame, links: DataFrame | None) -> DataFrame:
         found = components(links).select(F.col("node").alias("class"), "component")
         with_c = routes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     several = with_c.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") != F.col("high"))
-    return with_c.join(several.select("shingle", "low"), "shingle")
+    return with_c.join(several.select("shingle"), "shingle")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, frequent_most: int = 1 << 17, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, frequent_most: int = 1 << 17, leaders: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reached by links) for every row.
 
     A document's set: distinct shingles of ``width`` words, A-Z lowered; with fewer words
     the whole sequence; none without words or text, and then no links.  Sets link where
-    100 * intersection >= percent * union.  All links count: the rounds and the order of
-    shingles change only how much is compared.  Ids must be unique and not null.
+    100 * intersection >= percent * union.  All links count: the leaders and the order of
+    shingles change only how much is compared.  Ids must be unique; a row without one has
+    the component of the other rows with its set, or none.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("t"))
     met = stored(_classes(texts, width, percent), "classes")
-    members = met.filter("class IS NOT NULL").select("doc_id", "class", "n")
+    members = met.filter("mark IS NOT NULL").select("doc_id", "mark", "n")
     often = met.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).filter("times >= 32")
     # A fixed number of the most frequent shingles, at most 1 MB; only their place in the order depends on it.
     top = often.orderBy(F.desc("times"), "shingle").limit(frequent_most).toPandas()["shingle"].to_numpy(np.int64)
-    routes = stored(_shared(_routes(texts, width, percent, np.sort(top.view(np.uint64)))), "routes")
-    first = members.groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"))
-    chosen = first.join(routes.select("class").distinct(), "class").select("doc_id")
-    sets = stored(_sets(texts.join(chosen, "doc_id"), width), "sets")
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    for _ in range(rounds):
-        open_ = _labelled(routes, links)
-        lead = open_.groupBy("shingle").agg(F.min(F.struct("component", "class", "n")).alias("lead"))
-        both = open_.join(lead, "shingle").filter((F.col("component") != F.col("lead.component")) & (100 * F.least("n", F.col("lead.n")) >= percent * F.greatest("n", F.col("lead.n"))))
-        votes = both.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).agg(F.count("*").alias("votes"))
-        if tried is not None:
-            votes = votes.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "pairs")
-        new = stored(_verified(pairs, sets, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
+    texts = texts.filter("doc_id IS NOT NULL")
+    sent = stored(_routes(texts, width, percent, np.sort(top.view(np.uint64))), "sent")
+    first = members.groupBy("mark").agg(F.min("doc_id").alias("class"))
+    named = stored(members.join(first, "mark").select("doc_id", "class", "n"), "members")
+    routes = sent.join(named, "doc_id").select("shingle", "class", "n").distinct()
+    routes = stored(_labelled(routes, None).drop("component"), "routes")
+    active = routes.select(F.col("class").alias("doc_id")).distinct()
+    sets = stored(_sets(texts.join(active, "doc_id"), width), "sets")
+    # Each class with the smallest classes of its buckets that it shares most of them with.
+    lead = routes.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("lead"))
+    both = routes.join(lead, "shingle").filter((F.col("class") != F.col("lead.class")) & (100 * F.least("n", F.col("lead.n")) >= percent * F.greatest("n", F.col("lead.n"))))
+    votes = both.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).agg(F.count("*").alias("votes"))
+    best = W.partitionBy("a").orderBy(F.desc("votes"), "b")  # no more leaders than a class has buckets
+    tried = stored(votes.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= leaders).select("a", "b", F.col("b").alias("bucket")), "pairs")
+    links = stored(_verified(tried, sets, percent), "links")
     left = stored(_labelled(routes, links), "open")
-    pairs = stored(_tree_pairs(left, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = stored(_tree_pairs(left, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(stored(_verified(pairs, sets, percent), "links"))
-    whole = members.filter("n > 0").join(components(links).select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left")
-    whole = whole.withColumn("root", F.coalesce("root", "class"))
-    least = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = whole.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone)
+    found = components(links).select(F.col("node").alias("class"), "component")
+    # A class is named by its smallest document, so the smallest class is the smallest document.
+    joined = named.join(found, "class", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "class"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
