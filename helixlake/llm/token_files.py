@@ -28,6 +28,7 @@ from helixlake.llm.common import shared_path, stored, table, text_or_empty
 from helixlake.llm.encoding import chunks, encoder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+NO_ID = -(1 << 63)
 _MANIFEST = "path string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint"
 
 
@@ -111,9 +112,9 @@ def _open(path: str):
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, text: str = "text", doc_id: str = "doc_id", drops_space: bool = False, level: int = 3) -> DataFrame:
     """Encodes and writes all documents; returns the stored manifest, a row per file.
 
-    Null texts count as empty (one end id); rows with a null id are refused, since a file
-    finds documents by id.  Rows that repeat an id are written in a row.  An empty table
-    gives an empty manifest.  Further columns are ignored.
+    Null texts count as empty (one end id).  Rows without an id come first, under NO_ID;
+    rows that repeat an id follow one another.  An empty table gives an empty manifest.
+    Further columns are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([v], pa.int64()) for v in (first, last, n_docs, n_ids))], ["path", "first_id", "last_id", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("t"))
-    rows = rows.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.lit("a document has no id"))).otherwise(F.col("id")))
+    rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
     return stored(rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(write, _MANIFEST), "manifest")
 
 
@@ -160,7 +161,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     order = W.partitionBy(F.lit(1)).orderBy("first_id", "last_id", "path").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long").alias("base"))  # a row per file
     files = max(1, manifest.count())
-    return based.repartition(files, "path").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = based.repartition(files, "path").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
