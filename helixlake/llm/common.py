@@ -83,3 +83,19 @@ def running_start(df: DataFrame, groups: list[str], order: list[Column], size: s
     for m in match[1:]:
         on = on & m
     return here.join(bases, on).select(*[here[c] for c in df.columns], (F.col("_in") + F.col("_base")).cast("long").alias(out))
+
+
+def matching(rows: DataFrame, key: str, ids: DataFrame, id_: str, bits: int = 1 << 22) -> DataFrame:
+    """The rows whose ``key`` is among the distinct, stored ``ids``.
+
+    A bitmap of hashed ids, of fixed size (64 K words of 64 bits, broadcast), first leaves out
+    most rows without a match, so that not all texts are shuffled; the join behind it is exact.
+    It is a merge join at every size.
+    """
+    place = f"pmod(xxhash64({{}}), {bits})"
+    bit = "shiftleft(1L, cast({} % 64 as int))"
+    hashed = ids.selectExpr(f"cast({id_} as long) AS _k").selectExpr(f"{place.format('_k')} AS _h")
+    words = hashed.selectExpr("cast(_h div 64 as int) AS _word", f"{bit.format('_h')} AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_h", F.expr(place.format(f"cast({key} as long)"))).withColumn("_word", F.expr("cast(_h div 64 as int)"))
+    likely = marked.join(F.broadcast(words), "_word").filter(f"(_bits & {bit.format('_h')}) != 0").select(*rows.columns)
+    return likely.join(ids.select(F.col(id_).alias("_match")).hint("merge"), F.col(key) == F.col("_match"), "left_semi")
