@@ -425,7 +425,7 @@ def co_clustering(spark, d):
 
 @_query()
 def consistent_cores(spark, d):
-    return streams.consistent_cores(P.groupings(spark, d))
+    return streams.consistent_cores(P.groupings(spark, d), least=0.02)
 
 
 def _small_cores(spark, d):
