@@ -98,4 +98,5 @@ def matching(rows: DataFrame, key: str, ids: DataFrame, id_: str, bits: int = 1
     words = hashed.selectExpr("cast(_h div 64 as int) AS _word", f"{bit.format('_h')} AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     marked = rows.withColumn("_h", F.expr(place.format(f"cast({key} as long)"))).withColumn("_word", F.expr("cast(_h div 64 as int)"))
     likely = marked.join(F.broadcast(words), "_word").filter(f"(_bits & {bit.format('_h')}) != 0").select(*rows.columns)
-    return likely.join(ids.select(F.col(id_).alias("_match")).hint("merge"), F.col(key) == F.col("_match"), "left_semi")
+    # An inner join: a semi join would be moved below the bitmap.
+    return likely.join(ids.select(F.col(id_).alias("_match")).hint("merge"), F.col(key) == F.col("_match")).drop("_match")

@@ -71,7 +71,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat a kept id or have none go too."""
     stay = exact_duplicates(docs, text, doc_id, **options).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stay, docs[doc_id] == stay["_keep"], "left_semi").dropDuplicates([doc_id])
+    return docs.join(stay.hint("merge"), docs[doc_id] == stay["_keep"], "left_semi").dropDuplicates([doc_id])
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ at a similarity t share one of their first n - ceil(t n) + 1 shingles in any fix
 classes are routed to buckets by these (hash order, with the most frequent shingles
 last).  Buckets that hold two classes or more are worked in rounds:
 
-- First each class is compared with the smallest classes of its buckets, the two that it
+- First each class is compared with the smallest classes of its buckets, the one that it
   shares most of them with.  That joins the bulk of a group of near copies in a linear
   number of comparisons.  Classes joined already need no comparison with each other.
 - Then, in each bucket that still holds several components, a signature tree is built:
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import stored, table, text_or_empty
+from helixlake.llm.common import matching, stored, table, text_or_empty
 from helixlake.llm.encoding import chunks
 from helixlake.llm.graph import components
 
@@ -89,6 +89,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def index_length(n: int, percent: int) -> int:
+    """The first of two linked sets' common shingles is among so many of the smaller one's."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -132,10 +137,13 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _routes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(shingle, doc_id) of the shingles that are first for several documents; those in ``frequent`` come last in the order.
+    """(shingle, doc_id, n, early) of the first shingles that documents of like size share; those in ``frequent`` come last in the order.
 
-    A task sends one document of each set.  The rows are shuffled once, by shingle, and
-    runs of one row are left out as they stream by.
+    A task sends one document of each set; early tells that the shingle is within the
+    document's index_length.  Of two linked documents the smaller one has their first common
+    shingle early, so a row stays only if it is early with a document as large or larger
+    behind it, or has an early one as small or smaller before it.  The rows are
+    shuffled once, by shingle and size, and looked at as they stream by.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,44 +151,59 @@ def _routes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
         for ids, texts in _blocks(batches):
             if len(seen) > 500_000:
                 seen = set()
-            tokens, owners = [], []
+            tokens, owners, sizes, early = [], [], [], []
             for i, s in zip(ids, shingle_sets(texts, width), strict=True):
                 mark = fingerprint(s)
                 if not len(s) or mark in seen:
                     continue
                 seen.add(mark)
-                p = prefix_length(len(s), percent)
+                n, p = len(s), prefix_length(len(s), percent)
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.concatenate([s[~late][:p], s[late][:p]])[:p]
                 tokens.append(s[:p])
                 owners.append(np.full(p, i, np.int64))
+                sizes.append(np.full(p, n, np.int32))
+                early.append(np.arange(p) < index_length(n, percent))
             if tokens:
-                yield pa.RecordBatch.from_arrays(_longs(np.concatenate(tokens).view(np.int64), np.concatenate(owners)), ["shingle", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*_longs(np.concatenate(tokens).view(np.int64), np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(early))], names)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = owners = np.zeros(0, np.int64)  # the last rows, all of one shingle that may go on
-        again = False  # whether a row of that shingle has been sent on
+        held: list[np.ndarray] | None = None  # the last row, which waits for the next batch
+        sure = False  # whether that row is known to stay
+        key, small = None, -1  # the shingle and the size of its last early row
         for batch in batches:
-            k = np.concatenate([keys, batch.column(0).to_numpy()])
-            o = np.concatenate([owners, batch.column(1).to_numpy()])
+            if not len(batch):
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            k, o, n, e = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
             same = k[1:] == k[:-1]
             keep = np.zeros(len(k), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if again and len(k):
-                keep[0] = True
-            last = len(k) - 1  # only the last row waits for the next batch
+            keep[0] = sure
+            near = same & (100 * n[:-1] >= percent * n[1:])
+            keep[:-1] |= near & (e[:-1] | (e[1:] & (n[1:] == n[:-1])))
+            # The last early row before each row, of the same shingle; sizes ascend within one.
+            at = np.maximum.accumulate(np.where(e, np.arange(len(k)), -1))
+            before = np.concatenate([[-1], at[:-1]])
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(k)), 0))
+            size = np.where(before >= begin, n[np.maximum(before, 0)].astype(np.int64), np.where((begin == 0) & (k == key), small, -1))
+            keep |= (size >= 0) & (100 * size >= percent * n)
+            last = len(k) - 1
             out = keep[:last]
             if out.any():
-                yield pa.RecordBatch.from_arrays(_longs(k[:last][out], o[:last][out]), ["shingle", "doc_id"])
-            again = bool(keep[last]) if last >= 0 else again
-            keys, owners = k[last:], o[last:]
-        if len(keys) and again:
-            yield pa.RecordBatch.from_arrays(_longs(keys, owners), ["shingle", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*_longs(k[:last][out], o[:last][out]), pa.array(n[:last][out]), pa.array(e[:last][out])], names)
+            if before[last] >= begin[last]:
+                small = int(n[before[last]])
+            elif not (begin[last] == 0 and k[last] == key):
+                small = -1
+            held, sure, key = [c[last:] for c in (k, o, n, e)], bool(keep[last]), k[last]
+        if held is not None and sure:
+            k, o, n, e = held
+            yield pa.RecordBatch.from_arrays([*_longs(k, o), pa.array(n), pa.array(e)], names)
 
-    kinds = "shingle bigint, doc_id bigint"
-    return docs.mapInArrow(send, kinds).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(several, kinds)
+    names = ["shingle", "doc_id", "n", "early"]
+    kinds = "shingle bigint, doc_id bigint, n int, early boolean"
+    return docs.mapInArrow(send, kinds).repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(several, kinds)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -249,8 +272,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 class SignatureTree:
     """Classes by size in leaves, leaves in nodes: OR of bitmaps, range of sizes, most hidden shingles, one component or none."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, component: np.ndarray, fan: int = 8):
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, component: np.ndarray, early: np.ndarray | None = None, fan: int = 8):
         self.order = np.argsort(sizes, kind="stable")
+        self.early = np.ones(len(sizes), bool) if early is None else early[self.order]
         words = np.ascontiguousarray(bitmaps[self.order]).view(np.uint64)
         n = sizes[self.order]
         hidden = n - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
@@ -275,6 +299,8 @@ class SignatureTree:
             keep = (100 + percent) * most >= percent * (low[a] + low[b])
             a, b = a[keep], b[keep]
             if level == 0:
+                keep = self.early[a] & (low[a] <= low[b]) | self.early[b] & (low[b] <= low[a])
+                a, b = a[keep], b[keep]
                 if len(a):
                     yield self.order[a], self.order[b]
                 continue
@@ -288,14 +314,14 @@ class SignatureTree:
 
 def _tree_pairs(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Class pairs (a, b, bucket) of different components that no signature tree of a bucket rules out; a > b."""
-    rows = routes.join(sets.select("class", "bitmap"), "class").select("shingle", "class", "n", "component", "bitmap")
+    rows = routes.join(sets.select("class", "bitmap"), "class").select("shingle", "class", "n", "component", "early", "bitmap")
 
     def bucket(shingle: int, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names, sizes, parts, maps = rows
+        names, sizes, parts, early, maps = rows
         low, number = np.unique(parts, return_inverse=True)
         if len(low) < 2:
             return
-        tree = SignatureTree(sizes, maps, number)
+        tree = SignatureTree(sizes, maps, number, early)
         for i, j in tree.pairs(percent):
             yield pa.RecordBatch.from_arrays(_longs(np.maximum(names[i], names[j]), np.minimum(names[i], names[j]), np.full(len(i), shingle)), ["a", "b", "bucket"])
 
@@ -305,15 +331,15 @@ def _tree_pairs(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            keys, names, sizes, parts = (batch.column(i).to_numpy() for i in range(4))
-            maps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(keys), -1)
+            keys, names, sizes, parts, early = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            maps = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(keys), -1)
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and keys[x] != shingle:
                     yield from bucket(shingle, [np.concatenate(c) for c in zip(*held, strict=True)])
                     held = []
                 shingle = int(keys[x])
-                held.append([names[x:y], sizes[x:y], parts[x:y], maps[x:y]])
+                held.append([names[x:y], sizes[x:y], parts[x:y], early[x:y], maps[x:y]])
         if held:
             yield from bucket(shingle, [np.concatenate(c) for c in zip(*held, strict=True)])
 
@@ -332,7 +358,7 @@ def _labelled(routes: DataFrame, links: DataFrame | None) -> DataFrame:
     return with_c.join(several.select("shingle"), "shingle")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, frequent_most: int = 1 << 17, leaders: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, frequent_most: int = 1 << 17, leaders: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reached by links) for every row.
 
     A document's set: distinct shingles of ``width`` words, A-Z lowered; with fewer words
@@ -351,10 +377,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sent = stored(_routes(texts, width, percent, np.sort(top.view(np.uint64))), "sent")
     first = members.groupBy("mark").agg(F.min("doc_id").alias("class"))
     named = stored(members.join(first, "mark").select("doc_id", "class", "n"), "members")
-    routes = sent.join(named, "doc_id").select("shingle", "class", "n").distinct()
+    routes = sent.join(named.select("doc_id", "class"), "doc_id").groupBy("shingle", "class").agg(F.max("n").cast("long").alias("n"), F.max("early").alias("early"))
     routes = stored(_labelled(routes, None).drop("component"), "routes")
-    active = routes.select(F.col("class").alias("doc_id")).distinct()
-    sets = stored(_sets(texts.join(active, "doc_id"), width), "sets")
+    active = stored(routes.select(F.col("class").alias("doc_id")).distinct(), "active")
+    sets = stored(_sets(matching(texts, "doc_id", active, "doc_id"), width), "sets")
     # Each class with the smallest classes of its buckets that it shares most of them with.
     lead = routes.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("lead"))
     both = routes.join(lead, "shingle").filter((F.col("class") != F.col("lead.class")) & (100 * F.least("n", F.col("lead.n")) >= percent * F.greatest("n", F.col("lead.n"))))
@@ -375,7 +401,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The document with the smallest id of each component, with all its columns."""
     stay = near_duplicates(docs, text, doc_id, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stay, docs[doc_id] == stay["_keep"], "left_semi")
+    return docs.join(stay.hint("merge"), docs[doc_id] == stay["_keep"], "left_semi")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def repeat_by_mix(docs: DataFrame, text: str = "text", source: str = "source", d
     luck = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("copies")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.floor(ratio) + F.when(luck < ratio - F.floor(ratio), 1).otherwise(0)).cast("int"))
     often = taken.select(F.col("doc_id").alias("_id"), copies.alias("_copies")).filter("_copies > 0")
-    both = docs.join(often, docs[doc_id].eqNullSafe(often["_id"]))
+    both = docs.join(often.hint("merge"), docs[doc_id].eqNullSafe(often["_id"]))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
