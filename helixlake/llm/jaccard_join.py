@@ -249,7 +249,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(wide, "bucket").select("bucket", part("a").alias("x"), part("b").alias("y"), "a", "b")
     cell = ["bucket", "x", "y"]
     need = dealt.select(*cell, F.explode(F.array("a", "b")).alias("class")).distinct()
-    held = need.join(sets.select("class", "n", "cut"), "class").select(*cell, F.lit(0).alias("kind"), F.col("class").alias("a"), F.col("n").alias("b"), "cut")
+    held = need.join(sets.select("class", "n", "cut").hint("merge"), "class").select(*cell, F.lit(0).alias("kind"), F.col("class").alias("a"), F.col("n").alias("b"), "cut")
     rows = held.unionByName(dealt.select(*cell, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("cut")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,17 +313,17 @@ class SignatureTree:
 
 
 def _tree_pairs(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Class pairs (a, b, bucket) of different components that no signature tree of a bucket rules out; a > b."""
-    rows = routes.join(sets.select("class", "bitmap"), "class").select("shingle", "class", "n", "component", "early", "bitmap")
+    """Class pairs (a, b) of different components that no signature tree of a bucket rules out; a > b."""
+    rows = routes.join(sets.select("class", "bitmap").hint("merge"), "class").select("shingle", "class", "n", "component", "early", "bitmap")
 
-    def bucket(shingle: int, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def bucket(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         names, sizes, parts, early, maps = rows
         low, number = np.unique(parts, return_inverse=True)
         if len(low) < 2:
             return
         tree = SignatureTree(sizes, maps, number, early)
         for i, j in tree.pairs(percent):
-            yield pa.RecordBatch.from_arrays(_longs(np.maximum(names[i], names[j]), np.minimum(names[i], names[j]), np.full(len(i), shingle)), ["a", "b", "bucket"])
+            yield pa.RecordBatch.from_arrays(_longs(np.maximum(names[i], names[j]), np.minimum(names[i], names[j])), ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -336,15 +336,14 @@ def _tree_pairs(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and keys[x] != shingle:
-                    yield from bucket(shingle, [np.concatenate(c) for c in zip(*held, strict=True)])
+                    yield from bucket([np.concatenate(c) for c in zip(*held, strict=True)])
                     held = []
                 shingle = int(keys[x])
                 held.append([names[x:y], sizes[x:y], parts[x:y], early[x:y], maps[x:y]])
         if held:
-            yield from bucket(shingle, [np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from bucket([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    found = rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a bigint, b bigint, bucket bigint")
-    return found.groupBy("a", "b").agg(F.min("bucket").alias("bucket"))
+    return rows.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def _labelled(routes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -377,7 +376,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sent = stored(_routes(texts, width, percent, np.sort(top.view(np.uint64))), "sent")
     first = members.groupBy("mark").agg(F.min("doc_id").alias("class"))
     named = stored(members.join(first, "mark").select("doc_id", "class", "n"), "members")
-    routes = sent.join(named.select("doc_id", "class"), "doc_id").groupBy("shingle", "class").agg(F.max("n").cast("long").alias("n"), F.max("early").alias("early"))
+    routes = sent.join(named.select("doc_id", "class").hint("merge"), "doc_id").groupBy("shingle", "class").agg(F.max("n").cast("long").alias("n"), F.max("early").alias("early"))
     routes = stored(_labelled(routes, None).drop("component"), "routes")
     active = stored(routes.select(F.col("class").alias("doc_id")).distinct(), "active")
     sets = stored(_sets(matching(texts, "doc_id", active, "doc_id"), width), "sets")
@@ -389,7 +388,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tried = stored(votes.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= leaders).select("a", "b", F.col("b").alias("bucket")), "pairs")
     links = stored(_verified(tried, sets, percent), "links")
     left = stored(_labelled(routes, links), "open")
-    pairs = stored(_tree_pairs(left, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    pairs = _tree_pairs(left, sets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    # Near copies mostly have one leader: compared there, a set is sent to few cells, however many its pairs.
+    leader = tried.groupBy("a").agg(F.min("b").alias("bucket"))
+    pairs = stored(pairs.join(leader, "a", "left").select("a", "b", F.coalesce("bucket", "b").alias("bucket")), "pairs")
     links = links.unionByName(stored(_verified(pairs, sets, percent), "links"))
     found = components(links).select(F.col("node").alias("class"), "component")
     # A class is named by its smallest document, so the smallest class is the smallest document.
