@@ -54,7 +54,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; words as in the contract."""
-    if len(_words) > 1_000_000:
+    if len(_words) > 300_000:
         _words.clear()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z alone are lowered, ASCII white space alone splits
     counts = [len(w) for w in words]
@@ -127,7 +127,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     met.append(s[: 2 * prefix_length(len(s), percent)])
             nothing = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), nothing, nothing], names)
-            if sum(map(len, met)) > 4_000_000:
+            if sum(map(len, met)) > 2_000_000:
                 yield common()
                 met, seen = [], set()
         yield common()
@@ -149,7 +149,7 @@ def _routes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for ids, texts in _blocks(batches):
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen = set()
             tokens, owners, sizes, early = [], [], [], []
             for i, s in zip(ids, shingle_sets(texts, width), strict=True):
@@ -289,9 +289,18 @@ class SignatureTree:
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of pairs of classes that may be linked, by descending from the pair (root, root)."""
-        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        top = np.zeros(1, np.int64)
+        todo = [(len(self.levels), top, top)]  # pairs of nodes whose children are to be paired, depth first
+        steps = np.arange(self.fan)
         while todo:
             level, a, b = todo.pop()
+            level -= 1
+            if level < len(self.levels) - 1:
+                count = len(self.levels[level][1])
+                x = (a[:, None] * self.fan + steps).repeat(self.fan, axis=1).ravel()
+                y = np.tile(b[:, None] * self.fan + steps, (1, self.fan)).ravel()
+                ok = (x < count) & (y < count) & ((x <= y) if level > 0 else (x < y))
+                a, b = x[ok], y[ok]
             w, low, high, hidden, comp = self.levels[level]
             keep = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a]) & ~((comp[a] == comp[b]) & (comp[a] >= 0))
             a, b = a[keep], b[keep]
@@ -300,16 +309,10 @@ class SignatureTree:
             a, b = a[keep], b[keep]
             if level == 0:
                 keep = self.early[a] & (low[a] <= low[b]) | self.early[b] & (low[b] <= low[a])
-                a, b = a[keep], b[keep]
-                if len(a):
-                    yield self.order[a], self.order[b]
+                if keep.any():
+                    yield self.order[a[keep]], self.order[b[keep]]
                 continue
-            below = len(self.levels[level - 1][1])
-            for k in range(0, len(a), 2048):  # children of a part of the pairs at a time, to bound memory
-                x = (a[k : k + 2048, None] * self.fan + np.arange(self.fan)).repeat(self.fan, axis=1).ravel()
-                y = np.tile(b[k : k + 2048, None] * self.fan + np.arange(self.fan), (1, self.fan)).ravel()
-                ok = (x < below) & (y < below) & (x <= y) if level > 1 else (x < below) & (y < below) & (x < y)
-                todo.append((level - 1, x[ok], y[ok]))
+            todo += [(level, a[k : k + 512], b[k : k + 512]) for k in range(0, len(a), 512)]
 
 
 def _tree_pairs(routes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
