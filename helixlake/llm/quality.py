@@ -1,19 +1,21 @@
-"""Quality by an interpolated modified Kneser-Ney model of character n-grams.
+"""Quality by a Kneser-Ney model of words over one of their spelling.
 
 The model is trained on trusted text: all documents that a table of labels calls good.
-Per language, 4-grams of character classes are counted in tasks and summed; counts of
-lower orders, of contexts and of distinct continuations are sharded groupings of those,
-and the probabilities of all orders come from joins of the count tables, with the three
-discounts of each order from its counts of counts.  The probabilities form one table per
-language of fixed largest size (64 ** 4 entries).  Tasks read the tables of the languages
-they meet from the shared folder, and a document's perplexity is one lookup per
-character.  Documents above a language's threshold, a quantile of its trusted documents'
-perplexities times a margin, are rejected.
+Per language, all words and word bigrams are counted in tasks and summed, in tables that
+grow with the text; probabilities come from joins of the count tables.  What a word would
+cost by its spelling alone is from an interpolated modified Kneser-Ney model of character
+4-grams, a table per language of fixed largest size (64 ** 4 entries).  Documents' words
+and bigrams are dealt by their hashes to meet the model's values; sums per document come
+back.  Documents above a language's threshold, a quantile of its trusted documents'
+perplexities times a margin, are rejected; a trusted document is judged without the words
+and bigrams that only it has.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -212,15 +214,296 @@ def with_perplexity(docs: DataFrame, model: str, text: str = "text", lang: str =
     return plain.mapInArrow(work, f"{kinds}, _grams bigint, _perplexity double")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str, quantile: float, margin: float) -> tuple[str, DataFrame, DataFrame]:
-    """(path of the model, scores of all documents, threshold per language)."""
+# Words: bigrams over all trusted documents, spelled by the characters' model where a word is new.
+
+_SPACE, _WORD, _OWN, _OTHER = range(4)
+_STEP = np.uint64(0x9E3779B97F4A7C13)
+_kinds: list[np.ndarray] = []
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, scattered one to one."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _kind_table() -> np.ndarray:
+    """Blank, in words, a word alone (scripts that put no space between words), others."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "Z" or 9 <= c <= 13:
+            out[c] = _SPACE
+        elif kind[0] in "LNM":
+            out[c] = _WORD
+    for first, last in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+        out[first : last + 1] = np.where(out[first : last + 1] == _WORD, _OWN, out[first : last + 1])
+    return out
+
+
+def word_rows(texts: list[str], lang: str, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text, log probability of the spelling) of all texts of a language, in order.
+
+    Words are runs of letters, marks and digits or of other signs; case counts.  Each text
+    begins with a boundary, a word of the language that also follows its last one.
+    """
+    if not _kinds:
+        _kinds.extend((_kind_table(), mixed(np.arange(0x110000, dtype=np.uint64))))
+    if not _table:
+        _table.append(_class_table())
+    seed = np.frombuffer(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds[0][points]
+    starts = kind != _SPACE
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _OWN)
+    at = np.flatnonzero(kind != _SPACE)
+    first = np.flatnonzero(starts[at])
+    head = at[first]
+    doc = np.searchsorted(begin, head, "right") - 1
+    place = np.arange(len(head)) + doc + 1
+    words = np.full(len(head) + len(texts), mixed(seed)[0], np.uint64)
+    spelling = np.full(len(words), -math.log(CLASSES))
+    of = np.repeat(np.arange(len(texts)), np.bincount(doc, minlength=len(texts)) + 1)
+    if len(head):
+        sizes = np.diff(np.append(first, len(at)))
+        inside = at - np.repeat(head, sizes)
+        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(inside.max()), _STEP))])
+        words[place] = mixed(np.add.reduceat(_kinds[1][points[at]] * power[inside], first) ^ seed)
+        c = _table[0][np.where(points < 0x10000, points, 0xFFFD)].astype(np.uint32)
+        gram = c[at]
+        last = at[np.append(first[1:], len(at)) - 1]
+        end = np.full(len(head), 39, np.uint32)
+        for k in (1, 2, 3):
+            gram = gram | np.where(inside >= k, c[at - k], 39).astype(np.uint32) << np.uint32(CLASS_BITS * k)
+            end = end | np.where(sizes >= k, c[last - k + 1], 39).astype(np.uint32) << np.uint32(CLASS_BITS * k)
+        spelling[place] = np.add.reduceat(scores[gram].astype(np.float64), first) + scores[end]
+    return words, of, spelling
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before * _STEP + word)
+
+
+def _runs(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per distinct key: where it stands first, how often it does, and in how many texts."""
+    order = np.argsort(keys, kind="stable")
+    k, d = keys[order], of[order]
+    new = np.append(True, k[1:] != k[:-1])
+    first = np.flatnonzero(new)
+    texts = np.add.reduceat((new | np.append(True, d[1:] != d[:-1])).astype(np.int64), first)
+    return order[first], np.diff(np.append(first, len(k))), texts
+
+
+def _by_language(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[str, list[tuple]]]]:
+    """Rows (language, text, ...) gathered to blocks of about ``most`` characters, dealt by language."""
+    held: dict[str, list[tuple]] = {}
+    size = 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.setdefault(row[0], []).append(row[1:])
+            size += len(row[1]) + 1
+            if size > most:
+                yield list(held.items())
+                held, size = {}, 0
+    if held:
+        yield list(held.items())
+
+
+def _models(path: str) -> _Models:
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = _Models(path)
+    return _loaded[path]
+
+
+def word_counts(rows: DataFrame, model: str) -> DataFrame:
+    """(lang, before, word, n, texts, spelling): all bigrams, and with a null ``before`` all words, of (lang, t)."""
+    names = ["lang", "before", "word", "n", "texts", "spelling"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_language(batches, 4_000_000):
+            for lang, held in block:
+                scores = _models(model).get(lang)
+                if scores is None:
+                    continue
+                words, of, spelling = word_rows([t for (t,) in held], lang, scores)
+                following = np.roll(words, -1)
+                at, n, texts = _runs(pair_keys(words, following), of)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(words[at].view(np.int64)), pa.array(following[at].view(np.int64)), pa.array(n), pa.array(texts), pa.nulls(len(at), pa.float64())], names)
+                at, n, texts = _runs(words, of)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.nulls(len(at), pa.int64()), pa.array(words[at].view(np.int64)), pa.array(n), pa.array(texts), pa.array(spelling[at])], names)
+
+    counted = rows.mapInArrow(work, "lang string, before bigint, word bigint, n bigint, texts bigint, spelling double")
+    return counted.groupBy("lang", "before", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.max("spelling").alias("spelling"))
+
+
+def word_model(counts: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(before, word, value, lone) of all words and bigrams, and per language the logarithm of the weight left to spelling.
+
+    An interpolated Kneser-Ney model: bigrams by their counts, words by the number of words
+    before them, then the spelling.  A text's log probability is the sum of its words'
+    spellings and left weights, and of the values of its words and bigrams as often as they
+    stand there; what the model has not seen adds nothing.  ``lone`` are those of one
+    trusted text only.
+    """
+    pairs, words = counts.filter("before IS NOT NULL"), counts.filter("before IS NULL")
+    context = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    ahead = stored(words.select("lang", "word", "texts", "spelling").join(pairs.groupBy("word").agg(F.count("*").alias("k")), "word").join(context, "word"), "words")
+
+    def discount(rows: DataFrame, n: str) -> dict[str, float]:
+        ones = rows.groupBy("lang").agg(*[F.sum((F.col(n) == i).cast("long")).alias(f"n{i}") for i in (1, 2)]).collect()  # a row per language
+        return {r.lang: min(0.95, max(0.05, r.n1 / max(1, r.n1 + 2 * r.n2))) for r in ones}
+
+    d1, d2 = discount(ahead, "k"), discount(pairs, "n")
+    sums = {r.lang: r for r in ahead.groupBy("lang").agg(F.sum("k").alias("pairs"), F.count("*").alias("words")).collect()}
+    left = {lang: math.log(d1[lang] * r.words / r.pairs) for lang, r in sums.items()}
+    of = counts.sparkSession.createDataFrame([(lang, d1[lang], d2[lang], float(r.pairs), left[lang]) for lang, r in sums.items()], "lang string, d1 double, d2 double, pairs double, left double")
+    ahead = ahead.join(F.broadcast(of), "lang")
+    ahead = ahead.withColumn("p", (F.col("k") - F.col("d1")) / F.col("pairs") + F.exp(F.col("left") + F.col("spelling"))).withColumn("rest", F.col("d2") * F.col("kinds") / F.col("total"))
+    by_word = ahead.select(F.lit(None).cast("long").alias("before"), "word", (F.log("p") - F.col("left") - F.col("spelling") + F.log("rest")).cast("float").alias("value"), (F.col("texts") == 1).alias("lone"))
+    seen = pairs.select("before", "word", "n", "texts").join(ahead.select(F.col("word").alias("before"), "total", "rest", "d2"), "before").join(ahead.select("word", "p"), "word")
+    value = F.log1p((F.col("n") - F.col("d2")) / F.col("total") / (F.col("rest") * F.col("p")))
+    return by_word.unionByName(seen.select("before", "word", value.cast("float").alias("value"), (F.col("texts") == 1).alias("lone"))), left
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
+def _cut(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys."""
+    edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1, dtype=np.uint64))
+    return ((s, int(a), int(b)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a)
+
+
+def word_scores(rows: DataFrame, model: str, values: DataFrame, left: dict[str, float], shards: int) -> DataFrame:
+    """(doc_id, lang, _hash, n_grams, perplexity, held) of (lang, t, doc_id, _hash).
+
+    Blocks of documents send their words and bigrams, each with the places of its documents, to
+    the shard of the key, where they meet the model's values; per block and shard, sums of
+    documents come back.  ``held`` leaves out what only one trusted text holds: that is how
+    a trusted text reads without its own counts.
+    """
+    kinds = "shard bigint, block bigint, keys binary, counts binary, places binary, info binary"
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
+    answer = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), ("info", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "places", "info"))])
+        for number, block in enumerate(_by_language(batches, 16_000_000)):
+            name = TaskContext.get().partitionId() << 32 | number
+            keys, of, info = [], [], []
+            start = 0
+            for lang, held in block:
+                scores = _models(model).get(lang) if lang in left else None
+                sizes = [len(t) for t, _, _ in held]
+                if scores is not None:
+                    words, at, spelling = word_rows([t for t, _, _ in held], lang, scores)
+                    base = np.bincount(at, spelling + left[lang], len(held))
+                    keys += [words, pair_keys(words, np.roll(words, -1))]
+                    of += [(at + start).astype(np.uint32)] * 2
+                else:
+                    base = np.full(len(held), np.nan)
+                info.append((lang, sizes, base, [i for _, i, _ in held], [h for _, _, h in held]))
+                start += len(held)
+            about = pickle.dumps(info, 5)
+            out = [(number % shards, name, None, None, None, about)]
+            if keys:
+                k, d = np.concatenate(keys), np.concatenate(of)
+                order = np.argsort(k, kind="stable")
+                k, d = k[order], d[order]
+                for s, a, b in _cut(k, shards):
+                    first = np.flatnonzero(np.append(True, k[a + 1 : b] != k[a : b - 1]))
+                    counts = np.diff(np.append(first, b - a)).astype(np.uint32)
+                    own = k[a:b][first]
+                    planes = np.diff(own, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+                    out.append((s, name, planes.tobytes(), counts.view(np.uint8).reshape(-1, 4).T.tobytes(), d[a:b].view(np.uint8).reshape(-1, 4).T.tobytes(), None))
+            for i in range(0, len(out), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 64], strict=True), schema, strict=True)], schema=schema)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, value, lone = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            word = word.astype(np.int64).view(np.uint64)
+            before = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
+            k = np.where(np.asarray(batch.column(0).is_null()), word, pair_keys(before, word))
+            order = np.argsort(k)
+            k, value, lone = k[order], value[order].astype(np.float32), lone[order].astype(np.uint8)
+            cut = list(_cut(k, shards))
+            parts = [[s for s, _, _ in cut], *([x[a:b].tobytes() for _, a, b in cut] for x in (k, value, lone))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "values", "lone"])
+
+    def meet(asked: pa.Table, told: pa.Table) -> pa.Table:
+        k, v, lone = (np.concatenate([np.frombuffer(b, t) for b in told.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("values", np.float32), ("lone", np.uint8)))
+        order = np.argsort(k)
+        k, v, lone = k[order], v[order], lone[order]
+        out: list[tuple] = []
+        for block, keys, counts, places, info in zip(*(asked.column(c) for c in ("block", "keys", "counts", "places", "info")), strict=True):
+            if info.is_valid:
+                out.append((block.as_py(), None, None, info.as_py()))
+                continue
+            if not len(k):
+                continue
+            own = np.cumsum(np.frombuffer(keys.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+            n, d = (np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for x in (counts, places))
+            at = np.minimum(np.searchsorted(k, own), len(k) - 1)
+            met = k[at] == own
+            one = np.repeat(np.where(met & (lone[at] == 1), v[at], 0), n)
+            more = np.repeat(np.where(met & (lone[at] == 0), v[at], 0), n)
+            sums = np.stack([np.bincount(d, one), np.bincount(d, more)])
+            some = np.flatnonzero(sums.any(axis=0))
+            if len(some):
+                out.append((block.as_py(), some.astype(np.uint32).tobytes(), sums[:, some].astype(np.float32).tobytes(), None))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(answer)], schema=answer)
+
+    def close(answers: pa.Table) -> pa.Table:
+        info = next(pickle.loads(x) for x in answers.column("info").to_pylist() if x is not None)
+        sums = np.zeros((2, sum(len(g[1]) for g in info)))
+        for places, values_ in zip(answers.column("places").to_pylist(), answers.column("sums").to_pylist(), strict=True):
+            if places is not None:
+                sums[:, np.frombuffer(places, np.uint32)] += np.frombuffer(values_, np.float32).reshape(2, -1)
+        n = np.concatenate([g[1] for g in info])
+        base = np.concatenate([g[2] for g in info])
+        known = ~np.isnan(base) & (n > 0)
+        both = [np.exp(np.minimum(-(base + s) / np.maximum(n, 1), 700)) for s in (sums.sum(axis=0), sums[1])]
+        langs = [g[0] for g in info for _ in g[1]]
+        columns = [[i for g in info for i in g[3]], langs, [h for g in info for h in g[4]], n, *(pa.array(x, pa.float64(), mask=~known) for x in both)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "lang", "_hash", "n_grams", "perplexity", "held"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    asked = rows.select("lang", "t", "doc_id", "_hash").mapInArrow(ask, kinds)
+    told = values.select("before", "word", "value", "lone").mapInArrow(tell, "shard bigint, keys binary, values binary, lone binary")
+    met = asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(meet, "block bigint, places binary, sums binary, info binary")
+    return met.groupBy("block").applyInArrow(close, f"doc_id {id_kind}, lang string, _hash bigint, n_grams bigint, perplexity double, held double")
+
+
+def _freed(df: DataFrame) -> DataFrame:
+    """The frame; shuffle files of finished work are dropped once the driver's JVM has collected its plans."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str, quantile: float, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(scores of all documents, threshold per language)."""
     good = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct(), "trusted")
-    model = train(matching(docs.select(doc_id, lang, text), doc_id, good, "_good"), text, lang)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    scores = stored(with_perplexity(rows, model).select("doc_id", F.col("_lang").alias("lang"), F.col("_grams").alias("n_grams"), F.col("_perplexity").alias("perplexity")), "scores")
-    trusted = scores.join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left_semi").filter("perplexity IS NOT NULL")
-    limits = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    return model, scores, stored(limits, "limits")
+    trusted = stored(matching(docs.select(doc_id, lang, text), doc_id, good, "_good").select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t")), "texts")
+    model = train(trusted, "t", "lang")
+    values, left = word_model(_freed(stored(word_counts(trusted.filter("t <> ''"), model), "counts")))
+    values = _freed(stored(values, "values"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t")).withColumn("_hash", F.xxhash64("t"))
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    scores = word_scores(rows, model, values, left, max(8, -(-size // 16_000_000)))
+    known = scores.join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
+    scores = stored(known.select("doc_id", "lang", "_hash", "n_grams", F.when(F.col("_good").isNull(), F.col("perplexity")).otherwise(F.col("held")).alias("perplexity"), F.col("_good").isNotNull().alias("trusted")), "scores")
+    limits = scores.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    return scores.drop("trusted"), stored(limits, "limits")
 
 
 def _kept(n: str, perplexity: str) -> Column:
@@ -232,21 +515,22 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     """doc_id, lang, n_grams, perplexity, threshold, kept for every document.
 
     Trusted are the documents with quality 1 in ``labels`` (doc_id, quality); all of them
-    train the model.  A language's threshold is the ``quantile`` of its trusted documents'
+    train the model.  Perplexity is by character, of which there are ``n_grams``.  A language's
+    threshold is the ``quantile`` of its trusted documents'
     perplexities times ``margin``; a language without trusted documents has none and keeps
     all its texts.  A null language is one of its own; null and empty texts are rejected.
     Repeated labels of a document count once; repeated rows are judged alike.
     """
-    _, scores, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
+    scores, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
     return scores.join(limits, "lang", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", _kept("n_grams", "perplexity").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.9, margin: float = 1.4) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns; texts are scored in place, not shuffled."""
-    model, _, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
-    scored = with_perplexity(docs, model, text, lang)
-    limits = limits.withColumnRenamed("lang", "_of")
-    return scored.join(limits, scored["_lang"] == limits["_of"], "left").filter(_kept("_grams", "_perplexity")).select(*docs.columns)
+    """The documents that the classifier keeps, with all their columns; rows are known by id, language and text."""
+    scores, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
+    stay = scores.join(limits, "lang", "left").filter(_kept("n_grams", "perplexity")).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_hash").alias("_of")).distinct()
+    same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.coalesce(docs[lang], F.lit("")) == F.col("_lang")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_of"))
+    return docs.join(stay.hint("merge"), same, "left_semi")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,128 @@
+"""The model of words: brute force, and junk that only words show."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from helixlake.llm import quality
+
+SCHEMA = "doc_id long, text string, lang string"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def sentences(r, n):
+    who, does, what = ["the old man", "my little sister", "a tired doctor", "our new teacher"], ["never reads", "often buys", "slowly paints", "quietly sells"], ["green apples", "long letters", "small houses", "wooden boats"]
+    return " ".join(f"{r.choice(who)} {r.choice(does)} {r.choice(what)}." for _ in range(n))
+
+
+def test_scores_equal_brute_force(spark):
+    texts = ["the cat sat on the mat", "the cat ran", "a dog sat on a log", "the cat sat", "a zebra ran", "", " \n", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)], LABELS)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    path = quality.train(docs.filter("doc_id < 4"))
+    table = quality._Models(path).get("en")
+
+    def spell(w):
+        c = quality._class_table()
+        marks = [39] * 3 + [int(c[ord(x)]) for x in w] + [39]
+        return sum(float(table[int("".join(f"{x:06b}" for x in marks[i - 3 : i + 1]), 2)]) for i in range(3, len(marks)))
+
+    seqs = [[None, *(t or "").split(), None] for t in texts]
+    pairs, alone = Counter(), Counter()
+    places, held = defaultdict(set), defaultdict(set)
+    for i, s in enumerate(seqs[:4]):
+        for p in zip(s, s[1:]):
+            pairs[p] += 1
+            places[p].add(i)
+        for w in s[1:]:
+            held[w].add(i)
+    for _, w in pairs:
+        alone[w] += 1
+    discount = lambda c: min(0.95, max(0.05, c[1] / max(1, c[1] + 2 * c[2])))
+    d1, d2 = discount(Counter(alone.values())), discount(Counter(pairs.values()))
+    total, kinds = Counter(), Counter()
+    for (v, _), n in pairs.items():
+        total[v] += n
+        kinds[v] += 1
+    for i, s in enumerate(seqs):
+        if not texts[i]:
+            assert got[i].perplexity is None and not got[i].kept
+            continue
+        out = lambda where: i < 4 and len(where) == 1
+        logp = 0.0
+        for v, w in zip(s, s[1:]):
+            base = d1 * len(alone) / len(pairs) * math.exp(-math.log(64) if w is None else spell(w))
+            p = base if w not in alone or out(held[w]) else (alone[w] - d1) / len(pairs) + base
+            rest = d2 * kinds[v] / total[v] if v in total and not out(held[v]) else 1.0
+            if (v, w) in pairs and not out(places[v, w]):
+                full = (alone[w] - d1) / len(pairs) + base
+                p = (pairs[v, w] - d2) / total[v] + rest * full
+            else:
+                p *= rest
+            logp += math.log(p)
+        assert got[i].perplexity == pytest.approx(math.exp(-logp / len(texts[i])), rel=1e-4)
+
+
+def test_word_salad_and_scrambled_scripts_read_worse(spark):
+    r = random.Random(3)
+    good = [sentences(r, 12) for _ in range(60)]
+    salad = [" ".join(r.sample(t.split(), len(t.split()))) for t in good[:15]]
+    cjk = ["".join(r.choice(["今天天气很好。", "我们一起去学校。", "他在家里看书。", "明天可能会下雨。"]) for _ in range(12)) for _ in range(60)]
+    mixed = ["".join(r.sample(t, len(t))) for t in cjk[:15]]
+    rows = [(t, lang) for part, lang in ((good, "en"), (cjk, "zh"), (salad, "en"), (mixed, "zh")) for t in part]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], LABELS)
+    got = {row.doc_id: row.kept for row in quality.classify(docs, labels).collect()}
+    assert sum(got[i] for i in range(120)) >= 115
+    assert not any(got[i] for i in range(120, 150))
+
+
+def test_tables_grow_with_the_text(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("aeioubcdfg") for _ in range(9))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(50)), "en") for i in range(40)], SCHEMA)
+    sizes = []
+    for n in (20, 40):
+        part = docs.filter(f"doc_id < {n}")
+        model = quality.train(part)
+        sizes.append(quality.word_counts(part.selectExpr("lang", "text AS t"), model).count())
+    assert sizes[1] > 1.9 * sizes[0]
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    r = random.Random(2)
+    good = sentences(r, 12)
+    junk = "".join(r.choice("xqzjkv#%&") for _ in range(400))
+    docs = spark.createDataFrame([(i, sentences(r, 12), "en") for i in range(30)] + [(None, good, "en"), (None, junk, "en"), (100, good, None), (101, good, "en"), (101, junk, "en"), (101, good, "en")], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], LABELS)
+    rest = [(x.doc_id, x.text == good) for x in quality.keep_good(docs, labels).collect() if x.doc_id is None or x.doc_id >= 100]
+    assert sorted(rest, key=str) == sorted([(None, True), (100, True), (101, True), (101, True)], key=str)
+
+
+def test_hashes_are_spread():
+    texts = ["".join(p) for p in {tuple(random.Random(i).sample("abcdefgh", 6)) for i in range(5000)}]
+    words, of, _ = quality.word_rows([" ".join(texts)], "en", np.zeros(64**4, np.float32))
+    assert len(np.unique(words)) == len(texts) + 1 and (of == 0).all()
+
+
+def test_salad_of_words_that_begin_and_end_alike(spark):
+    """Character 4-grams can't tell the order of such words."""
+    r = random.Random(4)
+    names = ["ba" + "".join(r.choice("deiklmorstu") for _ in range(5)) + "na" for _ in range(60)]
+
+    def prose():
+        at, out = r.randrange(60), []
+        for _ in range(80):
+            out.append(names[at])
+            at = (at + r.choice((1, 7))) % 60
+        return out
+
+    good = [prose() for _ in range(60)]
+    rows = [" ".join(t) for t in good] + [" ".join(r.sample(t, len(t))) for t in good[:20]] + [" ".join([names[i]] * 80) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], SCHEMA)
+    got = {x.doc_id: x.kept for x in quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)], LABELS)).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 90))
