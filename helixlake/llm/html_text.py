@@ -5,8 +5,11 @@ footers, sidebars, notices, adverts, forms, scripts, comments of readers and the
 lines that are links alone, count no text and stand for gaps.  Over the lines' text
 lengths slides a window; where its sum surges from nothing a stretch of text begins,
 where it falls back to nothing it ends.  Stretches in an article or main element are the
-text; where a page has none of these, the stretches from the first to the last that hold
-a fair share of the longest's text are.
+text, if these hold a fair share of the page's; otherwise the stretches from the first to
+the last that hold a fair share of the longest's text are.  A class, id or role does not
+make an element junk that holds most of the page's text, or a fifth of it and an article
+or main element.
+Headings count as text though they be links.
 """
 
 from __future__ import annotations
@@ -41,11 +44,27 @@ _JUNK = frozenset(
 )
 
 
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 def _junk(attributes: str) -> bool:
     if not attributes.strip():
         return False
     words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & _JUNK) or _HIDDEN.search(attributes) is not None
+    return bool(words & _JUNK)
+
+
+class _Named:
+    """An element with a junk name, within another one or none; what it holds decides if it is dropped."""
+
+    def __init__(self, outer: _Named | None):
+        self.outer, self.plain, self.main = outer, 0, False
+        self.dropped: bool | None = None
+
+    def settle(self, total: int) -> bool:
+        if self.dropped is None:
+            self.dropped = (self.outer is not None and self.outer.settle(total)) or not (5 * self.plain >= total if self.main else 2 * self.plain > total)
+        return self.dropped
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
@@ -53,29 +72,31 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
     What is not the article's text counts as one line without characters.
     """
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, in a link, in the main part
-    parts: list[str] = []
-    plain = 0
+    blocks: list[tuple[list[tuple[str, int, _Named | None]], bool, _Named | None, _Named | None]] = []  # parts, in the main part; of a gap: the named element that ends, the one around
+    stack: list[tuple[str, bool, bool, bool, _Named | None]] = []  # name, dropped, in a link, in the main part, innermost named element
+    parts: list[tuple[str, int, _Named | None]] = []
     at, end = 0, len(page)
+    all_plain = 0
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, bool, _Named | None]:
+        return stack[-1][1:] if stack else (False, False, False, None)
 
     def close() -> None:
-        nonlocal plain
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            lines.append((text, plain, state()[2]))
-        parts.clear()
-        plain = 0
+        nonlocal parts
+        if parts:
+            blocks.append((parts, state()[2], None, None))
+            parts = []
 
     def say(text: str) -> None:
-        nonlocal plain
-        dropped, link, _ = state()
+        nonlocal all_plain
+        dropped, link, _, named = state()
         if not dropped and text:
-            parts.append(text)
-            plain += 0 if link else len(text.strip())
+            plain = 0 if link and not any(e[0] in _HEADINGS for e in stack) else len(text.strip())
+            parts.append((text, plain, named))
+            all_plain += plain
+            while named is not None:
+                named.plain += plain
+                named = named.outer
 
     while at < end:
         m = _TAG.search(page, at)
@@ -92,14 +113,19 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             if name in _BLOCK or depth is not None and any(s[0] in _BLOCK for s in stack[depth:]):
                 close()
             if depth is not None and not (name not in _BLOCK and any(s[0] in _BLOCK for s in stack[depth + 1 :])):
-                was = state()[0]
+                was, named = state()[0], state()[3]
                 del stack[depth:]
                 if was and not state()[0]:
-                    lines.append(("", 0, state()[2]))
+                    blocks.append(([], state()[2], None, state()[3]))
+                elif named is not state()[3]:
+                    while named.outer is not state()[3]:
+                        named = named.outer
+                    if name in _BLOCK:
+                        blocks.append(([], state()[2], named, state()[3]))
             continue
         if name in _BLOCK and name not in _RAW:
             close()
-        dropped, link, main = state()
+        dropped, link, main, named = state()
         if name in _RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if not dropped and name not in _DROP:
@@ -116,18 +142,36 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-            dropped, link, main = state()
+            dropped, link, main, named = state()
         inside = main or name in _MAIN
-        junk = name in _DROP or (name not in ("html", "body") and name not in _MAIN and _junk(m[3]))
-        stack.append((name, dropped or junk, link or name == "a", inside))
+        hidden = name in _DROP or (name not in ("html", "body") and name not in _MAIN and _HIDDEN.search(m[3]) is not None)
+        if name in _MAIN and not dropped:
+            outer = named
+            while outer is not None and not outer.main:
+                outer.main = True
+                outer = outer.outer
+        if not dropped and not hidden and name not in ("html", "body") and name not in _MAIN and _junk(m[3]):
+            named = _Named(named)
+        stack.append((name, dropped or hidden, link or name == "a", inside, named))
     close()
+    lines: list[tuple[str, int, bool]] = []
+    for held, main, ended, around in blocks:
+        if not held:  # an element that is not text ends: a gap, unless a named one is kept or all around it is dropped
+            if (ended is None or ended.settle(all_plain)) and (around is None or not around.settle(all_plain)):
+                lines.append(("", 0, main))
+            continue
+        kept = [(t, n) for t, n, of in held if of is None or not of.settle(all_plain)]
+        text = " ".join(html.unescape("".join(t for t, _ in kept)).split())
+        if text:
+            lines.append((text, sum(n for _, n in kept), main))
     return lines
 
 
 def main_text(page: str, window: int = 3, share: float = 0.2) -> str:
     """The blocks of a page's text, one per line; empty if there is none."""
     lines = page_lines(page)
-    if any(inside and text for text, _, inside in lines):
+    within = sum(n for _, n, inside in lines if inside)
+    if within and within >= share * sum(n for _, n, inside in lines if not inside):
         lines = [(t, n, True) if inside else ("", 0, False) for t, n, inside in lines]
         scoped = True
     else:
@@ -147,7 +191,10 @@ def main_text(page: str, window: int = 3, share: float = 0.2) -> str:
     if not scoped:
         good = np.flatnonzero(weights >= share * weights.max())
         stretches = stretches[good[0] : good[-1] + 1]
-    return "\n".join(lines[i][0] for a, b in stretches for i in range(a, b) if lines[i][0] and (scoped or lines[i][1]))
+    def held(i: int, a: int, b: int) -> bool:  # without an article, a link alone is text only between two lines of text
+        return scoped or lengths[i] > 0 or (a < i < b - 1 and lengths[i - 1] > 0 and lengths[i + 1] > 0)
+
+    return "\n".join(lines[i][0] for a, b in stretches for i in range(a, b) if lines[i][0] and held(i, a, b))
 
 
 def extract_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
