@@ -53,6 +53,16 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     return stored(chained.select("bucket", "local_depth", "hash", "chain", "text_sha256", "keep_id", "group_size", "n_bytes"), "index")
 
 
+def _looked_up(docs: DataFrame, text: str, doc_id: str, capacity: int, max_depth: int, *more: str) -> DataFrame:
+    """The rows of ``exact_duplicates``, with the columns ``more`` of their documents."""
+    index = build_index(docs, text, doc_id, capacity, max_depth)
+    t = text_or_empty(text)
+    probes = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("hash"), F.sha2(t, 256).alias("text_sha256"), *more)
+    return probes.join(index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"]).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *more
+    )
+
+
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 4096, max_depth: int = 12) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -60,18 +70,18 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     empty; a null id is never larger than another; rows that repeat an id and a text
     are kept or dropped together.  No rows in, no rows out; further columns are ignored.
     """
-    index = build_index(docs, text, doc_id, capacity, max_depth)
-    t = text_or_empty(text)
-    probes = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("hash"), F.sha2(t, 256).alias("text_sha256"))
-    return probes.join(index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    return _looked_up(docs, text, doc_id, capacity, max_depth)
+
 
+def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = 4096, max_depth: int = 12) -> DataFrame:
+    """One row of each text, with all its columns: of the largest id, and of several rows with that any one.
 
-def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay, with all their columns; rows that repeat a kept id or have none go too."""
-    stay = exact_duplicates(docs, text, doc_id, **options).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(stay.hint("merge"), docs[doc_id] == stay["_keep"], "left_semi").dropDuplicates([doc_id])
+    Rows are known by a stored number, so ids may be null or stand at several texts.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = _looked_up(rows, text, doc_id, capacity, max_depth, "_row").filter("kept")
+    stay = kept.groupBy("text_sha256").agg(F.max("_row").alias("_keep"))
+    return rows.join(stay.hint("merge"), rows["_row"] == stay["_keep"], "left_semi").drop("_row")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import BLANK, ascii_lower, table, text_or_empty
+from helixlake.llm.common import BLANK, ascii_lower, stored, table, text_or_empty
 
 
 def line_key(line: Column) -> Column:
@@ -37,17 +37,20 @@ def common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> Dat
 def drop_common_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10) -> DataFrame:
     """Adds n_lines (before), n_dropped and kept_text to ``docs``.
 
-    ``doc_id`` must be unique and not null.  A null or empty text is one empty line, and
-    lines that are blank stay.  Repeated lines of one document count once.
+    Every row is a document of its own, known by a stored number, whatever its ``doc_id``.  A
+    null or empty text is one empty line, and lines that are blank stay.  Repeated lines of
+    one document count once.
     """
-    lines = docs.select(F.col(doc_id).alias("_id"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "line"))
+    columns = docs.columns
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    lines = docs.select(F.col("_row").alias("_id"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "line"))
     hashed = lines.select("_id", "pos", line_hash(F.col("line")).alias("hash")).filter(F.col("hash").isNotNull())
     drop = hashed.join(common_lines(docs, text, min_docs).select("hash"), "hash").groupBy("_id").agg(F.collect_list("pos").alias("_drop"))
-    both = docs.join(drop, docs[doc_id] == drop["_id"], "left").drop("_id").withColumn("_lines", F.split(text_or_empty(text), "\n"))
+    both = docs.join(drop, docs["_row"] == drop["_id"], "left").drop("_id").withColumn("_lines", F.split(text_or_empty(text), "\n"))
     keep = F.expr("array_except(sequence(0, size(_lines) - 1), _drop)")
     kept = F.when(F.col("_drop").isNull(), text_or_empty(text)).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col("_lines"), i)), "\n"))
     return both.select(
-        *docs.columns, F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"), kept.alias("kept_text")
+        *columns, F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"), kept.alias("kept_text")
     )
 
 
