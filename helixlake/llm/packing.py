@@ -78,6 +78,20 @@ def best_pattern(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss and Jordan's steps; array operations only, which no thread pool of a linear algebra library takes up."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
 def column_generation(demand: np.ndarray, most: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns and their fractional numbers for the cutting-stock program.
 
@@ -87,9 +101,8 @@ def column_generation(demand: np.ndarray, most: int = 4000) -> list[tuple[np.nda
     room, need = len(demand), np.flatnonzero(demand > 0)
     if not len(need):
         return []
-    columns = [np.where(np.arange(room) == b, room // (b + 1), 0)[need].astype(float) for b in need]
-    basis, amount = np.array(columns).T.copy(), demand[need] / np.array([room // (b + 1) for b in need])
-    inverse = np.linalg.inv(basis)
+    each = (room // (need + 1)).astype(float)
+    basis, inverse, amount = np.diag(each), np.diag(1 / each), demand[need] / each
     for step in range(most):
         duals = inverse.sum(axis=0)  # every pattern costs one sequence
         values = np.zeros(room)
@@ -98,7 +111,7 @@ def column_generation(demand: np.ndarray, most: int = 4000) -> list[tuple[np.nda
         if worth <= 1 + 1e-7:
             break
         entering = pattern[need]
-        change = inverse @ entering
+        change = (inverse * entering).sum(axis=1)
         ok = change > 1e-9
         ratio = np.full(len(need), np.inf)
         ratio[ok] = amount[ok] / change[ok]
@@ -106,12 +119,12 @@ def column_generation(demand: np.ndarray, most: int = 4000) -> list[tuple[np.nda
         amount = np.maximum(amount - ratio[out] * change, 0)
         amount[out] = ratio[out]
         basis[:, out] = entering
-        if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[out] / change[out]
-            inverse = inverse - np.outer(change, row)
-            inverse[out] = row
+        row = inverse[out] / change[out]
+        inverse -= change[:, None] * row
+        inverse[out] = row
+        if step % 200 == 199:  # rounding errors add up
+            inverse = inverted(basis)
+            amount = np.maximum((inverse * demand[need]).sum(axis=1), 0)
     out = []
     for j, x in enumerate(amount):
         whole = np.zeros(room)
