@@ -3,7 +3,8 @@
 Both vocabularies split text at white space before any merge, so a text's ids are the
 ids of its pieces in a row.  A piece is encoded by the library when a worker first meets
 it, together with the other new pieces of a batch, and looked up afterwards; texts with
-unusual white space are encoded whole.
+unusual white space, or with the string of one of the vocabulary's special tokens (which
+the library gives that token's id), are encoded whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ _WITH_SPACE = re.compile(" ?[^ \t-\r]+|[\t-\r](?![ \t-\r])|[ \t-\r]{2,}[^ \t-\r]
 #: White space next to which pieces aren't cut at each space or break.
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 _BARE = "\x01"
+_SPACE_MARK = "\u0120"
 
 
 def _words(text: str) -> list[str]:
@@ -53,18 +55,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Their strings stand for themselves in a text, so it is encoded whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space, self.most = drops_space, most
+        # Where the vocabulary keeps white space, a word's first token alone begins with its mark of a space.
+        self.opens = np.zeros(0 if drops_space else self.tokenizer.get_vocab_size(), bool)
+        if not drops_space:
+            self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == _SPACE_MARK]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.number = _Numbers()
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        
 
     def _run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word) of words without white space, encoded in one row."""
-        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        row = " " + " ".join(words)
+        if not self.drops_space:
+            ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.uint32)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(words) and (not len(first) or first[0] == 0):
+                return ids, np.diff(first, append=len(ids))
+        e = self.tokenizer.encode(row, add_special_tokens=False)
         begins = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         last = np.fromiter((b for _, b in e.offsets), np.int64, len(e)) - 1  # a token's last character is never a space
         return np.array(e.ids, np.uint32), np.bincount(np.searchsorted(begins, last, "right"), minlength=len(words))
@@ -94,7 +106,7 @@ class Encoder:
         if len(self.number) > self.most:
             self._forget()
         cut = _words if self.drops_space else _pieces
-        split = [[_BARE + t] if _ODD.search(t) else cut(t) for t in texts]
+        split = [[_BARE + t] if _ODD.search(t) or any(s in t for s in self.special) else cut(t) for t in texts]
         counts = np.array([len(p) for p in split], np.int64)
         known = len(self.number)
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))

@@ -141,7 +141,6 @@ def test_permutation_is_one(spark):
 @pytest.mark.parametrize(("file", "drops"), [(WORD, True), (BYTE, False)])
 def test_encoder_equals_the_library(file, drops):
     tok = Tokenizer.from_file(file)
-    tok.encode_special_tokens = True
     texts = [t or "" for t in TEXTS] + ["x ", " x", "\nx", "x\n", "a \n b", "a\n \nb", "don't stop 's", "Σας", "1 22 333", "\x01 a", "a​b c"]
     e = encoding.Encoder(file, drops, most=50)
     for _ in range(2):
@@ -153,7 +152,6 @@ def test_encoder_equals_the_library(file, drops):
 
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
     tok = Tokenizer.from_file(BYTE)
-    tok.encode_special_tokens = True
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}/x", BYTE, end_id=0)
     got = {r.doc_id: r for r in token_files.read_token_files(manifest).collect()}
     start = 0
@@ -189,7 +187,6 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 
 def test_packing(spark, docs, empty):
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     rows = packing.pack_documents(docs.unionByName(docs), WORD, end_id=2, capacity=256).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
