@@ -92,8 +92,8 @@ def running_start(df: DataFrame, groups: list[str], order: list[Column], size: s
     return here.join(bases, on).select(*[here[c] for c in df.columns], (F.col("_in") + F.col("_base")).cast("long").alias(out))
 
 
-def matching(rows: DataFrame, key: str, ids: DataFrame, id_: str, bits: int = 1 << 22) -> DataFrame:
-    """The rows whose ``key`` is among the distinct, stored ``ids``.
+def matching(rows: DataFrame, key: str, ids: DataFrame, id_: str, more: tuple[str, ...] = (), bits: int = 1 << 22) -> DataFrame:
+    """The rows whose ``key`` is among the distinct, stored ``ids``, with the columns ``more`` of these.
 
     A bitmap of hashed ids, of fixed size (64 K words of 64 bits, broadcast), first leaves out
     most rows without a match, so that not all texts are shuffled; the join behind it is exact.
@@ -106,4 +106,4 @@ def matching(rows: DataFrame, key: str, ids: DataFrame, id_: str, bits: int = 1
     marked = rows.withColumn("_h", F.expr(place.format(f"cast({key} as long)"))).withColumn("_word", F.expr("cast(_h div 64 as int)"))
     likely = marked.join(F.broadcast(words), "_word").filter(f"(_bits & {bit.format('_h')}) != 0").select(*rows.columns)
     # An inner join: a semi join would be moved below the bitmap.
-    return likely.join(ids.select(F.col(id_).alias("_match")).hint("merge"), F.col(key) == F.col("_match")).drop("_match")
+    return likely.join(ids.select(F.col(id_).alias("_match"), *more).hint("merge"), F.col(key) == F.col("_match")).drop("_match")

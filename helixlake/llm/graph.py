@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import stored
+from helixlake.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return new.filter(F.col("u") > F.col("m")).select("u", F.col("m").alias("v")).distinct()
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that has an edge (a, b); component is the smallest node reached.
 
     Large and small stars alternate until nothing changes, in a number of rounds that grows
@@ -28,12 +28,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct()
     now, mark = stored(now, "edges"), None
-    for _ in range(most):
-        now = stored(_star(_star(now, small=False), small=True), "edges")
+    while True:
+        last, now = now, stored(_star(_star(now, small=False), small=True), "edges")
+        discard(last)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

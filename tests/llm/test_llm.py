@@ -377,20 +377,6 @@ def test_near_duplicates_equal_brute_force(spark, empty, width, percent):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
-def test_signature_tree_loses_no_pair():
-    r = np.random.default_rng(2)
-    sets = [np.unique(r.integers(0, 400, r.integers(20, 120))) for _ in range(70)]
-    sets += [np.unique(np.concatenate([s[:-2], [999]])) for s in sets[:30]]
-    maps = np.zeros((len(sets), 256), np.uint8)
-    for i, s in enumerate(sets):
-        np.put(maps[i], s % 256, 1)
-    packed = np.packbits(maps, axis=1)
-    n = np.array([len(s) for s in sets])
-    found = {tuple(sorted(p)) for a, b in jaccard_join.SignatureTree(n, packed, np.arange(len(sets))).pairs(85) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
-    assert want and want <= found
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
