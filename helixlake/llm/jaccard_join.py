@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm.common import discard, matching, stored, table, text_or_empty
-from helixlake.llm.encoding import chunks
 from helixlake.llm.graph import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -56,7 +56,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; words as in the contract."""
-    if len(_words) > 300_000:
+    if len(_words) > 200_000:
         _words.clear()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z alone are lowered, ASCII white space alone splits
     counts = [len(w) for w in words]
@@ -97,10 +97,13 @@ def index_length(n: int, percent: int) -> int:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Rows of about a million bytes of text at once, so that no more are held as Python objects."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for begin, end in chunks(texts):
-            yield ids[begin:end], texts[begin:end]
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // 1_000_000
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end > begin:
+                yield tuple(batch.column(i)[begin:end].to_pylist() for i in range(2))
 
 
 def _longs(*columns: object) -> list[pa.Array]:
@@ -129,7 +132,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     met.append(s[: 2 * prefix_length(len(s), percent)])
             nothing = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), nothing, nothing], names)
-            if sum(map(len, met)) > 2_000_000:
+            if sum(map(len, met)) > 1_000_000:
                 yield common()
                 met, seen = [], set()
         yield common()
@@ -339,8 +342,11 @@ def _family_links(texts: DataFrame, families: DataFrame, width: int, percent: in
     rows = held.withColumn("cell", F.explode(F.expr(f"CASE WHEN leader THEN {every} ELSE {own} END"))).select("family", "cell.x", "cell.y", "leader", "tile", F.col("doc_id").alias("class"), "t")
 
     def take(part: pa.RecordBatch) -> list:
-        tiles, names, ts = (part.column(i).to_pylist() for i in (4, 5, 6))
-        return [row for begin, end in chunks(ts) for row in zip(tiles[begin:end], names[begin:end], shingle_sets(ts[begin:end], width), strict=True)]
+        tiles, names, at, out = *(part.column(i).to_pylist() for i in (4, 5)), 0, []
+        for _, ts in _blocks([part.select([5, 6])]):
+            out += zip(tiles[at : at + len(ts)], names[at : at + len(ts)], shingle_sets(ts, width), strict=True)
+            at += len(ts)
+        return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _by_key(batches, 3, take):

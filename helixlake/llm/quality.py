@@ -1,22 +1,19 @@
-"""Quality by a Kneser-Ney model of words over one of their spelling.
+"""Quality by an interpolated modified Kneser-Ney model of character n-grams.
 
 The model is trained on trusted text: all documents that a table of labels calls good.
-Per language, all words and word bigrams are counted in tasks and summed, in tables that
-grow with the text; probabilities come from joins of the count tables.  What a word would
-cost by its spelling alone is from an interpolated modified Kneser-Ney model of character
-4-grams, a table per language of fixed largest size (64 ** 4 entries).  Documents' words
-and bigrams are dealt by their hashes to meet the model's values; sums per document come
-back.  Documents above a language's threshold, a quantile of its trusted documents'
-perplexities times a margin, are rejected; a trusted document is judged without the words
-and bigrams that only it has.
+All their n-grams of code points, in any script, are counted per language in tasks and
+summed; the tables of counts, probabilities and back-off weights grow with what the corpus
+holds and come from joins.  Blocks of documents then ask for the n-grams they hold: these
+are dealt by hash to shards, meet the model's rows there, and the answers are stored for
+their block, where each document's perplexity is summed.  A trusted document is judged as
+if what was counted only once, in itself, had not been counted.  Documents above a
+language's threshold, a quantile of its trusted documents' perplexities times a margin,
+are rejected.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-import pickle
-import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -25,200 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import matching, shared_path, stored, table, text_or_empty
-
-ORDER, CLASS_BITS = 4, 6
-CLASSES = 1 << CLASS_BITS
-_MASK = [(1 << (CLASS_BITS * k)) - 1 for k in range(ORDER + 1)]
-
-
-def _class_table() -> np.ndarray:
-    """Character classes: a-z, other lower-case letters, capitals, digits, white space, marks, the rest."""
-    out = np.zeros(0x10000, np.uint8)
-    marks = {c: 40 + i for i, c in enumerate(".,!?;:'\"-|()")}
-    for c in range(0x10000):
-        ch = chr(c)
-        kind = unicodedata.category(ch)
-        if "a" <= ch <= "z":
-            out[c] = c - 97
-        elif kind == "Ll":
-            out[c] = 26 + c % 10
-        elif kind in ("Lu", "Lt"):
-            out[c] = 36
-        elif kind == "Nd":
-            out[c] = 37
-        elif ch == "\n":
-            out[c] = 38
-        elif ch in " \t\r\x0b\x0c" or kind == "Zs":
-            out[c] = 39
-        elif ch in marks:
-            out[c] = marks[ch]
-        elif kind[0] in "PSC":
-            out[c] = 52 + c % 4
-        else:
-            out[c] = 56 + c % 8
-    return out
-
-
-_table: list[np.ndarray] = []
-
-
-def grams(text: str) -> np.ndarray:
-    """Numbers of the text's n-grams, one for each character; the text is padded in front by line breaks."""
-    if not _table:
-        _table.append(_class_table())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.full(len(points) + ORDER - 1, 38, np.uint32)
-    c[ORDER - 1 :] = _table[0][np.where(points < 0x10000, points, 0xFFFD)]
-    out = np.zeros(len(points), np.uint32)
-    for i in range(ORDER):
-        out = out << np.uint32(CLASS_BITS) | c[i : i + len(points)]
-    return out
-
-
-def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over all given documents; null languages are one of their own, named by an empty string."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for name, parts in held.items():
-                g, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
-        for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if t:
-                    held.setdefault(name, []).append(grams(t))
-                    size += len(t)
-                if size > 8_000_000:
-                    yield from out()
-                    held, size = {}, 0
-        yield from out()
-
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(work, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, gram, logp, backoff): natural logarithms of the model's probabilities, in one table.
-
-    Rows of order k have ``k`` and the number of a k-gram; logp is that of its last class
-    after the others, backoff the weight left to the lower order after the whole gram as
-    a context.  The highest order uses counts, lower ones the number of distinct classes
-    before; the lowest order is interpolated with a uniform one.
-    """
-    orders: dict[int, DataFrame] = {ORDER: counts.select("lang", "gram", "n")}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(_MASK[k])).alias("gram")).agg(F.count("*").alias("n"))
-    model: DataFrame | None = None
-    result: DataFrame | None = None
-    for k in range(1, ORDER + 1):
-        seen = stored(orders[k], f"order{k}")
-        of = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-        discount = [F.greatest(F.lit(0.05), F.least(F.lit(i * 0.95), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)))).alias(f"d{i}") for i in (1, 2, 3)]
-        by_lang = stored(seen.groupBy("lang").agg(*of).select("lang", *discount), "discounts")  # a row per language
-        withd = seen.join(by_lang, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        withd = withd.withColumn("context", F.shiftright("gram", CLASS_BITS))
-        context = withd.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
-        scored = withd.join(context, ["lang", "context"])
-        if model is None:
-            lower = F.lit(1.0 / CLASSES)
-        else:
-            below = model.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
-            scored = scored.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(_MASK[k - 1]))).join(below, ["lang", "suffix"])
-            lower = F.col("lower_p")
-        p = (F.col("n") - F.col("d") + F.col("cut") * lower) / F.col("total")
-        model = stored(scored.select("lang", "gram", p.alias("p")), f"model{k}")
-        weight = context.select("lang", F.col("context").alias("gram"), F.log(F.col("cut") / F.col("total")).alias("backoff"))
-        part = model.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
-        left = weight.select("lang", F.lit(k - 1).alias("k"), "gram", F.lit(None).cast("double").alias("logp"), "backoff")
-        both = part.unionByName(left)
-        result = both if result is None else result.unionByName(both)
-    return result.groupBy("lang", "k", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-
-
-def dense_scores(k: np.ndarray, gram: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> np.ndarray:
-    """Log probability of every possible n-gram, from the rows of one language."""
-    table_ = np.full(1, -math.log(CLASSES), np.float32)
-    for order in range(1, ORDER + 1):
-        weight = np.zeros(CLASSES ** (order - 1), np.float32)  # an unseen context leaves all to the lower order
-        at = (k == order - 1) & ~np.isnan(backoff)
-        weight[gram[at]] = backoff[at]
-        lower = table_ if order > 1 else np.repeat(table_, CLASSES)
-        new = np.tile(lower, CLASSES) if order > 1 else lower.copy()
-        new = (new.reshape(-1, CLASSES) + weight[:, None]).ravel()
-        at = (k == order) & ~np.isnan(logp)
-        new[gram[at]] = logp[at]
-        table_ = new
-    return table_
-
-
-class _Models:
-    """The worker's models, the last few languages met."""
-
-    def __init__(self, path: str, most: int = 3):
-        self.path, self.most = path, most
-        self.held: OrderedDict[str, np.ndarray | None] = OrderedDict()
-
-    def get(self, lang: str) -> np.ndarray | None:
-        if lang in self.held:
-            self.held.move_to_end(lang)
-            return self.held[lang]
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        system, at = fs.FileSystem.from_uri(self.path)
-        rows = ds.dataset(at, filesystem=system, format="parquet").to_table(filter=ds.field("lang") == lang, columns=["k", "gram", "logp", "backoff"])
-        found = dense_scores(*(rows[c].to_numpy() for c in ("k", "gram", "logp", "backoff"))) if len(rows) else None
-        self.held[lang] = found
-        if len(self.held) > self.most:
-            self.held.popitem(last=False)
-        return found
-
-
-_loaded: dict[str, _Models] = {}
-
-
-def train(trusted: DataFrame, text: str = "text", lang: str = "lang") -> str:
-    """Trains on all trusted documents; returns the path of the stored model."""
-    path = shared_path(trusted.sparkSession, "quality-model")
-    kneser_ney(stored(gram_counts(trusted, text, lang), "grams")).repartition("lang").sortWithinPartitions("lang", "k", "gram").write.parquet(path)
-    return path
-
-
-def with_perplexity(docs: DataFrame, model: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Adds _grams and _perplexity to the rows; no shuffle.  Perplexity is null for texts without characters and for languages without a model."""
-    plain = docs.withColumns({"_lang": F.coalesce(F.col(lang), F.lit("")), "_text": text_or_empty(text)})
-    names = [c for c in plain.columns if c != "_text"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = _loaded.get(model)
-        if models is None:
-            _loaded.clear()
-            models = _loaded[model] = _Models(model)
-        for batch in batches:
-            langs, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_lang", "_text"))
-            out: list[float | None] = [None] * len(texts)
-            for i in sorted(range(len(texts)), key=langs.__getitem__):
-                scores = models.get(langs[i]) if texts[i] else None
-                if scores is not None:
-                    out[i] = math.exp(-float(scores[grams(texts[i])].mean(dtype=np.float64)))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(t) for t in texts], pa.int64()), pa.array(out, pa.float64())], [*names, "_grams", "_perplexity"])
-
-    kinds = ", ".join(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in names)
-    return plain.mapInArrow(work, f"{kinds}, _grams bigint, _perplexity double")
-
+from helixlake.llm.common import discard, matching, shared_path, stored, table, text_or_empty
 
-# Words: bigrams over all trusted documents, spelled by the characters' model where a word is new.
-
-_SPACE, _WORD, _OWN, _OTHER = range(4)
-_STEP = np.uint64(0x9E3779B97F4A7C13)
-_kinds: list[np.ndarray] = []
+ORDER = 4
+PART = 4_000_000  # characters that a task works on at once
+BLOCK = 64_000_000  # characters whose n-grams are asked for together
+_DENSE = 1 << 25
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -229,259 +38,287 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _kind_table() -> np.ndarray:
-    """Blank, in words, a word alone (scripts that put no space between words), others."""
-    out = np.full(0x110000, _OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "Z" or 9 <= c <= 13:
-            out[c] = _SPACE
-        elif kind[0] in "LNM":
-            out[c] = _WORD
-    for first, last in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
-        out[first : last + 1] = np.where(out[first : last + 1] == _WORD, _OWN, out[first : last + 1])
+def gram_keys(lang: str, grams: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams, the rows of ``grams`` (code points); rows may be empty."""
+    seed = hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    out = mixed(np.full(len(grams), int.from_bytes(seed, "little"), np.uint64) + np.uint64(grams.shape[1]))
+    for column in grams.T:
+        out = mixed(out + column.astype(np.uint64))
     return out
 
 
-def word_rows(texts: list[str], lang: str, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, text, log probability of the spelling) of all texts of a language, in order.
+def distinct_grams(joined: str, sizes: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams as rows of code points, number of the n-gram that ends at each character).
 
-    Words are runs of letters, marks and digits or of other signs; case counts.  Each text
-    begins with a boundary, a word of the language that also follows its last one.
+    ``joined`` holds texts of ``sizes`` characters in a row; each is padded in front by line breaks.
     """
-    if not _kinds:
-        _kinds.extend((_kind_table(), mixed(np.arange(0x110000, dtype=np.uint64))))
-    if not _table:
-        _table.append(_class_table())
-    seed = np.frombuffer(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
-    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _kinds[0][points]
-    starts = kind != _SPACE
-    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _OWN)
-    at = np.flatnonzero(kind != _SPACE)
-    first = np.flatnonzero(starts[at])
-    head = at[first]
-    doc = np.searchsorted(begin, head, "right") - 1
-    place = np.arange(len(head)) + doc + 1
-    words = np.full(len(head) + len(texts), mixed(seed)[0], np.uint64)
-    spelling = np.full(len(words), -math.log(CLASSES))
-    of = np.repeat(np.arange(len(texts)), np.bincount(doc, minlength=len(texts)) + 1)
-    if len(head):
-        sizes = np.diff(np.append(first, len(at)))
-        inside = at - np.repeat(head, sizes)
-        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(inside.max()), _STEP))])
-        words[place] = mixed(np.add.reduceat(_kinds[1][points[at]] * power[inside], first) ^ seed)
-        c = _table[0][np.where(points < 0x10000, points, 0xFFFD)].astype(np.uint32)
-        gram = c[at]
-        last = at[np.append(first[1:], len(at)) - 1]
-        end = np.full(len(head), 39, np.uint32)
-        for k in (1, 2, 3):
-            gram = gram | np.where(inside >= k, c[at - k], 39).astype(np.uint32) << np.uint32(CLASS_BITS * k)
-            end = end | np.where(sizes >= k, c[last - k + 1], 39).astype(np.uint32) << np.uint32(CLASS_BITS * k)
-        spelling[place] = np.add.reduceat(scores[gram].astype(np.float64), first) + scores[end]
-    return words, of, spelling
-
-
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(before * _STEP + word)
-
-
-def _runs(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per distinct key: where it stands first, how often it does, and in how many texts."""
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], of[order]
-    new = np.append(True, k[1:] != k[:-1])
-    first = np.flatnonzero(new)
-    texts = np.add.reduceat((new | np.append(True, d[1:] != d[:-1])).astype(np.int64), first)
-    return order[first], np.diff(np.append(first, len(k))), texts
-
-
-def _by_language(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[str, list[tuple]]]]:
-    """Rows (language, text, ...) gathered to blocks of about ``most`` characters, dealt by language."""
+    pad = order - 1
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.arange(len(points)) + pad * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    padded = np.full(len(points) + pad * len(sizes), 10, np.uint32)
+    padded[at] = points
+    letters = np.unique(padded)
+    place = np.zeros(int(letters.max(initial=0)) + 1, np.int64)
+    place[letters] = np.arange(len(letters))
+    signs = place[padded]
+    now, count = signs[at - pad], len(letters)
+    for k in range(1, order):
+        key = now * len(letters) + signs[at - pad + k]
+        if count * len(letters) <= _DENSE:
+            met = np.zeros(count * len(letters), bool)
+            met[key] = True
+            now = (np.cumsum(met, dtype=np.int32) - 1)[key].astype(np.int64)
+            count = int(met.sum())
+        else:
+            found, now = np.unique(key, return_inverse=True)
+            count = len(found)
+    one = np.zeros(count if len(points) else 0, np.int64)
+    one[now] = np.arange(len(points))  # some place of each
+    return np.stack([padded[at[one] - pad + k] for k in range(order)], axis=1), now
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[tuple]]]:
+    """(language, rows (text, ...)) of about ``most`` characters each, from rows (language, text, ...)."""
     held: dict[str, list[tuple]] = {}
-    size = 0
+    sizes: dict[str, int] = {}
+    total = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.setdefault(row[0], []).append(row[1:])
-            size += len(row[1]) + 1
-            if size > most:
-                yield list(held.items())
-                held, size = {}, 0
-    if held:
-        yield list(held.items())
+            size = len(row[1]) + 1
+            sizes[row[0]] = sizes.get(row[0], 0) + size
+            total += size
+            if sizes[row[0]] > most:
+                total -= sizes.pop(row[0])
+                yield row[0], held.pop(row[0])
+            if total > 4 * most:
+                yield from held.items()
+                held, sizes, total = {}, {}, 0
+    yield from held.items()
+
+
+def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
+    """(lang, gram, n) over all given documents; null languages are one of their own, named by an empty string."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in _parts(batches, PART):
+            sizes = np.array([len(t) for (t,) in rows], np.int64)
+            grams, now = distinct_grams("".join(t for (t,) in rows), sizes, order)
+            if not len(grams):
+                continue
+            line = np.ascontiguousarray(grams).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            strings = [line[i : i + order] for i in range(0, len(line), order)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(strings, pa.string()), pa.array(np.bincount(now, minlength=len(grams)))], ["lang", "gram", "n"])
 
-def _models(path: str) -> _Models:
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = _Models(path)
-    return _loaded[path]
+    rows = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t"))
+    return rows.mapInArrow(work, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def word_counts(rows: DataFrame, model: str) -> DataFrame:
-    """(lang, before, word, n, texts, spelling): all bigrams, and with a null ``before`` all words, of (lang, t)."""
-    names = ["lang", "before", "word", "n", "texts", "spelling"]
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, logp, backoff, lone): natural logarithms of the model's probabilities, in one table.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _by_language(batches, 4_000_000):
-            for lang, held in block:
-                scores = _models(model).get(lang)
-                if scores is None:
-                    continue
-                words, of, spelling = word_rows([t for (t,) in held], lang, scores)
-                following = np.roll(words, -1)
-                at, n, texts = _runs(pair_keys(words, following), of)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(words[at].view(np.int64)), pa.array(following[at].view(np.int64)), pa.array(n), pa.array(texts), pa.nulls(len(at), pa.float64())], names)
-                at, n, texts = _runs(words, of)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.nulls(len(at), pa.int64()), pa.array(words[at].view(np.int64)), pa.array(n), pa.array(texts), pa.array(spelling[at])], names)
-
-    counted = rows.mapInArrow(work, "lang string, before bigint, word bigint, n bigint, texts bigint, spelling double")
-    return counted.groupBy("lang", "before", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.max("spelling").alias("spelling"))
-
-
-def word_model(counts: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(before, word, value, lone) of all words and bigrams, and per language the logarithm of the weight left to spelling.
-
-    An interpolated Kneser-Ney model: bigrams by their counts, words by the number of words
-    before them, then the spelling.  A text's log probability is the sum of its words'
-    spellings and left weights, and of the values of its words and bigrams as often as they
-    stand there; what the model has not seen adds nothing.  ``lone`` are those of one
-    trusted text only.
+    logp is that of a gram's last character after the others, backoff the weight left to
+    the lower order after the whole gram as a context; the empty gram has the uniform
+    probability of a language's characters and one more.  The highest order uses counts,
+    lower ones the number of distinct characters before; each order has three discounts.
+    ``lone`` are grams that occur once.
     """
-    pairs, words = counts.filter("before IS NOT NULL"), counts.filter("before IS NULL")
-    context = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    ahead = stored(words.select("lang", "word", "texts", "spelling").join(pairs.groupBy("word").agg(F.count("*").alias("k")), "word").join(context, "word"), "words")
+    orders = {order: stored(counts.select("lang", "gram", "n", F.col("n").alias("times")), "order")}
+    for k in range(order - 1, 0, -1):
+        shorter = orders[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+        orders[k] = stored(shorter, "order")
+    result = stored(orders[1].groupBy("lang").agg((-F.log(F.count("*") + F.lit(1.0))).alias("logp"), F.sum("times").alias("times")), "uniform").select("lang", F.lit("").alias("gram"), "logp", F.lit(None).cast("double").alias("backoff"), "times")
+    below = result.select("lang", F.col("gram").alias("suffix"), F.exp("logp").alias("lower"))
+    for k in range(1, order + 1):
+        of = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+        discount = [F.greatest(F.lit(0.05), F.least(F.lit(i * 0.95), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)))).alias(f"d{i}") for i in (1, 2, 3)]
+        by_lang = stored(orders[k].groupBy("lang").agg(*of).select("lang", *discount), "discounts")  # a row per language
+        rows = orders[k].join(by_lang, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        rows = rows.select("lang", "gram", "n", "times", "d", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), F.expr("substring(gram, 2)").alias("suffix"))
+        context = stored(rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"), F.sum("times").alias("met")), "contexts")
+        scored = rows.join(context, ["lang", "context"]).join(below, ["lang", "suffix"])
+        p = (F.col("n") - F.col("d") + F.col("cut") * F.col("lower")) / F.col("total")
+        model = stored(scored.select("lang", "gram", p.alias("p"), "times"), "model")
+        below = model.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        left = context.select("lang", F.col("context").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log(F.col("cut") / F.col("total")).alias("backoff"), F.col("met").alias("times"))
+        result = result.unionByName(model.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"), "times")).unionByName(left)
+    return result.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"), (F.max("times") == 1).alias("lone"))
+
+
+class Answers:
+    """The model's rows for the keys of a block."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, backoff: np.ndarray, lone: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.logp, self.backoff, self.lone = keys[order], logp[order].astype(np.float64), backoff[order].astype(np.float64), lone[order].astype(bool)
+
+    def _find(self, keys: np.ndarray, without: bool) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        ok = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        return at, ok & ~self.lone[at] if without and len(self.keys) else ok
+
+    def scores(self, lang: str, grams: np.ndarray, without: bool = False) -> np.ndarray | None:
+        """Log probabilities of the last character of each of ``grams``; None for a language without a model."""
+        order = grams.shape[1]
+        at, ok = self._find(gram_keys(lang, grams[:1, :0]), False)
+        if not ok.all():
+            return None
+        out = np.full(len(grams), self.logp[at[0]])
+        for k in range(1, order + 1):
+            at, ok = self._find(gram_keys(lang, grams[:, order - k : order - 1]), without and k > 1)
+            left = np.where(ok, self.backoff[at], np.nan)  # a context that is never followed leaves all to the lower order
+            out += np.where(np.isnan(left), 0, left)
+            at, ok = self._find(gram_keys(lang, grams[:, order - k :]), without)
+            out = np.where(ok & ~np.isnan(self.logp[at]), self.logp[at], out)
+        return out
+
+
+def asked_keys(lang: str, grams: np.ndarray) -> np.ndarray:
+    """Keys of all rows that the scores of ``grams`` need."""
+    order = grams.shape[1]
+    ends = [(order - k, order) for k in range(order + 1)] + [(order - k, order - 1) for k in range(2, order + 1)]
+    return np.unique(np.concatenate([gram_keys(lang, np.unique(grams[:, a:b], axis=0) if b - a == 1 else grams[:, a:b]) for a, b in ends]))
+
+
+def _asked(docs: DataFrame, shards: int, order: int) -> DataFrame:
+    """Parts of blocks (lang, ids, hashes, sizes, packed texts), and the keys that a block asks each shard for."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["block", "shard", "keys", "lang", "ids", "hashes", "sizes", "packed"]
 
-    def discount(rows: DataFrame, n: str) -> dict[str, float]:
-        ones = rows.groupBy("lang").agg(*[F.sum((F.col(n) == i).cast("long")).alias(f"n{i}") for i in (1, 2)]).collect()  # a row per language
-        return {r.lang: min(0.95, max(0.05, r.n1 / max(1, r.n1 + 2 * r.n2))) for r in ones}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
 
-    d1, d2 = discount(ahead, "k"), discount(pairs, "n")
-    sums = {r.lang: r for r in ahead.groupBy("lang").agg(F.sum("k").alias("pairs"), F.count("*").alias("words")).collect()}
-    left = {lang: math.log(d1[lang] * r.words / r.pairs) for lang, r in sums.items()}
-    of = counts.sparkSession.createDataFrame([(lang, d1[lang], d2[lang], float(r.pairs), left[lang]) for lang, r in sums.items()], "lang string, d1 double, d2 double, pairs double, left double")
-    ahead = ahead.join(F.broadcast(of), "lang")
-    ahead = ahead.withColumn("p", (F.col("k") - F.col("d1")) / F.col("pairs") + F.exp(F.col("left") + F.col("spelling"))).withColumn("rest", F.col("d2") * F.col("kinds") / F.col("total"))
-    by_word = ahead.select(F.lit(None).cast("long").alias("before"), "word", (F.log("p") - F.col("left") - F.col("spelling") + F.log("rest")).cast("float").alias("value"), (F.col("texts") == 1).alias("lone"))
-    seen = pairs.select("before", "word", "n", "texts").join(ahead.select(F.col("word").alias("before"), "total", "rest", "d2"), "before").join(ahead.select("word", "p"), "word")
-    value = F.log1p((F.col("n") - F.col("d2")) / F.col("total") / (F.col("rest") * F.col("p")))
-    return by_word.unionByName(seen.select("before", "word", value.cast("float").alias("value"), (F.col("texts") == 1).alias("lone"))), left
+        pack = zstandard.ZstdCompressor(level=3).compress
+        task, number, keys, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            own = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            of = (own >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # ascends with the key
+            cuts = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
+            some = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
+            nothing = [pa.nulls(len(some), t) for t in (pa.string(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([task | number] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([own[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), *nothing], names)
+
+        for lang, rows in _parts(batches, PART):
+            texts = [r[0] for r in rows]
+            sizes = [len(t) for t in texts]
+            joined = "".join(texts)
+            grams, _ = distinct_grams(joined, np.array(sizes, np.int64), order)
+            keys.append(asked_keys(lang, grams))
+            if len(keys) > 8:
+                keys = [np.unique(np.concatenate(keys))]
+            one = [pa.array([v], t) for v, t in ((lang, pa.string()), ([r[1] for r in rows], pa.list_(id_type)), ([r[2] for r in rows], pa.list_(pa.int64())), (sizes, pa.list_(pa.int64())), (pack(joined.encode("utf-8", "surrogatepass")), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array([task | number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *one], names)
+            size += len(joined)
+            if size > BLOCK:
+                yield from ask()
+                number, keys, size = number + 1, [], 0
+        yield from ask()
 
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.select("lang", "t", "doc_id", "_hash").mapInArrow(work, f"block bigint, shard bigint, keys binary, lang string, ids array<{kind}>, hashes array<bigint>, sizes array<bigint>, packed binary")
 
 
-def _cut(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
-    """(shard, from, to) of sorted keys."""
-    edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1, dtype=np.uint64))
-    return ((s, int(a), int(b)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a)
+def _answered(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """(block, keys, logp, backoff, lone) of what blocks asked for and the model has: a join by shard, then by key within it."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, gram = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = np.zeros(len(gram), np.uint64)
+            groups: dict[tuple[str, int], list[int]] = {}
+            for i, (name, g) in enumerate(zip(lang, gram, strict=True)):
+                groups.setdefault((name, len(g)), []).append(i)
+            for (name, n), at in groups.items():
+                points = np.frombuffer("".join(gram[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
+                keys[at] = gram_keys(name, points.reshape(len(at), n))
+            order = np.argsort(keys)
+            keys = keys[order]
+            values = [batch.column(i).cast(pa.float32()).fill_null(np.nan).to_numpy()[order] for i in (2, 3)] + [batch.column(4).cast(pa.uint8()).to_numpy()[order]]
+            of = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+            cuts = np.searchsorted(of, np.arange(shards + 1, dtype=np.uint64))
+            some = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()) for x in (keys, *values))], ["shard", *names])
+
+    names = ["keys", "logp", "backoff", "lone"]
+    answer = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in names)])
+
+    def meet(mine: pa.Table, told: pa.Table) -> pa.Table:
+        parts = [np.concatenate([np.frombuffer(b, t) for b in told.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in zip(names, (np.uint64, np.float32, np.float32, np.uint8), strict=True)]
+        order = np.argsort(parts[0])
+        parts = [p[order] for p in parts]
+        out: list[tuple] = []
+        for block, keys in zip(mine.column("block").to_pylist(), mine.column("keys").to_pylist(), strict=True):
+            own = np.frombuffer(keys, np.uint64)
+            at = np.minimum(np.searchsorted(parts[0], own), max(0, len(parts[0]) - 1))
+            at = at[parts[0][at] == own] if len(parts[0]) else at[:0]
+            out.append((block, *(p[at].tobytes() for p in parts)))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(answer)], schema=answer)
+
+    told = model.select("lang", "gram", "logp", "backoff", "lone").mapInArrow(tell, "shard bigint, keys binary, logp binary, backoff binary, lone binary")
+    return asked.filter("keys IS NOT NULL").select("shard", "block", "keys").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(meet, "block bigint, keys binary, logp binary, backoff binary, lone binary")
 
 
-def word_scores(rows: DataFrame, model: str, values: DataFrame, left: dict[str, float], shards: int) -> DataFrame:
-    """(doc_id, lang, _hash, n_grams, perplexity, held) of (lang, t, doc_id, _hash).
+_blocks: OrderedDict[tuple[str, int], Answers] = OrderedDict()
 
-    Blocks of documents send their words and bigrams, each with the places of its documents, to
-    the shard of the key, where they meet the model's values; per block and shard, sums of
-    documents come back.  ``held`` leaves out what only one trusted text holds: that is how
-    a trusted text reads without its own counts.
-    """
-    kinds = "shard bigint, block bigint, keys binary, counts binary, places binary, info binary"
-    id_kind = rows.schema["doc_id"].dataType.simpleString()
-    answer = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), ("info", pa.binary())])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _block(path: str, block: int) -> Answers:
+    """The stored answers for a block; a worker keeps the last two."""
+    if (path, block) not in _blocks:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
 
-        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "places", "info"))])
-        for number, block in enumerate(_by_language(batches, 16_000_000)):
-            name = TaskContext.get().partitionId() << 32 | number
-            keys, of, info = [], [], []
-            start = 0
-            for lang, held in block:
-                scores = _models(model).get(lang) if lang in left else None
-                sizes = [len(t) for t, _, _ in held]
-                if scores is not None:
-                    words, at, spelling = word_rows([t for t, _, _ in held], lang, scores)
-                    base = np.bincount(at, spelling + left[lang], len(held))
-                    keys += [words, pair_keys(words, np.roll(words, -1))]
-                    of += [(at + start).astype(np.uint32)] * 2
-                else:
-                    base = np.full(len(held), np.nan)
-                info.append((lang, sizes, base, [i for _, i, _ in held], [h for _, _, h in held]))
-                start += len(held)
-            about = pickle.dumps(info, 5)
-            out = [(number % shards, name, None, None, None, about)]
-            if keys:
-                k, d = np.concatenate(keys), np.concatenate(of)
-                order = np.argsort(k, kind="stable")
-                k, d = k[order], d[order]
-                for s, a, b in _cut(k, shards):
-                    first = np.flatnonzero(np.append(True, k[a + 1 : b] != k[a : b - 1]))
-                    counts = np.diff(np.append(first, b - a)).astype(np.uint32)
-                    own = k[a:b][first]
-                    planes = np.diff(own, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-                    out.append((s, name, planes.tobytes(), counts.view(np.uint8).reshape(-1, 4).T.tobytes(), d[a:b].view(np.uint8).reshape(-1, 4).T.tobytes(), None))
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 64], strict=True), schema, strict=True)], schema=schema)
+        system, at = fs.FileSystem.from_uri(path)
+        rows = ds.dataset(at, filesystem=system, format="parquet").to_table(filter=ds.field("block") == block)
+        parts = [np.concatenate([np.frombuffer(b, t) for b in rows.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in zip(("keys", "logp", "backoff", "lone"), (np.uint64, np.float32, np.float32, np.uint8), strict=True)]
+        while len(_blocks) > 1:
+            _blocks.popitem(last=False)
+        _blocks[path, block] = Answers(*parts)
+    return _blocks[path, block]
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, value, lone = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            word = word.astype(np.int64).view(np.uint64)
-            before = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-            k = np.where(np.asarray(batch.column(0).is_null()), word, pair_keys(before, word))
-            order = np.argsort(k)
-            k, value, lone = k[order], value[order].astype(np.float32), lone[order].astype(np.uint8)
-            cut = list(_cut(k, shards))
-            parts = [[s for s, _, _ in cut], *([x[a:b].tobytes() for _, a, b in cut] for x in (k, value, lone))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "values", "lone"])
-
-    def meet(asked: pa.Table, told: pa.Table) -> pa.Table:
-        k, v, lone = (np.concatenate([np.frombuffer(b, t) for b in told.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("keys", np.uint64), ("values", np.float32), ("lone", np.uint8)))
-        order = np.argsort(k)
-        k, v, lone = k[order], v[order], lone[order]
-        out: list[tuple] = []
-        for block, keys, counts, places, info in zip(*(asked.column(c) for c in ("block", "keys", "counts", "places", "info")), strict=True):
-            if info.is_valid:
-                out.append((block.as_py(), None, None, info.as_py()))
-                continue
-            if not len(k):
-                continue
-            own = np.cumsum(np.frombuffer(keys.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
-            n, d = (np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for x in (counts, places))
-            at = np.minimum(np.searchsorted(k, own), len(k) - 1)
-            met = k[at] == own
-            one = np.repeat(np.where(met & (lone[at] == 1), v[at], 0), n)
-            more = np.repeat(np.where(met & (lone[at] == 0), v[at], 0), n)
-            sums = np.stack([np.bincount(d, one), np.bincount(d, more)])
-            some = np.flatnonzero(sums.any(axis=0))
-            if len(some):
-                out.append((block.as_py(), some.astype(np.uint32).tobytes(), sums[:, some].astype(np.float32).tobytes(), None))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(answer)], schema=answer)
 
-    def close(answers: pa.Table) -> pa.Table:
-        info = next(pickle.loads(x) for x in answers.column("info").to_pylist() if x is not None)
-        sums = np.zeros((2, sum(len(g[1]) for g in info)))
-        for places, values_ in zip(answers.column("places").to_pylist(), answers.column("sums").to_pylist(), strict=True):
-            if places is not None:
-                sums[:, np.frombuffer(places, np.uint32)] += np.frombuffer(values_, np.float32).reshape(2, -1)
-        n = np.concatenate([g[1] for g in info])
-        base = np.concatenate([g[2] for g in info])
-        known = ~np.isnan(base) & (n > 0)
-        both = [np.exp(np.minimum(-(base + s) / np.maximum(n, 1), 700)) for s in (sums.sum(axis=0), sums[1])]
-        langs = [g[0] for g in info for _ in g[1]]
-        columns = [[i for g in info for i in g[3]], langs, [h for g in info for h in g[4]], n, *(pa.array(x, pa.float64(), mask=~known) for x in both)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "lang", "_hash", "n_grams", "perplexity", "held"])
+def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, tables that they are read from); the rows are (doc_id, lang, _hash, n_grams, perplexity, held) of (doc_id, lang, t, _hash); ``held`` is how a document of the trained ones reads without its own counts.
 
+    Perplexity is by character; null for texts without characters and for languages without a model.
+    """
+    spark = docs.sparkSession
+    size = model.count()
+    shards = max(8, size // 250_000)
+    asked = stored(_asked(docs, shards, order), "asked")
+    path = shared_path(spark, "answers")
+    _answered(asked, model, shards).repartition("block").sortWithinPartitions("block").write.parquet(path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
-    asked = rows.select("lang", "t", "doc_id", "_hash").mapInArrow(ask, kinds)
-    told = values.select("before", "word", "value", "lone").mapInArrow(tell, "shard bigint, keys binary, values binary, lone binary")
-    met = asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(meet, "block bigint, places binary, sums binary, info binary")
-    return met.groupBy("block").applyInArrow(close, f"doc_id {id_kind}, lang string, _hash bigint, n_grams bigint, perplexity double, held double")
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k in range(len(batch)):
+                block, lang, packed = (batch.column(i)[k].as_py() for i in (0, 1, 5))
+                sizes = np.array(batch.column(4)[k].as_py(), np.int64)
+                grams, now = distinct_grams(unpack(packed).decode("utf-8", "surrogatepass"), sizes, order)
+                some = np.flatnonzero(sizes)
+                out = []
+                for without in (False, True):
+                    scores = _block(path, block).scores(lang, grams, without) if len(some) else None
+                    value = np.full(len(sizes), np.nan)
+                    if scores is not None:
+                        value[some] = np.exp(-np.add.reduceat(scores[now], (np.cumsum(sizes) - sizes)[some]) / sizes[some])
+                    out.append(pa.array(value, pa.float64(), mask=np.isnan(value)))
+                ids, hashes = (batch.column(i)[k].values for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([ids.cast(id_type), pa.array([lang] * len(sizes), pa.string()), hashes, pa.array(sizes), *out], ["doc_id", "lang", "_hash", "n_grams", "perplexity", "held"])
+
+    parts = asked.filter("packed IS NOT NULL").select("block", "lang", "ids", "hashes", "sizes", "packed")
+    return parts.mapInArrow(work, f"doc_id {kind}, lang string, _hash bigint, n_grams bigint, perplexity double, held double"), [asked, spark.read.schema("block bigint").parquet(path)]
 
 
 def _freed(df: DataFrame) -> DataFrame:
@@ -490,20 +327,25 @@ def _freed(df: DataFrame) -> DataFrame:
     return df
 
 
+def train(docs: DataFrame, good: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """The stored model of all documents whose id is in the stored, distinct ids ``_good``."""
+    trusted = matching(docs.select(doc_id, lang, text), doc_id, good, "_good")
+    counts = _freed(stored(gram_counts(trusted, text, lang, order), "grams"))
+    return _freed(stored(kneser_ney(counts, order), "model"))
+
+
 def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str, quantile: float, margin: float) -> tuple[DataFrame, DataFrame]:
     """(scores of all documents, threshold per language)."""
     good = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct(), "trusted")
-    trusted = stored(matching(docs.select(doc_id, lang, text), doc_id, good, "_good").select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t")), "texts")
-    model = train(trusted, "t", "lang")
-    values, left = word_model(_freed(stored(word_counts(trusted.filter("t <> ''"), model), "counts")))
-    values = _freed(stored(values, "values"))
+    model = train(docs, good, text, lang, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t")).withColumn("_hash", F.xxhash64("t"))
-    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    scores = word_scores(rows, model, values, left, max(8, -(-size // 16_000_000)))
-    known = scores.join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
+    read, held = perplexities(rows, model)
+    known = read.join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
     scores = stored(known.select("doc_id", "lang", "_hash", "n_grams", F.when(F.col("_good").isNull(), F.col("perplexity")).otherwise(F.col("held")).alias("perplexity"), F.col("_good").isNotNull().alias("trusted")), "scores")
     limits = scores.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    return scores.drop("trusted"), stored(limits, "limits")
+    limits = stored(limits, "limits")
+    discard(model, *held)
+    return scores.drop("trusted"), limits
 
 
 def _kept(n: str, perplexity: str) -> Column:
@@ -516,10 +358,11 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
 
     Trusted are the documents with quality 1 in ``labels`` (doc_id, quality); all of them
     train the model.  Perplexity is by character, of which there are ``n_grams``.  A language's
-    threshold is the ``quantile`` of its trusted documents'
-    perplexities times ``margin``; a language without trusted documents has none and keeps
-    all its texts.  A null language is one of its own; null and empty texts are rejected.
-    Repeated labels of a document count once; repeated rows are judged alike.
+    threshold is the ``quantile`` of its trusted documents' perplexities times ``margin``; a
+    language without trusted documents has none and keeps all its texts.  A null language
+    is one of its own; null and empty texts are rejected.  Repeated labels of a document
+    count once; repeated rows and rows without an id are judged alike by their text; rows
+    that share a trusted id are trusted.  No rows in, no rows out; further columns are ignored.
     """
     scores, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
     return scores.join(limits, "lang", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", _kept("n_grams", "perplexity").alias("kept"))

@@ -232,13 +232,6 @@ def test_knapsack_equals_brute_force():
 # quality
 
 
-def test_model_is_a_distribution(spark):
-    docs = docs_of(spark, ["the cat sat on the mat. " * 20, "a dog ran by the cat.\n" * 20], langs=("en",))
-    model = quality.kneser_ney(quality.gram_counts(docs)).toPandas()
-    p = np.exp(quality.dense_scores(*(model[c].to_numpy(dtype=float if c in ("logp", "backoff") else np.int64) for c in ("k", "gram", "logp", "backoff")))).reshape(-1, quality.CLASSES)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
 def test_classifier_rejects_junk_and_keeps_prose(spark, sf, empty):
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     got = quality.classify(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id", how="inner")
@@ -249,16 +242,6 @@ def test_classifier_rejects_junk_and_keeps_prose(spark, sf, empty):
     assert odd == {0: False, 1: False, 2: True, 3: True}
 
 
-def test_perplexity_equals_lookup(spark):
-    docs = docs_of(spark, ["the cat sat. " * 9, "the cat ran. " * 9, None], langs=("en",))
-    path = quality.train(docs)
-    rows = {r.doc_id: r for r in quality.with_perplexity(docs, path).collect()}
-    table = quality._Models(path).get("en")
-    for i, t in enumerate(["the cat sat. " * 9, "the cat ran. " * 9]):
-        assert rows[i]._perplexity == pytest.approx(math.exp(-float(np.mean([table[g] for g in quality.grams(t)]))), rel=1e-5)
-    assert rows[2]._perplexity is None
-
-
 # media
 
 
