@@ -7,8 +7,8 @@ holds and come from joins.  Blocks of documents then ask for the n-grams they ho
 are dealt by hash to shards, meet the model's rows there, and the answers are stored for
 their block, where each document's perplexity is summed.  A trusted document is judged as
 if what was counted only once, in itself, had not been counted.  Documents above a
-language's threshold, a quantile of its trusted documents' perplexities times a margin,
-are rejected.
+threshold, a quantile of the trusted documents' perplexities of their language and
+length, are rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm.common import discard, matching, shared_path, stored, table, text_or_empty
@@ -334,44 +334,45 @@ def train(docs: DataFrame, good: DataFrame, text: str = "text", lang: str = "lan
     return _freed(stored(kneser_ney(counts, order), "model"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str, quantile: float, margin: float) -> tuple[DataFrame, DataFrame]:
-    """(scores of all documents, threshold per language)."""
+def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str, quantile: float, least: int, wide_quantile: float, margin: float) -> DataFrame:
+    """(doc_id, lang, _hash, n_grams, perplexity, threshold, kept) of all documents."""
     good = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct(), "trusted")
     model = train(docs, good, text, lang, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), text_or_empty(text).alias("t")).withColumn("_hash", F.xxhash64("t"))
     read, held = perplexities(rows, model)
     known = read.join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
-    scores = stored(known.select("doc_id", "lang", "_hash", "n_grams", F.when(F.col("_good").isNull(), F.col("perplexity")).otherwise(F.col("held")).alias("perplexity"), F.col("_good").isNotNull().alias("trusted")), "scores")
-    limits = scores.filter("trusted AND perplexity IS NOT NULL").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    limits = stored(limits, "limits")
+    known = known.withColumn("perplexity", F.when(F.col("_good").isNull(), F.col("perplexity")).otherwise(F.col("held")))
+    band = F.floor(F.log2(F.greatest("n_grams", F.lit(1)))).cast("int")
+    scores = stored(known.select("doc_id", "lang", band.alias("band"), "_hash", "n_grams", "perplexity", F.col("_good").isNotNull().alias("trusted")), "scores")
+    judges = scores.filter("trusted AND perplexity IS NOT NULL")
+    by_band = judges.groupBy("lang", "band").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("narrow"), F.count("*").alias("k")).filter(F.col("k") >= least).drop("k")
+    by_lang = judges.groupBy("lang").agg((F.percentile_approx("perplexity", wide_quantile, 10_000) * margin).alias("wide"))
+    both = scores.join(stored(by_lang, "wide"), "lang", "left").join(stored(by_band, "narrow"), ["lang", "band"], "left")
     discard(model, *held)
-    return scores.drop("trusted"), limits
+    judged = both.withColumn("threshold", F.coalesce("narrow", "wide"))
+    kept = (F.col("n_grams") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return judged.select("doc_id", "lang", "_hash", "n_grams", "perplexity", "threshold", kept.alias("kept"))
 
 
-def _kept(n: str, perplexity: str) -> Column:
-    """Within the threshold, if there is one, and not empty."""
-    return (F.col(n) > 0) & F.coalesce(F.col(perplexity) <= F.col("threshold"), F.lit(True))
-
-
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.9, margin: float = 1.4) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.995, least: int = 400, wide_quantile: float = 0.9, margin: float = 1.4) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, threshold, kept for every document.
 
     Trusted are the documents with quality 1 in ``labels`` (doc_id, quality); all of them
-    train the model.  Perplexity is by character, of which there are ``n_grams``.  A language's
-    threshold is the ``quantile`` of its trusted documents' perplexities times ``margin``; a
-    language without trusted documents has none and keeps all its texts.  A null language
-    is one of its own; null and empty texts are rejected.  Repeated labels of a document
-    count once; repeated rows and rows without an id are judged alike by their text; rows
-    that share a trusted id are trusted.  No rows in, no rows out; further columns are ignored.
+    train the model.  Perplexity is by character, of which there are ``n_grams``.  Short texts
+    vary more, so the threshold is the ``quantile`` of the trusted documents' perplexities
+    of the same language and length (by powers of two); where these are fewer than
+    ``least``, it is the language's ``wide_quantile`` times ``margin``.  A language without
+    trusted documents has none and keeps all its texts.  A null language is one of its own;
+    null and empty texts are rejected.  Repeated labels of a document count once; repeated
+    rows and rows without an id are judged alike by their text; rows that share a trusted id
+    are trusted.  No rows in, no rows out; further columns are ignored.
     """
-    scores, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
-    return scores.join(limits, "lang", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", _kept("n_grams", "perplexity").alias("kept"))
+    return _judged(docs, labels, text, lang, doc_id, quantile, least, wide_quantile, margin).drop("_hash")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.9, margin: float = 1.4) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", quantile: float = 0.995, least: int = 400, wide_quantile: float = 0.9, margin: float = 1.4) -> DataFrame:
     """The documents that the classifier keeps, with all their columns; rows are known by id, language and text."""
-    scores, limits = _judged(docs, labels, text, lang, doc_id, quantile, margin)
-    stay = scores.join(limits, "lang", "left").filter(_kept("n_grams", "perplexity")).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_hash").alias("_of")).distinct()
+    stay = _judged(docs, labels, text, lang, doc_id, quantile, least, wide_quantile, margin).filter("kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_hash").alias("_of")).distinct()
     same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.coalesce(docs[lang], F.lit("")) == F.col("_lang")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_of"))
     return docs.join(stay.hint("merge"), same, "left_semi")
 
