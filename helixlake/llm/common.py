@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,21 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``most`` bytes of text in ``column``, so that no more are held as Python objects."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
+def unique_ids(docs: DataFrame, doc_id: str) -> bool:
+    """Whether each row has an id of its own."""
+    return docs.groupBy(F.col(doc_id).alias("i")).count().filter("count > 1 OR i IS NULL").limit(1).count() == 0
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import discard, matching, stored, table, text_or_empty
+from helixlake.llm.common import discard, matching, slices, stored, table, text_or_empty, unique_ids
 from helixlake.llm.graph import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -97,13 +96,8 @@ def index_length(n: int, percent: int) -> int:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Rows of about a million bytes of text at once, so that no more are held as Python objects."""
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // 1_000_000
-        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(batch)]
-        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-            if end > begin:
-                yield tuple(batch.column(i)[begin:end].to_pylist() for i in range(2))
+    for part in slices(batches, 1):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def _longs(*columns: object) -> list[pa.Array]:
@@ -471,11 +465,6 @@ def _grouped(texts: DataFrame, width: int, percent: int, frequent_most: int) ->
     return named.join(found, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _unique(docs: DataFrame, doc_id: str) -> bool:
-    """Whether each row has an id of its own."""
-    return docs.groupBy(F.col(doc_id).alias("i")).count().filter("count > 1 OR i IS NULL").limit(1).count() == 0
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80, frequent_most: int = 1 << 17) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reached by links) for every row.
 
@@ -487,7 +476,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     one.  No rows in, no rows out; further columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("t"))
-    if _unique(rows, "doc_id"):
+    if unique_ids(rows, "doc_id"):
         return _grouped(rows, width, percent, frequent_most)
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = _grouped(rows.select(F.col("row").alias("doc_id"), "t"), width, percent, frequent_most).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group"))
@@ -501,7 +490,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Of several rows with that id, or where no row has one, any one row stays.
     """
-    if _unique(docs, doc_id):
+    if unique_ids(docs, doc_id):
         stay = near_duplicates(docs, text, doc_id, width, percent, frequent_most).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
         return docs.join(stay.hint("merge"), docs[doc_id] == stay["_keep"], "left_semi")
     rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("t"), F.monotonically_increasing_id().alias("row")), "rows")

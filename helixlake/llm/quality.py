@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import discard, matching, shared_path, stored, table, text_or_empty
+from helixlake.llm.common import discard, matching, shared_path, slices, stored, table, text_or_empty
 
 ORDER = 4
-PART = 4_000_000  # characters that a task works on at once
+PART = 1_500_000  # characters that a task works on at once
 BLOCK = 64_000_000  # characters whose n-grams are asked for together
-_DENSE = 1 << 25
+_DENSE = 1 << 22
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
     held: dict[str, list[tuple]] = {}
     sizes: dict[str, int] = {}
     total = 0
-    for batch in batches:
+    for batch in slices(batches, 1):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.setdefault(row[0], []).append(row[1:])
             size = len(row[1]) + 1
@@ -224,7 +224,10 @@ def _asked(docs: DataFrame, shards: int, order: int) -> DataFrame:
 
 
 def _answered(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """(block, keys, logp, backoff, lone) of what blocks asked for and the model has: a join by shard, then by key within it."""
+    """(block, keys, logp, backoff, lone) of what blocks asked for and the model has: a join by shard, then by key within it.
+
+    Where many blocks ask, a shard is told several times, each for some of the blocks.
+    """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +263,11 @@ def _answered(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(answer)], schema=answer)
 
     told = model.select("lang", "gram", "logp", "backoff", "lone").mapInArrow(tell, "shard bigint, keys binary, logp binary, backoff binary, lone binary")
-    return asked.filter("keys IS NOT NULL").select("shard", "block", "keys").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(meet, "block bigint, keys binary, logp binary, backoff binary, lone binary")
+    want = asked.filter("keys IS NOT NULL").select("shard", "block", "keys")
+    times = max(1, (want.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // (8 * 4_000_000 * shards))
+    want = want.withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(times)))
+    told = told.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(times - 1)).cast("array<bigint>")))
+    return want.groupBy("shard", "turn").cogroup(told.groupBy("shard", "turn")).applyInArrow(meet, "block bigint, keys binary, logp binary, backoff binary, lone binary")
 
 
 _blocks: OrderedDict[tuple[str, int], Answers] = OrderedDict()
