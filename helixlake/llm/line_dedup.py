@@ -61,7 +61,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     keep = F.expr("array_except(sequence(0, size(lines) - 1), drop)")
     kept = F.when(F.col("drop").isNull(), t).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col("lines"), i)), "\n"))
     dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
-    return both.select(*[F.col("doc")[c].alias(c) for c in columns], F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept_text"))
+    out = both.select("doc", F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept_text"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in columns], "n_lines", "n_dropped", "kept_text")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Mixing sources to target weights, in blocks of words.
 
 Each source's words, document after document, are packed into blocks of fixed length.
-A source gets as many slots as its target has blocks.  Every slot draws an output shard
-at random, so a source's counts per shard are multinomial, given its total, and the
-totals meet the targets.  Slot numbers are mapped through a pseudorandom permutation of
+A source gets as many slots as its target has blocks.  For each of them an output shard is
+drawn at random, so a source's counts per shard are multinomial, given its total, and the
+totals meet the targets; a shard takes as many slots of each source as its count says.
+Slot numbers are mapped through a pseudorandom permutation of
 the source's block numbers, one for each pass over the source, and the drawn blocks are
 joined to the documents by block number.  All draws are hashes of (seed, source, number):
 reruns agree.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import running_start, stored, table, word_count
+from helixlake.llm.common import running_start, stored, table, unique_ids, word_count
 
 WEIGHTS = (1, 2, 3)
 
@@ -81,17 +82,22 @@ def draw_slots(spark: SparkSession, plan: DataFrame, block_words: int, shard_slo
     # Sources are dealt to ranges of slot numbers in steps, so that a hot source's slots start in many tasks.
     width = 4096
     steps = plan.withColumn("step", F.explode(F.expr(f"sequence(0, greatest(slots - 1, 0) div {width})"))).filter("slots > 0").repartition("source_no", "step")
-    slots = steps.withColumn("slot", F.explode(F.expr(f"sequence(step * {width}, least(slots, (step + 1) * {width}) - 1)")))
+    draws = steps.withColumn("draw", F.explode(F.expr(f"sequence(step * {width}, least(slots, (step + 1) * {width}) - 1)")))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "source_no", "draw", F.lit("shard")), F.lit(shards))
+    quota = stored(draws.groupBy("source_no", shard.alias("shard")).agg(F.count("*").alias("quota")), "quota")
+    # A shard's slots of a source are as many as it drew, numbered on from those of other shards.
+    from_ = running_start(quota, ["source_no"], [F.col("shard")], "quota", "from_slot")
+    slots = from_.withColumn("slot", F.explode(F.expr("sequence(from_slot, from_slot + quota - 1)")))
+    slots = slots.join(plan.select("source_no", "source_size", "goal", "blocks", "passes", "rest", "short"), "source_no")  # a row per source
     slots = slots.withColumn("pass_no", F.expr("slot div blocks")).withColumn("turn", F.col("slot") % F.col("blocks"))
     slots = slots.withColumn("block", permuted("turn", "blocks", str(int(seed)), "source_no", "pass_no"))
     short_turn = F.when((F.col("pass_no") == F.col("passes")) & (F.col("block") == F.col("blocks") - 1), F.col("turn"))
     short_at = slots.groupBy("source_no").agg(F.min(short_turn).alias("short_turn"))
-    slots = slots.join(F.broadcast(short_at), "source_no")  # a row per source
+    slots = slots.join(short_at, "source_no")  # a row per source
     size = F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(block_words))
     early = F.when(F.col("short_turn") < F.col("turn"), F.col("short") - block_words).otherwise(F.lit(0))
     words = F.when(F.col("pass_no") < F.col("passes"), size).otherwise(F.greatest(F.lit(0), F.least(size, F.col("rest") - F.col("turn") * block_words - early)))
-    shard = F.pmod(F.xxhash64(F.lit(seed), "source_no", "slot", F.lit("shard")), F.lit(shards))
-    return slots.select("source_no", "slot", shard.alias("shard"), "pass_no", "block", words.cast("long").alias("words")).filter("words > 0")
+    return slots.select("source_no", "slot", "shard", "pass_no", "block", words.cast("long").alias("words")).filter("words > 0")
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, limit: float = 3.0, block_words: int = 512, shard_slots: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -124,16 +130,21 @@ def repeat_by_mix(docs: DataFrame, text: str = "text", source: str = "source", d
     """The documents as often as the mix takes them, with the columns of ``docs``.
 
     A document is never cut here: taken / size copies of it, the fraction rounded up or
-    down by a hash of its id, so that a source's words keep their expectation.  ``doc_id``
-    must be unique.  Documents without words are kept once.
+    down by a hash of its id, so that a source's words keep their expectation.  Documents
+    without words are kept once.  Rows that share an id or have none are documents of their
+    own, known by a stored number.  No rows in, no rows out.
     """
-    taken, _ = mix_sources(docs, text, source, doc_id, seed=seed, **options)
+    if unique_ids(docs, doc_id):
+        rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).alias("row"))
+    else:
+        rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    taken, _ = mix_sources(rows.select("row", F.col("doc")[source].alias("source"), F.col("doc")[text].alias("text")), doc_id="row", seed=seed, **options)
     ratio = F.col("taken") / F.col("size")
     luck = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("copies")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.floor(ratio) + F.when(luck < ratio - F.floor(ratio), 1).otherwise(0)).cast("int"))
-    often = taken.select(F.col("doc_id").alias("_id"), copies.alias("_copies")).filter("_copies > 0")
-    both = docs.join(often.hint("merge"), docs[doc_id].eqNullSafe(often["_id"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    often = taken.select(F.col("doc_id").alias("row"), copies.alias("copies")).filter("copies > 0")
+    both = rows.join(often.hint("merge"), "row")
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

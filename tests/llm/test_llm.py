@@ -62,15 +62,15 @@ def test_exact_dedup(spark, docs, empty):
 
 def test_directory_splits_overfull_buckets(spark):
     entries = spark.range(1000).selectExpr("xxhash64(id) AS hash")
-    rows = exact_dedup.directory(entries, capacity=100, max_depth=8).collect()
+    rows = exact_dedup.directory(entries, capacity=100, depth=8).collect()
     filled = defaultdict(int)
     of = {r.cell: r for r in rows}
     for (h,) in entries.collect():
         r = of[(h & (1 << 64) - 1) >> 56]
         filled[r.bucket, r.local_depth] += 1
-    assert max(filled.values()) <= 100 and sum(filled.values()) == 1000 and len({r.local_depth for r in rows}) >= 1
+    assert max(filled.values()) <= 100 and sum(filled.values()) == 1000 and {r.local_depth for r in rows} <= {3, 4, 5}
     one = spark.range(1000).selectExpr("5L AS hash")
-    assert [r.local_depth for r in exact_dedup.directory(one, capacity=100, max_depth=8).collect()] == [8]  # can't be split
+    assert [r.local_depth for r in exact_dedup.directory(one, capacity=100, depth=8).collect()] == [8]  # can't be split
 
 
 # line dedup
