@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,20 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_cached: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Called by a task that uses a worker's cache: what other operators have cached in the worker is cleared, so that caches don't add up."""
+    others = [name for name in _cached if name != owner]
+    for name in others:
+        _cached.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _cached[owner] = clear
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of batches with about ``most`` bytes of text in ``column``, so that no more are held as Python objects."""
     for batch in batches:

@@ -14,6 +14,8 @@ from itertools import chain, islice
 
 import numpy as np
 
+from helixlake.llm.common import keep_cache
+
 #: White space, and characters some library counts as such, outside " \t\n\v\f\r"; and the mark used below.
 _ODD = re.compile("[\x00\x01\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 #: A word with the one space before it, a lone break, a run of white space with the word behind it, a last space.
@@ -132,6 +134,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 def encoder(file: str, drops_space: bool) -> Encoder:
     """The worker's encoder of a vocabulary file."""
     key = (file, drops_space)
+    keep_cache("encoders", _encoders.clear)
     if key not in _encoders:
         _encoders[key] = Encoder(file, drops_space)
     return _encoders[key]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import discard, matching, slices, stored, table, text_or_empty, unique_ids
+from helixlake.llm.common import discard, keep_cache, matching, slices, stored, table, text_or_empty, unique_ids
 from helixlake.llm.graph import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -55,6 +55,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; words as in the contract."""
+    keep_cache("words", _words.clear)
     if len(_words) > 200_000:
         _words.clear()
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z alone are lowered, ASCII white space alone splits

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import discard, matching, shared_path, slices, stored, table, text_or_empty
+from helixlake.llm.common import discard, keep_cache, matching, shared_path, slices, stored, table, text_or_empty
 
 ORDER = 4
-PART = 1_500_000  # characters that a task works on at once
+PART = 1_000_000  # characters that a task works on at once
 BLOCK = 64_000_000  # characters whose n-grams are asked for together
 _DENSE = 1 << 22
 
@@ -79,6 +79,7 @@ def distinct_grams(joined: str, sizes: np.ndarray, order: int = ORDER) -> tuple[
 
 def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[tuple]]]:
     """(language, rows (text, ...)) of about ``most`` characters each, from rows (language, text, ...)."""
+    keep_cache("blocks", _blocks.clear)
     held: dict[str, list[tuple]] = {}
     sizes: dict[str, int] = {}
     total = 0
@@ -275,6 +276,7 @@ _blocks: OrderedDict[tuple[str, int], Answers] = OrderedDict()
 
 def _block(path: str, block: int) -> Answers:
     """The stored answers for a block; a worker keeps the last two."""
+    keep_cache("blocks", _blocks.clear)
     if (path, block) not in _blocks:
         import pyarrow.dataset as ds
         from pyarrow import fs
