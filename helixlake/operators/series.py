@@ -42,7 +42,7 @@ def top_tokens(probs: DataFrame, most: int = 5) -> DataFrame:
 
 def letter_probabilities(probs: DataFrame, directions: DataFrame) -> DataFrame:
     """Probabilities of the letters alone, per layer: running predictions."""
-    return probs.join(F.broadcast(directions.select(F.col("aa").alias("token")).limit(64)), "token").select(*KEY, "layer", F.col("token").alias("aa"), "prob")
+    return probs.join(directions.select(F.col("aa").alias("token")).distinct(), "token").select(*KEY, "layer", F.col("token").alias("aa"), "prob")
 
 
 def answer_directions(positions: DataFrame, directions: DataFrame) -> DataFrame:

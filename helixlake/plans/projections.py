@@ -20,15 +20,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+WIDTH, TIMES = 24, 1_000_000
+
+
+def windows(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, seq_id, lang, source, s): whole texts, cut into pieces of ``width`` characters."""
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return docs.select("doc_id", "lang", "source", F.posexplode(cut).alias("w", "s")).select("doc_id", (F.col("doc_id") * TIMES + F.col("w")).alias("seq_id"), "lang", "source", "s")
+
+
+def _windows_sql(width: int) -> str:
+    return f"(SELECT doc_id * {TIMES} + w AS seq_id, lang, source, substr(text, CAST(w * {width} AS INTEGER) + 1, {width}) AS s FROM (SELECT *, unnest(range(0, (length(text) + {width - 1}) // {width})) AS w FROM documents))"
+
+
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 24 characters of English texts as aligned residues; the two families are even and odd ids."""
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.upper(F.substring("text", 1, 24)).alias("s"))
-    cells = docs.select((F.col("doc_id") % 2).cast("string").alias("protein_id"), F.col("doc_id").alias("seq_id"), F.posexplode(F.split("s", "")).alias("pos", "aa"))
+    """Whole texts in rows of 24 characters as aligned residues; a family per language.
+
+    Neighbours in the text stand 12 columns apart, so that distant columns depend on each other.
+    """
+    letters = F.transform(F.sequence(F.lit(1), F.lit(WIDTH)), lambda i: F.upper(F.substr("s", i, F.lit(1))))
+    cells = windows(read(spark, sf_dir, "documents"), WIDTH).select(F.col("lang").alias("protein_id"), "seq_id", F.posexplode(letters).alias("i", "aa"))
+    cells = cells.select("protein_id", "seq_id", F.expr("cast(i % 2 * 12 + i div 2 as int)").alias("pos"), "aa")
     return cells.filter(F.col("aa").isin(*LETTERS))
 
 
-SQL["residues"] = f"""residues AS (SELECT * FROM (SELECT CAST(doc_id % 2 AS VARCHAR) AS protein_id, doc_id AS seq_id, CAST(p.pos AS INTEGER) AS pos, upper(substr(text, CAST(p.pos AS INTEGER) + 1, 1)) AS aa
-    FROM documents, range(24) AS p(pos) WHERE lang = 'en') WHERE aa IN ({_IN}))"""
+SQL["residues"] = f"""residues AS (SELECT * FROM (SELECT lang AS protein_id, seq_id, CAST(p.i % 2 * 12 + p.i // 2 AS INTEGER) AS pos, upper(substr(s, CAST(p.i AS INTEGER) + 1, 1)) AS aa
+    FROM {_windows_sql(WIDTH)}, range({WIDTH}) AS p(i)) WHERE aa IN ({_IN}))"""
 
 
 def positions(residues_: DataFrame) -> DataFrame:
@@ -57,12 +74,12 @@ def with_sql(*names: str) -> str:
 
 
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line's first 40 characters with blanks as gaps; a family per source."""
-    text = F.translate(F.substring(F.substring_index("text", "\n", 1), 1, 40), " .", "--")
-    return read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("source").alias("protein_id"), F.col("doc_id").alias("seq_id"), F.concat(F.lit("seq"), F.col("doc_id")).alias("seq_name"), text.alias("aligned"))
+    """Whole texts in rows of 40 characters with blanks, breaks and a letter whose capital is two as gaps; a family per source."""
+    rows = windows(read(spark, sf_dir, "documents"), 40)
+    return rows.select(F.col("source").alias("protein_id"), "seq_id", F.concat(F.lit("seq"), "seq_id").alias("seq_name"), F.translate("s", " .\n\u00df", "----").alias("aligned"))
 
 
-SQL["msa"] = "msa AS (SELECT source AS protein_id, doc_id AS seq_id, 'seq' || doc_id AS seq_name, translate(substr(string_split(text, chr(10))[1], 1, 40), ' .', '--') AS aligned FROM documents WHERE lang = 'en')"
+SQL["msa"] = f"msa AS (SELECT source AS protein_id, seq_id, 'seq' || seq_id AS seq_name, translate(s, ' .' || chr(10) || chr(223), '----') AS aligned FROM {_windows_sql(40)})"
 
 
 def targets(msa_: DataFrame) -> DataFrame:
@@ -209,9 +226,9 @@ def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("layer", "feature_id", "summary")
 
 
-def groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per segment, position (custkey mod 60) and layer: nations with a customer in debt against the others."""
-    per = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("protein_id"), (F.col("c_custkey") % 60).cast("int").alias("pos"), (F.col("c_custkey") % 2).cast("int").alias("layer"), F.col("c_nationkey").alias("head")).agg(F.max((F.col("c_acctbal") < 2000).cast("int")).alias("side"), F.avg("c_acctbal").alias("bal"))
+def groupings(spark: SparkSession, sf_dir: str, heads: int = 25) -> DataFrame:
+    """Per segment, position (custkey mod 60) and layer: nations (mod ``heads``) with a customer in debt against the others."""
+    per = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("protein_id"), (F.col("c_custkey") % 60).cast("int").alias("pos"), (F.col("c_custkey") % 2).cast("int").alias("layer"), (F.col("c_nationkey") % heads).cast("int").alias("head")).agg(F.max((F.col("c_acctbal") < 2000).cast("int")).alias("side"), F.avg("c_acctbal").alias("bal"))
     return per.groupBy("protein_id", "pos", "layer").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.col("head")))).alias("isolated"), F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.col("head")))).alias("main"), (F.floor(F.avg("bal") / 10 + 1e-7) / 1000).alias("inter_cos")
     ).filter((F.size("isolated") > 0) & (F.size("main") > 0))

@@ -141,15 +141,15 @@ def symmetrized_partners(spark, d):
 
 
 def _order_edges(spark, d):
-    """Links between an order's customer and each of its suppliers, by numbers mod 97, per priority."""
+    """Links between an order's customer and each of its suppliers, by numbers mod 97, per priority: lines with odd numbers and with even ones."""
     o, li = P.read(spark, d, "orders"), P.read(spark, d, "lineitem")
     both = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    base = both.select(F.col("o_orderpriority").alias("protein_id"), (F.col("o_custkey") % 97).cast("int").alias("pos"), (F.col("l_suppkey") % 97).cast("int").alias("partner"), "l_linenumber").filter("pos != partner")
-    return base.filter("l_linenumber <= 2").drop("l_linenumber").distinct(), base.filter("l_linenumber = 3").drop("l_linenumber").distinct()
+    base = both.select(F.col("o_orderpriority").alias("protein_id"), (F.col("o_custkey") % 97).cast("int").alias("pos"), (F.col("l_suppkey") % 97).cast("int").alias("partner"), (F.col("l_linenumber") % 2).alias("odd")).filter("pos != partner")
+    return base.filter("odd = 1").drop("odd").distinct(), base.filter("odd = 0").drop("odd").distinct()
 
 
-P.SQL["links"] = """links AS (SELECT DISTINCT o_orderpriority AS protein_id, CAST(o_custkey % 97 AS INTEGER) AS pos, CAST(l_suppkey % 97 AS INTEGER) AS partner, least(l_linenumber, 4) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 97 <> l_suppkey % 97),
-  base AS (SELECT DISTINCT protein_id, pos, partner FROM links WHERE k <= 2), curated AS (SELECT DISTINCT protein_id, pos, partner FROM links WHERE k = 3),
+P.SQL["links"] = """links AS (SELECT DISTINCT o_orderpriority AS protein_id, CAST(o_custkey % 97 AS INTEGER) AS pos, CAST(l_suppkey % 97 AS INTEGER) AS partner, l_linenumber % 2 AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 97 <> l_suppkey % 97),
+  base AS (SELECT DISTINCT protein_id, pos, partner FROM links WHERE k = 1), curated AS (SELECT DISTINCT protein_id, pos, partner FROM links WHERE k = 0),
   merged AS (SELECT protein_id, pos, partner FROM (SELECT * FROM base UNION SELECT * FROM curated) UNION SELECT protein_id, partner, pos FROM (SELECT * FROM base UNION SELECT * FROM curated))"""
 
 
@@ -271,12 +271,12 @@ def layer_spectrum(spark, d):
 
 @_query(
     """SELECT pos, CAST(k AS INTEGER) AS k, round(sum(answer * CASE WHEN k = 0 THEN sqrt(1.0 / n) ELSE sqrt(2.0 / n) END * cos(pi() * k * (2 * step + 1) / (2 * n))), 4) AS coefficient
-       FROM (SELECT pos, answer, row_number() OVER (PARTITION BY pos ORDER BY layer) - 1 AS step, count(*) OVER (PARTITION BY pos) AS n FROM velocity), range(20) r(k) WHERE k < least(n, 20) GROUP BY ALL""",
+       FROM (SELECT pos, answer, row_number() OVER (PARTITION BY pos ORDER BY layer) - 1 AS step, count(*) OVER (PARTITION BY pos) AS n FROM velocity) JOIN (SELECT pos, unnest(range(count(*))) AS k FROM velocity GROUP BY pos) USING (pos) GROUP BY ALL""",
     "numbered", "cells", "direction", "steps", "velocity",
 )
 def answer_spectrum(spark, d):
     v = series.velocity(P.hidden(spark, d), P.answers(spark, d)).withColumn("answer", F.round("answer", 5))
-    return series.scalar_spectrum(v, "answer", "pos").filter("k < 20").select("pos", "k", _r("coefficient", 4))
+    return series.scalar_spectrum(v, "answer", "pos").select("pos", "k", _r("coefficient", 4))
 
 
 @_query("SELECT protein_id, layer, aa, prob, CAST(row_number() OVER (PARTITION BY protein_id, layer ORDER BY prob DESC, aa) AS INTEGER) AS place FROM running", "running")
@@ -425,7 +425,8 @@ def co_clustering(spark, d):
 
 @_query()
 def consistent_cores(spark, d):
-    return streams.consistent_cores(P.groupings(spark, d), least=0.02)
+    """Few heads, so that some stay together."""
+    return streams.consistent_cores(P.groupings(spark, d, heads=6))
 
 
 def _small_cores(spark, d):
@@ -447,11 +448,11 @@ def core_statistics(spark, d):
 
 @_query(
     """SELECT pos, layer, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 5) AS inter_cos, round(sqrt(sum(a * a)), 5) AS iso_mag, round(sqrt(sum(b * b)), 5) AS main_mag FROM
-       (SELECT CAST(pos AS INTEGER) AS pos, layer, dim, sum(CASE WHEN head IN (1, 2) THEN x ELSE 0 END) AS a, sum(CASE WHEN head IN (1, 2) THEN 0 ELSE x END) AS b FROM headcells WHERE pos < 3 GROUP BY ALL) GROUP BY ALL""",
+       (SELECT CAST(pos AS INTEGER) AS pos, layer, dim, sum(CASE WHEN head IN (1, 2) THEN x ELSE 0 END) AS a, sum(CASE WHEN head IN (1, 2) THEN 0 ELSE x END) AS b FROM headcells GROUP BY ALL) GROUP BY ALL""",
     "numbered", "cells", "headcells",
 )
 def core_metrics(spark, d):
-    ho = P.head_out(spark, d).filter("pos < 3")
+    ho = P.head_out(spark, d)
     cores = ho.select("protein_id", "layer").distinct().withColumn("core", F.array(F.lit(1), F.lit(2)))
     return streams.core_metrics(ho, cores).select("pos", "layer", _r("inter_cos", 5), _r("iso_mag", 5), _r("main_mag", 5))
 
@@ -466,14 +467,14 @@ def _decoder(spark, d):
 
 @_query(
     """SELECT t.pos, sae_layer, feature_id, act, round(sum(x * d), 5) AS answer_dot, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos, sae_layer ORDER BY act DESC, feature_id) AS n FROM
-         (SELECT CAST(b.label AS INTEGER) AS pos, CAST(a.label AS INTEGER) AS sae_layer, CAST(a.rn AS BIGINT) AS feature_id, round(greatest(a.embedding[1] * b.embedding[2], 0), 6) AS act FROM numbered a JOIN numbered b ON b.rn = 0)) t
+         (SELECT CAST(b.label AS INTEGER) AS pos, CAST(a.label AS INTEGER) AS sae_layer, CAST(a.rn AS BIGINT) AS feature_id, round(greatest(a.embedding[1] * b.embedding[2], 0), 6) AS act FROM numbered a JOIN numbered b ON b.rn = 0 AND b.label = a.label)) t
        JOIN cells c ON c.label = t.sae_layer AND c.rn = t.feature_id JOIN direction2 e ON e.pos = t.pos AND e.dim = c.dim WHERE n <= 20 GROUP BY ALL""",
     "numbered", "cells", "direction", "direction2",
 )
 def hidden_top_features(spark, d):
     e = P.numbered(spark, d)
-    other = e.filter("rn = 0").select(F.lit("p").alias("protein_id"), F.col("label").alias("pos"), F.get("embedding", F.lit(1)).alias("y"), F.lit(1).alias("one"))
-    act = e.select(F.col("label").alias("sae_layer"), F.col("rn").cast("long").alias("feature_id"), F.get("embedding", F.lit(0)).alias("x"), F.lit(1).alias("one")).join(F.broadcast(other), "one")
+    other = e.filter("rn = 0").select(F.lit("p").alias("protein_id"), F.col("label").alias("pos"), F.get("embedding", F.lit(1)).alias("y"), "label")
+    act = e.select(F.col("label").alias("sae_layer"), F.col("rn").cast("long").alias("feature_id"), F.get("embedding", F.lit(0)).alias("x"), "label").join(other, "label")
     act = act.select("protein_id", "pos", "sae_layer", "feature_id", F.round(F.greatest(F.col("x") * F.col("y"), F.lit(0.0).cast("float")).cast("float"), 6).alias("act"))
     return features.hidden_top_features(act, _decoder(spark, d), P.answers(spark, d)).select("pos", "sae_layer", "feature_id", "act", _r("answer_dot", 5), "rank")
 
@@ -543,9 +544,9 @@ def neuron_summary(spark, d):
 
 
 @_query("""SELECT doc_id, CASE WHEN p > 5 THEN '...' ELSE '' END || substr(s, greatest(p - 5, 0) + 1, p - greatest(p - 5, 0)) || '[' || substr(s, p + 1, 1) || ']' || substr(s, p + 2, least(p + 6, length(s)) - p - 1) || CASE WHEN p + 6 < length(s) THEN '...' ELSE '' END AS context
-    FROM (SELECT doc_id, substr(text, 1, 30) AS s, CAST(doc_id % least(length(text), 30) AS INTEGER) AS p FROM documents WHERE length(text) > 0)""")
+    FROM (SELECT doc_id, text AS s, CAST(doc_id % length(text) AS INTEGER) AS p FROM documents WHERE length(text) > 0)""")
 def sequence_contexts(spark, d):
-    docs = P.read(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.substring("text", 1, 30).alias("s"), (F.col("doc_id") % F.least(F.length("text"), F.lit(30))).cast("int").alias("p"))
+    docs = P.read(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.col("text").alias("s"), (F.col("doc_id") % F.length("text")).cast("int").alias("p"))
     return docs.select("doc_id", narrative.sequence_context(F.col("s"), F.col("p")).alias("context"))
 
 
@@ -582,18 +583,28 @@ def bare_references(spark, d):
 # Sources and sinks
 
 
-@_query("SELECT source AS protein_id, 'd' || doc_id AS seq_name, substr(s, 1, 40) AS aligned FROM (SELECT *, regexp_replace(text, '[^a-z]', '', 'g') AS s FROM documents WHERE lang = 'en') WHERE length(s) >= 40")
+_LETTERS_ONLY = "SELECT source AS protein_id, 'd' || doc_id AS seq_name, s AS aligned FROM (SELECT *, regexp_replace(text, '[^a-z]', '', 'g') AS s FROM documents)"
+
+
+def _letters_only(spark, d):
+    """Whole texts without all but a-z."""
+    return P.read(spark, d, "documents").select("source", "doc_id", F.regexp_replace("text", "[^a-z]", "").alias("s"))
+
+
+@_query(_LETTERS_ONLY + " WHERE length(s) >= 2")
 def stockholm_alignments(spark, d):
     """Families per source, written as Stockholm text in two blocks and parsed; names appear in both blocks."""
-    docs = P.read(spark, d, "documents").filter("lang = 'en'").select("source", "doc_id", F.regexp_replace("text", "[^a-z]", "").alias("s")).filter(F.length("s") >= 40)
-    text = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF AC "), "source", F.lit(".3\nd"), "doc_id", F.lit(" "), F.substring("s", 1, 20), F.lit("\n\n#=GC x y\nd"), "doc_id", F.lit("  "), F.substring("s", 21, 20), F.lit("\n"))
+    docs = _letters_only(spark, d).filter(F.length("s") >= 2)
+    first, second = F.expr("substring(s, 1, length(s) div 2)"), F.expr("substring(s, length(s) div 2 + 1)")
+    text = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF AC "), "source", F.lit(".3\nd"), "doc_id", F.lit(" "), first, F.lit("\n\n#=GC x y\nd"), "doc_id", F.lit("  "), second, F.lit("\n"))
     return readers.parse_stockholm(docs.select(F.concat("source", F.lit("/"), "doc_id").alias("family"), text.alias("text"))).select(F.substring_index("protein_id", "/", 1).alias("protein_id"), "seq_name", "aligned")
 
 
-@_query("SELECT source AS protein_id, 'd' || doc_id AS seq_name, substr(s, 1, 40) AS aligned FROM (SELECT *, regexp_replace(text, '[^a-z]', '', 'g') AS s FROM documents WHERE lang = 'en') WHERE length(s) >= 1")
+@_query(_LETTERS_ONLY + " WHERE length(s) >= 1")
 def fasta_alignments(spark, d):
-    docs = P.read(spark, d, "documents").filter("lang = 'en'").select("source", "doc_id", F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 40).alias("s"))
-    text = F.concat(F.lit(">d"), "doc_id", F.lit("\n"), F.substring("s", 1, 25), F.lit("\n"), F.substring("s", 26, 15), F.lit("\n>empty\n"))
+    """A file for each text, with lines of 60 letters and an empty record."""
+    docs = _letters_only(spark, d)
+    text = F.concat(F.lit(">d"), "doc_id", F.lit("\n"), F.regexp_replace("s", "(.{60})", "$1\n"), F.lit("\n>empty\n"))
     return readers.parse_fasta(docs.select(F.col("source").alias("protein_id"), text.alias("text"))).select("protein_id", "seq_name", "aligned")
 
 

@@ -33,6 +33,7 @@ def test_query(spark, sf, duck, name):
     if name in registry.oracle_sql():
         want = duck.sql(registry.oracle_sql()[name]).df()
         assert _plain(got).equals(_plain(want))
+    assert len(got) > 0
 
 
 def test_entry(spark, sf):
