@@ -448,13 +448,13 @@ def core_statistics(spark, d):
 
 @_query(
     """SELECT pos, layer, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 5) AS inter_cos, round(sqrt(sum(a * a)), 5) AS iso_mag, round(sqrt(sum(b * b)), 5) AS main_mag FROM
-       (SELECT CAST(pos AS INTEGER) AS pos, layer, dim, sum(CASE WHEN head IN (1, 2) THEN x ELSE 0 END) AS a, sum(CASE WHEN head IN (1, 2) THEN 0 ELSE x END) AS b FROM headcells GROUP BY ALL) GROUP BY ALL""",
+       (SELECT CAST(pos AS INTEGER) AS pos, layer, dim, sum(CASE WHEN head IN (1, 2) THEN x ELSE 0 END) AS a, sum(CASE WHEN head IN (1, 2) THEN 0 ELSE x END) AS b FROM headcells GROUP BY ALL) GROUP BY ALL HAVING sum(a * a) > 0 AND sum(b * b) > 0""",
     "numbered", "cells", "headcells",
 )
 def core_metrics(spark, d):
     ho = P.head_out(spark, d)
     cores = ho.select("protein_id", "layer").distinct().withColumn("core", F.array(F.lit(1), F.lit(2)))
-    return streams.core_metrics(ho, cores).select("pos", "layer", _r("inter_cos", 5), _r("iso_mag", 5), _r("main_mag", 5))
+    return streams.core_metrics(ho, cores).filter("iso_mag > 0 AND main_mag > 0").select("pos", "layer", _r("inter_cos", 5), _r("iso_mag", 5), _r("main_mag", 5))
 
 
 # Features and neurons

