@@ -66,9 +66,13 @@ def reference_map(features: DataFrame) -> DataFrame:
     return features.select(*KEY, "kind", "ref_id", "layer", F.abs("proj").alias("strength"))
 
 
+def _named_items(path: str, texts: Column) -> Column:
+    return F.coalesce(F.transform(texts, lambda t: F.struct(F.lit(path).alias("path"), t.alias("text"))), F.array().cast("array<struct<path:string,text:string>>"))
+
+
 def text_leaves(narratives: DataFrame, paths: dict[str, Column]) -> DataFrame:
     """(protein_id, pos, path, text) of the listed text or text-array columns."""
-    items = F.flatten(F.array(*[F.transform(F.array(c) if not many else c, lambda t, p=p: F.struct(F.lit(p).alias("path"), t.alias("text"))) for p, (c, many) in paths.items()]))
+    items = F.flatten(F.array(*[_named_items(path, c if many else F.array(c)) for path, (c, many) in paths.items()]))
     return narratives.select(*KEY, F.posexplode(items).alias("leaf", "i")).select(*KEY, F.concat_ws("#", "i.path", F.col("leaf").cast("string")).alias("path"), "i.text").filter("text IS NOT NULL")
 
 

@@ -7,7 +7,6 @@ running(protein_id, pos, layer, aa, prob).
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,7 +76,7 @@ def cumulative_components(components: DataFrame) -> DataFrame:
 def spectrum(series: DataFrame, kind: str = "kind") -> DataFrame:
     """Power of the layer-axis cosine transform per (protein_id, pos, kind): (…, k, power).
 
-    ``series`` has vec per layer.  One position's series is one group of fixed size.
+    ``series`` has vec per layer.  One position's series is one group: as many rows as the model has layers.
     """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
@@ -125,10 +124,6 @@ AMINO_ACIDS = {
 }
 
 
-def letter_names(spark) -> DataFrame:
-    return spark.createDataFrame([(a, *n) for a, n in AMINO_ACIDS.items()], "aa string, name string, letter_group string")
-
-
 def trajectories(running: DataFrame, top_n: int = 5, shown: tuple[int, ...] = (0, 8, 17, 23, 29, 33)) -> DataFrame:
     """The ``top_n`` letters by final probability: final, peak, first peak layer, values at the shown layers there are."""
     per = running.groupBy(*KEY, "aa").agg(
@@ -139,13 +134,21 @@ def trajectories(running: DataFrame, top_n: int = 5, shown: tuple[int, ...] = (0
     return ranked.withColumn("values", F.map_from_entries("_at")).drop("_at")
 
 
+def named_trajectories(trajectories_: DataFrame) -> DataFrame:
+    """Trajectories for evidence: name and group of the letter, probabilities in percent with 2 places, waypoints by layer."""
+    of = lambda i, absent: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for a, n in AMINO_ACIDS.items() for x in (a, n[i])]), F.col("aa")), absent)
+    pct = lambda c: F.round(c * 100, 2)
+    waypoints = F.transform_values(F.transform_keys("values", lambda k, _: k.cast("string")), lambda _, v: pct(v))
+    return trajectories_.select(*KEY, "aa", of(0, F.col("aa")).alias("name"), of(1, F.lit("unknown")).alias("group"), pct(F.col("final")).alias("final_prob"), pct(F.col("peak")).alias("peak_prob"), "peak_layer", waypoints.alias("waypoints"), "rank")
+
+
 def key_velocity_events(velocity_: DataFrame, least: float = 0.5, most: int = 10) -> DataFrame:
     """Steps with |answer| >= ``least``: driver, direction; the ``most`` largest after rounding to 2 places, then by layer.
 
     Input: protein_id, pos, layer, answer, attention, mlp.  The event's layer is the step's plus one.
     """
     a, m = F.abs("attention"), F.abs("mlp")
-    driver = F.when(a > 1.5 * m, "attention").when(m > 1.5 * a, "mlp").otherwise("both")
+    driver = F.when(a > 1.5 * m, "attention").when(m > 1.5 * a, "MLP").otherwise("both")
     w = W.partitionBy(*KEY).orderBy(F.desc(F.abs(F.round("answer", 2))), "layer")
     events = velocity_.filter(F.abs("answer") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return events.select(*KEY, (F.col("layer") + 1).alias("layer"), F.round("answer", 2).alias("answer"), driver.alias("driver"), F.when(F.col("answer") > 0, "toward").otherwise("away").alias("direction"), "rank")
+    return events.select(*KEY, (F.col("layer") + 1).alias("layer"), F.round("answer", 2).alias("total_delta"), F.round("attention", 2).alias("attn_delta"), F.round("mlp", 2).alias("mlp_delta"), driver.alias("driver"), F.when(F.col("answer") > 0, "toward").otherwise("away from").alias("direction"), "rank")

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.functions import kernels
@@ -158,9 +157,3 @@ def patch_missing(records: DataFrame, fresh: DataFrame, force: bool = False) ->
     both = records.join(fresh.select("protein_id", "position", F.col("stream_analysis").alias("_new")), ["protein_id", "position"], "left")
     value = F.coalesce("_new", "stream_analysis") if force else F.coalesce("stream_analysis", "_new")
     return both.withColumn("stream_analysis", value).select(*records.columns)
-
-
-def rank_magnitudes(cosines: DataFrame, most: int = 3) -> DataFrame:
-    """The largest heads of each layer."""
-    w = W.partitionBy(*KEY).orderBy(F.desc("magnitude"), "head")
-    return cosines.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

@@ -264,18 +264,28 @@ def cumulative_components(spark, d):
     return c.groupBy("pos", "component", "layer").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("size"))
 
 
-@_query()
+RUN = 33
+
+
+P.SQL["coefficients"] = f"""comp AS (SELECT label, rn % 2 AS kd, rn // 2 // {RUN} AS run, rn // 2 % {RUN} AS step, dim, x FROM cells), sizes AS (SELECT label, kd, run, max(step) + 1 AS n FROM comp GROUP BY ALL),
+  coefficients AS (SELECT label, kd, run, dim, k, sum(x * CASE WHEN k = 0 THEN sqrt(1.0 / n) ELSE sqrt(2.0 / n) END * cos(pi() * k * (2 * step + 1) / (2 * n))) AS c FROM comp JOIN sizes USING (label, kd, run) JOIN range({RUN}) r(k) ON k < n GROUP BY ALL)"""
+
+
+@_query("SELECT CAST(label + 1000 * run AS INTEGER) AS pos, CASE WHEN kd = 0 THEN 'attn' ELSE 'mlp' END AS kind, CAST(k AS INTEGER) AS k, round(sqrt(sum(c * c)), 4) AS power FROM coefficients GROUP BY label, kd, run, k", "numbered", "cells", "coefficients")
 def layer_spectrum(spark, d):
-    return series.spectrum(P.components(spark, d).withColumnRenamed("component", "kind"))
+    """Positions are runs of 33 layers of a label, so that their number grows and not their length."""
+    runs = P.components(spark, d).withColumnRenamed("component", "kind").withColumn("pos", F.expr(f"cast(pos + 1000 * (layer div {RUN}) as int)"))
+    return series.spectrum(runs).select("pos", "kind", "k", _r("power", 4))
 
 
 @_query(
     """SELECT pos, CAST(k AS INTEGER) AS k, round(sum(answer * CASE WHEN k = 0 THEN sqrt(1.0 / n) ELSE sqrt(2.0 / n) END * cos(pi() * k * (2 * step + 1) / (2 * n))), 4) AS coefficient
-       FROM (SELECT pos, answer, row_number() OVER (PARTITION BY pos ORDER BY layer) - 1 AS step, count(*) OVER (PARTITION BY pos) AS n FROM velocity) JOIN (SELECT pos, unnest(range(count(*))) AS k FROM velocity GROUP BY pos) USING (pos) GROUP BY ALL""",
+       FROM (SELECT CAST(pos + 1000 * (layer // 33) AS INTEGER) AS pos, answer, layer % 33 AS step, count(*) OVER (PARTITION BY pos, layer // 33) AS n FROM velocity) JOIN range(33) r(k) ON k < n GROUP BY ALL""",
     "numbered", "cells", "direction", "steps", "velocity",
 )
 def answer_spectrum(spark, d):
     v = series.velocity(P.hidden(spark, d), P.answers(spark, d)).withColumn("answer", F.round("answer", 5))
+    v = v.withColumn("pos", F.expr(f"cast(pos + 1000 * (layer div {RUN}) as int)"))
     return series.scalar_spectrum(v, "answer", "pos").select("pos", "k", _r("coefficient", 4))
 
 
@@ -303,8 +313,8 @@ def trajectory_summary(spark, d):
 
 
 @_query(
-    """SELECT pos, CAST(layer + 1 AS INTEGER) AS layer, round(answer, 2) AS answer, CASE WHEN abs(attention) > 1.5 * abs(mlp) THEN 'attention' WHEN abs(mlp) > 1.5 * abs(attention) THEN 'mlp' ELSE 'both' END AS driver,
-         CASE WHEN answer > 0 THEN 'toward' ELSE 'away' END AS direction, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(round(answer, 2)) DESC, layer) AS n FROM velocity JOIN components USING (pos, layer) WHERE abs(answer) >= 0.1) WHERE n <= 10""",
+    """SELECT pos, CAST(layer + 1 AS INTEGER) AS layer, round(answer, 2) AS total_delta, round(attention, 2) AS attn_delta, round(mlp, 2) AS mlp_delta, CASE WHEN abs(attention) > 1.5 * abs(mlp) THEN 'attention' WHEN abs(mlp) > 1.5 * abs(attention) THEN 'MLP' ELSE 'both' END AS driver,
+         CASE WHEN answer > 0 THEN 'toward' ELSE 'away from' END AS direction, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(round(answer, 2)) DESC, layer) AS n FROM velocity JOIN components USING (pos, layer) WHERE abs(answer) >= 0.1) WHERE n <= 10""",
     "numbered", "cells", "direction", "steps", "velocity", "components",
 )
 def velocity_events(spark, d):
@@ -334,7 +344,11 @@ def head_projections(spark, d):
     return heads.head_projections(P.head_out(spark, d), P.answers(spark, d)).select("pos", "layer", "head", _r("projection", 5))
 
 
-@_query()
+P.SQL["made"] = """ctx AS (SELECT label, rn % 5 AS head, dim, sum(w * x) AS v FROM cells JOIN (SELECT label, rn, abs(x) AS w FROM cells WHERE dim = 9) USING (label, rn) WHERE dim < 8 GROUP BY ALL),
+  made AS (SELECT c.label, c.head, j, sum(v * m.x) + max(b.x) AS o FROM ctx c JOIN range(16) r(j) ON true JOIN cells m ON m.label = c.label AND m.rn = c.head AND m.dim = c.dim * 4 + j JOIN cells b ON b.label = c.label AND b.rn = c.head AND b.dim = j GROUP BY ALL)"""
+
+
+@_query("SELECT CAST(label AS INTEGER) AS layer, CAST(head AS INTEGER) AS head, round(sqrt(sum(o * o)), 4) AS size FROM made GROUP BY label, head", "numbered", "cells", "made")
 def head_outputs(spark, d):
     """Values are the vectors of a layer's heads over tokens; the output weights are read off the first vectors."""
     e = P.numbered(spark, d)
@@ -343,7 +357,7 @@ def head_outputs(spark, d):
     attention = e.select(*head, F.abs(F.get("embedding", F.lit(9))).cast("double").alias("weight"))
     weights = e.filter("rn < 5").select(F.col("label").alias("layer"), F.col("rn").alias("head"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(16))).alias("rows"), F.slice("embedding", 1, 16).alias("bias_share"))
     out = heads.head_outputs(attention, values, weights)
-    return out.select("layer", "head", F.round(V.norm("vec"), 6).alias("size"))
+    return out.select(F.col("layer").cast("int").alias("layer"), "head", F.round(V.norm("vec"), 4).alias("size"))
 
 
 @_query("SELECT pos, layer, head, attn_structural, attn_coevolving, attn_local FROM scored_heads", *_HEADS)
@@ -479,7 +493,11 @@ def hidden_top_features(spark, d):
     return features.hidden_top_features(act, _decoder(spark, d), P.answers(spark, d)).select("pos", "sae_layer", "feature_id", "act", _r("answer_dot", 5), "rank")
 
 
-@_query()
+@_query(
+    """SELECT CAST(label AS INTEGER) AS pos, CAST(a_rn AS INTEGER) AS layer, CAST(b_rn AS BIGINT) AS feature_id, round(p, 5) AS projection, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label, a_rn ORDER BY p DESC, b_rn) AS n FROM
+         (SELECT a.label, a.rn AS a_rn, b.rn AS b_rn, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-10) AS p FROM numbered a JOIN numbered b ON a.label = b.label)) WHERE n <= 20""",
+    "numbered",
+)
 def feature_projections(spark, d):
     vecs = P.hidden(spark, d).withColumn("sae_layer", F.col("pos"))
     return features.feature_projections(vecs, _decoder(spark, d), ("pos", "layer"), most=20).select("pos", "layer", "feature_id", _r("projection", 5), "rank")
@@ -554,7 +572,34 @@ def sequence_contexts(spark, d):
 def evidence_documents(spark, d):
     run = P.running(spark, d)
     positions = run.select("protein_id", "pos").distinct().withColumn("correct", F.lit(True))
-    return narrative.evidence(positions, trajectories=series.trajectories(run).drop("values"), lead_changes=series.lead_changes(run))
+    return narrative.evidence(positions, trajectories=series.named_trajectories(series.trajectories(run)).drop("waypoints"), lead_changes=series.lead_changes(run))
+
+
+P.SQL["urun"] = "urun AS (SELECT protein_id, 0 AS pos, layer, token AS aa, round(prob, 6) AS prob FROM probs)"
+
+
+@_query(
+    """SELECT protein_id, 'about ' || protein_id AS headline, CAST(t.n AS INTEGER) AS n_trajectories, best, CAST(coalesce(c.n, 0) AS INTEGER) AS n_changes FROM
+       (SELECT protein_id, least(count(*), 5) AS n, arg_max(aa, k) AS best FROM (SELECT *, -row_number() OVER (PARTITION BY protein_id ORDER BY final DESC, aa) AS k FROM (SELECT protein_id, aa, arg_max(prob, layer) AS final FROM urun GROUP BY ALL)) GROUP BY protein_id) t
+       LEFT JOIN (SELECT protein_id, count(*) AS n FROM (SELECT protein_id, aa, lag(aa) OVER (PARTITION BY protein_id ORDER BY layer) AS old FROM (SELECT *, row_number() OVER (PARTITION BY protein_id, layer ORDER BY prob DESC, aa) AS n FROM urun) WHERE n = 1) WHERE aa <> old GROUP BY protein_id) c USING (protein_id)""",
+    "logits", "probs", "urun",
+)
+def attached_narratives(spark, d):
+    """A record per user; letters are types of event, layers days."""
+    run = series.softmax(P.logits(spark, d)).select("protein_id", "pos", "layer", F.col("token").alias("aa"), _r("prob", 6))
+    places = run.select("protein_id", "pos").distinct()
+    told = places.withColumn("narrative", F.struct(F.concat(F.lit("about "), "protein_id").alias("headline")))
+    out = narrative.attach(places.withColumnRenamed("pos", "position"), told, series.trajectories(run), series.lead_changes(run))
+    first = F.get("candidate_trajectories", F.lit(0))["aa"]
+    return out.select("protein_id", F.col("equation_narrative.headline").alias("headline"), F.size("candidate_trajectories").alias("n_trajectories"), first.alias("best"), F.greatest(F.size(F.coalesce("lead_changes", F.array())), F.lit(0)).alias("n_changes"))
+
+
+@_query("SELECT doc_id, path, text FROM (SELECT doc_id, 'story#0' AS path, text FROM documents UNION ALL SELECT doc_id, 'key_layers#' || i, p FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS p FROM documents)) WHERE text IS NOT NULL")
+def narrative_leaves(spark, d):
+    """A text as the story, its lines as the items of a list."""
+    rows = P.read(spark, d, "documents").select(F.lit("p").alias("protein_id"), F.col("doc_id").alias("pos"), F.col("text").alias("story"), F.split("text", "\n").alias("lines"))
+    leaves = narrative.text_leaves(rows, {"story": (F.col("story"), False), "key_layers": (F.col("lines"), True)})
+    return leaves.select(F.col("pos").alias("doc_id"), "path", "text")
 
 
 @_query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), -1) AS k, CASE WHEN event_id % 5 = 0 THEN 'not JSON' ELSE '' END AS reason FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{}' ELSE props END AS props FROM events)")
@@ -580,6 +625,17 @@ def bare_references(spark, d):
     return narrative.bare_references(P.leaves(spark, d)).select("pos", "kind", "ref_id")
 
 
+@_query("SELECT CAST(vec_id AS BIGINT) AS pos, substr('ACD', CAST(letter + 1 AS INTEGER), 1) AS aa, round(sum(x * d), 5) AS along FROM (SELECT vec_id, label % 4 AS letter FROM embeddings WHERE label % 4 < 3) e JOIN (SELECT vec_id, label AS own, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings) c USING (vec_id) JOIN direction g ON g.label = e.letter AND g.dim = c.dim GROUP BY vec_id, letter", "numbered", "cells", "direction")
+def answer_directions(spark, d):
+    """Each vector's part in its letter's direction; a fourth of the labels has a letter without a direction."""
+    e = P.numbered(spark, d)
+    letter = F.expr("substr('ACDX', label % 4 + 1, 1)").alias("aa")
+    directions = e.filter("rn = 0 AND label < 3").select(letter, F.col("embedding").alias("vec"))
+    places = e.select(F.lit("p").alias("protein_id"), F.col("vec_id").alias("pos"), letter)
+    at = series.answer_directions(places, directions).join(e.select(F.col("vec_id").alias("pos"), "embedding"), "pos")
+    return at.select(F.col("pos").cast("long").alias("pos"), "aa", F.round(V.dot("embedding", "direction"), 5).alias("along"))
+
+
 # Sources and sinks
 
 
@@ -635,3 +691,90 @@ def position_records(spark, d):
     t = series.trajectories(run).groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("rank", "aa", "final"))).alias("trajectories"))
     c = series.lead_changes(run).groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "from_aa", "to_aa"))).alias("lead_changes"))
     return writers.position_records(run.select("protein_id", "pos").distinct(), {"candidate_trajectories": t, "lead_changes": c})
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stockholm' WHEN doc_id % 3 = 1 OR ltrim(text) LIKE '>%' THEN 'fasta' WHEN ltrim(text) LIKE '# STOCKHOLM%' THEN 'stockholm' ELSE 'none' END AS format FROM documents")
+def alignment_formats(spark, d):
+    head = F.when(F.col("doc_id") % 3 == 0, "  # STOCKHOLM 1.0\n").when(F.col("doc_id") % 3 == 1, " >x\n").otherwise("")
+    files = P.read(spark, d, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    return readers.detect_formats(files).select("doc_id", F.coalesce("format", F.lit("none")).alias("format"))
+
+
+@_query("SELECT 'd' || doc_id AS family, 'PF' || doc_id % 7 AS accession, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '//'))) AS INTEGER) AS n_lines FROM documents WHERE doc_id % 7 IN (1, 4) AND text IS NOT NULL")
+def selected_families(spark, d):
+    """A family per text, its accession with a version."""
+    text = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID d"), "doc_id", F.lit("\n#=GF AC PF"), F.col("doc_id") % 7, F.lit("."), F.col("doc_id") % 3, F.lit("\n"), "text")
+    families = readers.parse_families(P.read(spark, d, "documents").filter("text IS NOT NULL").select(text.alias("text")))
+    return readers.select_families(families, ["PF1", "PF4"]).select("family", "accession", "n_lines")
+
+
+@_query("SELECT 'structural' AS kind, * FROM base UNION ALL SELECT 'coevolving', * FROM curated", "links")
+def metadata_edges(spark, d):
+    """Written as a JSON document per protein, parsed and flattened."""
+    structural, coevolving = _order_edges(spark, d)
+    proteins = structural.select("protein_id").union(coevolving.select("protein_id")).distinct().withColumn("sequence", F.repeat(F.lit("A"), F.lit(97))).withColumn("seq_len", F.lit(97))
+    texts = writers.metadata(proteins, structural, coevolving, C.LETTERS).select(F.to_json(F.struct("*")).alias("text"))
+    back = readers.parse_documents(texts, readers.METADATA)
+    both = [readers.map_edges(back, column, "protein_name").select(F.lit(kind).alias("kind"), "*") for kind, column in (("structural", "structural_contacts"), ("coevolving", "coevolution_map"))]
+    return both[0].unionByName(both[1])
+
+
+@_query(f"SELECT protein_id, pos, partner, -1.0 AS score FROM {_SYM} UNION ALL SELECT protein_id, pos_i, pos_j, round(mi_apc, 4) FROM (SELECT *, round(mi_apc, 8) AS s FROM apc) WHERE s > 0.01", *_MI, "apc", "partners")
+def coevolution_documents(spark, d):
+    """From residues to the result as JSON, parsed again: partners have score -1, scored pairs theirs."""
+    mi = _mi(spark, d)
+    proteins = mi.select("protein_id").distinct().withColumn("sequence", F.repeat(F.lit("A"), F.lit(P.WIDTH))).withColumn("seq_len", F.lit(P.WIDTH))
+    edges = C.symmetrize(C.select_partners(mi, mi_threshold=0.01), proteins)
+    texts = writers.coevolution_result(proteins, edges, mi, C.coverage(edges, proteins), mi_threshold=0.01).select(F.to_json(F.struct("*")).alias("text"))
+    back = readers.parse_documents(texts, readers.COEVOLUTION)
+    pairs = readers.matrix_scores(back).select("protein_id", F.col("pos_i").alias("pos"), F.col("pos_j").alias("partner"), F.col("mi_apc").alias("score"))
+    return readers.map_edges(back, "coevolution_map", "protein").withColumn("score", F.lit(-1.0)).unionByName(pairs)
+
+
+@_query("SELECT CAST(l.layer AS INTEGER) AS layer, CAST(p_partkey AS INTEGER) AS feature_id, p_name AS summary FROM part, range(5) l(layer) WHERE p_partkey % 2 = 0")
+def parsed_labels(spark, d):
+    """Two-level label files of a thousand features each."""
+    rows = P.feature_labels(spark, d).withColumn("file", F.expr("feature_id div 1000"))
+    inner = F.map_from_entries(F.collect_list(F.struct(F.col("feature_id").cast("string"), F.struct("summary"))))
+    texts = rows.groupBy("layer", "file").agg(inner.alias("m")).select(F.to_json(F.struct(F.create_map(F.col("layer").cast("string"), "m").alias("features"))).alias("text"))
+    return readers.feature_labels(readers.parse_documents(texts, readers.LABELS)).select("layer", "feature_id", "summary")
+
+
+def _customer_streams(spark, d):
+    """What each customer's orders say, by segment and customer."""
+    o = P.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").cast("string").alias("layer_streams"))
+    return P.read(spark, d, "customer").join(o, "c_custkey").select(F.col("c_mktsegment").alias("protein_id"), F.col("c_custkey").alias("pos"), "layer_streams")
+
+
+def _customer_records(spark, d, missing: int):
+    """Records with the customer's name as the old streams; none for customers divisible by ``missing``."""
+    field = F.struct(F.col("c_name").alias("layer_streams"), F.col("c_nationkey").alias("keep"), F.lit(None).cast("string").alias("validation_metadata"))
+    return P.read(spark, d, "customer").select(F.col("c_mktsegment").alias("protein_id"), F.col("c_custkey").alias("position"), F.when(F.col("c_custkey") % missing != 0, field).alias("stream_analysis"))
+
+
+P.SQL["latest"] = "latest AS (SELECT o_custkey AS c_custkey, CAST(max(o_orderkey) AS VARCHAR) AS s FROM orders GROUP BY ALL)"
+
+
+@_query("SELECT c_mktsegment AS protein_id, c_custkey AS position, coalesce(s, c_name) AS layer_streams, c_nationkey AS keep, CASE WHEN s IS NULL THEN 'none' ELSE 'of ' || c_mktsegment END AS validation FROM customer LEFT JOIN latest USING (c_custkey) WHERE c_custkey % 4 <> 0", "latest")
+def patched_streams(spark, d):
+    about = P.read(spark, d, "customer").select(F.col("c_mktsegment").alias("protein_id")).distinct().withColumn("validation_metadata", F.concat(F.lit("of "), "protein_id"))
+    out = streams.patch_streams(_customer_records(spark, d, 4), _customer_streams(spark, d), about).filter("stream_analysis IS NOT NULL")
+    return out.select("protein_id", "position", "stream_analysis.layer_streams", "stream_analysis.keep", F.coalesce("stream_analysis.validation_metadata", F.lit("none")).alias("validation"))
+
+
+@_query("SELECT c_mktsegment AS protein_id, c_custkey AS position, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_name END, s, 'none') AS layer_streams FROM customer LEFT JOIN latest USING (c_custkey)", "latest")
+def patched_missing(spark, d):
+    fresh = _customer_streams(spark, d).select("protein_id", F.col("pos").alias("position"), F.struct("layer_streams", F.lit(0).alias("keep"), F.lit("new").alias("validation_metadata")).alias("stream_analysis"))
+    out = streams.patch_missing(_customer_records(spark, d, 4), fresh)
+    return out.select("protein_id", "position", F.coalesce("stream_analysis.layer_streams", F.lit("none")).alias("layer_streams"))
+
+
+@_query("SELECT c_custkey AS position, '9' AS layer, CASE WHEN c_custkey % 3 = 0 THEN s ELSE c_name END AS hidden, 'near ' || c_nationkey AS attn FROM (SELECT * FROM customer LEFT JOIN latest USING (c_custkey)) WHERE c_custkey % 3 <> 0 OR s IS NOT NULL UNION ALL SELECT c_custkey, '18', s, 'none' FROM customer JOIN latest USING (c_custkey) WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, '9', c_name, 'near ' || c_nationkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT c_custkey FROM latest)", "latest")
+def patched_features(spark, d):
+    """Every record has layer 9; customers with orders get a new list there, or layer 18, or none, by their number mod 3."""
+    old = F.create_map(F.lit("9"), F.struct(F.array("c_name").alias("hidden_state_top_features"), F.array(F.concat(F.lit("near "), "c_nationkey")).alias("attn_top_features")))
+    records = P.read(spark, d, "customer").select(F.col("c_mktsegment").alias("protein_id"), F.col("c_custkey").alias("position"), old.alias("sae_features"))
+    layer = F.when(F.col("pos") % 3 == 0, "9").when(F.col("pos") % 3 == 1, "18")
+    fresh = _customer_streams(spark, d).select("protein_id", F.col("pos").alias("position"), layer.alias("layer"), F.array("layer_streams").alias("features")).filter("layer IS NOT NULL")
+    flat = features.patch_hidden_features(records, fresh).select("position", F.explode("sae_features").alias("layer", "f"))
+    return flat.select("position", "layer", F.get("f.hidden_state_top_features", F.lit(0)).alias("hidden"), F.coalesce(F.get("f.attn_top_features", F.lit(0)), F.lit("none")).alias("attn"))

@@ -14,11 +14,20 @@ METADATA = (
     "protein_name string, sequence string, seq_len int, model string, n_layers int, n_heads int, hidden_dim int, sae_layers array<int>, structural_contacts map<string,array<int>>, "
     "coevolution_map map<string,array<int>>, curated_annotations map<string,struct<description:string,coevolving_positions:array<int>>>, amino_acids array<string>"
 )
+LABELS = (
+    "features map<string,map<string,struct<summary:string,activation_rate:double,interpretability:string,top_aas:array<struct<aa:string,enrichment:double>>,"
+    "dominant_ss:string,terminal_bias:boolean>>>"
+)
 
 
 def read_families(spark: SparkSession, path: str) -> DataFrame:
     """One row per family of Stockholm text: (family, accession, text); the accession without its version."""
-    raw = spark.read.option("lineSep", "\n//").text(path).select(F.col("value").alias("text")).filter(F.length(F.trim(F.regexp_replace("text", r"\s", ""))) > 0)
+    return parse_families(spark.read.option("lineSep", "\n//").text(path).select(F.col("value").alias("text")))
+
+
+def parse_families(texts: DataFrame) -> DataFrame:
+    """(family, accession, text) of (text) rows that hold one family each; blank ones are left out."""
+    raw = texts.filter(F.length(F.trim(F.regexp_replace("text", r"\s", ""))) > 0)
     accession = F.substring_index(F.regexp_extract("text", r"#=GF\s+AC\s+(\S+)", 1), ".", 1)
     name = F.regexp_extract("text", r"#=GF\s+ID\s+(\S+)", 1)
     return raw.select(F.when(name != "", name).otherwise(accession).alias("family"), accession.alias("accession"), "text")
@@ -98,6 +107,11 @@ def read_coevolution(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COEVOLUTION).option("multiLine", True).json(path)
 
 
+def parse_documents(texts: DataFrame, schema: str) -> DataFrame:
+    """The fields of JSON documents held as (text) rows, such as COEVOLUTION or METADATA; what isn't JSON is left out."""
+    return texts.select(F.from_json("text", schema).alias("d")).filter("d IS NOT NULL").select("d.*")
+
+
 def matrix_scores(rows: DataFrame) -> DataFrame:
     """(protein_id, pos_i, pos_j, mi_apc) of stored scores keyed 'i,j'."""
     cells = rows.select(F.col("protein").alias("protein_id"), F.explode("mi_matrix_nonzero").alias("k", "mi_apc"))
@@ -117,7 +131,10 @@ def read_records(spark: SparkSession, folder: str, schema: str, positions: list[
 
 def read_feature_labels(spark: SparkSession, path: str) -> DataFrame:
     """(layer, feature_id, label columns) of a two-level map of labels."""
-    label = "struct<summary:string,activation_rate:double,interpretability:string,top_aas:array<struct<aa:string,enrichment:double>>,dominant_ss:string,terminal_bias:boolean>"
-    rows = spark.read.schema(f"features map<string,map<string,{label}>>").option("multiLine", True).json(path)
+    return feature_labels(spark.read.schema(LABELS).option("multiLine", True).json(path))
+
+
+def feature_labels(rows: DataFrame) -> DataFrame:
+    """(layer, feature_id, label columns) of rows of the schema LABELS."""
     layers = rows.select(F.explode("features").alias("layer", "f")).select(F.col("layer").cast("int").alias("layer"), F.explode("f").alias("id", "label"))
     return layers.select("layer", F.col("id").cast("int").alias("feature_id"), "label.*")

@@ -114,11 +114,15 @@ def test_race_and_trajectories(spark):
     assert (change.layer, change.from_aa, change.to_aa, change.from_pct, change.to_pct) == (1, "A", "C", 50.0, 80.0)
     best = series.trajectories(run, 1).first()
     assert (best.aa, best.peak_layer, best.final) == ("C", 1, 0.8)
+    named = series.named_trajectories(series.trajectories(run, 1)).first()
+    assert (named.name, named.group, named.final_prob, named.peak_prob, named.waypoints) == ("Cysteine", "special", 80.0, 80.0, {"0": 50.0})
+    other = series.named_trajectories(series.trajectories(run.filter("aa = 'A'").withColumn("aa", F.lit("click")), 1)).first()
+    assert (other.name, other.group) == ("click", "unknown")
 
 
 def test_velocity_events(spark):
     v = spark.createDataFrame([("p", 0, 0, 0.5, 1.0, 0.1), ("p", 0, 1, -0.9, 0.1, 0.1), ("p", 0, 2, 0.49, 1.0, 1.0)], "protein_id string, pos int, layer int, answer double, attention double, mlp double")
-    assert rows(series.key_velocity_events(v), "rank") == [("p", 0, 2, -0.9, "both", "away", 1), ("p", 0, 1, 0.5, "attention", "toward", 2)]
+    assert rows(series.key_velocity_events(v), "rank") == [("p", 0, 2, -0.9, 0.1, 0.1, "both", "away from", 1), ("p", 0, 1, 0.5, 1.0, 0.1, "attention", "toward", 2)]
 
 
 def test_head_classes_at_the_limits(spark):
@@ -217,6 +221,18 @@ def test_references(spark):
     assert out.replacements == 4
 
 
+def test_text_leaves_and_attached_narratives(spark):
+    rows_ = spark.createDataFrame([("p", 0, "s", ["a", None, "b"]), ("p", 1, None, None)], "protein_id string, pos int, story string, key_layers array<string>")
+    leaves = narrative.text_leaves(rows_, {"story": (F.col("story"), False), "key_layers": (F.col("key_layers"), True)})
+    assert rows(leaves) == [("p", 0, "key_layers#1", "a"), ("p", 0, "key_layers#3", "b"), ("p", 0, "story#0", "s")]
+    run = spark.createDataFrame([("p", 0, l, a, x) for l, a, x in [(0, "A", 0.6), (0, "C", 0.4), (1, "A", 0.3), (1, "C", 0.7)]], "protein_id string, pos int, layer int, aa string, prob double")
+    records = spark.createDataFrame([("p", 0), ("p", 5)], "protein_id string, position int")
+    told = spark.createDataFrame([("p", 0, "n")], "protein_id string, pos int, narrative string")
+    out = {r.position: r for r in narrative.attach(records, told, series.trajectories(run), series.lead_changes(run)).collect()}
+    assert (out[0].equation_narrative, [t.aa for t in out[0].candidate_trajectories], [tuple(c) for c in out[0].lead_changes]) == ("n", ["C", "A"], [(1, "A", "C", 60.0, 70.0)])
+    assert tuple(out[5])[2:] == (None, None, None)
+
+
 def test_parsing_and_context(spark):
     data = spark.createDataFrame([(1, '```json\n{"k": 1}\n```'), (2, '{"k": '), (3, '{"j": 1}'), (4, None)], "id int, raw string")
     good, bad = narrative.parse_generated(data, schema="k int", required=("k",))
