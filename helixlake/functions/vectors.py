@@ -26,10 +26,6 @@ def minus(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") - y.cast("double"))
 
 
-def plus(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") + y.cast("double"))
-
-
 def cosine(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
     """Cosine; 0 where a length is not above ``least``."""
     return F.when((norm(a) > least) & (norm(b) > least), dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
@@ -39,13 +35,3 @@ def unit(v: Column | str) -> Column:
     """Length one: divided by the norm plus 1e-10."""
     size = norm(v) + F.lit(1e-10)
     return F.transform(_c(v), lambda x: x.cast("double") / size)
-
-
-def vector_mean(value: Column, dims: int) -> Column:
-    """Aggregate: elementwise mean of arrays with ``dims`` numbers."""
-    return F.array(*[F.avg(F.get(value, F.lit(i))) for i in range(dims)])
-
-
-def vector_sum(value: Column, dims: int) -> Column:
-    """Aggregate: elementwise sum of arrays with ``dims`` numbers."""
-    return F.array(*[F.sum(F.get(value, F.lit(i)).cast("double")) for i in range(dims)])
