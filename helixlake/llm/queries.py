@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixlake.llm import exact_dedup, html_text, jaccard_join, line_dedup, media, mixing, packing, quality, secret_scan, token_files
+from helixlake.llm import exact_dedup, html_text, jaccard_join, line_dedup, media, mixing, packing, quality, secret_scan, token_counts, token_files
 
-MODULES = (packing, exact_dedup, mixing, token_files, quality, media, line_dedup, secret_scan, html_text, jaccard_join)
+MODULES = (packing, exact_dedup, mixing, token_files, quality, media, line_dedup, secret_scan, html_text, jaccard_join, token_counts)
 
 
 def queries() -> dict:
