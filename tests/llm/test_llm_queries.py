@@ -11,7 +11,8 @@ from helixlake.llm.common import stored, table
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.queries()[name](spark, sf).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     plain = lambda df: df[columns].sort_values(columns).reset_index(drop=True).astype(str)
