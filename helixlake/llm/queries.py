@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixlake.llm import exact_dedup, html_text, jaccard_join, line_dedup, media, mixing, packing, quality, secret_scan, token_counts, token_files, vector_codes
+from helixlake.llm import exact_dedup, html_text, jaccard_join, line_dedup, media, merkle, mixing, packing, quality, secret_scan, token_counts, token_files, vector_codes
 
-MODULES = (packing, exact_dedup, mixing, token_files, quality, media, line_dedup, secret_scan, html_text, jaccard_join, vector_codes, token_counts)
+MODULES = (packing, exact_dedup, mixing, token_files, quality, media, line_dedup, secret_scan, html_text, jaccard_join, merkle, vector_codes, token_counts)
 
 
 def queries() -> dict:
