@@ -28,6 +28,33 @@ def pair_blocks(codes: np.ndarray, letters: int, block: int = 24):
                 yield i[ok], j[ok], r[ok] % letters, c[ok] % letters, n[r[ok], c[ok]]
 
 
+def letter_bits(strings, letters: str) -> np.ndarray:
+    """Bitmaps (position, letter, words of 64 sequences) of an Arrow array of ASCII strings; other characters set no bit."""
+    strings = strings.drop_null()
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    lengths = np.diff(ends)
+    text = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(strings) else np.zeros(0, np.uint8)
+    width = int(lengths.max(initial=0))
+    grid = np.zeros((-(-len(strings) // 64) * 64, width), np.uint8)
+    grid[np.repeat(np.arange(len(strings)), lengths), np.arange(len(text)) - np.repeat(ends[:-1] - ends[0], lengths)] = text
+    hot = grid.T[:, None, :] == np.frombuffer(letters.encode(), np.uint8)[None, :, None]
+    return np.ascontiguousarray(np.packbits(hot, axis=2)).view(np.uint64)
+
+
+def shared_bits(bits: np.ndarray):
+    """Sequences that two (position, letter) bitmaps share.
+
+    Yields (i, j, a, b, n) arrays of positions i <= j and letters with n > 0, for one i at a time.
+    """
+    width, letters = bits.shape[:2]
+    for i in range(width):
+        n = np.empty((width - i, letters, letters), np.int64)
+        for a in range(letters):
+            np.bitwise_count(bits[i:] & bits[i, a]).sum(axis=2, dtype=np.int64, out=n[:, a, :])
+        j, a, b = np.nonzero(n)
+        yield np.full(len(j), i), j + i, a, b, n[j, a, b]
+
+
 def mutual_information_dense(codes: np.ndarray, letters: int, least: int = 10) -> np.ndarray:
     """The scores over all cells, for tests of the sparse form."""
     width = codes.shape[1]

@@ -11,19 +11,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixlake.functions.kernels import pair_blocks
+from helixlake.functions.kernels import letter_bits, pair_blocks, shared_bits
+from helixlake.storage import stored
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+_CELL = ["protein_id", "pos_i", "pos_j", "aa_i", "aa_j", "n"]
 
 
-def sample_sequences(msa: DataFrame, max_seqs: int = 5000, seed: int = 42) -> DataFrame:
-    """At most ``max_seqs`` sequences per protein, uniformly, by hashed order."""
-    order = W.partitionBy("protein_id").orderBy(F.xxhash64("seq_name", F.lit(seed)), "seq_name", "seq_id")
-    return msa.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_seqs).drop("_n")
+def sample_sequences(msa: DataFrame, max_seqs: int = 5000, seed: int = 42, digits: int = 4) -> DataFrame:
+    """At most ``max_seqs`` sequences per protein, uniformly: those whose md5 of seed and name comes first, ties by seq_id.
+
+    Sequences are counted by the first ``digits`` of their digest, with map-side combining; the
+    counts of any parts of the data add up.  Up to the place where they reach
+    ``max_seqs``, rows go on to be ranked, so a large family sends few rows to its task.
+    """
+    hashed = msa.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(str(seed)), "seq_name")))
+    bins = hashed.groupBy("protein_id", F.substring("_md5", 1, digits).alias("_bin")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("protein_id").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
+    reached = bins.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < max_seqs)
+    limits = reached.groupBy(F.col("protein_id").alias("_protein")).agg(F.max("_bin").alias("_last"))
+    near = hashed.join(limits, F.col("protein_id") == F.col("_protein")).filter(F.substring("_md5", 1, digits) <= F.col("_last"))
+    order = W.partitionBy("protein_id").orderBy("_md5", "seq_name", "seq_id")
+    return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_seqs).select(*msa.columns)
 
 
 def pad_sequences(msa: DataFrame) -> DataFrame:
@@ -65,8 +79,13 @@ def letter_counts(residues: DataFrame) -> DataFrame:
 
 def column_frequencies(residues: DataFrame, positions: DataFrame, letters: str = LETTERS) -> DataFrame:
     """f = (n + 1) / (N + letters) for every mapped column and letter."""
+    return frequencies(letter_counts(residues), positions, letters)
+
+
+def frequencies(counts: DataFrame, positions: DataFrame, letters: str = LETTERS) -> DataFrame:
+    """The same from the letters' counts (protein_id, pos, aa, n)."""
     grid = positions.select("protein_id", "pos", F.explode(F.array(*[F.lit(a) for a in letters])).alias("aa"))
-    both = grid.join(letter_counts(residues), ["protein_id", "pos", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = grid.join(counts, ["protein_id", "pos", "aa"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     whole = F.sum("n").over(W.partitionBy("protein_id", "pos"))
     return both.select("protein_id", "pos", "aa", ((F.col("n") + 1) / (whole + len(letters))).alias("f"))
 
@@ -111,6 +130,67 @@ def pair_counts(residues: DataFrame, letters: str = LETTERS) -> DataFrame:
     return rows.mapInArrow(work, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
+def aligned_positions(msa: DataFrame, col_map: DataFrame) -> DataFrame:
+    """(protein_id, seq_id, aligned): each sequence as a string whose character p is its letter at position p, in upper case."""
+    maps = col_map.groupBy("protein_id").agg(F.sort_array(F.collect_list(F.struct("pos", "col"))).alias("_map"))
+    at = lambda m: F.substr(F.col("aligned"), m["col"] + 1, F.lit(1))
+    return msa.join(maps, "protein_id").select("protein_id", "seq_id", F.upper(F.array_join(F.transform("_map", at), "")).alias("aligned"))
+
+
+def cell_counts(rows: DataFrame, letters: str = LETTERS, block: int = 1 << 14) -> DataFrame:
+    """(protein_id, pos_i, pos_j, aa_i, aa_j, n) of aligned strings, pos_i <= pos_j; at pos_i = pos_j the letters' own counts.
+
+    ``rows``: protein_id, aligned; character p stands at position p, what isn't a letter counts
+    for nothing.  A task indexes blocks of sequences as they come: a bitmap per
+    (position, letter).  Pairs are the bits that two bitmaps share.  Nothing is melted or
+    gathered by sequence, only counted cells are shuffled, and a family of any size is spread
+    over all tasks.
+    """
+    kind = rows.schema["protein_id"].dataType
+    plain = F.regexp_replace("aligned", f"[^{letters}]", "-").alias("aligned")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+        for batch in batches:
+            coded = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            for k, protein in enumerate(coded.dictionary.to_pylist()):
+                held.setdefault(protein, []).append(batch.column(1).filter(pc.equal(coded.indices, k)))
+            size += len(batch)
+            if size >= block:
+                yield from counted(held)
+                held, size = {}, 0
+        yield from counted(held)
+
+    def counted(held: dict) -> Iterator[pa.RecordBatch]:
+        names = np.array(list(letters))
+        for protein, parts in held.items():
+            for i, j, a, b, n in shared_bits(letter_bits(pa.concat_arrays(parts), letters)):
+                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(names[a].tolist()), pa.array(names[b].tolist()), pa.array(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([protein] * len(n), arrow_kind), *columns], _CELL)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_kind = to_arrow_type(kind)
+    schema = f"protein_id {kind.simpleString()}, pos_i int, pos_j int, aa_i string, aa_j string, n bigint"
+    return rows.select("protein_id", plain).mapInArrow(work, schema).groupBy(*_CELL[:-1]).agg(F.sum("n").alias("n"))
+
+
+def cells_of_residues(residues: DataFrame, letters: str = LETTERS, joined: bool = False) -> DataFrame:
+    """The same table from residues in long form."""
+    own = letter_counts(residues).select("protein_id", F.col("pos").alias("pos_i"), F.col("pos").alias("pos_j"), F.col("aa").alias("aa_i"), F.col("aa").alias("aa_j"), "n")
+    return (pair_counts_joined(residues) if joined else pair_counts(residues, letters)).unionByName(own)
+
+
+def pair_cells(cells: DataFrame) -> DataFrame:
+    return cells.filter("pos_i < pos_j")
+
+
+def letter_cells(cells: DataFrame) -> DataFrame:
+    """(protein_id, pos, aa, n): the letters' own counts."""
+    return cells.filter("pos_i = pos_j AND aa_i = aa_j").select("protein_id", F.col("pos_i").alias("pos"), F.col("aa_i").alias("aa"), "n")
+
+
 def mutual_information(counts: DataFrame, frequencies: DataFrame, letters: int = len(LETTERS), least: int = 10) -> DataFrame:
     """(protein_id, pos_i, pos_j, total, mi) from observed cells alone.
 
@@ -201,10 +281,15 @@ def first_source(*sources: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
-def coevolution(residues: DataFrame, positions: DataFrame, letters: str = LETTERS, joined: bool = False) -> DataFrame:
-    """mi table of all proteins with enough mapped positions."""
+def coevolution(cells: DataFrame, positions: DataFrame | None = None, letters: str = LETTERS) -> DataFrame:
+    """mi table, with mi_apc, of all proteins with enough mapped positions, from the cells' counts.
+
+    ``cells`` is read several times, as is the score table made from it: a stored table is expected.
+    ``positions`` are all mapped ones; by default those where a letter was counted.
+    """
+    own = letter_cells(cells)
+    positions = own.select("protein_id", "pos").distinct() if positions is None else positions
     enough = enough_columns(positions)
-    residues, positions = residues.join(enough, "protein_id", "left_semi"), positions.join(enough, "protein_id", "left_semi")
-    counts = pair_counts_joined(residues) if joined else pair_counts(residues, letters)
-    mi = mutual_information(counts, column_frequencies(residues, positions, letters), len(letters)).persist()  # read four times below; a row per pair of columns
+    cells, own, positions = (x.join(enough, "protein_id", "left_semi") for x in (cells, own, positions))
+    mi = stored(mutual_information(pair_cells(cells), frequencies(own, positions, letters), len(letters)), "mi")
     return apc(mi, positions)

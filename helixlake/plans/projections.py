@@ -44,6 +44,16 @@ def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.filter(F.col("aa").isin(*LETTERS))
 
 
+_LOW, _HIGH = "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS"
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``residues`` as aligned strings of 24 characters: first those with even numbers, then those with odd ones."""
+    rows = windows(read(spark, sf_dir, "documents"), WIDTH)
+    even, odd = F.regexp_replace("s", "(?s)(.).?", "$1"), F.regexp_replace("s", "(?s).(.?)", "$1")
+    return rows.select(F.col("lang").alias("protein_id"), "seq_id", F.translate(F.concat(F.rpad(even, WIDTH // 2, "-"), odd), _LOW, _HIGH).alias("aligned"))
+
+
 SQL["residues"] = f"""residues AS (SELECT * FROM (SELECT lang AS protein_id, seq_id, CAST(p.i % 2 * 12 + p.i // 2 AS INTEGER) AS pos, upper(substr(s, CAST(p.i AS INTEGER) + 1, 1)) AS aa
     FROM {_windows_sql(WIDTH)}, range({WIDTH}) AS p(i)) WHERE aa IN ({_IN}))"""
 

@@ -16,6 +16,7 @@ from helixlake.operators import coevolution as C
 from helixlake.operators import contacts, features, heads, narrative, series, streams
 from helixlake.plans import projections as P
 from helixlake.sources import readers, writers
+from helixlake.storage import stored
 
 FLAGSHIP = "coevolution_partners"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,9 +50,13 @@ def _r(column: str, digits: int = 6):
 _MI = ("residues", "letters", "freq", "counts", "mi")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cell_counts(P.aligned(spark, sf_dir))
+
+
 def _mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = P.residues(spark, sf_dir)
-    return C.coevolution(r, P.positions(r)).withColumn("mi_apc", F.round("mi_apc", 8))
+    """Scores of all families; cells and scores are stored, so that no plan behind them is run twice."""
+    return C.coevolution(stored(_cells(spark, sf_dir), "cells")).withColumn("mi_apc", F.round("mi_apc", 8))
 
 
 # Coevolution
@@ -67,7 +72,11 @@ def padded_sequences(spark, d):
     return C.pad_sequences(P.msa(spark, d))
 
 
-@_query()
+P.SQL["sampled"] = "sampled AS (SELECT protein_id, seq_id, seq_name, aligned FROM (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY md5('42:' || seq_name), seq_name, seq_id) AS n FROM msa) WHERE n <= {})"
+P.SQL["sampled20"], P.SQL["sampled400"] = P.SQL["sampled"].format(20), P.SQL["sampled"].format(400)
+
+
+@_query("SELECT * FROM sampled", "msa", "sampled20")
 def sampled_sequences(spark, d):
     return C.sample_sequences(P.msa(spark, d), max_seqs=20)
 
@@ -106,6 +115,11 @@ def column_frequencies(spark, d):
 
 @_query("SELECT protein_id, pos_i, pos_j, aa_i, aa_j, n FROM counts", "residues", "counts")
 def pair_counts(spark, d):
+    return C.pair_cells(_cells(spark, d))
+
+
+@_query("SELECT protein_id, pos_i, pos_j, aa_i, aa_j, n FROM counts", "residues", "counts")
+def pair_counts_gathered(spark, d):
     return C.pair_counts(P.residues(spark, d))
 
 
@@ -116,14 +130,14 @@ def pair_counts_joined(spark, d):
 
 @_query("SELECT protein_id, pos_i, pos_j, total, round(mi, 6) AS mi FROM mi", *_MI)
 def mutual_information(spark, d):
-    r = P.residues(spark, d)
-    return C.mutual_information(C.pair_counts(r), C.column_frequencies(r, P.positions(r))).withColumn("mi", F.round("mi", 6))
+    cells = stored(_cells(spark, d), "cells")
+    own = C.letter_cells(cells)
+    return C.mutual_information(C.pair_cells(cells), C.frequencies(own, own.select("protein_id", "pos").distinct())).withColumn("mi", F.round("mi", 6))
 
 
 @_query("SELECT protein_id, pos_i, pos_j, round(mi, 5) AS mi, round(mi_apc, 5) AS mi_apc FROM apc", *_MI, "apc")
 def corrected_scores(spark, d):
-    r = P.residues(spark, d)
-    return C.coevolution(r, P.positions(r)).select("protein_id", "pos_i", "pos_j", _r("mi", 5), _r("mi_apc", 5))
+    return _mi(spark, d).select("protein_id", "pos_i", "pos_j", _r("mi", 5), _r("mi_apc", 5))
 
 
 @_query("SELECT protein_id FROM residues GROUP BY protein_id HAVING count(DISTINCT pos) >= 10", "residues")
@@ -722,10 +736,15 @@ def metadata_edges(spark, d):
 @_query(f"SELECT protein_id, pos, partner, -1.0 AS score FROM {_SYM} UNION ALL SELECT protein_id, pos_i, pos_j, round(mi_apc, 4) FROM (SELECT *, round(mi_apc, 8) AS s FROM apc) WHERE s > 0.01", *_MI, "apc", "partners")
 def coevolution_documents(spark, d):
     """From residues to the result as JSON, parsed again: partners have score -1, scored pairs theirs."""
-    mi = _mi(spark, d)
+    mi = stored(_mi(spark, d), "scores")
     proteins = mi.select("protein_id").distinct().withColumn("sequence", F.repeat(F.lit("A"), F.lit(P.WIDTH))).withColumn("seq_len", F.lit(P.WIDTH))
-    edges = C.symmetrize(C.select_partners(mi, mi_threshold=0.01), proteins)
+    edges = stored(C.symmetrize(C.select_partners(mi, mi_threshold=0.01), proteins), "edges")
     texts = writers.coevolution_result(proteins, edges, mi, C.coverage(edges, proteins), mi_threshold=0.01).select(F.to_json(F.struct("*")).alias("text"))
+    return _result_leaves(stored(texts, "texts"))
+
+
+def _result_leaves(texts: DataFrame) -> DataFrame:
+    """Partners (score -1) and scored pairs of results as JSON."""
     back = readers.parse_documents(texts, readers.COEVOLUTION)
     pairs = readers.matrix_scores(back).select("protein_id", F.col("pos_i").alias("pos"), F.col("pos_j").alias("partner"), F.col("mi_apc").alias("score"))
     return readers.map_edges(back, "coevolution_map", "protein").withColumn("score", F.lit(-1.0)).unionByName(pairs)

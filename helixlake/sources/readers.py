@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 COEVOLUTION = (
@@ -39,6 +46,80 @@ def select_families(families: DataFrame, wanted: list[str]) -> DataFrame:
     return families.filter(F.col("accession").isin(*wanted)).withColumn("n_lines", F.size(lines))
 
 
+_SCANNED = "file string, block bigint, family_no bigint, line_no bigint, value string"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the lines of each input split and the families within it; a line '//' still belongs to the family it ends."""
+    at, families, lines = None, 0, 0
+    for batch in batches:
+        blocks, values = pc.cast(batch.column(1), pa.int64()).to_numpy(zero_copy_only=False), batch.column(2)
+        files = pc.dictionary_encode(batch.column(0))
+        change = np.flatnonzero(np.diff(files.indices.to_numpy(zero_copy_only=False)) | np.diff(blocks)) + 1
+        ends = pc.starts_with(values, "//").to_numpy(zero_copy_only=False).astype(np.int64)
+        for begin, end in itertools.pairwise([0, *change.tolist(), len(batch)]):
+            if begin == end:
+                continue
+            here = (batch.column(0)[begin].as_py(), int(blocks[begin]))
+            if here != at:
+                at, families, lines = here, 0, 0
+            done = np.cumsum(ends[begin:end])
+            part = batch.slice(begin, end - begin)
+            numbers = [pa.array(families + done - ends[begin:end]), pa.array(lines + np.arange(end - begin))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blocks[begin:end]), *numbers, part.column(2)], ["file", "block", "family_no", "line_no", "value"])
+            families, lines = families + int(done[-1]), lines + end - begin
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, family_no, line_no, value) of text files, a task per input split: family and line numbers count from the split's begin."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return lines.mapInArrow(_segments, _SCANNED)
+
+
+def family_index(scanned: DataFrame) -> DataFrame:
+    """(file, block, family_no, family, accession): which family a split's numbers stand for.
+
+    A split's summary says how many families end in it; added up over the splits before, that
+    numbers the families of a file, so a split that begins amid a family gets the accession
+    that stands in an earlier one.  Only lines '//', '#=GF AC' and '#=GF ID', and the splits'
+    first lines, are looked at.
+    """
+    ends, field = F.col("value").startswith("//"), lambda k: F.nullif(F.regexp_extract("value", rf"^#=GF\s+{k}\s+(\S+)", 1), F.lit(""))
+    marks = scanned.select("file", "block", "family_no", "line_no", ends.cast("long").alias("ends"), F.substring_index(field("AC"), ".", 1).alias("accession"), field("ID").alias("name"))
+    marks = marks.filter("ends = 1 OR accession IS NOT NULL OR name IS NOT NULL OR line_no = 0")
+    parts = marks.groupBy("file", "block", "family_no").agg(F.sum("ends").alias("ends"), F.min_by("accession", "line_no").alias("accession"), F.min_by("name", "line_no").alias("name"))
+    splits = parts.groupBy("file", "block").agg(F.sum("ends").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row per split of a file
+    splits = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = parts.join(splits, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block"))).withColumn("_family", F.col("_before") + F.col("family_no"))
+    whole = W.partitionBy("file", "_family").orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    named = [F.first(c, ignorenulls=True).over(whole).alias(c) for c in ("accession", "name")]
+    return numbered.select("file", "block", "family_no", *named).select("file", "block", "family_no", F.coalesce("name", "accession").alias("family"), "accession")
+
+
+def read_family_lines(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
+    """(family, accession, file, block, line_no, value) of files with many families, all or those with the ``wanted`` accessions, whatever version.
+
+    A family's lines stay rows, so it may be larger than any row or task; files that can be
+    split are read by as many tasks as they have splits.  Lines before a family's first are
+    its own, lines of a family without an accession and a name are left out.
+    """
+    scanned = scan_lines(spark, path)
+    index = family_index(scanned).filter("family IS NOT NULL")
+    index = index if wanted is None else index.filter(F.col("accession").isin(*wanted))
+    keys = ["file", "block", "family_no"]
+    return scanned.join(index, keys).select("family", "accession", "file", "block", "line_no", "value")
+
+
+def parse_stockholm_lines(lines: DataFrame, key: str = "accession") -> DataFrame:
+    """msa rows of ``read_family_lines``: chunks of one name are joined in order of file, split and line; seq_id counts bytes of splits and lines."""
+    text = F.trim("value")
+    parts = lines.filter((text != "") & ~F.col("value").startswith("#") & ~F.col("value").startswith("//")).select(F.col(key).alias("protein_id"), "file", "block", "line_no", F.split(text, r"\s+").alias("p")).filter(F.size("p") == 2)
+    chunk = F.struct("file", "block", "line_no", F.get("p", F.lit(1)).alias("chunk"))
+    named = parts.groupBy("protein_id", F.get("p", F.lit(0)).alias("seq_name")).agg(F.min(F.col("block") + F.col("line_no")).alias("seq_id"), F.array_join(F.transform(F.sort_array(F.collect_list(chunk)), lambda c: c["chunk"]), "").alias("aligned"))
+    return named.select("protein_id", "seq_id", "seq_name", "aligned")
+
+
 def parse_stockholm(families: DataFrame) -> DataFrame:
     """msa rows: blocks of one name are joined in order; lines that aren't name and chunk are left out."""
     lines = families.select("family", F.posexplode(F.split("text", "\n")).alias("line", "s"))

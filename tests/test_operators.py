@@ -27,22 +27,22 @@ def test_sparse_scores_equal_dense_ones(spark):
     pos = res.select("protein_id", "pos").distinct()
     want = kernels.mutual_information_dense(codes, 20)
     for joined in (False, True):
-        got = C.coevolution(res, pos, joined=joined).collect()
+        got = C.coevolution(C.cells_of_residues(res, joined=joined), pos).collect()
         for r in got:
             assert r.mi == pytest.approx(want[r.pos_i, r.pos_j], abs=1e-9)
     m = want.mean()
     for r in got:
         fixed = max(want[r.pos_i, r.pos_j] - want[r.pos_i].mean() * want[r.pos_j].mean() / m, 0)
         assert r.mi_apc == pytest.approx(fixed, abs=1e-9)
-    best = C.select_partners(C.coevolution(res, pos), mi_threshold=0.3).select("pos", "partner")
+    best = C.select_partners(C.coevolution(C.cells_of_residues(res), pos), mi_threshold=0.3).select("pos", "partner")
     assert (1, 9) in rows(best) and (9, 1) in rows(best)
 
 
 def test_few_pairs_score_zero_and_few_columns_give_nothing(spark):
     res = spark.createDataFrame([("f", s, p, "A") for s in range(9) for p in range(10)], "protein_id string, seq_id long, pos int, aa string")
     pos = res.select("protein_id", "pos").distinct()
-    assert {r.mi for r in C.coevolution(res, pos).collect()} == {0.0}
-    assert C.coevolution(res.filter("pos < 9"), pos.filter("pos < 9")).count() == 0
+    assert {r.mi for r in C.coevolution(C.cells_of_residues(res), pos).collect()} == {0.0}
+    assert C.coevolution(C.cells_of_residues(res.filter("pos < 9")), pos.filter("pos < 9")).count() == 0
 
 
 def test_partner_selection_rules(spark):
