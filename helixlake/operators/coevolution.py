@@ -166,7 +166,7 @@ def cell_counts(rows: DataFrame, letters: str = LETTERS, block: int = 1 << 14) -
         names = np.array(list(letters))
         for protein, parts in held.items():
             for i, j, a, b, n in shared_bits(letter_bits(pa.concat_arrays(parts), letters)):
-                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(names[a].tolist()), pa.array(names[b].tolist()), pa.array(n)]
+                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(names[a].tolist(), pa.string()), pa.array(names[b].tolist(), pa.string()), pa.array(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([protein] * len(n), arrow_kind), *columns], _CELL)
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from helixlake.functions import vectors as V
 from helixlake.operators import coevolution as C
 from helixlake.operators import contacts, features, heads, narrative, series, streams
+from helixlake.plans import alignment_job
 from helixlake.plans import projections as P
 from helixlake.sources import readers, writers
-from helixlake.storage import stored
+from helixlake.storage import Stages, shared_path, stored
 
 FLAGSHIP = "coevolution_partners"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -750,6 +751,71 @@ def _result_leaves(texts: DataFrame) -> DataFrame:
     return readers.map_edges(back, "coevolution_map", "protein").withColumn("score", F.lit(-1.0)).unionByName(pairs)
 
 
+def _bulk_file(spark, d):
+    """A bulk file of families: each text is a part of its source's family, its lines of 40 letters are sequences."""
+    rows = P.windows(P.read(spark, d, "documents"), 40)
+    line = F.concat(F.lit("seq"), "seq_id", F.lit(" "), F.regexp_replace("s", "[^A-Za-z]", "-"))
+    body = rows.groupBy("source", "doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    family = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID "), "source", F.lit("\n#=GF AC "), "source", F.lit("."), (F.col("doc_id") % 3).cast("string"), F.lit("\n"), "body", F.lit("\n//"))
+    path = shared_path(spark, "families")
+    body.select(family.alias("value")).write.text(path)
+    return path
+
+
+P.SQL["bulk"] = f"bulk AS (SELECT source AS protein_id, seq_id, 'seq' || seq_id AS seq_name, regexp_replace(s, '[^A-Za-z]', '-', 'g') AS aligned FROM {P._windows_sql(40)} WHERE source IS NOT NULL)"
+
+
+def _by_name(msa):
+    """Sequences numbered by their names."""
+    return msa.withColumn("seq_id", F.expr("cast(substring(seq_name, 4) as bigint)"))
+
+
+@_query("SELECT * FROM bulk", "bulk")
+def bulk_families(spark, d):
+    """All families of the bulk file, read in input splits."""
+    return _by_name(readers.parse_stockholm_lines(readers.read_family_lines(spark, _bulk_file(spark, d))))
+
+
+P.SQL["job"] = f"""msa AS (SELECT * FROM bulk), {P.SQL["targets"]}, {P.SQL["sampled400"]},
+  padded AS (SELECT s.protein_id, seq_id, aligned || repeat('-', CAST(max(length(aligned)) OVER (PARTITION BY s.protein_id) - length(aligned) AS INTEGER)) AS aligned, sequence FROM sampled s JOIN targets USING (protein_id)),
+  fits AS (SELECT protein_id, seq_id, aligned, sequence, (SELECT count(*) FROM range(40) r(i) WHERE i < least(length(u), length(sequence)) AND substr(u, CAST(i AS INTEGER) + 1, 1) = substr(sequence, CAST(i AS INTEGER) + 1, 1)) AS score FROM (SELECT *, upper(replace(aligned, '-', '')) AS u FROM padded)),
+  colmap AS (SELECT * FROM (SELECT protein_id, CAST(c AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY protein_id ORDER BY c) - 1 AS INTEGER) AS pos, length(sequence) AS len
+    FROM (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY score DESC, seq_id) AS n FROM fits), range(40) r(c) WHERE n = 1 AND c < length(aligned) AND substr(aligned, CAST(c AS INTEGER) + 1, 1) <> '-') WHERE pos < len),
+  mapped AS (SELECT protein_id, pos FROM colmap WHERE protein_id IN (SELECT protein_id FROM colmap GROUP BY protein_id HAVING count(*) >= 10)),
+  residues AS (SELECT * FROM (SELECT p.protein_id, seq_id, pos, upper(substr(aligned, col + 1, 1)) AS aa FROM padded p JOIN colmap USING (protein_id)) WHERE aa IN ({P._IN}) AND protein_id IN (SELECT protein_id FROM mapped)), {P.SQL["letters"]},
+  freq AS (SELECT g.protein_id, g.pos, g.aa, (count(r.aa) + 1) / (sum(count(r.aa)) OVER (PARTITION BY g.protein_id, g.pos) + 20.0) AS f FROM (SELECT * FROM mapped, letters) g LEFT JOIN residues r USING (protein_id, pos, aa) GROUP BY g.protein_id, g.pos, g.aa),
+  {P.SQL["counts"]}, {P.SQL["mi"]}, {P.SQL["apc"].replace("FROM residues", "FROM mapped")}, {P.SQL["partners"].replace("> 0.01", "> 0.02")},
+  known AS (SELECT DISTINCT source AS protein_id, CAST(n_chars % 7 AS INTEGER) AS pos, CAST(20 + doc_id % 5 AS INTEGER) AS partner FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL),
+  links AS (SELECT protein_id, pos, partner FROM partners UNION SELECT protein_id, pos, partner FROM known),
+  ends AS (SELECT DISTINCT protein_id, pos, partner FROM (SELECT * FROM links UNION ALL SELECT protein_id, partner, pos FROM links) JOIN targets USING (protein_id) WHERE greatest(pos, partner) < length(sequence))"""
+
+
+@_query(
+    """SELECT protein_id, 'partner' AS what, pos, partner, -1.0 AS score FROM ends UNION ALL SELECT protein_id, 'score', pos_i, pos_j, round(mi_apc, 4) FROM (SELECT *, round(mi_apc, 8) AS s FROM apc) WHERE s > 0.01
+       UNION ALL SELECT protein_id, CASE WHEN protein_id IN (SELECT protein_id FROM partners) THEN 'MI+APC' ELSE 'curated_only' END, count(DISTINCT pos), count(pos) // 2, length(any_value(sequence)) FROM targets LEFT JOIN ends USING (protein_id) GROUP BY protein_id
+       UNION ALL SELECT protein_id, 'msa', any_value(n), max(length(aligned)), any_value(m) FROM padded JOIN (SELECT protein_id, count(*) AS n FROM padded GROUP BY ALL) USING (protein_id) JOIN (SELECT protein_id, count(*) AS m FROM colmap GROUP BY ALL) USING (protein_id) GROUP BY protein_id
+       UNION ALL SELECT protein_id, 'note', pos, length('column ' || pos), 0 FROM (SELECT DISTINCT protein_id, pos FROM known)""",
+    "bulk", "job",
+)
+def alignment_results(spark, d):
+    """The whole job from a bulk file of Stockholm text to results as JSON, parsed again: partners, scores, coverage, the alignment's numbers and notes."""
+    msa = _by_name(readers.parse_stockholm_lines(readers.read_family_lines(spark, _bulk_file(spark, d))))
+    docs = P.read(spark, d, "documents").filter("source IS NOT NULL AND n_chars IS NOT NULL")
+    curated = docs.select(F.col("source").alias("protein_id"), (F.col("n_chars") % 7).cast("int").alias("pos"), (F.col("doc_id") % 5 + 20).cast("int").alias("partner")).distinct()
+    run = Stages(spark)
+    msa = run.stage("families", lambda m: m, msa)
+    proteins = P.targets(msa).withColumn("seq_len", F.length("sequence"))
+    notes = curated.select("protein_id", "pos", F.concat(F.lit("column "), "pos").alias("description")).distinct()
+    results = alignment_job.coevolution_results(run, msa, proteins, curated, notes, "bulk", max_seqs=400, mi_threshold=0.02)
+    texts = run.stage("texts", lambda r: r.select(F.to_json(F.struct("*")).alias("text")), results)
+    back = readers.parse_documents(texts, readers.COEVOLUTION)
+    leaves = _result_leaves(texts).select("protein_id", F.when(F.col("score") == -1, "partner").otherwise("score").alias("what"), "pos", "partner", "score")
+    cover = back.select(F.col("protein").alias("protein_id"), F.col("method").alias("what"), F.col("coverage.positions_with_partners").alias("pos"), F.col("coverage.total_pairs").alias("partner"), F.col("coverage.total_positions").cast("double").alias("score"))
+    about = back.filter("msa_info IS NOT NULL").select(F.col("protein").alias("protein_id"), F.lit("msa").alias("what"), F.col("msa_info.n_sequences").alias("pos"), F.col("msa_info.alignment_length").alias("partner"), F.col("msa_info.mapped_positions").cast("double").alias("score"))
+    told = back.select(F.col("protein").alias("protein_id"), F.explode("curated_descriptions").alias("k", "v")).select("protein_id", F.lit("note").alias("what"), F.col("k").cast("int").alias("pos"), F.length("v").alias("partner"), F.lit(0.0).alias("score"))
+    return leaves.unionByName(cover).unionByName(about).unionByName(told)
+
+
 @_query("SELECT CAST(l.layer AS INTEGER) AS layer, CAST(p_partkey AS INTEGER) AS feature_id, p_name AS summary FROM part, range(5) l(layer) WHERE p_partkey % 2 = 0")
 def parsed_labels(spark, d):
     """Two-level label files of a thousand features each."""

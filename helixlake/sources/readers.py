@@ -87,7 +87,7 @@ def family_index(scanned: DataFrame) -> DataFrame:
     ends, field = F.col("value").startswith("//"), lambda k: F.nullif(F.regexp_extract("value", rf"^#=GF\s+{k}\s+(\S+)", 1), F.lit(""))
     marks = scanned.select("file", "block", "family_no", "line_no", ends.cast("long").alias("ends"), F.substring_index(field("AC"), ".", 1).alias("accession"), field("ID").alias("name"))
     marks = marks.filter("ends = 1 OR accession IS NOT NULL OR name IS NOT NULL OR line_no = 0")
-    parts = marks.groupBy("file", "block", "family_no").agg(F.sum("ends").alias("ends"), F.min_by("accession", "line_no").alias("accession"), F.min_by("name", "line_no").alias("name"))
+    parts = marks.groupBy("file", "block", "family_no").agg(F.sum("ends").alias("ends"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c) for c in ("accession", "name")])
     splits = parts.groupBy("file", "block").agg(F.sum("ends").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row per split of a file
     splits = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("_before"))

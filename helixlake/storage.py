@@ -61,7 +61,8 @@ class Stages:
     sources read (path, size, time).  If the manifest has an entry for that, the stored
     table is read; otherwise the stage is computed, written and entered, so a run that broke
     off or whose parameters changed computes only what lacks.  A table without an entry is an
-    unfinished one and is written anew.  Plans never reach behind a stored table.
+    unfinished one and is written anew.  Plans never reach behind a stored table.  How a source
+    is made from its files isn't known: another projection needs another name or parameter.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
