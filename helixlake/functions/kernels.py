@@ -34,23 +34,27 @@ def letter_bits(strings, letters: str) -> np.ndarray:
     ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
     lengths = np.diff(ends)
     text = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(strings) else np.zeros(0, np.uint8)
-    width = int(lengths.max(initial=0))
-    grid = np.zeros((-(-len(strings) // 64) * 64, width), np.uint8)
-    grid[np.repeat(np.arange(len(strings)), lengths), np.arange(len(text)) - np.repeat(ends[:-1] - ends[0], lengths)] = text
-    hot = grid.T[:, None, :] == np.frombuffer(letters.encode(), np.uint8)[None, :, None]
-    return np.ascontiguousarray(np.packbits(hot, axis=2)).view(np.uint64)
+    width, words = int(lengths.max(initial=0)), -(-len(strings) // 64)
+    grid = np.zeros((width, words * 64), np.uint8)
+    grid[np.arange(len(text)) - np.repeat(ends[:-1] - ends[0], lengths), np.repeat(np.arange(len(strings)), lengths)] = text
+    bits = np.empty((width, len(letters), words), np.uint64)
+    for a, letter in enumerate(letters.encode()):
+        bits[:, a] = np.packbits(grid == letter, axis=1).view(np.uint64)
+    return bits
 
 
-def shared_bits(bits: np.ndarray):
-    """Sequences that two (position, letter) bitmaps share.
+def shared_bits(bits: np.ndarray, words: int = 1024):
+    """Sequences that two (position, letter) bitmaps share, counted ``words`` at a time.
 
     Yields (i, j, a, b, n) arrays of positions i <= j and letters with n > 0, for one i at a time.
     """
-    width, letters = bits.shape[:2]
+    width, letters, size = bits.shape
     for i in range(width):
-        n = np.empty((width - i, letters, letters), np.int64)
-        for a in range(letters):
-            np.bitwise_count(bits[i:] & bits[i, a]).sum(axis=2, dtype=np.int64, out=n[:, a, :])
+        n = np.zeros((width - i, letters, letters), np.int64)
+        for at in range(0, size, words):
+            right = bits[i:, :, at : at + words]
+            for a in range(letters):
+                n[:, a] += np.bitwise_count(right & right[0, a]).sum(axis=2, dtype=np.int64)
         j, a, b = np.nonzero(n)
         yield np.full(len(j), i), j + i, a, b, n[j, a, b]
 

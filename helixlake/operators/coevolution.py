@@ -7,12 +7,12 @@ pos_i < pos_j, edges(protein_id, pos, partner).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,43 +137,52 @@ def aligned_positions(msa: DataFrame, col_map: DataFrame) -> DataFrame:
     return msa.join(maps, "protein_id").select("protein_id", "seq_id", F.upper(F.array_join(F.transform("_map", at), "")).alias("aligned"))
 
 
-def cell_counts(rows: DataFrame, letters: str = LETTERS, block: int = 1 << 14) -> DataFrame:
+def cell_counts(rows: DataFrame, letters: str = LETTERS, block_bytes: int = 1 << 24) -> DataFrame:
     """(protein_id, pos_i, pos_j, aa_i, aa_j, n) of aligned strings, pos_i <= pos_j; at pos_i = pos_j the letters' own counts.
 
     ``rows``: protein_id, aligned; character p stands at position p, what isn't a letter counts
-    for nothing.  A task indexes blocks of sequences as they come: a bitmap per
-    (position, letter).  Pairs are the bits that two bitmaps share.  Nothing is melted or
-    gathered by sequence, only counted cells are shuffled, and a family of any size is spread
-    over all tasks.
+    for nothing.  A task indexes blocks of sequences as they come, of about ``block_bytes``: a
+    bitmap per (position, letter).  Pairs are the bits that two bitmaps share.  Nothing is melted
+    or gathered by sequence, only counted cells are shuffled, and a family of any size is
+    spread over all tasks.
     """
     kind = rows.schema["protein_id"].dataType
-    plain = F.regexp_replace("aligned", f"[^{letters}]", "-").alias("aligned")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         size = 0
         for batch in batches:
-            coded = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            coded, texts = pc.dictionary_encode(batch.column(0), null_encoding="encode"), batch.column(1)
+            if pc.sum(pc.binary_length(texts)) != pc.sum(pc.utf8_length(texts)):
+                texts = pc.replace_substring_regex(texts, "[^\\x00-\\x7f]", "-")
             for k, protein in enumerate(coded.dictionary.to_pylist()):
-                held.setdefault(protein, []).append(batch.column(1).filter(pc.equal(coded.indices, k)))
-            size += len(batch)
-            if size >= block:
+                held.setdefault(protein, []).append(texts.filter(pc.equal(coded.indices, k)))
+            size += texts.nbytes
+            if size >= block_bytes:
                 yield from counted(held)
                 held, size = {}, 0
         yield from counted(held)
 
     def counted(held: dict) -> Iterator[pa.RecordBatch]:
-        names = np.array(list(letters))
+        names = pa.array(list(letters))
         for protein, parts in held.items():
             for i, j, a, b, n in shared_bits(letter_bits(pa.concat_arrays(parts), letters)):
-                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(names[a].tolist(), pa.string()), pa.array(names[b].tolist(), pa.string()), pa.array(n)]
+                columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), names.take(pa.array(a)), names.take(pa.array(b)), pa.array(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([protein] * len(n), arrow_kind), *columns], _CELL)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_kind = to_arrow_type(kind)
     schema = f"protein_id {kind.simpleString()}, pos_i int, pos_j int, aa_i string, aa_j string, n bigint"
-    return rows.select("protein_id", plain).mapInArrow(work, schema).groupBy(*_CELL[:-1]).agg(F.sum("n").alias("n"))
+    return rows.select("protein_id", "aligned").mapInArrow(work, schema).groupBy(*_CELL[:-1]).agg(F.sum("n").alias("n"))
+
+
+def moved_cells(cells: DataFrame, new: Callable[[Column], Column]) -> DataFrame:
+    """Cells with positions p renumbered as ``new(p)``, one to one; a pair is turned where its order changes."""
+    i, j = new(F.col("pos_i")), new(F.col("pos_j"))
+    pick = lambda a, b: F.when(i <= j, a).otherwise(b)
+    aa = [pick(F.col("aa_i"), F.col("aa_j")).alias("aa_i"), pick(F.col("aa_j"), F.col("aa_i")).alias("aa_j")]
+    return cells.select("protein_id", F.least(i, j).alias("pos_i"), F.greatest(i, j).alias("pos_j"), *aa, "n")
 
 
 def cells_of_residues(residues: DataFrame, letters: str = LETTERS, joined: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ Each projection is deterministic and grows with its table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,10 +48,14 @@ _LOW, _HIGH = "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVW
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``residues`` as aligned strings of 24 characters: first those with even numbers, then those with odd ones."""
+    """The rows of ``residues`` as strings of 24 characters in the text's order; see ``column``."""
     rows = windows(read(spark, sf_dir, "documents"), WIDTH)
-    even, odd = F.regexp_replace("s", "(?s)(.).?", "$1"), F.regexp_replace("s", "(?s).(.?)", "$1")
-    return rows.select(F.col("lang").alias("protein_id"), "seq_id", F.translate(F.concat(F.rpad(even, WIDTH // 2, "-"), odd), _LOW, _HIGH).alias("aligned"))
+    return rows.select(F.col("lang").alias("protein_id"), "seq_id", F.translate("s", _LOW, _HIGH).alias("aligned"))
+
+
+def column(i: Column) -> Column:
+    """The position of character ``i`` of a row: neighbours stand 12 apart."""
+    return (i % 2 * (WIDTH // 2) + (i - i % 2) / 2).cast("int")
 
 
 SQL["residues"] = f"""residues AS (SELECT * FROM (SELECT lang AS protein_id, seq_id, CAST(p.i % 2 * 12 + p.i // 2 AS INTEGER) AS pos, upper(substr(s, CAST(p.i AS INTEGER) + 1, 1)) AS aa

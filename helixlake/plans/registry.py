@@ -52,7 +52,7 @@ _MI = ("residues", "letters", "freq", "counts", "mi")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cell_counts(P.aligned(spark, sf_dir))
+    return C.moved_cells(C.cell_counts(P.aligned(spark, sf_dir)), P.column)
 
 
 def _mi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def test_bitmaps_count_as_gathered_rows(spark):
     rng = __import__("random").Random(5)
     rows = [(f"f{i % 3}" if i % 7 else None, i, "".join(rng.choices(C.LETTERS + "-.xé", k=rng.randint(0, 12)))) for i in range(300)]
     msa = spark.createDataFrame([*rows, ("f1", 999, None)], "protein_id string, seq_id long, aligned string")
-    got = {tuple(r)[:5]: r.n for r in C.cell_counts(msa, block=50).collect()}
+    got = {tuple(r)[:5]: r.n for r in C.cell_counts(msa, block_bytes=50).collect()}
     want = {}
     for protein, _, s in rows:
         cells = [(p, c) for p, c in enumerate(s) if c in C.LETTERS]
