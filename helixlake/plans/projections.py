@@ -156,6 +156,20 @@ SQL["running"] = """running AS (SELECT protein_id, 0 AS pos, layer, aa, round(v
     (SELECT CAST(user_id % 5 AS VARCHAR) AS protein_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS layer, event_type AS aa, sum(abs(value)) AS v FROM events GROUP BY ALL))"""
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of value by type of event, per position (user mod 50) and layer (day mod 34); letters are the types' initials.
+
+    Shares have 3 places and a fourth of 1, so that no rounding of percentages is a tie.
+    """
+    layer, aa = F.pmod(F.unix_date(F.to_date("ts")), F.lit(34)).alias("layer"), F.upper(F.substring("event_type", 1, 1)).alias("aa")
+    per = read(spark, sf_dir, "events").groupBy(F.lit("p").alias("protein_id"), (F.col("user_id") % 50).cast("int").alias("pos"), layer, aa).agg(F.sum(F.abs("value")).alias("v"))
+    return per.select("protein_id", "pos", "layer", "aa", (F.round(F.col("v") / F.sum("v").over(W.partitionBy("pos", "layer")), 3) + 0.0001).alias("prob"))
+
+
+SQL["runs"] = """runs AS (SELECT pos, layer, aa, round(v / sum(v) OVER (PARTITION BY pos, layer), 3) + 0.0001 AS prob FROM
+    (SELECT CAST(user_id % 50 AS INTEGER) AS pos, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) % 34 AS INTEGER) AS layer, upper(substr(event_type, 1, 1)) AS aa, sum(abs(value)) AS v FROM events GROUP BY ALL))"""
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean value by type of event, per user and day; token ids in order of the types' names."""
     e = read(spark, sf_dir, "events")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.functions import vectors as V
 from helixlake.operators import coevolution as C
-from helixlake.operators import contacts, features, heads, narrative, series, streams
+from helixlake.operators import contacts, features, heads, narrative, records, series, streams
 from helixlake.plans import alignment_job
 from helixlake.plans import projections as P
 from helixlake.sources import readers, writers
@@ -590,6 +591,172 @@ def evidence_documents(spark, d):
     return narrative.evidence(positions, trajectories=series.named_trajectories(series.trajectories(run)).drop("waypoints"), lead_changes=series.lead_changes(run))
 
 
+# Whole records and evidence
+
+
+def _fine(scored):
+    """Scores with 3 places and a fourth of 1, so that no rounding to 3 places is a tie."""
+    odd = lambda c: (F.round(c, 3) + 0.0001).alias(c)
+    return scored.select(*heads.HEAD, odd("projection"), *[odd(c) for c in records.SOURCES])
+
+
+def _sections(spark, d):
+    """What records and evidence have in common, per position of the feature lists (50 with heads and runs, 10 with vectors)."""
+    labelled, scored = _scored(spark, d)
+    scored = _fine(scored)
+    runs = P.runs(spark, d)
+    last = runs.groupBy("protein_id", "pos").agg(F.max("layer").alias("layer"))
+    top = runs.join(last, ["protein_id", "pos", "layer"]).select("protein_id", "pos", "aa", "prob", F.row_number().over(W.partitionBy("pos").orderBy(F.desc("prob"), "aa")).alias("rank"))
+    lists = P.feature_lists(spark, d)
+    places = lists.select("protein_id", "pos").distinct()
+    edges = P.attention_edges(P.attention(spark, d))
+    of = lambda kind: edges.filter(F.col("kind") == kind).select("protein_id", "pos", "partner")
+    answers = P.answers(spark, d)
+    v = series.velocity(P.hidden(spark, d), answers).select("protein_id", "pos", "layer", _r("answer", 5), _r("magnitude", 5))
+    c = series.component_projections(P.components(spark, d), answers).select("protein_id", "pos", "layer", _r("attention", 5), _r("mlp", 5), _r("attn_mlp_cosine", 5))
+    return labelled, scored, runs, top, lists, places, of("structural"), of("coevolving"), v.join(c, ["protein_id", "pos", "layer"])
+
+
+P.SQL["aminos"] = "aminos AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{n}', '{g}')" for a, (n, g) in series.AMINO_ACIDS.items()) + ") t(aa, name, kind))"
+P.SQL["shown"] = f"""places AS (SELECT DISTINCT pos, substr('{C.LETTERS}', pos % 20 + 1, 1) AS own FROM lists),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY prob DESC, aa) AS k FROM (SELECT pos, aa, prob FROM runs JOIN (SELECT pos, max(layer) AS layer FROM runs GROUP BY pos) USING (pos, layer))),
+  contacts AS (SELECT pos, src AS partner FROM labelled WHERE structural = 1 GROUP BY ALL), coevolved AS (SELECT pos, src AS partner FROM labelled WHERE coevolving = 1 GROUP BY ALL),
+  fine AS (SELECT protein_id, pos, layer, head, round(projection, 3) + 0.0001 AS projection, round(attn_structural, 3) + 0.0001 AS attn_structural, round(attn_coevolving, 3) + 0.0001 AS attn_coevolving, round(attn_local, 3) + 0.0001 AS attn_local FROM scored_heads),
+  {P.SQL["classed"].replace("scored_heads", "fine")}, writing AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY abs(projection) DESC, layer, head) AS k FROM classed),
+  events_ AS (SELECT pos, layer, round(answer, 2) AS total, round(attention, 2) AS attn, round(mlp, 2) AS ml, CASE WHEN abs(attention) > 1.5 * abs(mlp) THEN 'attention' WHEN abs(mlp) > 1.5 * abs(attention) THEN 'MLP' ELSE 'both' END AS driver, CASE WHEN answer > 0 THEN 'toward' ELSE 'away from' END AS direction,
+    row_number() OVER (PARTITION BY pos ORDER BY abs(round(answer, 2)) DESC, layer) AS k FROM velocity JOIN components USING (pos, layer) WHERE abs(answer) >= 0.1),
+  paths AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY final DESC, aa) AS k FROM (SELECT pos, aa, arg_max(prob, layer) AS final, max(prob) AS peak, min(layer) FILTER (WHERE prob = best) AS peak_layer FROM (SELECT *, max(prob) OVER (PARTITION BY pos, aa) AS best FROM runs) GROUP BY ALL)),
+  changed AS (SELECT * FROM (SELECT pos, layer, aa AS now, prob AS p, lag(aa) OVER w AS old, lag(prob) OVER w AS q FROM (SELECT *, row_number() OVER (PARTITION BY pos, layer ORDER BY prob DESC, aa) AS n FROM runs) WHERE n = 1 WINDOW w AS (PARTITION BY pos ORDER BY layer)) WHERE old <> now),
+  features_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos, layer ORDER BY abs(proj) DESC, source, feature_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY pos, layer, feature_id ORDER BY abs(proj) DESC, source) AS once FROM
+    (SELECT *, row_number() OVER (PARTITION BY pos, layer, source ORDER BY abs(proj) DESC, feature_id) AS n FROM lists) WHERE n <= 8) WHERE once = 1) LEFT JOIN part ON p_partkey = feature_id WHERE k <= 8),
+  neurons_ AS (SELECT pos, layer, kind, rank, neuron, string_agg(aa, '' ORDER BY k) AS votes FROM letters3 WHERE rank <= 3 AND k <= 3 AND layer >= 4 GROUP BY pos, layer, kind, rank, neuron)"""
+_SHOWN = (*_HEADS, "runs", "lists", "numbered", "cells", "direction", "steps", "velocity", "components", "mlp", "gain", "pushed", "top", "letters3", "aminos", "shown")
+
+_EVIDENCE = "top5 array<struct<aa:string,name:string,prob_pct:double>>, candidate_trajectories array<struct<aa:string,name:string,group:string,final_prob:double,peak_prob:double,peak_layer:int,waypoints:map<string,double>>>, lead_changes array<struct<layer:int,from_aa:string,to_aa:string,from_pct:double,to_pct:double>>, key_velocity_events array<struct<layer:int,total_delta:double,attn_delta:double,mlp_delta:double,driver:string,direction:string>>, sae_features_by_layer map<string,array<struct<feature_id:int,source:string,proj:double,rank:int,ref:string,summary:string>>>, mlp_summary_by_layer map<string,array<struct<kind:string,rank:int,neuron:int,votes:array<string>,ref:string>>>, top_writing_events array<struct<layer:int,head:int,projection:double,type:string,structural_attn:double,coevol_attn:double,local_attn:double>>, protein string, position int, sequence_context string, true_amino_acid struct<letter:string,name:string,group:string>, predicted_amino_acid struct<letter:string,name:string,group:string>, prediction_correct boolean, confidence double, correct_rank int, structural_contacts_count int, coevolving_positions_count int"
+
+
+def _leaf(what, place, said, value):
+    """A leaf of a document: its section, its number there, its texts joined and a number."""
+    texts = [F.coalesce(x.cast("string"), F.lit("none")) for x in said] or [F.lit("")]
+    return F.struct(F.lit(what).alias("what"), place.cast("int").alias("place"), F.concat_ws("/", *texts).alias("said"), F.coalesce(value.cast("double"), F.lit(-1.0)).alias("value"))
+
+
+def _leaves(rows, *arrays):
+    return rows.select("pos", F.inline(F.concat(*arrays)))
+
+
+def _each(what, items, said, value):
+    """Leaves of a list, numbered from 0."""
+    return F.transform(F.coalesce(items, F.array()), lambda x, i: _leaf(what, i, said(x), value(x)))
+
+
+def _of_map(what, items, said, value):
+    """Leaves of a map of lists."""
+    entries = F.coalesce(F.map_entries(items), F.array())
+    return F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda x, i: _leaf(what, i, [e["key"], *said(x)], value(x)))))
+
+
+@_query(
+    """SELECT pos, what, CAST(place AS INTEGER) AS place, said, round(value, 3) AS value FROM (SELECT p.pos, 'about' AS what, 0 AS place, 'p/' || (p.pos + 1) || '/' || CASE WHEN p.pos > 5 THEN '...' ELSE '' END || substr(s, greatest(p.pos - 5, 0) + 1, p.pos - greatest(p.pos - 5, 0)) || '[' || own || ']' || substr(s, p.pos + 2, 5) || CASE WHEN p.pos + 6 < 400 THEN '...' ELSE '' END || '/' || own || '/' || t.name || '/' || t.kind || '/' || coalesce(r.aa, 'none') || '/' || coalesce(b.name, 'none') || '/' || coalesce(b.kind, 'none') || '/' || CASE WHEN r.aa = own THEN 'true' ELSE 'false' END AS said, coalesce(round(r.prob * 100, 2), -1) AS value
+         FROM places p JOIN aminos t ON t.aa = own LEFT JOIN ranked r ON r.pos = p.pos AND r.k = 1 LEFT JOIN aminos b ON b.aa = r.aa, (SELECT repeat('ACDEFGHIKLMNPQRSTVWY', 20) AS s)
+       UNION ALL SELECT pos, 'counts', 0, 'rank/' || (pos % 9 + 1) || '/' || (SELECT count(*) FROM contacts c WHERE c.pos = p.pos), (SELECT count(*) FROM coevolved c WHERE c.pos = p.pos) FROM places p
+       UNION ALL SELECT pos, 'top5', k - 1, aa || '/' || name, round(prob * 100, 2) FROM ranked JOIN aminos USING (aa) WHERE k <= 5
+       UNION ALL SELECT pos, 'trajectory', k - 1, aa || '/' || name || '/' || kind || '/' || peak_layer, round(final * 100, 2) FROM paths JOIN aminos USING (aa) WHERE k <= 5
+       UNION ALL SELECT pos, 'peak', k - 1, aa, round(peak * 100, 2) FROM paths WHERE k <= 5
+       UNION ALL SELECT pos, 'waypoint', layer, aa, round(prob * 100, 2) FROM runs JOIN (SELECT pos, aa, k FROM paths WHERE k <= 5) USING (pos, aa) WHERE layer IN (0, 8, 17, 23, 29, 33)
+       UNION ALL SELECT pos, 'change', row_number() OVER (PARTITION BY pos ORDER BY layer) - 1, layer || '/' || old || '/' || now, round(q * 100, 1) + 1000 * round(p * 100, 1) FROM changed
+       UNION ALL SELECT pos, 'velocity', k - 1, (layer + 1) || '/' || driver || '/' || direction, total + 100 * attn + 10000 * ml FROM events_ WHERE k <= 10
+       UNION ALL SELECT pos, 'feature', k - 1, layer || '/' || source || '/F' || layer || ':' || feature_id || '/' || coalesce(CASE WHEN feature_id % 2 = 0 THEN p_name END, 'none'), proj FROM features_
+       UNION ALL SELECT pos, 'neuron', row_number() OVER (PARTITION BY pos, layer ORDER BY kind, rank) - 1, layer || '/' || kind || '/N' || layer || ':' || neuron || '/' || votes, rank FROM neurons_ WHERE pos IN (SELECT pos FROM places)
+       UNION ALL SELECT pos, 'writing', k - 1, layer || '/' || head || '/' || type, round(projection, 3) FROM writing WHERE k <= 8
+       UNION ALL SELECT pos, 'share', k - 1, layer || '/' || head, round(attn_structural, 3) + 1000 * round(attn_coevolving, 3) + 1000000 * round(attn_local, 3) FROM writing WHERE k <= 8)""",
+    *_SHOWN,
+)
+def full_evidence(spark, d):
+    """The evidence document of every position with all sections, parsed again; a row per leaf."""
+    _, scored, runs, top, lists, places, structural, coevolving, steps = _sections(spark, d)
+    positions = places.select("protein_id", "pos", F.repeat(F.lit(C.LETTERS), F.lit(20)).alias("sequence"), (F.col("pos") % 9 + 1).cast("int").alias("correct_rank"))
+    summary = features.feature_summary(lists, P.feature_labels(spark, d))
+    neurons = features.neuron_summary(_letters(spark, d), first_layer=4)
+    told = records.position_evidence(
+        positions, top, series.named_trajectories(series.trajectories(runs)), series.lead_changes(runs), series.key_velocity_events(steps, least=0.1), summary, neurons, heads.writing_events(heads.classify_heads(scored)), structural, coevolving,
+    )
+    e = stored(told, "evidence").select("pos", F.from_json("evidence", _EVIDENCE).alias("e")).select("pos", "e.*")
+    amino = lambda c: [F.col(f"{c}.{f}") for f in ("letter", "name", "group")]
+    one = [
+        _leaf("about", F.lit(0), [F.col("protein"), F.col("position"), F.col("sequence_context"), *amino("true_amino_acid"), *amino("predicted_amino_acid"), F.col("prediction_correct")], F.col("confidence")),
+        _leaf("counts", F.lit(0), [F.lit("rank"), F.col("correct_rank"), F.col("structural_contacts_count")], F.col("coevolving_positions_count")),
+    ]
+    waypoints = F.flatten(F.transform("candidate_trajectories", lambda x: F.transform(F.map_entries(x["waypoints"]), lambda w: _leaf("waypoint", w["key"], [x["aa"]], w["value"]))))
+    return _leaves(
+        e, F.array(*one), waypoints,
+        _each("top5", F.col("top5"), lambda x: [x["aa"], x["name"]], lambda x: x["prob_pct"]),
+        _each("trajectory", F.col("candidate_trajectories"), lambda x: [x["aa"], x["name"], x["group"], x["peak_layer"]], lambda x: x["final_prob"]),
+        _each("peak", F.col("candidate_trajectories"), lambda x: [x["aa"]], lambda x: x["peak_prob"]),
+        _each("change", F.col("lead_changes"), lambda x: [x["layer"], x["from_aa"], x["to_aa"]], lambda x: x["from_pct"] + 1000 * x["to_pct"]),
+        _each("velocity", F.col("key_velocity_events"), lambda x: [x["layer"], x["driver"], x["direction"]], lambda x: x["total_delta"] + 100 * x["attn_delta"] + 10000 * x["mlp_delta"]),
+        _of_map("feature", F.col("sae_features_by_layer"), lambda x: [x["source"], x["ref"], x["summary"]], lambda x: x["proj"]),
+        _of_map("neuron", F.col("mlp_summary_by_layer"), lambda x: [x["kind"], x["ref"], F.array_join(x["votes"], "")], lambda x: x["rank"]),
+        _each("writing", F.col("top_writing_events"), lambda x: [x["layer"], x["head"], x["type"]], lambda x: x["projection"]),
+        _each("share", F.col("top_writing_events"), lambda x: [x["layer"], x["head"]], lambda x: x["structural_attn"] + 1000 * x["coevol_attn"] + 1000000 * x["local_attn"]),
+    ).withColumn("value", F.round("value", 3))
+
+
+P.SQL["weights"] = "weighed AS (SELECT pos, src, row_number() OVER (PARTITION BY pos ORDER BY src) - 1 AS k, round(sum(abs(projection) * weight), 4) AS total, round(sum(CASE WHEN attn_structural > 0.1 THEN abs(projection) * weight ELSE 0 END), 4) AS structural, round(sum(CASE WHEN attn_coevolving > 0.1 THEN abs(projection) * weight ELSE 0 END), 4) AS coevolving FROM attention JOIN fine USING (protein_id, pos, layer, head) WHERE abs(projection) > 0.1 GROUP BY pos, src)"
+
+
+@_query(
+    """SELECT pos, what, CAST(place AS INTEGER) AS place, said, round(value, 6) AS value FROM (SELECT pos, 'predicted' AS what, 0 AS place, own || '/' || (pos % 9 + 1) AS said, round(1 / (pos + 1.0), 6) AS value FROM places
+       UNION ALL SELECT pos, 'top5', k - 1, aa, prob FROM ranked WHERE k <= 5 AND pos IN (SELECT pos FROM places)
+       UNION ALL SELECT pos, 'letter', 0, aa, prob FROM ranked
+       UNION ALL SELECT pos, 'velocity', row_number() OVER (PARTITION BY pos ORDER BY layer) - 1, '', (floor(answer * 1000 + 1e-7) / 1000 + 0.0001) + 100 * (floor(attention * 1000 + 1e-7) / 1000 + 0.0001) + 10000 * (floor(mlp * 1000 + 1e-7) / 1000 + 0.0001) FROM velocity JOIN components USING (pos, layer)
+       UNION ALL SELECT pos, 'running', row_number() OVER (PARTITION BY pos, aa ORDER BY layer) - 1, aa, prob FROM runs
+       UNION ALL SELECT pos, 'grid', layer * 20 + head, '', round(projection, 4) + 100 * round(attn_structural, 4) + 10000 * round(attn_coevolving, 4) + 1000000 * round(attn_local, 4) FROM fine
+       UNION ALL SELECT pos, 'writing', k - 1, layer || '/' || head || '/' || type, projection FROM writing WHERE k <= 30
+       UNION ALL SELECT pos, 'source', n - 1, layer || '_' || head || '/' || src || '/' || substr(repeat('ACDEFGHIKLMNPQRSTVWY', 3), src + 1, 1) || '/' || concat_ws(',', CASE WHEN structural = 1 THEN 'structural' END, CASE WHEN coevolving = 1 THEN 'coevolving' END, CASE WHEN local = 1 THEN 'local' END), weight
+         FROM (SELECT l.*, row_number() OVER (PARTITION BY pos, layer, head ORDER BY weight DESC, src) AS n FROM labelled l JOIN fine USING (protein_id, pos, layer, head) WHERE abs(projection) >= 0.3) WHERE n <= 8 AND weight >= 0.01
+       UNION ALL SELECT pos, 'importance', k, '', total + 1000 * structural + 1000000 * coevolving FROM weighed
+       UNION ALL SELECT CAST(label AS INTEGER), 'spectral', CAST(k AS INTEGER), CASE WHEN kd = 0 THEN 'attn' ELSE 'mlp' END, round(sqrt(sum(c * c)), 4) FROM coefficients WHERE run = 0 GROUP BY label, kd, k
+       UNION ALL SELECT pos, 'contact', row_number() OVER (PARTITION BY pos ORDER BY partner) - 1, '', partner FROM contacts
+       UNION ALL SELECT pos, 'coevolving', row_number() OVER (PARTITION BY pos ORDER BY partner) - 1, '', partner FROM coevolved
+       UNION ALL SELECT pos, 'feature', layer, CAST(count(*) AS VARCHAR), max(proj) FROM features_ GROUP BY pos, layer)""",
+    *_SHOWN, "coefficients", "weights",
+)
+def full_records(spark, d):
+    """The nested record of every position with all sections, flattened; a row per leaf."""
+    labelled, scored, runs, top, lists, places, structural, coevolving, steps = _sections(spark, d)
+    positions = places.select("protein_id", "pos", F.expr(f"substr('{C.LETTERS}', cast(pos % 20 + 1 as int), 1)").alias("sequence_aa"), (F.col("pos") % 9 + 1).cast("int").alias("correct_rank"), (1 / (F.col("pos") + 1.0)).alias("correct_prob"))
+    proteins = places.select("protein_id").distinct().withColumn("sequence", F.lit(C.LETTERS * 3))
+    first = P.components(spark, d).filter(f"layer < {RUN}").withColumnRenamed("component", "kind")
+    power = series.spectrum(first).withColumn("power", F.round("power", 4))
+    summary = features.feature_summary(lists, P.feature_labels(spark, d)).groupBy("protein_id", "pos", "layer").agg(F.count("*").alias("n"), F.max("proj").alias("best"))
+    extra = summary.groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "n", "best"))).alias("sae_features"))
+    cut = lambda c: (F.floor(F.col(c) * 1000 + 1e-7) / 1000 + 0.0001).alias(c)
+    steps = steps.select("protein_id", "pos", "layer", cut("answer"), cut("attention"), cut("mlp"), "magnitude", "attn_mlp_cosine")
+    made = records.full_records(
+        positions, top, top.select("protein_id", "pos", "aa", "prob"), steps, runs, scored, heads.writing_events(heads.classify_heads(scored)), heads.top_sources(labelled, scored, proteins), heads.source_importance(P.attention(spark, d), scored),
+        power, structural, coevolving, 4, 20, {"sae_features": extra},
+    )
+    r = stored(made, "records").withColumnRenamed("position", "pos")
+    named = lambda what, field: _each(what, F.col(field), lambda x: [], lambda x: x)
+    zipped = lambda what, parts: _each(what, F.arrays_zip(*[p[0].alias(f"a{i}") for i, p in enumerate(parts)]), lambda x: [], lambda x: sum((x[f"a{i}"] * p[1] for i, p in enumerate(parts[1:], 1)), x["a0"] * parts[0][1]))
+    cells = [(F.flatten(f"per_head.{c}"), k) for c, k in (("answer_projection", 1), ("attn_structural", 100), ("attn_coevolving", 10000), ("attn_local", 1000000))]
+    scores = F.map_entries("prediction.all_aa_probs")
+    return _leaves(
+        r, F.array(_leaf("predicted", F.lit(0), [F.col("sequence_aa"), F.col("prediction.correct_rank")], F.col("prediction.correct_prob"))),
+        _each("top5", F.col("prediction.top5"), lambda x: [x["aa"]], lambda x: x["prob"]), F.transform(scores, lambda x: _leaf("letter", F.lit(0), [x["key"]], x["value"])),
+        zipped("velocity", [(F.col(f"velocity.{c}"), k) for c, k in (("answer", 1), ("attention", 100), ("mlp", 10000))]),
+        F.flatten(F.transform(F.coalesce(F.map_entries("running_predictions"), F.array()), lambda e: F.transform(e["value"], lambda x, i: _leaf("running", i, [e["key"]], x)))),
+        F.filter(zipped("grid", cells), lambda x: x["value"] != 0),
+        _each("writing", F.col("writing_events"), lambda x: [x["layer"], x["head"], x["type"]], lambda x: x["projection"]),
+        _of_map("source", F.col("head_attention_sources"), lambda x: [x["src"], x["aa"], F.array_join(x["labels"], ",")], lambda x: x["weight"]),
+        zipped("importance", [(F.col(f"source_importance.{c}"), k) for c, k in (("total", 1), ("structural", 1000), ("coevolving", 1000000))]),
+        F.flatten(F.transform(F.coalesce(F.map_entries("spectral"), F.array()), lambda e: F.transform(e["value"], lambda x, i: _leaf("spectral", i, [e["key"]], x)))),
+        named("contact", "annotations.structural_contacts"), named("coevolving", "annotations.coevolving_positions"),
+        F.transform(F.coalesce(F.col("sae_features"), F.array()), lambda x: _leaf("feature", x["layer"], [x["n"]], x["best"])),
+    ).withColumn("value", F.round("value", 6))
+
+
 P.SQL["urun"] = "urun AS (SELECT protein_id, 0 AS pos, layer, token AS aa, round(prob, 6) AS prob FROM probs)"
 
 
