@@ -211,3 +211,10 @@ def top_rows(vectors: np.ndarray, dictionary: np.ndarray, most: int):
     value = np.take_along_axis(scores, part, 1)
     order = np.lexsort((part, -value), axis=1)
     return np.take_along_axis(part, order, 1), np.take_along_axis(value, order, 1)
+
+
+def best_of_rows(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``most`` largest scores of each row, and of all that equal the last of them."""
+    most = min(most, scores.shape[1])
+    last = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+    return np.nonzero(scores >= last[:, None])

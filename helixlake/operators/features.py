@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.functions import vectors as V
-from helixlake.functions.kernels import top_rows
+from helixlake.functions.kernels import best_of_rows, unit_rows
+from helixlake.storage import stored
 
 KEY = ("protein_id", "pos")
 
@@ -28,32 +30,107 @@ def hidden_top_features(feature_act: DataFrame, decoder: DataFrame, answers: Dat
     return both.select(*KEY, "sae_layer", "feature_id", "act", V.dot("vec", "direction").alias("answer_dot"), "rank")
 
 
-def feature_projections(vectors: DataFrame, decoder: DataFrame, keys: tuple[str, ...], most: int = 20, lowest: int = 0) -> DataFrame:
-    """Signed projections of vectors on all unit decoder rows of their layer: the ``most`` largest and ``lowest`` smallest.
+def dictionary_parts(decoder: DataFrame, size: int = 1024) -> DataFrame:
+    """(sae_layer, part, ids, rows, centre, radius): up to ``size`` unit rows in order of their ids, flattened, within ``radius`` of ``centre``."""
+    parts = decoder.groupBy("sae_layer", F.expr(f"cast(feature_id div {size} as int)").alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col("feature_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")))).alias("items"))
+    kind = decoder.schema["sae_layer"].dataType.simpleString()
 
-    ``vectors`` has the keys, sae_layer and vec.  The dictionary is dealt in parts that are
-    joined to the vectors by layer, and the best of each part are ranked again, so that
-    neither a task nor a batch holds a whole dictionary.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                rows = unit_rows(matrix(batch.column(3), k, len(batch.column(2)[k])))
+                centre = rows.mean(0)
+                radius = float(np.linalg.norm(rows - centre, axis=1).max())
+                one = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (rows.ravel(), centre)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), *one, pa.array([radius])], ["sae_layer", "part", "ids", "rows", "centre", "radius"])
+
+    flat = parts.select("sae_layer", "part", F.col("items.id").alias("ids"), F.flatten("items.vec").alias("vecs"))
+    return flat.mapInArrow(work, f"sae_layer {kind}, part int, ids array<bigint>, rows array<double>, centre array<double>, radius double")
+
+
+def matrix(column: pa.Array, k: int, rows: int) -> np.ndarray:
+    """Row ``k`` of an Arrow column of flat arrays as a matrix of ``rows`` rows."""
+    return column[k].values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def vector_blocks(vectors: DataFrame, keys: tuple[str, ...], size: int = 512) -> DataFrame:
+    """(sae_layer, n, the keys as arrays, vecs): up to ``size`` vectors of a layer a row, packed where they lie."""
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    rows = vectors.select("sae_layer", *keys, F.col("vec").cast("array<double>").alias("vec"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            layers = pc.dictionary_encode(batch.column(0))
+            for k in range(len(layers.dictionary)):
+                mine = batch.filter(pc.equal(layers.indices, k))
+                for begin in range(0, len(mine), size):
+                    part = mine.slice(begin, size)
+                    whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                    lists = [whole(part.column(c)) for c in range(1, len(keys) + 1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([len(part)], pa.int32()), *lists, whole(part.column(len(keys) + 1).flatten())], ["sae_layer", "n", *keys, "vecs"])
+
+    return rows.mapInArrow(work, f"sae_layer {kinds['sae_layer']}, n int, " + "".join(f"`{k}` array<{kinds[k]}>, " for k in keys) + "vecs array<double>")
+
+
+def needed_parts(x: np.ndarray, centres: np.ndarray, radii: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """Flags of the parts that can hold one of the ``most`` largest projections of a vector of x.
+
+    All projections on a part lie within |x| * radius of that on its centre.  A part with ``most``
+    rows therefore has ``most`` projections above its lower bound; a part whose upper bound
+    is below that holds none of the largest.
+    """
+    middle, reach = x @ centres.T, np.linalg.norm(x, axis=1)[:, None] * radii[None, :]
+    slack = 1e-9 * (1 + np.abs(middle) + reach)
+    full = sizes >= most
+    if not full.any():
+        return np.ones(len(radii), bool)
+    least = (middle - reach - slack)[:, full].max(1)
+    return ((middle + reach + slack) >= least[:, None]).any(0)
+
+
+def feature_projections(vectors: DataFrame, decoder: DataFrame, keys: tuple[str, ...], most: int = 20, lowest: int = 0, size: int = 1024, block: int = 512) -> DataFrame:
+    """Signed projections of vectors on all unit decoder rows of their layer: the ``most`` largest and ``lowest`` smallest, ties by feature_id.
+
+    ``vectors`` has the keys, sae_layer and vec; vectors without a dictionary for their layer drop out.
+    Blocks of vectors meet parts of the dictionary: a block is sent once to each part that its
+    bounds can't rule out, one product a pair, and the best of each part are ranked again.
+    So no task holds a whole dictionary, and no vector or dictionary row travels by itself.
     """
-    size = 1024
-    parts = decoder.select("sae_layer", F.expr(f"cast(feature_id div {size} as int)").alias("part"), "feature_id", "vec")
-    parts = parts.groupBy("sae_layer", "part").agg(F.collect_list("feature_id").alias("ids"), F.collect_list("vec").alias("rows"))  # ``size`` rows each
-    both = vectors.join(parts, "sae_layer").select(*keys, "sae_layer", "vec", "ids", "rows")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                r = row._asdict()
-                ids, rows, x = np.asarray(r["ids"]), np.stack(r["rows"]).astype(float), np.asarray(r["vec"], float)[None]
+    parts = stored(dictionary_parts(decoder, size), "parts")
+    bounds = parts.groupBy("sae_layer").agg(F.sort_array(F.collect_list(F.struct("part", "centre", "radius", F.size("ids").alias("size")))).alias("bounds"))  # a row per layer, one vector a part
+    blocks = vector_blocks(vectors, keys, block).join(bounds, "sae_layer")
+    names = ["sae_layer", "n", *keys, "vecs"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = []
+            for k, b in enumerate(batch.column(len(names)).to_pylist()):
+                x = matrix(batch.column(len(names) - 1), k, batch.column(1)[k].as_py())
+                of = lambda f, b=b: np.array([p[f] for p in b])
+                flags = np.zeros(len(b), bool)
                 for sign, n in ((1, most), (-1, lowest)):
                     if n:
-                        i, v = top_rows(sign * x, rows, n)
-                        out += [(*(r[k] for k in keys), r["sae_layer"], int(f), float(sign * p), sign) for f, p in zip(ids[i[0]], v[0], strict=True)]
-            yield pd.DataFrame(out, columns=[*keys, "sae_layer", "feature_id", "projection", "side"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
-    found = both.mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "sae_layer")) + ", feature_id long, projection double, side int")
+                        flags |= needed_parts(sign * x, of("centre"), of("radius"), of("size"), n)
+                wanted.append(of("part")[flags].tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(wanted, pa.list_(pa.int32()))], [*names, "wanted"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                x, ids = matrix(batch.column(len(names) - 1), k, batch.column(1)[k].as_py()), batch.column(len(names))[k].values
+                scores = x @ matrix(batch.column(len(names) + 1), k, len(ids)).T
+                for sign, n in ((1, most), (-1, lowest)):
+                    if n:
+                        r, c = best_of_rows(sign * scores, n)
+                        layer = pa.array([batch.column(0)[k].as_py()] * len(r), batch.column(0).type)
+                        at = pa.array(r)
+                        yield pa.RecordBatch.from_arrays([*(batch.column(i + 2)[k].values.take(at) for i in range(len(keys))), layer, ids.take(pa.array(c)), pa.array(scores[r, c]), pa.array(np.full(len(r), sign, np.int32))], [*keys, "sae_layer", "feature_id", "projection", "side"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    chosen = blocks.mapInArrow(choose, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", wanted array<int>")
+    pairs = chosen.select(*names, F.explode("wanted").alias("part")).join(parts, ["sae_layer", "part"]).select(*names, "ids", "rows")
+    own = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    found = pairs.mapInArrow(work, ", ".join(f"`{k}` {own[k]}" for k in (*keys, "sae_layer")) + ", feature_id long, projection double, side int")
     w = W.partitionBy(*keys, "sae_layer", "side").orderBy(F.col("side") * F.col("projection") * -1, "feature_id")
     limit = F.when(F.col("side") == 1, most).otherwise(lowest)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

@@ -519,7 +519,12 @@ def feature_projections(spark, d):
     return features.feature_projections(vecs, _decoder(spark, d), ("pos", "layer"), most=20).select("pos", "layer", "feature_id", _r("projection", 5), "rank")
 
 
-@_query()
+@_query(
+    """SELECT pos, layer, head, feature_id, round(p, 5) AS projection, side, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pos, layer, head, side ORDER BY side * p DESC, feature_id) AS n FROM (SELECT *, unnest([1, -1]) AS side FROM
+         (SELECT CAST(a.rn // 10 AS INTEGER) AS pos, CAST(a.label AS INTEGER) AS layer, CAST(a.rn % 10 AS INTEGER) AS head, CAST(b.rn AS BIGINT) AS feature_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-10) AS p
+          FROM numbered a JOIN (SELECT label, rn FROM cells JOIN direction2 USING (dim) WHERE direction2.pos = rn // 10 GROUP BY label, rn HAVING abs(sum(x * d)) >= 0.3) s USING (label, rn) JOIN numbered b ON b.label = a.label + 1))) WHERE n <= CASE WHEN side = 1 THEN 10 ELSE 5 END""",
+    "numbered", "cells", "direction", "direction2",
+)
 def head_features(spark, d):
     ho = P.head_out(spark, d)
     scored = heads.head_projections(ho, P.answers(spark, d))

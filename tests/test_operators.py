@@ -200,6 +200,26 @@ def test_feature_operators(spark):
     assert tuple(m["9"]) == (["H"], ["a"]) and tuple(m["18"]) == (["N"], None)
 
 
+def test_projections_in_blocks_equal_full_products(spark):
+    """Features in tight clusters, so that bounds rule parts out; ties go to the lower id; layers without a dictionary drop out."""
+    rng = np.random.default_rng(4)
+    centres = np.eye(6) * 5
+    dictionary = {(l, f): (centres[f // 8] + rng.normal(0, 0.05, 6)).tolist() for l in (1, 2) for f in range(48)}
+    dictionary[1, 9] = dictionary[1, 8]
+    vecs = {(l, n): rng.normal(0, 1, 6).tolist() for l in (1, 2, 3) for n in range(25)}
+    v = spark.createDataFrame([(f"k{n}", n, l, x) for (l, n), x in vecs.items()], "name string, n2 int, sae_layer int, vec array<double>")
+    d = spark.createDataFrame([(l, f, x) for (l, f), x in dictionary.items()], "sae_layer int, feature_id long, vec array<double>")
+    got = features.feature_projections(v, d, ("name", "n2"), most=4, lowest=3, size=8, block=3).collect()
+    want = set()
+    for (l, n), x in vecs.items():
+        p = sorted((-float(np.dot(x, y) / (np.linalg.norm(y) + 1e-10)), f) for (m, f), y in dictionary.items() if m == l)
+        want |= {(f"k{n}", n, l, f, 1, r + 1) for r, (_, f) in enumerate(p[:4])} | {(f"k{n}", n, l, f, -1, r + 1) for r, (_, f) in enumerate(sorted((-q, f) for q, f in p)[:3])}
+    assert {(r.name, r.n2, r.sae_layer, r.feature_id, r.side, r.rank) for r in got} == want
+    x = np.array([[1.0, 0, 0, 0, 0, 0]])
+    assert features.needed_parts(x, np.eye(6), np.full(6, 0.1), np.full(6, 8), 4).tolist() == [True] + [False] * 5
+    assert features.needed_parts(x, np.eye(6), np.full(6, 0.1), np.full(6, 3), 4).all()
+
+
 def test_neurons(spark):
     act = spark.createDataFrame([("p", 0, 12, n, a) for n, a in enumerate([0.5, -0.2, 0.0, 1.0])], "protein_id string, pos int, layer int, neuron int, act double")
     gain = spark.createDataFrame([(12, n, a, g) for n in range(4) for a, g in (("A", 1.0), ("C", -1.0))], "layer int, neuron int, aa string, gain double")
