@@ -76,40 +76,53 @@ def text_leaves(narratives: DataFrame, paths: dict[str, Column]) -> DataFrame:
     return narratives.select(*KEY, F.posexplode(items).alias("leaf", "i")).select(*KEY, F.concat_ws("#", "i.path", F.col("leaf").cast("string")).alias("path"), "i.text").filter("text IS NOT NULL")
 
 
-def _offsets(pattern: str, text: str = "text", group: int = 1) -> Column:
-    """Array of (number, at): the pattern's numbers with the offset of each match, by splitting at the matches."""
-    whole = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    numbers = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
-    between = F.transform(F.split(F.col(text), pattern), lambda s: F.length(s))
-    at = F.transform(F.sequence(F.lit(1), F.size(whole)), lambda i: F.aggregate(F.slice(between, 1, i), F.lit(0), lambda s, x: s + x) + F.aggregate(F.slice(whole, 1, i - 1), F.lit(0), lambda s, x: s + F.length(x)))
-    found = F.zip_with(F.arrays_zip(numbers.alias("n"), at.alias("at")), whole, lambda z, w: F.struct(z["n"].cast("int").alias("number"), z["at"].alias("at"), F.length(w).alias("size")))
-    return F.when(F.size(whole) > 0, found)
+def _matches(leaves: DataFrame, pattern: str) -> DataFrame:
+    """(…, path, number, at, size): the pattern's numbers with the offset and length of each match.
+
+    A text is split at its matches; offsets are running sums of the lengths between and of the
+    matches, so the work is linear in their number.
+    """
+    whole = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.length)
+    numbers = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    between = F.transform(F.split("text", pattern), F.length)
+    pieces = leaves.select(*KEY, "path", F.posexplode(F.arrays_zip(between.alias("between"), whole.alias("size"), numbers.alias("number"))).alias("i", "m")).filter("m.size IS NOT NULL")
+    so_far = W.partitionBy(*KEY, "path").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = F.sum(F.col("m.between") + F.col("m.size")).over(so_far) - F.col("m.size")
+    return pieces.select(*KEY, "path", F.col("m.number").cast("int").alias("number"), at.cast("int").alias("at"), F.col("m.size").alias("size"))
 
 
 def bare_references(leaves: DataFrame) -> DataFrame:
     """F123 and N123 without a layer: (…, path, kind, ref_id, at, size)."""
-    out = None
-    for kind in "FN":
-        part = leaves.select(*KEY, "path", F.explode(_offsets(rf"(?U)\b{kind}(?!\d+:)(\d+)\b")).alias("r")).select(*KEY, "path", F.lit(kind).alias("kind"), F.col("r.number").alias("ref_id"), "r.at", "r.size")
-        out = part if out is None else out.unionByName(part)
-    return out
+    of = lambda kind: _matches(leaves, rf"(?U)\b{kind}(?!\d+:)(\d+)\b").select(*KEY, "path", F.lit(kind).alias("kind"), F.col("number").alias("ref_id"), "at", "size")
+    return of("F").unionByName(of("N"))
 
 
 def layer_mentions(leaves: DataFrame) -> DataFrame:
     """'L12' and 'layer 12' (any case): (…, path, mentioned, form, m_at, m_size)."""
-    out = None
-    for form, pattern in ((0, r"(?U)\bL(\d+)\b"), (1, r"(?iU)\blayer\s+(\d+)\b")):
-        part = leaves.select(*KEY, "path", F.explode(_offsets(pattern)).alias("r")).select(*KEY, "path", F.col("r.number").alias("mentioned"), F.lit(form).alias("form"), F.col("r.at").alias("m_at"), F.col("r.size").alias("m_size"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    of = lambda form, pattern: _matches(leaves, pattern).select(*KEY, "path", F.col("number").alias("mentioned"), F.lit(form).alias("form"), F.col("at").alias("m_at"), F.col("size").alias("m_size"))
+    return of(0, r"(?U)\bL(\d+)\b").unionByName(of(1, r"(?iU)\blayer\s+(\d+)\b"))
 
 
 def nearest_mention(references: DataFrame, mentions: DataFrame, window: int = 80) -> DataFrame:
-    """Adds near: the layer mentioned nearest within ``window`` characters, wholly inside; form 'L' first on ties."""
+    """Adds near: the layer mentioned nearest within ``window`` characters, wholly inside; form 'L' first on ties.
+
+    An as-of join: references and mentions of a text are put in order once, and each reference
+    takes the last mention before and the first behind it, per form.  Mentions of a form
+    don't overlap, so the others lie farther off, and the work is linear in a text.
+    """
     key = [*KEY, "path"]
-    both = references.join(mentions, key).filter((F.col("m_at") >= F.col("at") - window) & (F.col("m_at") + F.col("m_size") <= F.col("at") + window))
-    near = both.groupBy(*key, "kind", "at").agg(F.min_by("mentioned", F.struct(F.abs(F.col("m_at") - F.col("at")).alias("d"), "form", "m_at")).alias("near"))
-    return references.join(near, [*key, "kind", "at"], "left")
+    marks = references.select(*key, "at", "kind", "ref_id", "size", F.lit(None).cast("int").alias("form"), F.lit(None).cast("int").alias("mentioned"), F.lit(None).cast("int").alias("m_size"))
+    marks = marks.unionByName(mentions.select(*key, F.col("m_at").alias("at"), "form", "mentioned", "m_size"), allowMissingColumns=True)
+    told = F.struct(F.col("at").alias("m_at"), "m_size", "mentioned", "form")
+    found = []
+    for name, order in (("before", F.asc("at")), ("behind", F.desc("at"))):
+        so_far = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        for form in (0, 1):
+            marks = marks.withColumn(f"_{name}{form}", F.last(F.when(F.col("form") == form, told), ignorenulls=True).over(so_far))
+            found.append(f"_{name}{form}")
+    inside = lambda m: (m["m_at"] >= F.col("at") - window) & (m["m_at"] + m["m_size"] <= F.col("at") + window)
+    ranked = F.transform(F.filter(F.array(*found), lambda m: m.isNotNull() & inside(m)), lambda m: F.struct(F.abs(m["m_at"] - F.col("at")).alias("d"), m["form"], m["m_at"], m["mentioned"]))
+    return marks.filter("form IS NULL").select(*references.columns, F.array_min(ranked)["mentioned"].alias("near"))
 
 
 def resolve_references(references: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -137,3 +150,11 @@ def rewrite_references(leaves: DataFrame, resolved: DataFrame) -> DataFrame:
 def qualify(leaves: DataFrame, id_map: DataFrame, window: int = 80) -> DataFrame:
     """The whole clean-up: find, locate, resolve, rewrite."""
     return rewrite_references(leaves, resolve_references(nearest_mention(bare_references(leaves), layer_mentions(leaves), window), id_map))
+
+
+def replacement_totals(qualified: DataFrame) -> DataFrame:
+    """(protein_id, pos, texts, changed, replacements): texts, changed texts and replacements of each record, and of all in a row without keys."""
+    sums = [F.count("*").alias("texts"), F.sum((F.col("replacements") > 0).cast("long")).alias("changed"), F.sum("replacements").alias("replacements")]
+    per = qualified.groupBy(*KEY).agg(*sums)
+    whole = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("texts", "changed", "replacements")])
+    return per.unionByName(whole.select(*[F.lit(None).cast(per.schema[k].dataType).alias(k) for k in KEY], "texts", "changed", "replacements"))

@@ -807,9 +807,27 @@ def qualified_references(spark, d):
     return narrative.qualify(P.leaves(spark, d), id_map).select("pos", "rewritten", "replacements")
 
 
-@_query("SELECT event_id AS pos, 'F' AS kind, CAST(user_id AS INTEGER) AS ref_id FROM events UNION ALL SELECT event_id, 'N', CAST(user_id % 10 AS INTEGER) FROM events")
+P.SQL["spots"] = """spots AS (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 6 + length(CAST(event_id % 40 AS VARCHAR)) - 1 ELSE 5 END AS f, length(CAST(user_id AS VARCHAR)) + 1 AS f_size, length(CAST(event_id % 40 AS VARCHAR)) AS k FROM events)"""
+
+
+@_query("SELECT event_id AS pos, 'F' AS kind, CAST(user_id AS INTEGER) AS ref_id, CAST(f AS INTEGER) AS at, CAST(f_size AS INTEGER) AS size FROM spots UNION ALL SELECT event_id, 'N', CAST(user_id % 10 AS INTEGER), CAST(f + f_size + 15 + k + 8 AS INTEGER), 2 FROM spots", "spots")
 def bare_references(spark, d):
-    return narrative.bare_references(P.leaves(spark, d)).select("pos", "kind", "ref_id")
+    return narrative.bare_references(P.leaves(spark, d)).select("pos", "kind", "ref_id", "at", "size")
+
+
+@_query(
+    """SELECT event_id AS pos, 'F' AS kind, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 40 AS INTEGER) ELSE -1 END AS near FROM events
+       UNION ALL SELECT event_id, 'N', CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 40 AS INTEGER) ELSE -1 END FROM events""",
+)
+def nearest_mentions(spark, d):
+    leaves = P.leaves(spark, d)
+    return narrative.nearest_mention(narrative.bare_references(leaves), narrative.layer_mentions(leaves)).select("pos", "kind", F.coalesce("near", F.lit(-1)).alias("near"))
+
+
+@_query("SELECT pos, texts, changed, replacements FROM (SELECT event_id AS pos, 1 AS texts, CAST(user_id % 7 <> 0 AS BIGINT) AS changed, CAST(user_id % 7 <> 0 AS BIGINT) AS replacements FROM events UNION ALL SELECT -1, count(*), count(*) FILTER (WHERE user_id % 7 <> 0), count(*) FILTER (WHERE user_id % 7 <> 0) FROM events)")
+def replacement_totals(spark, d):
+    out = narrative.qualify(P.leaves(spark, d), narrative.reference_map(P.reference_ids(spark, d)))
+    return narrative.replacement_totals(out).select(F.coalesce(F.col("pos").cast("long"), F.lit(-1)).alias("pos"), "texts", "changed", "replacements")
 
 
 @_query("SELECT CAST(vec_id AS BIGINT) AS pos, substr('ACD', CAST(letter + 1 AS INTEGER), 1) AS aa, round(sum(x * d), 5) AS along FROM (SELECT vec_id, label % 4 AS letter FROM embeddings WHERE label % 4 < 3) e JOIN (SELECT vec_id, label AS own, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings) c USING (vec_id) JOIN direction g ON g.label = e.letter AND g.dim = c.dim GROUP BY vec_id, letter", "numbered", "cells", "direction")

@@ -241,6 +241,31 @@ def test_references(spark):
     assert out.replacements == 4
 
 
+def test_nearest_mentions_equal_all_pairs(spark):
+    """Against every reference with every mention of a text."""
+    import random
+    import re
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice([f"F{rng.randint(1, 99)} ", f"L{rng.randint(0, 33)} ", f"layer {rng.randint(0, 33)} ", "layer" + " " * 70 + "7 ", "N5, ", "x" * rng.randint(1, 60) + " ", "F3:4 "]) for _ in range(60)) for _ in range(12)]
+    leaves = spark.createDataFrame([("p", i, "story", t) for i, t in enumerate(texts)], "protein_id string, pos int, path string, text string")
+    got = {(r.pos, r.kind, r.at): (r.ref_id, r.near) for r in narrative.nearest_mention(narrative.bare_references(leaves), narrative.layer_mentions(leaves)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        mentions = [(m.start(), m.end(), f, int(m[1])) for f, p in enumerate((r"\bL(\d+)\b", r"(?i)\blayer\s+(\d+)\b")) for m in re.finditer(p, t)]
+        for m in re.finditer(r"\b([FN])(?!\d+:)(\d+)\b", t):
+            near = [(abs(a - m.start()), f, a, n) for a, e, f, n in mentions if a >= m.start() - 80 and e <= m.start() + 80]
+            want[i, m[1], m.start()] = (int(m[2]), min(near)[3] if near else None)
+    assert got == want
+
+
+def test_a_text_with_very_many_references(spark):
+    text = "L7 " + "F1 N2 " * 50_000
+    leaves = spark.createDataFrame([("p", 0, "story", text)], "protein_id string, pos int, path string, text string")
+    near = narrative.nearest_mention(narrative.bare_references(leaves), narrative.layer_mentions(leaves))
+    assert near.count() == 100_000 and near.filter("near = 7").count() == 26
+
+
 def test_text_leaves_and_attached_narratives(spark):
     rows_ = spark.createDataFrame([("p", 0, "s", ["a", None, "b"]), ("p", 1, None, None)], "protein_id string, pos int, story string, key_layers array<string>")
     leaves = narrative.text_leaves(rows_, {"story": (F.col("story"), False), "key_layers": (F.col("key_layers"), True)})
