@@ -82,6 +82,16 @@ def cosine_basis(n: int) -> np.ndarray:
     return basis
 
 
+def cosine_transform(x: np.ndarray) -> np.ndarray:
+    """Orthonormal cosine transform of type II along the second axis of (series, n, dim), by a Fourier transform of the reordered points."""
+    n = x.shape[1]
+    ordered = np.concatenate([x[:, ::2], x[:, 1::2][:, ::-1]], axis=1)
+    turned = np.fft.fft(ordered, axis=1) * np.exp(-0.5j * np.pi * np.arange(n) / n)[None, :, None]
+    out = turned.real * np.sqrt(2 / n)
+    out[:, 0] /= np.sqrt(2)
+    return out
+
+
 def average_linkage_split(distance: np.ndarray) -> np.ndarray:
     """Two groups (0 holds the first point) by average linkage; equal distances merge the lowest indices first."""
     n = len(distance)
@@ -104,33 +114,63 @@ def average_linkage_split(distance: np.ndarray) -> np.ndarray:
     return (group != group[0]).astype(int)
 
 
+def average_linkage_splits(distance: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """``average_linkage_split`` of many groups at once: (groups, points), -1 where not alive.
+
+    ``distance`` (groups, points, points), ``alive`` flags each group's points.  Each step merges
+    one pair in every group that has more than two clusters left.
+    """
+    groups, n = alive.shape
+    d = np.where(alive[:, :, None] & alive[:, None, :], distance.astype(float), np.inf)
+    d[:, np.arange(n), np.arange(n)] = np.inf
+    size, label = alive.astype(float), np.where(alive, np.arange(n), -1)
+    left = alive.sum(1)
+    while (open_ := np.flatnonzero(left > 2)).size:
+        i, j = np.unravel_index(d[open_].reshape(len(open_), -1).argmin(1), (n, n))
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        a, b = size[open_, i][:, None], size[open_, j][:, None]
+        x, y = d[open_, i], d[open_, j]
+        known = np.isfinite(x) & np.isfinite(y)
+        mean = np.full(x.shape, np.inf)
+        np.divide(np.where(known, x, 0) * a + np.where(known, y, 0) * b, a + b, out=mean, where=known)
+        d[open_, i], d[open_, :, i] = mean, mean
+        d[open_, j], d[open_, :, j] = np.inf, np.inf
+        size[open_, i] += size[open_, j]
+        label[open_] = np.where(label[open_] == j[:, None], i[:, None], label[open_])
+        left[open_] -= 1
+    first = np.where(alive.any(1), label[np.arange(groups), alive.argmax(1)], -1)
+    return np.where(alive, (label != first[:, None]).astype(int), -1)
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)
 
 
-def split_heads(vectors: np.ndarray, limit: float = 0.15, active: float = 0.1, least: float = 1.0):
-    """Two nearly orthogonal groups of one layer's heads, or None.
+def split_heads(vectors: np.ndarray, limit: float = 0.15, active: float = 0.1, least: float = 1.0) -> list:
+    """Two nearly orthogonal groups of the heads of each of many layers (layers, heads, dim), or None for a layer.
 
     Heads above ``active`` (four or more) are split by average linkage on 1 - cosine; both
-    summed vectors reach ``least`` and their cosine stays within ``limit``.  Returns
+    summed vectors reach ``least`` and their cosine stays within ``limit``.  A layer's result is
     (isolated, main, cosine, isolated norm, main norm); the smaller group is isolated, on
     equal sizes that of the lowest head.
     """
-    live = np.flatnonzero(np.linalg.norm(vectors, axis=1) > active)
-    if len(live) < 4:
-        return None
-    u = unit_rows(vectors[live])
-    groups = average_linkage_split(np.clip(1 - u @ u.T, 0, 2))
-    a, b = live[groups == 0], live[groups == 1]
-    if not len(a) or not len(b):
-        return None
-    isolated, main = (b, a) if len(b) < len(a) else (a, b)
-    x, y = vectors[isolated].sum(0), vectors[main].sum(0)
-    nx, ny = np.linalg.norm(x), np.linalg.norm(y)
-    if nx < least or ny < least:
-        return None
-    cos = float(x @ y / (nx * ny))
-    return None if abs(cos) > limit else (isolated, main, cos, float(nx), float(ny))
+    live = np.linalg.norm(vectors, axis=2) > active
+    live &= live.sum(1)[:, None] >= 4
+    u = vectors / (np.linalg.norm(vectors, axis=2, keepdims=True) + 1e-10)
+    side = average_linkage_splits(np.clip(1 - u @ u.transpose(0, 2, 1), 0, 2), live)
+    sums = [(np.where(side[:, :, None] == k, vectors, 0)).sum(1) for k in (0, 1)]
+    norms, counts = [np.linalg.norm(x, axis=1) for x in sums], [(side == k).sum(1) for k in (0, 1)]
+    out: list = []
+    for g in range(len(vectors)):
+        small = int(counts[1][g] < counts[0][g])
+        n, big = norms, 1 - small
+        if not counts[0][g] or not counts[1][g] or min(n[0][g], n[1][g]) < least:
+            out.append(None)
+            continue
+        cos = float(sums[0][g] @ sums[1][g] / (n[0][g] * n[1][g]))
+        ok = abs(cos) <= limit
+        out.append((np.flatnonzero(side[g] == small), np.flatnonzero(side[g] == big), cos, float(n[small][g]), float(n[big][g])) if ok else None)
+    return out
 
 
 def anchor_split(vectors: np.ndarray):

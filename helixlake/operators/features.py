@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.functions import vectors as V
+from helixlake.functions.blocks import matrix, vector_blocks
 from helixlake.functions.kernels import best_of_rows, unit_rows
 from helixlake.storage import stored
 
@@ -48,30 +48,6 @@ def dictionary_parts(decoder: DataFrame, size: int = 1024) -> DataFrame:
     return flat.mapInArrow(work, f"sae_layer {kind}, part int, ids array<bigint>, rows array<double>, centre array<double>, radius double")
 
 
-def matrix(column: pa.Array, k: int, rows: int) -> np.ndarray:
-    """Row ``k`` of an Arrow column of flat arrays as a matrix of ``rows`` rows."""
-    return column[k].values.to_numpy(zero_copy_only=False).reshape(rows, -1)
-
-
-def vector_blocks(vectors: DataFrame, keys: tuple[str, ...], size: int = 512) -> DataFrame:
-    """(sae_layer, n, the keys as arrays, vecs): up to ``size`` vectors of a layer a row, packed where they lie."""
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    rows = vectors.select("sae_layer", *keys, F.col("vec").cast("array<double>").alias("vec"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            layers = pc.dictionary_encode(batch.column(0))
-            for k in range(len(layers.dictionary)):
-                mine = batch.filter(pc.equal(layers.indices, k))
-                for begin in range(0, len(mine), size):
-                    part = mine.slice(begin, size)
-                    whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                    lists = [whole(part.column(c)) for c in range(1, len(keys) + 1)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([len(part)], pa.int32()), *lists, whole(part.column(len(keys) + 1).flatten())], ["sae_layer", "n", *keys, "vecs"])
-
-    return rows.mapInArrow(work, f"sae_layer {kinds['sae_layer']}, n int, " + "".join(f"`{k}` array<{kinds[k]}>, " for k in keys) + "vecs array<double>")
-
-
 def needed_parts(x: np.ndarray, centres: np.ndarray, radii: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
     """Flags of the parts that can hold one of the ``most`` largest projections of a vector of x.
 
@@ -98,7 +74,7 @@ def feature_projections(vectors: DataFrame, decoder: DataFrame, keys: tuple[str,
     """
     parts = stored(dictionary_parts(decoder, size), "parts")
     bounds = parts.groupBy("sae_layer").agg(F.sort_array(F.collect_list(F.struct("part", "centre", "radius", F.size("ids").alias("size")))).alias("bounds"))  # a row per layer, one vector a part
-    blocks = vector_blocks(vectors, keys, block).join(bounds, "sae_layer")
+    blocks = vector_blocks(vectors, "sae_layer", keys, block).join(bounds, "sae_layer")
     names = ["sae_layer", "n", *keys, "vecs"]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,36 +7,47 @@ head_out(protein_id, pos, layer, head, vec), edges(protein_id, kind, pos, partne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.functions import vectors as V
+from helixlake.functions.blocks import matrix, vector_blocks
 
 KEY = ("protein_id", "pos")
 HEAD = (*KEY, "layer", "head")
 
 
-def head_outputs(attention: DataFrame, values: DataFrame, weights: DataFrame) -> DataFrame:
+def head_outputs(attention: DataFrame, values: DataFrame, weights: DataFrame, block: int = 512) -> DataFrame:
     """(sum of weighted values) times the head's block of the output weights, plus its share of the bias.
 
     ``attention`` has the masked row over all tokens (token, weight); ``weights`` has a row per
     (layer, head): rows (head_dim arrays of the output dimension) and bias_share.  Weighted
-    values are summed in the JVM, so a group never gathers its tokens in Python.
+    values are summed in the JVM, so a group never gathers its tokens in Python.  The sums
+    of a (layer, head) are packed into blocks where they lie; a block meets its weights once and
+    is one product, and a head that holds most rows has as many blocks as it needs.
     """
+    unit = lambda df: df.withColumn("unit", F.col("layer").cast("long") * (1 << 20) + F.col("head"))
     mixed = attention.join(values, [*HEAD, "token"]).select(*HEAD, F.posexplode("vec").alias("dim", "x"), "weight")
     mixed = mixed.groupBy(*HEAD, "dim").agg(F.sum(F.col("x").cast("double") * F.col("weight")).alias("x"))
-    rows = mixed.groupBy(*HEAD).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mixed")).join(weights, ["layer", "head"])
-
-    def work(batches):
-        for b in batches:
-            out = [(np.asarray(x, float) @ np.stack(w).astype(float) + np.asarray(c, float)).tolist() for x, w, c in zip(b["mixed"], b["rows"], b["bias_share"], strict=True)]
-            yield pd.DataFrame({**{k: b[k] for k in HEAD}, "vec": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select(*HEAD, "mixed", "rows", "bias_share").mapInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in HEAD) + ", vec array<double>")
+    sums = mixed.groupBy(*HEAD).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+    flat = unit(weights).select("unit", F.flatten("rows").cast("array<double>").alias("w"), F.col("bias_share").cast("array<double>").alias("b"))
+    pairs = vector_blocks(unit(sums), "unit", HEAD, block).join(flat, "unit").select("n", *HEAD, "vecs", "w", "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                x = matrix(batch.column(5), k, batch.column(0)[k].as_py())
+                out = x @ matrix(batch.column(6), k, x.shape[1]) + matrix(batch.column(7), k, 1)
+                ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[k].values for c in range(1, 5)), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*HEAD, "vec"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
+    return pairs.mapInArrow(work, ", ".join(f"{k} {kinds[k]}" for k in HEAD) + ", vec array<double>")
 
 
 def head_projections(head_out: DataFrame, answers: DataFrame) -> DataFrame:

@@ -7,14 +7,17 @@ running(protein_id, pos, layer, aa, prob).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixlake.functions import vectors as V
-from helixlake.functions.kernels import cosine_basis
+from helixlake.functions.blocks import stacked, whole_series
+from helixlake.functions.kernels import cosine_transform
 
 KEY = ("protein_id", "pos")
 
@@ -64,29 +67,59 @@ def component_projections(components: DataFrame, answers: DataFrame) -> DataFram
     return both.select(*KEY, "layer", V.dot("attn", "direction").alias("attention"), V.dot("mlp", "direction").alias("mlp"), V.cosine("attn", "mlp").alias("attn_mlp_cosine"))
 
 
+def _on_series(rows: DataFrame, keys: tuple[str, ...], fields: str, work: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """(keys, fields) of ``work`` on whole series of vectors over layers, those of equal shape of a batch at once; a row per series in arrays.
+
+    ``work`` gets (series, layers, dim) and returns an Arrow array of lists per field.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    series = whole_series(rows, keys, "layer", "vec").select(*keys, "layer", "n", "vecs")
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in stacked(batch.column(len(keys) + 1).to_numpy(zero_copy_only=False), batch.column(len(keys) + 2)):
+                mine = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in range(len(keys) + 1)), *work(x)], [*keys, "layers", *names])
+
+    return series.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", layers array<{kinds['layer']}>, {fields}")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """An Arrow list array of a matrix's rows, or a list of lists of a cube's."""
+    inner = pa.array(x.ravel())
+    for size in x.shape[:0:-1]:
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(inner) // size + 1, dtype=np.int32) * size), inner)
+    return inner
+
+
 def cumulative_components(components: DataFrame) -> DataFrame:
-    """c_0 = 0, c_(l+1) = c_l + x_l per component and dimension, in long form (…, component, layer, dim, value)."""
-    cells = components.select(*KEY, "component", "layer", F.posexplode("vec").alias("dim", "x"))
-    w = W.partitionBy(*KEY, "component", "dim").orderBy("layer").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = cells.select(*KEY, "component", (F.col("layer") + 1).alias("layer"), "dim", F.sum(F.col("x").cast("double")).over(w).alias("value"))
-    start = cells.groupBy(*KEY, "component", "dim").agg(F.min("layer").cast("int").alias("layer")).select(*KEY, "component", "layer", "dim", F.lit(0.0).alias("value"))
-    return start.unionByName(sums)
+    """c_0 = 0, c_(l+1) = c_l + x_l per component: (…, component, layer, vec), the first at the least layer.
+
+    A position's series is one row of arrays, as many vectors as the model has layers; running sums
+    are of whole vectors, many positions at once.
+    """
+
+    def work(x: np.ndarray) -> list[pa.Array]:
+        return [_lists(np.concatenate([np.zeros_like(x[:, :1]), np.cumsum(x, axis=1)], axis=1))]
+
+    sums = _on_series(components, (*KEY, "component"), "sums array<array<double>>", work)
+    places = F.concat(F.slice("layers", 1, 1), F.transform("layers", lambda l: l + 1))
+    return sums.select(*KEY, "component", F.inline(F.arrays_zip(places.alias("layer"), F.col("sums").alias("vec"))))
 
 
 def spectrum(series: DataFrame, kind: str = "kind") -> DataFrame:
     """Power of the layer-axis cosine transform per (protein_id, pos, kind): (…, k, power).
 
-    ``series`` has vec per layer.  One position's series is one group: as many rows as the model has layers.
+    ``series`` has vec per layer; a position's series has as many rows as the model has layers.
+    Series of equal shape are transformed together, by a fast transform.
     """
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("layer")
-        x = np.stack(rows["vec"].to_numpy()).astype(float)
-        power = np.linalg.norm(cosine_basis(len(x)) @ x, axis=1)
-        return pd.DataFrame({"protein_id": rows["protein_id"].iloc[0], "pos": rows["pos"].iloc[0], kind: rows[kind].iloc[0], "k": np.arange(len(x)), "power": power})
+    def work(x: np.ndarray) -> list[pa.Array]:
+        return [_lists(np.linalg.norm(cosine_transform(x), axis=2))]
 
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-    return series.groupBy(*KEY, kind).applyInPandas(work, f"protein_id {kinds['protein_id']}, pos {kinds['pos']}, {kind} {kinds[kind]}, k int, power double")
+    power = _on_series(series, (*KEY, kind), "power array<double>", work)
+    return power.select(*KEY, kind, F.posexplode("power").alias("k", "power"))
 
 
 def scalar_spectrum(series: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.functions import kernels
+from helixlake.functions.blocks import stacked, whole_series
 
 KEY = ("protein_id", "pos", "layer")
 
@@ -66,13 +68,23 @@ def cross_layer_profiles(cosines: DataFrame, below: float = 0.2) -> DataFrame:
 
 
 def cluster_heads(head_out: DataFrame, limit: float = 0.15) -> DataFrame:
-    """Groupings: layers whose heads fall into two nearly orthogonal groups."""
-
-    def work(heads: np.ndarray, vectors: np.ndarray) -> list[tuple]:
-        found = kernels.split_heads(vectors, limit)
-        return [] if found is None else [(heads[found[0]].tolist(), heads[found[1]].tolist(), *found[2:])]
-
-    return _per_layer(head_out, work, "isolated array<int>, main array<int>, inter_cos double, iso_mag double, main_mag double")
+    """Groupings: layers whose heads fall into two nearly orthogonal groups; the layers of a batch with equally many heads are split together."""
+    keys = list(KEY)
+    kinds = {f.name: f.dataType.simpleString() for f in head_out.schema.fields}
+    rows = whole_series(head_out, KEY, "head", "vec").select(*keys, "head", "n", "vecs")
+    names = [*keys, "isolated", "main", "inter_cos", "iso_mag", "main_mag"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in stacked(batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)):
+                found = [(int(k), f) for k, f in zip(at, kernels.split_heads(x, limit), strict=True) if f is not None]
+                heads = [np.asarray(batch.column(3)[k].as_py()) for k, _ in found]
+                sides = [pa.array([h[f[s]].tolist() for h, (_, f) in zip(heads, found, strict=True)], pa.list_(pa.int32())) for s in (0, 1)]
+                numbers = [pa.array([f[s] for _, f in found], pa.float64()) for s in (2, 3, 4)]
+                mine = batch.take(pa.array([k for k, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in range(3)), *sides, *numbers], names)
+
+    return rows.mapInArrow(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", isolated array<int>, main array<int>, inter_cos double, iso_mag double, main_mag double")
 
 
 def detection_rates(groupings: DataFrame, analysed: DataFrame, least: float = 0.30) -> DataFrame:

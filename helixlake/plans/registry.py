@@ -269,18 +269,20 @@ def component_projections(spark, d):
     return series.component_projections(P.components(spark, d), P.answers(spark, d)).select("pos", "layer", _r("attention", 5), _r("mlp", 5), _r("attn_mlp_cosine", 5))
 
 
+RUN = 33
+
+
 @_query(
-    """SELECT CAST(label AS INTEGER) AS pos, component, CAST(layer AS INTEGER) AS layer, round(sqrt(sum(value * value)), 4) AS size FROM (SELECT label, rn % 2 AS k, CASE WHEN rn % 2 = 0 THEN 'attn' ELSE 'mlp' END AS component, rn // 2 + 1 AS layer, dim,
-         sum(x) OVER (PARTITION BY label, rn % 2, dim ORDER BY rn) AS value FROM cells UNION ALL SELECT label, rn % 2, CASE WHEN rn % 2 = 0 THEN 'attn' ELSE 'mlp' END, 0, dim, 0.0 FROM cells WHERE rn < 2) GROUP BY ALL""",
+    f"""SELECT CAST(label + 1000 * run AS INTEGER) AS pos, component, CAST(layer AS INTEGER) AS layer, CAST(dim AS INTEGER) AS dim, round(value, 4) AS value FROM (SELECT label, rn // 2 // {RUN} AS run, CASE WHEN rn % 2 = 0 THEN 'attn' ELSE 'mlp' END AS component, rn // 2 + 1 AS layer, dim,
+         sum(x) OVER (PARTITION BY label, rn % 2, rn // 2 // {RUN}, dim ORDER BY rn) AS value FROM cells UNION ALL SELECT label, rn // 2 // {RUN}, CASE WHEN rn % 2 = 0 THEN 'attn' ELSE 'mlp' END, rn // 2, dim, 0.0 FROM cells WHERE rn // 2 % {RUN} = 0)""",
     "numbered",
     "cells",
 )
 def cumulative_components(spark, d):
-    c = series.cumulative_components(P.components(spark, d))
-    return c.groupBy("pos", "component", "layer").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("size"))
-
-
-RUN = 33
+    """Positions are runs of 33 layers of a label, so that their number grows and not their length."""
+    runs = P.components(spark, d).withColumn("pos", F.expr(f"cast(pos + 1000 * (layer div {RUN}) as int)"))
+    c = series.cumulative_components(runs)
+    return c.select("pos", "component", "layer", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 4))
 
 
 P.SQL["coefficients"] = f"""comp AS (SELECT label, rn % 2 AS kd, rn // 2 // {RUN} AS run, rn // 2 % {RUN} AS step, dim, x FROM cells), sizes AS (SELECT label, kd, run, max(step) + 1 AS n FROM comp GROUP BY ALL),
@@ -360,20 +362,21 @@ def head_projections(spark, d):
     return heads.head_projections(P.head_out(spark, d), P.answers(spark, d)).select("pos", "layer", "head", _r("projection", 5))
 
 
-P.SQL["made"] = """ctx AS (SELECT label, rn % 5 AS head, dim, sum(w * x) AS v FROM cells JOIN (SELECT label, rn, abs(x) AS w FROM cells WHERE dim = 9) USING (label, rn) WHERE dim < 8 GROUP BY ALL),
-  made AS (SELECT c.label, c.head, j, sum(v * m.x) + max(b.x) AS o FROM ctx c JOIN range(16) r(j) ON true JOIN cells m ON m.label = c.label AND m.rn = c.head AND m.dim = c.dim * 4 + j JOIN cells b ON b.label = c.label AND b.rn = c.head AND b.dim = j GROUP BY ALL)"""
+P.SQL["made"] = """ctx AS (SELECT label, rn % 5 AS head, dim, sum(w * x) AS v FROM cells JOIN (SELECT label, rn, abs(x) AS w FROM cells WHERE dim = 9) USING (label, rn) GROUP BY ALL),
+  made AS (SELECT c.label, c.head, w.dim AS dim, any_value(b.x) + sum(c.v * w.x) AS value FROM ctx c JOIN (SELECT label, rn, (dim + 64 - i) % 64 AS dim, i, x FROM cells, range(64) r(i) WHERE rn < 5) w ON w.label = c.label AND w.rn = c.head AND w.i = c.dim JOIN cells b ON b.label = c.label AND b.rn = c.head AND b.dim = w.dim GROUP BY c.label, c.head, w.dim)"""
 
 
-@_query("SELECT CAST(label AS INTEGER) AS layer, CAST(head AS INTEGER) AS head, round(sqrt(sum(o * o)), 4) AS size FROM made GROUP BY label, head", "numbered", "cells", "made")
+@_query("SELECT CAST(label AS INTEGER) AS layer, CAST(head AS INTEGER) AS head, CAST(dim AS INTEGER) AS dim, round(value, 4) AS value FROM made", "numbered", "cells", "made")
 def head_outputs(spark, d):
-    """Values are the vectors of a layer's heads over tokens; the output weights are read off the first vectors."""
+    """Five heads a label, whole vectors as values; a head's weights are its first vector turned by one place a row."""
     e = P.numbered(spark, d)
     head = [F.lit("p").alias("protein_id"), F.lit(0).alias("pos"), F.col("label").alias("layer"), (F.col("rn") % 5).cast("int").alias("head"), F.expr("cast(rn div 5 as int)").alias("token")]
-    values = e.select(*head, F.slice("embedding", 1, 8).alias("vec"))
+    values = e.select(*head, F.col("embedding").alias("vec"))
     attention = e.select(*head, F.abs(F.get("embedding", F.lit(9))).cast("double").alias("weight"))
-    weights = e.filter("rn < 5").select(F.col("label").alias("layer"), F.col("rn").alias("head"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(16))).alias("rows"), F.slice("embedding", 1, 16).alias("bias_share"))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.slice("embedding", i + 1, F.lit(64)), F.slice("embedding", F.lit(1), i)))
+    weights = e.filter("rn < 5").select(F.col("label").alias("layer"), F.col("rn").alias("head"), turned.alias("rows"), F.col("embedding").alias("bias_share"))
     out = heads.head_outputs(attention, values, weights)
-    return out.select(F.col("layer").cast("int").alias("layer"), "head", F.round(V.norm("vec"), 4).alias("size"))
+    return out.select(F.col("layer").cast("int").alias("layer"), "head", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 4))
 
 
 @_query("SELECT pos, layer, head, attn_structural, attn_coevolving, attn_local FROM scored_heads", *_HEADS)
@@ -429,14 +432,62 @@ def cross_layer_profiles(spark, d):
     return streams.cross_layer_profiles(cosines).select("pos", "head", F.size("series").cast("long").alias("n_layers"), "lowest")
 
 
-@_query()
+def _sides(df):
+    """Groups of heads as text, so that they compare as such."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return df.select("pos", "layer", text("isolated"), text("main"), *[_r(c, 5) for c in ("inter_cos", "iso_mag", "main_mag")])
+
+
+#: From (layer, pos, head, dim, x, side 0 or 1, 1 the isolated one): cosine and norms of both sums.
+_SPLIT = """SELECT CAST(pos AS INTEGER) AS pos, layer, {more}any_value(isolated) AS isolated, any_value(main) AS main, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 5) AS inter_cos, round(sqrt(sum(a * a)), 5) AS iso_mag, round(sqrt(sum(b * b)), 5) AS main_mag FROM
+  (SELECT layer, pos, dim, sum(CASE WHEN side = 1 THEN x ELSE 0 END) AS a, sum(CASE WHEN side = 0 THEN x ELSE 0 END) AS b FROM sided GROUP BY ALL) JOIN (SELECT layer, pos, string_agg(head, ',' ORDER BY head) FILTER (WHERE side = 1) AS isolated, string_agg(head, ',' ORDER BY head) FILTER (WHERE side = 0) AS main{kept} FROM (SELECT DISTINCT * EXCLUDE (dim, x) FROM sided) GROUP BY ALL) USING (layer, pos) GROUP BY layer, pos"""
+P.SQL["anchored"] = """sized AS (SELECT layer, pos, head, sqrt(sum(x * x)) AS size, CASE WHEN sqrt(sum(x * x)) > 0.01 THEN sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) ELSE 0 END AS cos FROM headcells GROUP BY ALL),
+  anchor AS (SELECT layer, pos, head AS anchor, size AS a_size FROM (SELECT *, row_number() OVER (PARTITION BY layer, pos ORDER BY cos, head) AS n, max(size) OVER (PARTITION BY layer, pos) AS top FROM sized) WHERE n = 1 AND top >= 0.01 AND cos < 0.1 AND size > 0.5),
+  inside AS (SELECT h.layer, h.pos, h.head, anchor, h.head = anchor OR (any_value(s.size) > 0.01 AND sum(h.x * a.x) / (any_value(s.size) * any_value(a_size)) > 0.3) AS near FROM anchor JOIN headcells h USING (layer, pos) JOIN sized s USING (layer, pos, head) JOIN headcells a ON a.layer = h.layer AND a.pos = h.pos AND a.dim = h.dim AND a.head = anchor GROUP BY h.layer, h.pos, h.head, anchor),
+  sided AS (SELECT layer, pos, head, dim, x, anchor, CAST(near AS INTEGER) AS side FROM headcells JOIN inside USING (layer, pos, head) QUALIFY bool_or(NOT near) OVER (PARTITION BY layer, pos))"""
+
+
+@_query(_SPLIT.format(more="any_value(CAST(anchor AS INTEGER)) AS anchor, ", kept=", any_value(anchor) AS anchor"), "numbered", "cells", "headcells", "anchored")
 def isolated_heads(spark, d):
-    return streams.isolated_heads(P.head_out(spark, d))
+    return streams.isolated_heads(P.head_out(spark, d)).select("pos", "layer", "anchor", "isolated", "main", "inter_cos", "iso_mag", "main_mag").transform(lambda df: _sides(df).join(df.select("pos", "layer", "anchor"), ["pos", "layer"]))
 
 
-@_query()
+def _linkage_sql(steps: int) -> str:
+    """Clusters k{steps} of (layer, pos, head) by average linkage: each step merges the nearest two, as long as there are more than two."""
+    out = []
+    for k in range(steps):
+        out.append(f"""
+      n{k} AS MATERIALIZED (SELECT layer, pos, ci, cj FROM (SELECT layer, pos, ci, cj, row_number() OVER (PARTITION BY layer, pos ORDER BY round(avg(d), 12), ci, cj) AS r, count(*) OVER (PARTITION BY layer, pos) AS pairs FROM
+        (SELECT layer, pos, least(x.c, y.c) AS ci, greatest(x.c, y.c) AS cj, d FROM dist JOIN k{k} x USING (layer, pos) JOIN k{k} y USING (layer, pos) WHERE x.head = g AND y.head = h AND x.c <> y.c) GROUP BY layer, pos, ci, cj) WHERE r = 1 AND pairs > 1),
+      k{k + 1} AS MATERIALIZED (SELECT k.layer, k.pos, k.head, coalesce(n.ci, k.c) AS c FROM k{k} k LEFT JOIN n{k} n ON n.layer = k.layer AND n.pos = k.pos AND n.cj = k.c)""")
+    return ",".join(out)
+
+
+P.SQL["clustered"] = f"""live AS MATERIALIZED (SELECT layer, pos, head, sqrt(sum(x * x)) AS norm FROM headcells GROUP BY layer, pos, head HAVING sqrt(sum(x * x)) > 0.1 QUALIFY count(*) OVER (PARTITION BY layer, pos) >= 4),
+  u AS (SELECT layer, pos, head, dim, x, x / (norm + 1e-10) AS u FROM headcells JOIN live USING (layer, pos, head)),
+  dist AS MATERIALIZED (SELECT a.layer, a.pos, a.head AS g, b.head AS h, least(greatest(1 - sum(a.u * b.u), 0), 2) AS d FROM u a JOIN u b ON a.layer = b.layer AND a.pos = b.pos AND a.dim = b.dim AND a.head < b.head GROUP BY ALL),
+  k0 AS (SELECT layer, pos, head, head AS c FROM live),{_linkage_sql(8)},
+  sized AS (SELECT layer, pos, head, c, count(*) OVER (PARTITION BY layer, pos, c) AS n, count(*) OVER (PARTITION BY layer, pos) AS whole, min(head) OVER (PARTITION BY layer, pos) AS lowest FROM k8),
+  sided AS (SELECT layer, pos, head, dim, x, CASE WHEN 2 * n < whole OR (2 * n = whole AND c = lowest) THEN 1 ELSE 0 END AS side FROM sized JOIN u USING (layer, pos, head))"""
+_CLUSTERS = "SELECT * FROM (" + _SPLIT.format(more="", kept="") + ") WHERE iso_mag >= 1 AND main_mag >= 1 AND abs(inter_cos) <= {}"
+
+
+def _longer(spark, d):
+    """Heads of length 1.5, so that none lies at the least length of a group."""
+    return P.head_out(spark, d).withColumn("vec", F.transform("vec", lambda x: x.cast("double") * 1.5))
+
+
+P.SQL["longer"] = P.SQL["cells"].replace("unnest(embedding)::DOUBLE AS x", "unnest(embedding)::DOUBLE * 1.5 AS x")
+
+
+@_query(_CLUSTERS.format(0.9), "numbered", "longer", "headcells", "clustered")
 def head_clusters(spark, d):
-    return streams.cluster_heads(P.head_out(spark, d), limit=0.9)
+    return _sides(streams.cluster_heads(_longer(spark, d), limit=0.9))
+
+
+@_query(_CLUSTERS.format(0.15), "numbered", "longer", "headcells", "clustered")
+def head_groups(spark, d):
+    return _sides(streams.cluster_heads(_longer(spark, d)))
 
 
 @_query("SELECT protein_id, layer, CAST(count(DISTINCT pos) AS BIGINT) AS detections, round(count(DISTINCT pos) / n, 6) AS rate FROM groupings JOIN (SELECT protein_id, count(DISTINCT pos) AS n FROM sides GROUP BY ALL) USING (protein_id) GROUP BY protein_id, layer, n HAVING count(DISTINCT pos) / n >= 0.3", "sides")
@@ -1015,6 +1066,21 @@ def parsed_labels(spark, d):
     return readers.feature_labels(readers.parse_documents(texts, readers.LABELS)).select("layer", "feature_id", "summary")
 
 
+@_query(
+    """SELECT position, c_name AS name, CAST(c_nationkey AS INTEGER) AS nation, 'read' AS outcome FROM (SELECT *, CAST(c_custkey AS INTEGER) AS position FROM customer) WHERE c_custkey % 10 <> 0 AND position IN (SELECT CAST(s_suppkey AS INTEGER) FROM supplier)
+       UNION ALL SELECT CAST(s_suppkey AS INTEGER), '', -1, CASE WHEN s_suppkey IN (SELECT c_custkey FROM customer) THEN 'broken' ELSE 'absent' END FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)""",
+)
+def chosen_records(spark, d):
+    """A file per customer under its number, every tenth one cut off; those with suppliers' numbers are chosen."""
+    whole = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")))
+    rows = P.read(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("position"), F.when(F.col("c_custkey") % 10 == 0, F.substring(whole, 1, 12)).otherwise(whole).alias("text"))
+    folder = writers.write_position_files(rows, shared_path(spark, "positions"))
+    chosen = P.read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("position"))
+    good, bad = readers.choose_records(spark, folder, "name string, nation int", chosen)
+    read = good.select("position", "name", "nation", F.lit("read").alias("outcome"))
+    return read.unionByName(bad.select("position", F.lit("").alias("name"), F.lit(-1).alias("nation"), F.col("reason").alias("outcome")))
+
+
 def _customer_streams(spark, d):
     """What each customer's orders say, by segment and customer."""
     o = P.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").cast("string").alias("layer_streams"))

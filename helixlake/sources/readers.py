@@ -210,6 +210,41 @@ def read_records(spark: SparkSession, folder: str, schema: str, positions: list[
     return rows if positions is None else rows.filter(F.col("position").isin(*positions))
 
 
+def list_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, position) of the files pos_*.json of a folder; only names are read."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "pos_*.json").option("recursiveFileLookup", True).load(folder).select("path")
+    position = F.regexp_extract("path", r"pos_(\d+)\.json$", 1)
+    return names.withColumn("position", F.when(position != "", position.cast("int"))).filter("position IS NOT NULL")
+
+
+def _open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for position, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            system, at = fs.FileSystem.from_uri(path)
+            with system.open_input_stream(at, compression=None) as stream:
+                yield pa.RecordBatch.from_arrays([pa.array([position], pa.int32()), pa.array([stream.read().decode("utf-8", "replace")])], ["position", "text"])
+
+
+def choose_records(spark: SparkSession, folder: str, schema: str, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records with position, rejects with reason) of the ``chosen`` positions (position).
+
+    Names are joined to the chosen positions before any file is opened; a task opens the files
+    of its own rows alone, by pyarrow's file systems.  A chosen position without a file is
+    'absent', one whose file isn't a whole JSON document 'broken'; of a position chosen
+    twice there is one row.
+    """
+    wanted = chosen.select(F.col("position").cast("int").alias("position")).filter("position IS NOT NULL").distinct()
+    both = wanted.join(list_positions(spark, folder), "position", "left")
+    files = both.filter("path IS NOT NULL").select("position", F.regexp_replace("path", "^file:/+", "file:///"))
+    parsed = files.mapInArrow(_open_texts, "position int, text string").select("position", F.from_json("text", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    whole = F.col("r").isNotNull() & F.col("r._broken").isNull()
+    good = parsed.filter(whole).select("position", "r.*").drop("_broken")
+    broken = parsed.filter(~whole).select("position", F.lit("broken").alias("reason"))
+    return good, both.filter("path IS NULL").select("position", F.lit("absent").alias("reason")).unionByName(broken)
+
+
 def read_feature_labels(spark: SparkSession, path: str) -> DataFrame:
     """(layer, feature_id, label columns) of a two-level map of labels."""
     return feature_labels(spark.read.schema(LABELS).option("multiLine", True).json(path))

@@ -51,13 +51,13 @@ def _planted(n_main=6, n_iso=2, dim=16):
 
 
 def test_split_heads_finds_the_planted_group():
-    found = K.split_heads(_planted())
+    found = K.split_heads(_planted()[None])[0]
     assert found[0].tolist() == [0, 1] and abs(found[2]) < 0.05
 
 
 def test_split_heads_needs_four_heads_and_size():
-    assert K.split_heads(_planted(2, 1)) is None
-    assert K.split_heads(_planted() * 0.2) is None
+    assert K.split_heads(_planted(2, 1)[None]) == [None]
+    assert K.split_heads(_planted()[None] * 0.2) == [None]
 
 
 def test_anchor_split_finds_the_planted_head():
@@ -82,3 +82,24 @@ def test_best_of_rows_keeps_ties():
     r, c = K.best_of_rows(np.array([[3.0, 1.0, 3.0, 2.0], [0.0, 0.0, 0.0, 0.0]]), 1)
     assert list(zip(r.tolist(), c.tolist(), strict=True)) == [(0, 0), (0, 2), (1, 0), (1, 1), (1, 2), (1, 3)]
     assert len(K.best_of_rows(np.zeros((2, 3)), 9)[0]) == 6
+
+
+def test_fast_cosine_transform():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 8, 33):
+        x = rng.normal(size=(4, n, 5))
+        assert np.allclose(K.cosine_transform(x), np.einsum("kn,snd->skd", K.cosine_basis(n), x))
+
+
+def test_stacked_linkage_equals_one_by_one():
+    """Small whole distances, so that ties abound; groups of several sizes in one stack."""
+    rng = np.random.default_rng(7)
+    d = rng.integers(1, 5, (200, 9, 9)).astype(float)
+    d = np.minimum(d, d.transpose(0, 2, 1))
+    alive = rng.random((200, 9)) < 0.7
+    got = K.average_linkage_splits(d, alive)
+    for g in range(200):
+        live = np.flatnonzero(alive[g])
+        assert (got[g][~alive[g]] == -1).all()
+        if len(live) > 1:
+            assert got[g][live].tolist() == K.average_linkage_split(d[g][np.ix_(live, live)]).tolist()

@@ -100,3 +100,15 @@ def test_sample_is_the_first_by_digest(spark):
         got = {(r.protein_id, r.seq_id) for r in C.sample_sequences(msa, 30, digits=digits).collect()}
         rank = lambda i: (hashlib.md5(f"42:s{i // 4}".encode()).hexdigest(), f"s{i // 4}", i)
         assert got == {(f"f{k}", i) for k in (0, 1) for i in sorted(range(k, 400, 2), key=rank)[:30]}
+
+
+def test_chosen_records(spark, tmp_path):
+    from helixlake.sources import writers
+
+    rows = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": '), (3, '{"a": 3}'), (5, "")], "position int, text string")
+    folder = writers.write_position_files(rows, f"file://{tmp_path}/positions")
+    (tmp_path / "positions" / "pos_x.json").write_text("no position")
+    chosen = spark.createDataFrame([(1,), (1,), (2,), (4,), (5,), (None,)], "position long")
+    good, bad = readers.choose_records(spark, folder, "a int", chosen)
+    assert [(r.position, r.a) for r in good.collect()] == [(1, 1)]
+    assert sorted((r.position, r.reason) for r in bad.collect()) == [(2, "broken"), (4, "absent"), (5, "broken")]
