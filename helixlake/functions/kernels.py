@@ -198,49 +198,51 @@ def anchor_split(vectors: np.ndarray):
     return size, cos, split
 
 
-def together(core: set[int], groupings: list[tuple[set[int], set[int]]]) -> float:
-    """Share of the groupings of which one group holds all of ``core``."""
-    return sum(core <= a or core <= b for a, b in groupings) / len(groupings) if groupings else 0.0
-
-
-def consistent_core(groupings: list[tuple[set[int], set[int]]], least: float = 0.20, detections: int = 3):
-    """(heads, consistency) that stay in one group, or None.
+def consistent_core(groupings: list[tuple[set[int], set[int]]], least: float = 0.20, detections: int = 3, times: np.ndarray | None = None):
+    """(heads, consistency) that stay in one group, or None; a grouping counts as often as ``times`` says.
 
     Heads of at least half the detections (three or more) are cut in two by average linkage on
     1 - frequency of being together; the more consistent group is taken, the smaller one if
     both reach ``least``; then heads are removed while that raises the consistency.
     """
-    if len(groupings) < detections:
+    n = np.ones(len(groupings)) if times is None else np.asarray(times, float)
+    total = n.sum()
+    if total < detections:
         return None
-    heads = sorted(set().union(*[a | b for a, b in groupings]))
-    heads = [h for h in heads if 2 * sum(h in a or h in b for a, b in groupings) >= len(groupings)]
-    if len(heads) < 3:
+    every = sorted(set().union(*[set(a) | set(b) for a, b in groupings]))
+    side = np.array([[[h in group for h in every] for group in pair] for pair in groupings], float).transpose(1, 0, 2)  # group, grouping, head
+    often = n @ (side[0] + side[1])
+    kept = np.flatnonzero(2 * often >= total)
+    if len(kept) < 3:
         return None
-    far = np.zeros((len(heads), len(heads)))
-    for x, h in enumerate(heads):
-        for y, g in enumerate(heads):
-            both = [(h in a) == (g in a) for a, b in groupings if (h in a or h in b) and (g in a or g in b)]
-            far[x, y] = 1 - (sum(both) / len(both) if both else 0.0)
+    side = side[:, :, kept]
+    whole = side[0] + side[1]
+    both, same = (whole * n[:, None]).T @ whole, sum((x * n[:, None]).T @ x for x in side)
+    far = 1 - np.divide(same, both, out=np.zeros_like(same), where=both > 0)
     np.fill_diagonal(far, 0)
     cut = average_linkage_split(far)
-    groups = [{h for h, c in zip(heads, cut, strict=True) if c == k} for k in (0, 1)]
-    scores = [together(g, groupings) for g in groups]
+
+    def together(core: np.ndarray) -> float:
+        return float(n @ (side[:, :, core].all(2).any(0)) / total)
+
+    groups = [np.flatnonzero(cut == k) for k in (0, 1)]
+    scores = [together(g) for g in groups]
     if all(s >= least for s in scores):
         core = min(groups, key=len)
     else:
         core = groups[0] if scores[0] >= scores[1] else groups[1]
-    now = together(core, groupings)
+    now = together(core)
     while len(core) > 2:
         best, gain = None, 0.0
-        for h in sorted(core):
-            more = together(core - {h}, groupings) - now
+        for h in core:
+            more = together(core[core != h]) - now
             if more > gain:
                 best, gain = h, more
         if best is None or now >= 0.8 and gain < 0.05:
             break
-        core = core - {best}
+        core = core[core != best]
         now += gain
-    return (sorted(core), now) if now >= least else None
+    return ([every[kept[h]] for h in core], now) if now >= least else None
 
 
 def top_rows(vectors: np.ndarray, dictionary: np.ndarray, most: int):

@@ -109,16 +109,28 @@ def co_clustering(assigned: DataFrame) -> DataFrame:
 
 
 def consistent_cores(groupings: DataFrame, least: float = 0.20, detections: int = 3) -> DataFrame:
-    """(protein_id, layer, core, consistency) of the layers with a set of heads that stays together."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.consistent_core([(set(map(int, a)), set(map(int, b))) for a, b in zip(rows["isolated"], rows["main"], strict=True)], least, detections)
-        out = [] if found is None else [(rows["protein_id"].iloc[0], rows["layer"].iloc[0], found[0], found[1])]
-        return pd.DataFrame(out, columns=["protein_id", "layer", "core", "consistency"])
+    """(protein_id, layer, core, consistency) of the layers with a set of heads that stays together.
 
+    Equal groupings of a layer are counted before the shuffle, so a layer sends its different
+    groupings with their numbers, not its positions; the search works on these, many layers a call.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in groupings.schema.fields}
-    rows = groupings.select("protein_id", "pos", "layer", "isolated", "main")
-    return rows.groupBy("protein_id", "layer").applyInPandas(work, f"protein_id {kinds['protein_id']}, layer {kinds['layer']}, core array<int>, consistency double")
+    key = ("protein_id", "layer")
+    sides = [F.sort_array(F.col(c).cast("array<int>")).alias(c) for c in ("isolated", "main")]
+    counted = groupings.select(*key, *sides).groupBy(*key, "isolated", "main").agg(F.count("*").alias("n"))
+    rows = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("isolated", "main", "n"))).alias("g"))
+    rows = rows.select(*key, F.col("g.isolated").alias("isolated"), F.col("g.main").alias("main"), F.col("g.n").alias("n"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, (a, b, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                core = kernels.consistent_core(list(zip(a, b, strict=True)), least, detections, n)
+                found += [] if core is None else [(k, *core)]
+            mine = batch.take(pa.array([k for k, _, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array([c for _, c, _ in found], pa.list_(pa.int32())), pa.array([s for _, _, s in found], pa.float64())], [*key, "core", "consistency"])
+
+    return rows.mapInArrow(work, f"protein_id {kinds['protein_id']}, layer {kinds['layer']}, core array<int>, consistency double")
 
 
 def group_consistency(groupings: DataFrame, cores: DataFrame) -> DataFrame:

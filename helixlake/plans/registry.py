@@ -504,10 +504,34 @@ def co_clustering(spark, d):
     return streams.co_clustering(streams.assignments(P.groupings(spark, d))).withColumn("frequency", F.round("frequency", 6))
 
 
-@_query()
+def _shrink_sql(steps: int) -> str:
+    """From r0(layer, pos, core, now), cores as bit masks: each step takes away the head whose loss raises the consistency most."""
+    held = "(SELECT avg(CAST((({0}) & iso) = ({0}) OR (({0}) & main) = ({0}) AS DOUBLE)) FROM masks m WHERE m.layer = r.layer AND m.pos = r.pos)"
+    out = []
+    for k in range(steps):
+        out.append(f"""
+      t{k} AS MATERIALIZED (SELECT layer, pos, core - (1 << h) AS rest, {held.format("core - (1 << h)")} - now AS gain, h FROM r{k} r, range(6) q(h) WHERE bit_count(core) > 2 AND (core >> h) & 1 = 1),
+      b{k} AS MATERIALIZED (SELECT layer, pos, rest, gain FROM t{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY layer, pos ORDER BY gain DESC, h) = 1),
+      r{k + 1} AS MATERIALIZED (SELECT r.layer, r.pos, CASE WHEN go THEN rest ELSE core END AS core, CASE WHEN go THEN now + gain ELSE now END AS now FROM (SELECT r.*, rest, gain, rest IS NOT NULL AND NOT (now >= 0.8 AND gain < 0.05) AS go FROM r{k} r LEFT JOIN b{k} USING (layer, pos)) r)""")
+    return f"""masks AS MATERIALIZED (SELECT layer, protein_id AS pos, pos AS place, sum(CASE WHEN side = 1 THEN 1 << head ELSE 0 END)::BIGINT AS iso, sum(CASE WHEN side = 0 THEN 1 << head ELSE 0 END)::BIGINT AS main FROM assigned GROUP BY layer, protein_id, pos),
+      often AS MATERIALIZED (SELECT layer, pos, CAST(h AS INTEGER) AS head FROM (SELECT layer, pos, h, count(*) AS whole, count(*) FILTER (WHERE ((iso | main) >> h) & 1 = 1) AS n FROM masks, range(6) q(h) GROUP BY ALL) WHERE whole >= 3 AND 2 * n >= whole AND n > 0 QUALIFY count(*) OVER (PARTITION BY layer, pos) >= 3),
+      dist AS MATERIALIZED (SELECT a.layer, a.pos, a.head AS g, b.head AS h, 1 - coalesce(avg(CAST((iso >> a.head) & 1 = (iso >> b.head) & 1 AS DOUBLE)) FILTER (WHERE ((iso | main) >> a.head) & 1 = 1 AND ((iso | main) >> b.head) & 1 = 1), 0) AS d
+        FROM often a JOIN often b ON a.layer = b.layer AND a.pos = b.pos AND a.head < b.head JOIN masks m ON m.layer = a.layer AND m.pos = a.pos GROUP BY a.layer, a.pos, a.head, b.head),
+      k0 AS (SELECT layer, pos, head, head AS c FROM often),{_linkage_sql(4)},
+      parts AS (SELECT layer, pos, c, sum(1 << head)::BIGINT AS core, count(*) AS size, min(head) AS lowest FROM k4 GROUP BY ALL),
+      rated AS (SELECT *, (SELECT avg(CAST((core & iso) = core OR (core & main) = core AS DOUBLE)) FROM masks m WHERE m.layer = p.layer AND m.pos = p.pos) AS now FROM parts p),
+      r0 AS MATERIALIZED (SELECT layer, pos, core, now FROM (SELECT *, min(now) OVER (PARTITION BY layer, pos) AS worst FROM rated) QUALIFY row_number() OVER (PARTITION BY layer, pos ORDER BY CASE WHEN worst >= 0.2 THEN size ELSE -now END, lowest) = 1),""" + ",".join(out)
+
+
+P.SQL["few"] = P.SQL["sides"].replace("c_nationkey AS head", "c_nationkey % 6 AS head")
+P.SQL["shrunk"] = _shrink_sql(4)
+
+
+@_query("SELECT pos AS protein_id, CAST(layer AS INTEGER) AS layer, (SELECT string_agg(h, ',' ORDER BY h) FROM range(6) q(h) WHERE (core >> h) & 1 = 1) AS core, round(now, 6) AS consistency FROM r4 WHERE now >= 0.2", "few", "shrunk")
 def consistent_cores(spark, d):
     """Few heads, so that some stay together."""
-    return streams.consistent_cores(P.groupings(spark, d, heads=6))
+    found = streams.consistent_cores(P.groupings(spark, d, heads=6))
+    return found.select("protein_id", "layer", F.array_join(F.transform("core", lambda h: h.cast("string")), ",").alias("core"), _r("consistency"))
 
 
 def _small_cores(spark, d):
