@@ -9,7 +9,9 @@ text, if these hold a fair share of the page's; otherwise the stretches from the
 the last that hold a fair share of the longest's text are.  A class, id or role does not
 make an element junk that holds most of the page's text, or a fifth of it and an article
 or main element.
-Headings count as text though they be links.
+Headings count as text though they be links.  Within an article only a class, id or role that
+consists of names of junk makes an element junk ("comment-list", not "comment-on-policy"),
+lines that are links are text, and so are the headings of the article's own header.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from helixlake.llm.common import table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Elements whose content is not markup, up to their own end tag.
@@ -42,44 +44,87 @@ _JUNK = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related recommended comment comments respond disqus reply replies form search "
     "searchform pagination pager toolbar widget skip copyright".split()
 )
-
-
+#: Words that go with those above without changing what a class, id or role names: "comment-list", but not "comment-on-policy".
+_WITH = frozenset("area articles bar block body box btn button buttons container content feed footer group header icons inner item items large left link links list main outer page panel post posts right section site slot small thread top unit wrap wrapper".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def _junk(attributes: str) -> bool:
+def _junk(attributes: str, strict: bool) -> bool:
+    """Whether a class, id or role has a part that names junk; a ``strict`` one consists of such parts and words that go with them."""
     if not attributes.strip():
         return False
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & _JUNK)
+    for m in _NAMES.finditer(attributes):
+        for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower().split():
+            words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+            if words & _JUNK and (not strict or words <= _JUNK | _WITH):
+                return True
+    return False
 
 
 class _Named:
     """An element with a junk name, within another one or none; what it holds decides if it is dropped."""
 
     def __init__(self, outer: _Named | None):
-        self.outer, self.plain, self.main = outer, 0, False
-        self.dropped: bool | None = None
+        self.outer, self.plain, self.main, self.dropped = outer, 0, False, False
+
+
+def _settle(named: list[_Named], total: int) -> None:
+    """Sums up what the elements hold, inner ones (which come later) first, then drops them from the outermost inwards."""
+    for e in reversed(named):
+        if e.outer is not None:
+            e.outer.plain += e.plain
+            e.outer.main |= e.main
+    for e in named:
+        holds = 5 * e.plain >= total if e.main else 2 * e.plain > total
+        e.dropped = (e.outer is not None and e.outer.dropped) or not holds
+
+
+class _Open:
+    """The open elements, with where each name and each block stands among them, so that no tag needs a search."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple] = []  # name, dropped, in a link, in the main part, innermost named element, in a heading
+        self.names: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
-    def settle(self, total: int) -> bool:
-        if self.dropped is None:
-            self.dropped = (self.outer is not None and self.outer.settle(total)) or not (5 * self.plain >= total if self.main else 2 * self.plain > total)
-        return self.dropped
+    def state(self) -> tuple:
+        return self.held[-1][1:] if self.held else (0, False, False, None, False)
+
+    def push(self, name: str, *state) -> None:
+        self.names.setdefault(name, []).append(len(self.held))
+        if name in _BLOCK:
+            self.blocks.append(len(self.held))
+        self.held.append((name, *state))
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from ``depth`` on."""
+        while len(self.held) > depth:
+            name = self.held.pop()[0]
+            self.names[name].pop()
+            if name in _BLOCK:
+                self.blocks.pop()
+
+    def depth(self, name: str) -> int | None:
+        at = self.names.get(name)
+        return at[-1] if at else None
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, within article or main) per block, in page order.
 
-    What is not the article's text counts as one line without characters.
+    What is not the article's text counts as one line without characters.  Of a header within
+    an article the headings are text.  Each tag takes constant time on average.
     """
     blocks: list[tuple[list[tuple[str, int, _Named | None]], bool, _Named | None, _Named | None]] = []  # parts, in the main part; of a gap: the named element that ends, the one around
-    stack: list[tuple[str, bool, bool, bool, _Named | None]] = []  # name, dropped, in a link, in the main part, innermost named element
+    stack = _Open()
     parts: list[tuple[str, int, _Named | None]] = []
+    junk: list[_Named] = []
     at, end = 0, len(page)
     all_plain = 0
-
-    def state() -> tuple[bool, bool, bool, _Named | None]:
-        return stack[-1][1:] if stack else (False, False, False, None)
+    state = stack.state
 
     def close() -> None:
         nonlocal parts
@@ -89,14 +134,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
     def say(text: str) -> None:
         nonlocal all_plain
-        dropped, link, _, named = state()
+        dropped, link, _, named, heading = state()
         if not dropped and text:
-            plain = 0 if link and not any(e[0] in _HEADINGS for e in stack) else len(text.strip())
+            plain = 0 if link and not heading else len(text.strip())
             parts.append((text, plain, named))
             all_plain += plain
-            while named is not None:
+            if named is not None:
                 named.plain += plain
-                named = named.outer
 
     while at < end:
         m = _TAG.search(page, at)
@@ -109,23 +153,25 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         name = m[2].lower()
         if m[1]:  # an end tag closes up to its element, if that is open
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in _BLOCK or depth is not None and any(s[0] in _BLOCK for s in stack[depth:]):
+            depth = stack.depth(name)
+            if name in _BLOCK or depth is not None and stack.last_block() >= depth:
                 close()
-            if depth is not None and not (name not in _BLOCK and any(s[0] in _BLOCK for s in stack[depth + 1 :])):
+            if depth is not None and (name in _BLOCK or stack.last_block() <= depth):
                 was, named = state()[0], state()[3]
-                del stack[depth:]
+                first = stack.held[depth][4]  # the named element at the one that ends
+                stack.cut(depth)
                 if was and not state()[0]:
                     blocks.append(([], state()[2], None, state()[3]))
-                elif named is not state()[3]:
+                elif named is not state()[3] and first is not state()[3] and name in _BLOCK:
+                    blocks.append(([], state()[2], first, state()[3]))
+                elif named is not state()[3] and name in _BLOCK:
                     while named.outer is not state()[3]:
                         named = named.outer
-                    if name in _BLOCK:
-                        blocks.append(([], state()[2], named, state()[3]))
+                    blocks.append(([], state()[2], named, state()[3]))
             continue
         if name in _BLOCK and name not in _RAW:
             close()
-        dropped, link, main, named = state()
+        dropped, link, main, named, heading = state()
         if name in _RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if not dropped and name not in _DROP:
@@ -136,31 +182,31 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name == "p" or name in ("li", "td", "th", "tr", "dt", "dd", "option"):  # their end tags may be left out
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
-            dropped, link, main, named = state()
+            block = stack.last_block()
+            if block >= 0 and stack.held[block][0] in same:
+                stack.cut(block)
+            dropped, link, main, named, heading = state()
         inside = main or name in _MAIN
         hidden = name in _DROP or (name not in ("html", "body") and name not in _MAIN and _HIDDEN.search(m[3]) is not None)
-        if name in _MAIN and not dropped:
-            outer = named
-            while outer is not None and not outer.main:
-                outer.main = True
-                outer = outer.outer
-        if not dropped and not hidden and name not in ("html", "body") and name not in _MAIN and _junk(m[3]):
+        if name in _MAIN and not dropped and named is not None:
+            named.main = True
+        if not dropped and not hidden and name not in ("html", "body") and name not in _MAIN and _junk(m[3], main):
             named = _Named(named)
-        stack.append((name, dropped or hidden, link or name == "a", inside, named))
+            junk.append(named)
+        if dropped == 2 and name in _HEADINGS:  # the heading of the article's own header
+            dropped = 0
+        elif hidden and not dropped:
+            dropped = 2 if name == "header" and main else 1
+        stack.push(name, dropped, link or name == "a", inside, named, heading or name in _HEADINGS)
+    _settle(junk, all_plain)
     close()
     lines: list[tuple[str, int, bool]] = []
     for held, main, ended, around in blocks:
         if not held:  # an element that is not text ends: a gap, unless a named one is kept or all around it is dropped
-            if (ended is None or ended.settle(all_plain)) and (around is None or not around.settle(all_plain)):
+            if (ended is None or ended.dropped) and (around is None or not around.dropped):
                 lines.append(("", 0, main))
             continue
-        kept = [(t, n) for t, n, of in held if of is None or not of.settle(all_plain)]
+        kept = [(t, n) for t, n, of in held if of is None or not of.dropped]
         text = " ".join(html.unescape("".join(t for t, _ in kept)).split())
         if text:
             lines.append((text, sum(n for _, n in kept), main))
@@ -172,7 +218,7 @@ def main_text(page: str, window: int = 3, share: float = 0.2) -> str:
     lines = page_lines(page)
     within = sum(n for _, n, inside in lines if inside)
     if within and within >= share * sum(n for _, n, inside in lines if not inside):
-        lines = [(t, n, True) if inside else ("", 0, False) for t, n, inside in lines]
+        lines = [(t, max(n, 1) if t else 0, True) if inside else ("", 0, False) for t, n, inside in lines]  # of an article, a line that is a link is text
         scoped = True
     else:
         scoped = False
@@ -198,7 +244,11 @@ def main_text(page: str, window: int = 3, share: float = 0.2) -> str:
 
 
 def extract_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep``, text and n_chars for every page; a null page has no text.  There is no shuffle."""
+    """``keep``, text and n_chars for every page; a null or empty page has no text.  There is no shuffle.
+
+    A row is read by itself, so null or repeated ids and repeated rows do no harm; other
+    columns are left out, whatever their names.  No rows in, no rows out.
+    """
     kept = list(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
