@@ -105,10 +105,18 @@ def targets(msa_: DataFrame) -> DataFrame:
 SQL["targets"] = "targets AS (SELECT protein_id, upper(replace(replace(arg_max(aligned, seq_id), '-', ''), '.', '')) AS sequence FROM msa GROUP BY protein_id)"
 
 
-def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with their number within a label, from 0."""
-    w = W.partitionBy("label").orderBy("vec_id")
-    return read(spark, sf_dir, "embeddings").withColumn("rn", F.row_number().over(w) - 1)
+def numbered(spark: SparkSession, sf_dir: str, span: int = 4096) -> DataFrame:
+    """Embeddings with their number within a label, from 0, in order of vec_id.
+
+    Ids are cut into spans; rows are counted per label and span, and numbered within
+    these, so that the few labels don't each have to lie in one task.
+    """
+    rows = read(spark, sf_dir, "embeddings").withColumn("_span", F.floor(F.col("vec_id") / span))
+    before = F.sum("_n").over(W.partitionBy("label").orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    counts = rows.groupBy("label", "_span").agg(F.count("*").alias("_n")).select("label", "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("label", "_span").orderBy("vec_id")) - 1
+    placed = rows.withColumn("_within", within).join(counts, ["label", "_span"])
+    return placed.select("vec_id", "embedding", "label", (F.col("_within") + F.col("_before")).cast("int").alias("rn"))
 
 
 SQL["numbered"] = "numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS rn FROM embeddings)"

@@ -6,6 +6,7 @@ whole projection and returns flat columns, rounded alike on both sides.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -245,6 +246,18 @@ def top_tokens(spark, d):
     return top.groupBy("protein_id", "layer").agg(F.count("*").alias("n"), F.round(F.sum("prob"), 6).alias("prob"))
 
 
+P.SQL["token_ids"] = "token_ids AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {zlib.crc32(t.encode())})" for t in ("click", "error", "purchase", "signup", "view")) + ") t(token, token_id))"
+
+
+@_query(
+    "SELECT protein_id, layer, token, round(prob, 8) AS prob, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY protein_id, layer ORDER BY prob DESC, token_id) AS rank FROM probs LEFT JOIN token_ids USING (token)) WHERE rank <= 5",
+    "logits", "probs", "token_ids",
+)
+def ranked_tokens(spark, d):
+    """The five most probable tokens of each layer with their ranks; ties by token id."""
+    return series.top_tokens(series.softmax(P.logits(spark, d))).select("protein_id", "layer", "token", _r("prob", 8), "rank")
+
+
 @_query("SELECT protein_id, layer, token AS aa, round(prob, 8) AS prob FROM probs WHERE token IN ('click', 'view')", "logits", "probs")
 def letter_probabilities(spark, d):
     letters = P.read(spark, d, "events").select(F.col("event_type").alias("aa")).filter("aa IN ('click', 'view')").distinct()
