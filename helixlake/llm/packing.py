@@ -1,7 +1,8 @@
 """Packing token ids into sequences of fixed length by cutting-stock column generation.
 
 Documents are encoded and cut at multiples of the sequence length; the last piece of each
-is what has to be packed.  The lengths of all pieces form a histogram of fixed width.  A
+is what has to be packed.  Short pieces of equal length are first taken together in bundles that
+fill their bin, or nearly so.  The lengths of all items form a histogram of fixed width.  A
 linear program over patterns (which bins a sequence holds, how often) is solved by column
 generation: the master's dual values price the bins, a knapsack dynamic program finds the
 best new pattern, until none improves.  Patterns are rounded down, the few pieces left are
@@ -171,36 +172,74 @@ def places(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, ..
     return {b: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for b, rows in out.items()}
 
 
+def bundle_size(length: int, unit: int, most: int) -> int:
+    """How many pieces of ``length`` tokens lose least when together they are rounded up to units, with ``most`` tokens at most; the fewest of these."""
+    lost = lambda m: -(-m * length // unit) * unit / (m * length)
+    return min(range(1, max(1, most // length) + 1), key=lambda m: (round(lost(m), 9), m))
+
+
+def item_ranks(counts: dict[int, int], unit: int, short: int, most: int) -> tuple[dict[int, tuple[int, ...]], dict[int, int]]:
+    """How a class's pieces become items of the bins, and the number of items per bin.
+
+    A class is a length up to ``short``, or minus the bin of longer pieces.  Per class:
+    (pieces in bundles, pieces per bundle, bin of a bundle, rank of its first bundle in the bin,
+    bin of a single piece, rank of its first single piece in the bin).
+    """
+    held: dict[int, int] = {}
+    out = {}
+
+    def take(b: int, n: int) -> int:
+        held[b] = held.get(b, 0) + n
+        return held[b] - n
+
+    for c, n in sorted(counts.items()):
+        m = bundle_size(c, unit, most) if 0 < c <= short else 1
+        whole = n // m if m > 1 else 0
+        bundle, single = -(-m * c // unit) if c > 0 else -c, -(-c // unit) if c > 0 else -c
+        out[c] = (whole * m, m, bundle, take(bundle, whole), single, take(single, n - whole * m))
+    return out, held
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, bins: int = 256) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to ``capacity`` tokens (columns row, start, length, any others).
 
-    A sequence's pieces follow one another from offset 0 without a gap.  Pieces are read
+    A sequence's pieces follow one another from offset 0 without a gap.  Pieces of up to eight
+    units are bundled by length, so that little is lost by rounding to units.  Pieces are read
     three times, so pass a stored table.  No pieces in, none out.
     """
     unit = -(-capacity // bins)
-    binned = pieces.withColumn("_bin", F.expr(f"cast(ceil(length / {unit}) as int)")).withColumn("_one", F.lit(1))
-    counts = {r["_bin"]: r["n"] for r in binned.groupBy("_bin").agg(F.count("*").alias("n")).collect()}  # ``bins`` rows at most
-    demand = np.array([counts.get(b, 0) for b in range(1, bins + 1)], np.float64)
+    short, most = 8 * unit, max(8 * unit, capacity // 8)
+    class_ = F.when(F.col("length") <= short, F.col("length")).otherwise(-F.ceil(F.col("length") / unit)).cast("int")
+    classed = pieces.withColumn("_class", class_).withColumn("_one", F.lit(1))
+    counts = {r["_class"]: r["n"] for r in classed.groupBy("_class").agg(F.count("*").alias("n")).collect()}  # a row per short length or bin
+    items, held = item_ranks(counts, unit, short, most)
+    demand = np.array([held.get(b, 0) for b in range(1, bins + 1)], np.float64)
     where = places(rounded(demand, column_generation(demand)))
-    ranked = running_start(binned, ["_bin"], [F.col("row"), F.col("start")], "_one", "_rank")
+    ranked = running_start(classed, ["_class"], [F.col("row"), F.col("start")], "_one", "_rank")
 
     columns = list(pieces.columns)
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.array(batch.column(batch.schema.get_field_index("_bin")))
+            classes = np.array(batch.column(batch.schema.get_field_index("_class")))
             rank = np.array(batch.column(batch.schema.get_field_index("_rank")))
-            seq = np.zeros(len(at), np.int64)
+            seq, at, place = (np.zeros(len(rank), np.int64) for _ in range(3))
+            for c in np.unique(classes):
+                bundled, m, bundle, first_bundle, single, first_single = items[int(c)]
+                mine = classes == c
+                r = rank[mine]
+                at[mine] = np.where(r < bundled, bundle, single)
+                place[mine] = np.where(r < bundled, first_bundle + r // m, first_single + r - bundled)
             for b in np.unique(at):
                 mine = at == b
                 first, sequence, each = where[int(b)]
-                k = np.searchsorted(first, rank[mine], "right") - 1
-                seq[mine] = sequence[k] + (rank[mine] - first[k]) // each[k]
+                k = np.searchsorted(first, place[mine], "right") - 1
+                seq[mine] = sequence[k] + (place[mine] - first[k]) // each[k]
             keep = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq)], [*columns, "sequence_id"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    seated = ranked.select(*pieces.columns, "_bin", "_rank").mapInArrow(seat, f"{kinds}, sequence_id bigint")
+    seated = ranked.select(*pieces.columns, "_class", "_rank").mapInArrow(seat, f"{kinds}, sequence_id bigint")
     order = W.partitionBy("sequence_id").orderBy("row", "start").rowsBetween(W.unboundedPreceding, -1)  # ``capacity`` pieces at most
     return seated.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
 
