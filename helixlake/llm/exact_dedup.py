@@ -4,9 +4,11 @@ A directory over the top bits of the texts' 64-bit hashes is doubled, level by l
 until each bucket holds at most ``capacity`` hash values; each bucket is one range of hash
 values.  Texts find their bucket by the directory and are grouped by bucket, hash *and*
 bytes, so that the many copies of a hot text are combined before the shuffle and texts
-whose hashes collide stay apart.  Owner tasks take whole buckets, number the entries that
-chain on one hash value, and write them to files that all executors share.  Documents then
-look up their entry: bucket by the directory, hash, and along the chain the text.
+whose hashes collide stay apart: that grouping compares the bytes and decides which texts are
+equal.  Owner tasks take whole buckets, number the entries that chain on one hash value,
+and write them to files that all executors share.  Documents then look up their entry
+by bucket (from the directory), hash and the digest of their text, which tells the
+entries of a chain apart; the chain's numbers are there for other readers of the index.
 
 Only DataFrame operations are used.
 """
