@@ -214,7 +214,9 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     """Stores each text as a JPEG file, reads it back and describes it; with the file itself if asked for.
 
     A null or empty text is one unit of spaces.  feature: width x height and the
-    thumbnail's hash.  Every input row gives one row; there is no shuffle.
+    thumbnail's hash.  Every input row gives one row, whether its id is null, repeated or its own;
+    other columns are ignored, whatever their names.  No rows in, no rows out.  There is no
+    shuffle; a task holds one text at a time as several arrays, about twenty times its bytes.
     """
     names = [c.split()[0] for c in _MEDIA.split(", ")] + (["media"] if keep_media else [])
 
@@ -228,7 +230,7 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
                 mark = f"{file.width}x{file.height}:{thumbnail_hash(file.thumbnail(c)):016x}"
                 out.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), mark, *([stored] if keep_media else [])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in list(zip(*out, strict=True))[1:]]], names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("t"))
     return rows.mapInArrow(work, _MEDIA + (", media binary" if keep_media else ""))

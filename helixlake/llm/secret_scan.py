@@ -178,7 +178,8 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ru
     """doc_id and spans, an array of (kind, start, end) in code points, by start, then by rule.
 
     Per rule, matches are leftmost and don't overlap; whole texts are searched, a null
-    text is empty.  Every input row gives one row; there is no shuffle.
+    text is empty.  Every input row gives one row, whether its id is null, repeated or its own;
+    other columns are ignored, whatever their names.  No rows in, no rows out; there is no shuffle.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 

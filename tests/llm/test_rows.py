@@ -1,8 +1,11 @@
 """Stages of the pipeline and repeated or missing ids, columns with inner names, empty tables."""
 
+import hashlib
+
+import public_tokenizers
 import pytest
 
-from helixlake.llm import exact_dedup, line_dedup, mixing
+from helixlake.llm import exact_dedup, line_dedup, media, mixing, packing, secret_scan, token_files
 
 NAMES = ("row", "doc", "copy", "copies", "hash", "bucket", "lines", "drop", "hashes", "_row", "_cell", "threshold", "kept_text")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in NAMES)
@@ -54,3 +57,28 @@ def test_slots_come_from_quotas(spark):
             assert own[-1] - own[0] < len(mine) + 5
     total = {r.source_no: sum(x.words for x in by[r.source_no]) for rows in by.values() for r in rows}
     assert sum(total.values()) == sum(r.taken for r in taken.collect())
+
+
+NULL_IDS = [(None, "one a", "x"), (None, None, None), (None, "one a", "x")]
+
+
+def test_null_and_repeated_ids_of_rows_by_themselves(spark):
+    """Also with no id in a whole batch."""
+    for rows in (ROWS, NULL_IDS):
+        docs = frame(spark, rows).coalesce(1)
+        want = sorted((str(i), hashlib.sha256((t or "").encode().ljust(max(1, -(-len((t or "").encode()) // 192)) * 192, b" ")).hexdigest()) for i, t, _ in rows)
+        assert sorted((str(r.doc_id), r.payload_sha256) for r in media.media_columns(docs).collect()) == want
+        assert sorted(str(r.doc_id) for r in secret_scan.find_secrets(docs).collect()) == sorted(str(i) for i, _, _ in rows)
+        packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=64).collect()
+        assert sorted(str(r.doc_id) for r in packed if r.start == 0) == sorted(str(i) for i, _, _ in rows)
+
+
+def test_token_files_put_rows_without_ids_first(spark, tmp_path):
+    manifest = token_files.write_token_files(frame(spark, ROWS), f"file://{tmp_path}/x", public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _, _ in ROWS), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert sum(r.doc_id == 1 for r in got) == 3
