@@ -993,6 +993,20 @@ def alignment_formats(spark, d):
     return readers.detect_formats(files).select("doc_id", F.coalesce("format", F.lit("none")).alias("format"))
 
 
+@_query(
+    f"""SELECT protein_id, 'aligned' AS what, seq_name AS name, aligned AS told FROM (SELECT *, CAST(substr(seq_name, 2) AS BIGINT) AS doc_id FROM ({_LETTERS_ONLY})) WHERE doc_id % 3 < 2 AND length(aligned) >= 1
+       UNION ALL SELECT source, 'rejected', 'd' || doc_id, 'unknown format' FROM documents WHERE doc_id % 3 = 2"""
+)
+def parsed_alignments(spark, d):
+    """Each text as a file of its own: Stockholm, FASTA or neither by its number; the sequences read and the files rejected."""
+    docs = _letters_only(spark, d)
+    name = F.concat(F.lit("d"), "doc_id")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# STOCKHOLM 1.0\n"), name, F.lit(" "), "s", F.lit("\n//\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(">"), name, F.lit("\n"), "s", F.lit("\n"))).otherwise(F.concat(F.lit("~"), "s"))
+    msa, rejected = readers.parse_alignments(docs.select(F.col("source").alias("protein_id"), name.alias("path"), text.alias("text")))
+    read = msa.select("protein_id", F.lit("aligned").alias("what"), F.col("seq_name").alias("name"), F.col("aligned").alias("told"))
+    return read.unionByName(rejected.select("protein_id", F.lit("rejected").alias("what"), F.col("path").alias("name"), F.col("reason").alias("told")))
+
+
 @_query("SELECT 'd' || doc_id AS family, 'PF' || doc_id % 7 AS accession, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '//'))) AS INTEGER) AS n_lines FROM documents WHERE doc_id % 7 IN (1, 4) AND text IS NOT NULL")
 def selected_families(spark, d):
     """A family per text, its accession with a version."""
