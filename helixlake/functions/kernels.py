@@ -245,16 +245,6 @@ def consistent_core(groupings: list[tuple[set[int], set[int]]], least: float = 0
     return ([every[kept[h]] for h in core], now) if now >= least else None
 
 
-def top_rows(vectors: np.ndarray, dictionary: np.ndarray, most: int):
-    """(index, projection) of the ``most`` largest signed projections on unit dictionary rows, per vector."""
-    scores = vectors @ unit_rows(dictionary).T
-    most = min(most, scores.shape[1])
-    part = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(scores, part, 1)
-    order = np.lexsort((part, -value), axis=1)
-    return np.take_along_axis(part, order, 1), np.take_along_axis(value, order, 1)
-
-
 def best_of_rows(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``most`` largest scores of each row, and of all that equal the last of them."""
     most = min(most, scores.shape[1])

@@ -73,11 +73,6 @@ def test_consistent_core():
     assert K.consistent_core(groups[:2]) is None
 
 
-def test_top_rows_are_signed():
-    i, v = K.top_rows(np.array([[1.0, 0.0]]), np.array([[-5.0, 0.0], [1.0, 1.0], [2.0, 0.0]]), 2)
-    assert i[0].tolist() == [2, 1] and np.isclose(v[0, 0], 1)
-
-
 def test_best_of_rows_keeps_ties():
     r, c = K.best_of_rows(np.array([[3.0, 1.0, 3.0, 2.0], [0.0, 0.0, 0.0, 0.0]]), 1)
     assert list(zip(r.tolist(), c.tolist(), strict=True)) == [(0, 0), (0, 2), (1, 0), (1, 1), (1, 2), (1, 3)]
