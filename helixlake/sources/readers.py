@@ -231,9 +231,9 @@ def choose_records(spark: SparkSession, folder: str, schema: str, chosen: DataFr
     """(records with position, rejects with reason) of the ``chosen`` positions (position).
 
     Names are joined to the chosen positions before any file is opened; a task opens the files
-    of its own rows alone, by pyarrow's file systems.  A chosen position without a file is
-    'absent', one whose file isn't a whole JSON document 'broken'; of a position chosen
-    twice there is one row.
+    of its own rows alone, by pyarrow's file systems.  A chosen position without a file, or
+    with an empty one (Spark lists none of these), is 'absent', one whose file isn't a whole
+    JSON document 'broken'; of a position chosen twice there is one row.
     """
     wanted = chosen.select(F.col("position").cast("int").alias("position")).filter("position IS NOT NULL").distinct()
     both = wanted.join(list_positions(spark, folder), "position", "left")
