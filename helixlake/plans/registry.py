@@ -677,11 +677,41 @@ def sequence_contexts(spark, d):
     return docs.select("doc_id", narrative.sequence_context(F.col("s"), F.col("p")).alias("context"))
 
 
-@_query()
+def _leaf(what, place, said, value):
+    """A leaf of a document: its section, its number there, its texts joined and a number."""
+    texts = [F.coalesce(x.cast("string"), F.lit("none")) for x in said] or [F.lit("")]
+    return F.struct(F.lit(what).alias("what"), place.cast("int").alias("place"), F.concat_ws("/", *texts).alias("said"), F.coalesce(value.cast("double"), F.lit(-1.0)).alias("value"))
+
+
+def _leaves(rows, *arrays):
+    return rows.select("pos", F.inline(F.concat(*arrays)))
+
+
+def _each(what, items, said, value):
+    """Leaves of a list, numbered from 0."""
+    return F.transform(F.coalesce(items, F.array()), lambda x, i: _leaf(what, i, said(x), value(x)))
+
+
+#: From running: the first five letters by their last share, and the changes of the leader.
+P.SQL["told"] = """paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY final DESC, aa) AS k FROM (SELECT protein_id, aa, arg_max(prob, layer) AS final, min(layer) FILTER (WHERE prob = top) AS peak_layer FROM (SELECT *, max(prob) OVER (PARTITION BY protein_id, aa) AS top FROM running) GROUP BY ALL)) WHERE k <= 5),
+  changed AS (SELECT protein_id, row_number() OVER (PARTITION BY protein_id ORDER BY layer) - 1 AS place, layer, old, now FROM (SELECT protein_id, layer, aa AS now, lag(aa) OVER (PARTITION BY protein_id ORDER BY layer) AS old FROM (SELECT *, row_number() OVER (PARTITION BY protein_id, layer ORDER BY prob DESC, aa) AS n FROM running) WHERE n = 1) WHERE old <> now)"""
+
+
+def _told(rows, trajectories, changes):
+    """A leaf per trajectory and change of a document."""
+    lists = F.concat(_each("trajectory", trajectories, lambda x: [x["aa"]], lambda x: x["n"]), _each("change", changes, lambda x: [x["layer"], x["from_aa"], x["to_aa"]], lambda x: F.lit(0.0)))
+    return rows.select("protein_id", F.inline(lists))
+
+
+@_query("SELECT protein_id, 'trajectory' AS what, CAST(k - 1 AS INTEGER) AS place, aa AS said, CAST(peak_layer AS DOUBLE) AS value FROM paths UNION ALL SELECT protein_id, 'change', CAST(place AS INTEGER), layer || '/' || old || '/' || now, 0 FROM changed", "running", "told")
 def evidence_documents(spark, d):
+    """Documents of two sections, parsed again."""
     run = P.running(spark, d)
     positions = run.select("protein_id", "pos").distinct().withColumn("correct", F.lit(True))
-    return narrative.evidence(positions, trajectories=series.named_trajectories(series.trajectories(run)).drop("waypoints"), lead_changes=series.lead_changes(run))
+    made = narrative.evidence(positions, trajectories=series.named_trajectories(series.trajectories(run)).drop("waypoints"), lead_changes=series.lead_changes(run))
+    schema = "correct boolean, trajectories array<struct<aa:string,peak_layer:int>>, lead_changes array<struct<layer:int,from_aa:string,to_aa:string>>"
+    back = made.select("protein_id", F.from_json("evidence", schema).alias("e")).select("protein_id", "e.*").filter("correct")
+    return _told(back, F.transform("trajectories", lambda x: F.struct(x["aa"].alias("aa"), x["peak_layer"].alias("n"))), F.col("lead_changes"))
 
 
 # Whole records and evidence
@@ -728,21 +758,6 @@ _SHOWN = (*_HEADS, "runs", "lists", "numbered", "cells", "direction", "steps", "
 _EVIDENCE = "top5 array<struct<aa:string,name:string,prob_pct:double>>, candidate_trajectories array<struct<aa:string,name:string,group:string,final_prob:double,peak_prob:double,peak_layer:int,waypoints:map<string,double>>>, lead_changes array<struct<layer:int,from_aa:string,to_aa:string,from_pct:double,to_pct:double>>, key_velocity_events array<struct<layer:int,total_delta:double,attn_delta:double,mlp_delta:double,driver:string,direction:string>>, sae_features_by_layer map<string,array<struct<feature_id:int,source:string,proj:double,rank:int,ref:string,summary:string>>>, mlp_summary_by_layer map<string,array<struct<kind:string,rank:int,neuron:int,votes:array<string>,ref:string>>>, top_writing_events array<struct<layer:int,head:int,projection:double,type:string,structural_attn:double,coevol_attn:double,local_attn:double>>, protein string, position int, sequence_context string, true_amino_acid struct<letter:string,name:string,group:string>, predicted_amino_acid struct<letter:string,name:string,group:string>, prediction_correct boolean, confidence double, correct_rank int, structural_contacts_count int, coevolving_positions_count int"
 
 
-def _leaf(what, place, said, value):
-    """A leaf of a document: its section, its number there, its texts joined and a number."""
-    texts = [F.coalesce(x.cast("string"), F.lit("none")) for x in said] or [F.lit("")]
-    return F.struct(F.lit(what).alias("what"), place.cast("int").alias("place"), F.concat_ws("/", *texts).alias("said"), F.coalesce(value.cast("double"), F.lit(-1.0)).alias("value"))
-
-
-def _leaves(rows, *arrays):
-    return rows.select("pos", F.inline(F.concat(*arrays)))
-
-
-def _each(what, items, said, value):
-    """Leaves of a list, numbered from 0."""
-    return F.transform(F.coalesce(items, F.array()), lambda x, i: _leaf(what, i, said(x), value(x)))
-
-
 def _of_map(what, items, said, value):
     """Leaves of a map of lists."""
     entries = F.coalesce(F.map_entries(items), F.array())
@@ -978,12 +993,14 @@ def score_map(spark, d):
     return writers.score_map(_mi(spark, d)).select("protein_id", F.explode("mi_matrix_nonzero").alias("k", "v"))
 
 
-@_query()
+@_query("SELECT protein_id, 'trajectory' AS what, CAST(k - 1 AS INTEGER) AS place, aa AS said, final AS value FROM paths UNION ALL SELECT protein_id, 'change', CAST(place AS INTEGER), layer || '/' || old || '/' || now, 0 FROM changed", "running", "told")
 def position_records(spark, d):
+    """Records of two sections; those of all sections are in full_records."""
     run = P.running(spark, d)
     t = series.trajectories(run).groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("rank", "aa", "final"))).alias("trajectories"))
     c = series.lead_changes(run).groupBy("protein_id", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "from_aa", "to_aa"))).alias("lead_changes"))
-    return writers.position_records(run.select("protein_id", "pos").distinct(), {"candidate_trajectories": t, "lead_changes": c})
+    made = writers.position_records(run.select("protein_id", "pos").distinct(), {"candidate_trajectories": t, "lead_changes": c})
+    return _told(made, F.transform("candidate_trajectories", lambda x: F.struct(x["aa"].alias("aa"), x["final"].alias("n"))), F.col("lead_changes"))
 
 
 @_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stockholm' WHEN doc_id % 3 = 1 OR ltrim(text) LIKE '>%' THEN 'fasta' WHEN ltrim(text) LIKE '# STOCKHOLM%' THEN 'stockholm' ELSE 'none' END AS format FROM documents")
