@@ -22,6 +22,15 @@ from helixlake.storage import stored
 KEY = ("protein_id", "pos")
 
 
+def _sorted_join(table: DataFrame) -> DataFrame:
+    """For tables with a row per layer and entry: joined by sorting.
+
+    Where such a table is exploded from a smaller one, Spark takes its size for that of the
+    smaller one and would send all of it through the driver.
+    """
+    return table.hint("merge")
+
+
 def hidden_top_features(feature_act: DataFrame, decoder: DataFrame, answers: DataFrame, most: int = 20) -> DataFrame:
     """The ``most`` largest activations per (pos, SAE layer), zeros included, with the direction's part in the answer."""
     w = W.partitionBy(*KEY, "sae_layer").orderBy(F.desc("act"), "feature_id")
@@ -129,7 +138,7 @@ def feature_summary(lists: DataFrame, labels: DataFrame, each: int = 8, most: in
     order = W.partitionBy(*KEY, "layer").orderBy(F.desc(F.abs("proj")), "source", "feature_id")
     kept = best.withColumn("_d", F.row_number().over(once)).filter("_d = 1").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     ref = F.concat(F.lit("F"), F.col("layer").cast("string"), F.lit(":"), F.col("feature_id").cast("string"))
-    return kept.withColumn("ref", ref).drop("_n", "_d").join(labels, ["layer", "feature_id"], "left")
+    return kept.withColumn("ref", ref).drop("_n", "_d").join(_sorted_join(labels), ["layer", "feature_id"], "left")
 
 
 def patch_hidden_features(records: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -149,7 +158,7 @@ def patch_hidden_features(records: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def neuron_push(mlp_act: DataFrame, gain: DataFrame, answers: DataFrame) -> DataFrame:
     """contribution = activation x gain towards the position's letter, per neuron."""
-    return mlp_act.join(answers.select(*KEY, "aa"), list(KEY)).join(gain, ["layer", "neuron", "aa"]).select(*KEY, "layer", "neuron", "act", (F.col("act") * F.col("gain")).alias("contribution"))
+    return mlp_act.join(answers.select(*KEY, "aa"), list(KEY)).join(_sorted_join(gain), ["layer", "neuron", "aa"]).select(*KEY, "layer", "neuron", "act", (F.col("act") * F.col("gain")).alias("contribution"))
 
 
 def neuron_census(pushed: DataFrame) -> DataFrame:
@@ -169,7 +178,7 @@ def top_neurons(pushed: DataFrame, first: int = 20, most: int = 10) -> DataFrame
 
 def neuron_letters(top: DataFrame, gain: DataFrame, most: int = 5) -> DataFrame:
     """The letters that a listed neuron pushes most; ties by letter."""
-    both = top.join(gain, ["layer", "neuron"]).withColumn("letter_push", F.col("act") * F.col("gain"))
+    both = top.join(_sorted_join(gain), ["layer", "neuron"]).withColumn("letter_push", F.col("act") * F.col("gain"))
     w = W.partitionBy(*KEY, "layer", "kind", "neuron").orderBy(F.desc("letter_push"), "aa")
     return both.withColumn("letter_rank", F.row_number().over(w)).filter(F.col("letter_rank") <= most)
 
