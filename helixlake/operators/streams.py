@@ -67,8 +67,8 @@ def cross_layer_profiles(cosines: DataFrame, below: float = 0.2) -> DataFrame:
     return per.filter(F.col("lowest") < below)
 
 
-def cluster_heads(head_out: DataFrame, limit: float = 0.15) -> DataFrame:
-    """Groupings: layers whose heads fall into two nearly orthogonal groups; the layers of a batch with equally many heads are split together."""
+def cluster_heads(head_out: DataFrame, limit: float = 0.15, least: float = 1.0) -> DataFrame:
+    """Groupings: layers whose heads fall into two nearly orthogonal groups of at least length ``least``; the layers of a batch with equally many heads are split together."""
     keys = list(KEY)
     kinds = {f.name: f.dataType.simpleString() for f in head_out.schema.fields}
     rows = whole_series(head_out, KEY, "head", "vec").select(*keys, "head", "n", "vecs")
@@ -77,7 +77,7 @@ def cluster_heads(head_out: DataFrame, limit: float = 0.15) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in stacked(batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)):
-                found = [(int(k), f) for k, f in zip(at, kernels.split_heads(x, limit), strict=True) if f is not None]
+                found = [(int(k), f) for k, f in zip(at, kernels.split_heads(x, limit, least=least), strict=True) if f is not None]
                 heads = [np.asarray(batch.column(3)[k].as_py()) for k, _ in found]
                 sides = [pa.array([h[f[s]].tolist() for h, (_, f) in zip(heads, found, strict=True)], pa.list_(pa.int32())) for s in (0, 1)]
                 numbers = [pa.array([f[s] for _, f in found], pa.float64()) for s in (2, 3, 4)]

@@ -26,3 +26,11 @@ def test_exploded_tables_are_not_broadcast(spark, sf):
 def test_census_adds_contributions_as_they_are(spark, sf):
     one = registry._contributions(spark, sf).filter("act != 0").agg(F.max(F.abs(F.col("contribution") - F.round("contribution", 8))).alias("d")).first()
     assert one.d > 0
+
+
+def test_limits_of_clusters_hold_for_rounded_cosines(spark):
+    """A cosine of 0.150003 is 0.15 to five places, as in the SQL."""
+    c = 0.150003
+    vecs = [[2.0, 0.0], [2.0, 0.0], [2 * c, 2 * (1 - c * c) ** 0.5], [2 * c, 2 * (1 - c * c) ** 0.5]]
+    out = spark.createDataFrame([("p", 0, 1, h, v) for h, v in enumerate(vecs)], "protein_id string, pos int, layer int, head int, vec array<double>")
+    assert [(r.isolated, r.main, r.inter_cos) for r in registry._clusters(out, 0.15).collect()] == [("0,1", "2,3", 0.15)]
