@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from helixlake.operators import features
 from helixlake.plans import projections as P
 from helixlake.plans import registry
+from helixlake.sources import readers, writers
 
 
 def _plan(df):
@@ -34,3 +35,15 @@ def test_limits_of_clusters_hold_for_rounded_cosines(spark):
     vecs = [[2.0, 0.0], [2.0, 0.0], [2 * c, 2 * (1 - c * c) ** 0.5], [2 * c, 2 * (1 - c * c) ** 0.5]]
     out = spark.createDataFrame([("p", 0, 1, h, v) for h, v in enumerate(vecs)], "protein_id string, pos int, layer int, head int, vec array<double>")
     assert [(r.isolated, r.main, r.inter_cos) for r in registry._clusters(out, 0.15).collect()] == [("0,1", "2,3", 0.15)]
+
+
+def test_residue_numbers_go_on_beyond_four_digits(spark):
+    numbers = [0, 9998, 9999, 10000, 10036, 123456, 1223055, 1223056, 1300000]
+    n = spark.createDataFrame([(x,) for x in numbers], "n int").withColumn("t", writers.pdb_number(F.col("n"), 4))
+    told = {r.n: r.t for r in n.collect()}
+    assert (told[0], told[9999], told[10000], told[10036], told[1223055], told[1223056]) == ("   0", "9999", "A000", "A010", "ZZZZ", "a000")
+    line = F.format_string("ATOM  %s  CA  ALA A%s    %8.3f%8.3f%8.3f  1.00", writers.pdb_number(F.col("n"), 5), "t", F.lit(1.5), F.lit(2.5), F.lit(3.5))
+    lines = n.select(F.lit("s").alias("structure_id"), F.col("n").alias("line_no"), line.alias("value"))
+    proteins = spark.createDataFrame([("s", 2_000_000)], "structure_id string, seq_len int")
+    got = sorted((r.pos + 1, r.x, r.z) for r in readers.parse_pdb(lines, proteins).collect())
+    assert got == [(x, 1.5, 3.5) for x in numbers if x > 0]
