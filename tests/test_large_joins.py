@@ -1,7 +1,13 @@
 """Joins that have to hold where tables are large: how they are planned, on small rows."""
 
+import tracemalloc
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from helixlake.functions import kernels
+from helixlake.operators import coevolution as C
 from helixlake.operators import features
 from helixlake.plans import projections as P
 from helixlake.plans import registry
@@ -47,3 +53,37 @@ def test_residue_numbers_go_on_beyond_four_digits(spark):
     proteins = spark.createDataFrame([("s", 2_000_000)], "structure_id string, seq_len int")
     got = sorted((r.pos + 1, r.x, r.z) for r in readers.parse_pdb(lines, proteins).collect())
     assert got == [(x, 1.5, 3.5) for x in numbers if x > 0]
+
+
+def test_families_are_not_dealt_by_protein(spark):
+    """What is known of a protein is sent to its sequences; a join by protein would read a family in one task."""
+    msa = spark.range(9).selectExpr("concat('p', id % 2) AS protein_id", "id AS seq_id", "'s' || id AS seq_name", "'ACD-' AS aligned")
+    maps, proteins = C.column_map(C.reference_rows(msa, P.targets(msa))), P.targets(msa)
+    for made in (C.sample_sequences(msa, 3), C.pad_sequences(msa), C.reference_rows(msa, proteins), C.melt_residues(msa, maps), C.aligned_positions(msa, maps)):
+        joins = [line for line in _plan(made).splitlines() if "Join" in line and "protein_id#" in line]
+        assert joins and all("BroadcastHashJoin" in j for j in joins)
+
+
+def test_residues_are_read_once_for_frequencies(spark, sf):
+    plan = _plan(registry.column_frequencies(spark, sf))
+    assert "letters-" in plan and "documents.parquet" not in plan
+
+
+def test_pair_counts_move_sequences_and_not_residues(spark):
+    """Sequences of which parts lie in several tasks; both ways against a count by hand."""
+    data = [("p" if s % 3 else None, s, p, "ACDY"[(s * 7 + p * p) % 4]) for p in (0, 2, 5, 9) for s in range(40) if (s + p) % 5]
+    r = spark.createDataFrame(data, "protein_id string, seq_id long, pos int, aa string").repartition(5)
+    want = Counter((a[0], a[2], b[2], a[3], b[3]) for a in data for b in data if a[1] == b[1] and a[2] < b[2])
+    for count in (C.pair_counts, C.pair_counts_joined):  # a join leaves out what has no protein
+        assert {tuple(x)[:5]: x.n for x in count(r).collect()} == {k: n for k, n in want.items() if k[0] or count is C.pair_counts}
+        below = _plan(count(r)).rpartition("Exchange hashpartitioning(protein_id")[2]
+        assert "MapInArrow" in below and "SortMergeJoin" not in _plan(count(r))
+
+
+def test_bitmaps_take_little_beside_them():
+    strings = pa.array(["ACDEFGHIKLMNPQRSTVWY-ACD"] * 300_000)
+    tracemalloc.start()
+    kernels.letter_bits(strings, C.LETTERS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
