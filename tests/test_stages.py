@@ -112,3 +112,20 @@ def test_chosen_records(spark, tmp_path):
     good, bad = readers.choose_records(spark, folder, "a int", chosen)
     assert [(r.position, r.a) for r in good.collect()] == [(1, 1)]
     assert sorted((r.position, r.reason) for r in bad.collect()) == [(2, "broken"), (4, "absent"), (5, "absent")]
+
+
+def test_chosen_records_are_opened_by_name(spark, tmp_path):
+    """No folder gets large and no names are listed; files that lie flat are found too."""
+    from helixlake.sources import writers
+
+    numbers = [1, 9_999, 10_000, 25_000, 25_001]
+    rows = spark.createDataFrame([(p, f'{{"a": {p}}}') for p in [*numbers, None]], "position int, text string").coalesce(1)
+    folder = writers.write_position_files(rows, f"file://{tmp_path}/positions")
+    at = tmp_path / "positions"
+    assert {p.name: len(list(p.glob("pos_*.json"))) for p in at.iterdir()} == {"0": 2, "1": 1, "2": 2}
+    (at / "pos_77.json").write_text('{"a": 77}')
+    good, bad = readers.choose_records(spark, folder, "a int", spark.createDataFrame([(p,) for p in (1, 10_000, 25_001, 77, 3, 123_456)], "position int"))
+    assert sorted((r.position, r.a) for r in good.collect()) == [(1, 1), (77, 77), (10_000, 10_000), (25_001, 25_001)]
+    assert sorted((r.position, r.reason) for r in bad.collect()) == [(3, "absent"), (123_456, "absent")]
+    assert all("binaryFile" not in df._jdf.queryExecution().toString() for df in (good, bad))
+    assert {r.position for r in readers.read_records(spark, folder, "a int").collect()} == {*numbers, 77}
