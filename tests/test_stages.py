@@ -76,6 +76,42 @@ def test_families_across_input_splits(spark, tmp_path, size):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("size", ["150b", "128m"])
+def test_families_are_named_as_lines_are_read(spark, tmp_path, size):
+    """Fields that stand late, twice or not at all, in small batches and splits, against a reading by hand; what was found out before is stored."""
+    rng = __import__("random").Random(3)
+    (tmp_path / "bulk").mkdir()
+    want = []
+    for name in "ab":
+        text = []
+        for k in range(60):
+            family = [f"s{i} {'ACDE'[i % 4] * rng.randint(1, 9)}" for i in range(rng.randint(0, 12))]
+            for field in (f"#=GF AC PF{k % 9}.{k}", f"#=GF ID fam{k}", f"#=GF  AC\tX{k}", "#=GF DE more", f"#=GF ID late{k}", ""):
+                if rng.random() < 0.6:
+                    family.insert(rng.choice([0, 0, rng.randint(0, len(family))]), field)
+            fields = [line.split() for line in family if line.startswith(("#=GF AC", "#=GF  AC", "#=GF ID"))]
+            accession = next((f[2].split(".")[0] for f in fields if f[1] == "AC"), None)
+            family = [*family, "//"] if k < 59 else family
+            known = next((f[2] for f in fields if f[1] == "ID"), accession)
+            want += [(known, accession, line) for line in family if known]
+            text += family
+        (tmp_path / "bulk" / f"{name}.txt").write_text("\n".join(text) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "150b" else "4m")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        lines = readers.read_family_lines(spark, str(tmp_path / "bulk"))
+        assert lines._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+        told = lambda rows: sorted(map(str, rows))
+        assert told((r.family, r.accession, r.value) for r in lines.collect()) == told(want)
+        some = readers.read_family_lines(spark, str(tmp_path / "bulk"), ["PF3"])
+        assert told((r.family, r.accession, r.value) for r in some.collect()) == told(w for w in want if w[1] == "PF3")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_bitmaps_count_as_gathered_rows(spark):
     rng = __import__("random").Random(5)
     rows = [(f"f{i % 3}" if i % 7 else None, i, "".join(rng.choices(C.LETTERS + "-.xé", k=rng.randint(0, 12)))) for i in range(300)]
