@@ -1,5 +1,7 @@
 """Joins that have to hold where tables are large: how they are planned, on small rows."""
 
+import math
+import random
 import tracemalloc
 from collections import Counter
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import kernels
 from helixlake.operators import coevolution as C
-from helixlake.operators import features
+from helixlake.operators import contacts, features
 from helixlake.plans import projections as P
 from helixlake.plans import registry
 from helixlake.sources import readers, writers
@@ -87,3 +89,32 @@ def test_bitmaps_take_little_beside_them():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+POINTS = "structure_id string, pos int, x double, y double, z double"
+
+
+def test_contacts_of_a_dense_cell_are_spread_over_tasks(spark):
+    """Three thousand points of one cell, as a shuffle joins them where neither side is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ca = spark.range(3000).selectExpr("string(id div 3000) AS structure_id", "int(id) AS pos", "id / 1000 AS x", "id % 7 / 10 AS y", "id % 5 / 10 AS z")
+        told = contacts.structural_contacts(ca).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in told) == 3000 * 2999 - 2 * (2999 + 2998)
+    assert max(r["count"] for r in told) < 0.9 * 3000 * 2999
+
+
+def test_contacts_are_the_same_for_any_tile(spark):
+    """Also with places that are null, not finite or beyond the numbers of cells."""
+    rng = random.Random(5)
+    data = [(s, i, *[rng.uniform(-12, 12) for _ in "xyz"]) for s in "ab" for i in range(90)]
+    data += [("a", 100 + i, x, 0.0, 0.0) for i, x in enumerate([1e300, math.inf, -math.inf, math.nan, None])] + [("a", 110, 1e300, 0.0, 0.0), (None, 5, 0.0, 0.0, 0.0), (None, 9, 0.0, 0.0, 0.0)]
+    whole = [r for r in data if r[0] and r[2] is not None]
+    apart = lambda a, b: sum((a[i] - b[i]) * (a[i] - b[i]) for i in (2, 3, 4))
+    want = sorted((a[0], a[1], b[1]) for a in whole for b in whole if a[0] == b[0] and abs(a[1] - b[1]) > 2 and apart(a, b) < 64)
+    ca = spark.createDataFrame(data, POINTS)
+    for tile in (5, 1024):
+        assert sorted((r.structure_id, r.pos, r.partner) for r in contacts.structural_contacts(ca, tile=tile).collect()) == want
+    assert ("a", 100, 110) in want
