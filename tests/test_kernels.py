@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,3 +100,27 @@ def test_stacked_linkage_equals_one_by_one():
         assert (got[g][~alive[g]] == -1).all()
         if len(live) > 1:
             assert got[g][live].tolist() == K.average_linkage_split(d[g][np.ix_(live, live)]).tolist()
+
+
+def test_pair_tables_count_one_or_four_pairs_at_once():
+    rng = np.random.default_rng(1)
+    for width in (0, 1, 2, 5, 6):
+        for size in (0, 7, 90):
+            grid = rng.integers(0, 4, (width, size)).astype(np.uint8)
+            got = {(i, j): n for i, j, n in K.pair_tables(grid, 3)}
+            assert sorted(got) == [(i, j) for i in range(width) for j in range(i + 1, width)]
+            for (i, j), n in got.items():
+                assert all(n[a, b] == ((grid[i] == a + 1) & (grid[j] == b + 1)).sum() for a in range(3) for b in range(3))
+
+
+def test_repeated_pairs_count_every_meeting():
+    rng = np.random.default_rng(2)
+    seq, pos, letter = rng.integers(9, size=120), rng.integers(6, size=120), rng.integers(3, size=120)
+    all_ = list(zip(seq.tolist(), pos.tolist(), letter.tolist(), strict=True))
+    want = Counter((x[1], y[1], x[2], y[2]) for x in all_ for y in all_ if x[0] == y[0] and x[1] < y[1])
+    for most in (1, 10, 1 << 22):
+        got = Counter()
+        for part in K.repeated_pairs(seq, pos, letter, 3, most):
+            for i, j, a, b, n in zip(*(x.tolist() for x in part), strict=True):
+                got[i, j, a, b] += n
+        assert got == want

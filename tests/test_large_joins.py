@@ -82,6 +82,26 @@ def test_pair_counts_move_sequences_and_not_residues(spark):
         assert "MapInArrow" in below and "SortMergeJoin" not in _plan(count(r))
 
 
+def test_joined_sequences_are_not_exploded(spark, sf):
+    """Neither residues nor their pairs become rows: the windows of a text are all that is generated."""
+    plan = _plan(registry.pair_counts_joined(spark, sf))
+    assert plan.count("Generate ") == 1 and "explode(cells" not in plan
+
+
+def test_rows_of_a_sequence_meet_in_any_block(spark):
+    """Rows that share an id are one sequence, also where they overlap, lie in several tasks or end a block."""
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("ACDYW-. \u00e9") for _ in range(rng.randrange(14)))
+    data = [(rng.choice(["p", "q", None]), rng.choice([None, *range(50)]), rng.choice([text(), text(), None])) for _ in range(200)]
+    single = [(p, s, i, a) for p, s, t in data if p and s is not None for i, a in enumerate(t or "") if a in C.LETTERS]
+    want = Counter((x[0], x[2], y[2], x[3], y[3]) for x in single for y in single if x[:2] == y[:2] and x[2] < y[2])
+    rows = spark.createDataFrame(data, "protein_id string, seq_id long, aligned string").repartition(3)
+    for block in (100, 1 << 25):
+        assert {tuple(r)[:5]: r.n for r in C.joined_counts(rows, block_bytes=block).collect()} == want
+    far = spark.createDataFrame([(p, s, i * 10**8 - 10**8, a) for p, s, i, a in single], "protein_id string, seq_id long, pos int, aa string").repartition(3)
+    assert {(r[0], r[1] // 10**8 + 1, r[2] // 10**8 + 1, r[3], r[4]): r.n for r in C.pair_counts_joined(far).collect()} == want
+
+
 def test_bitmaps_take_little_beside_them():
     strings = pa.array(["ACDEFGHIKLMNPQRSTVWY-ACD"] * 300_000)
     tracemalloc.start()
