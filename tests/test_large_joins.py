@@ -126,6 +126,33 @@ def test_contacts_of_a_dense_cell_are_spread_over_tasks(spark):
     assert max(r["count"] for r in told) < 0.9 * 3000 * 2999
 
 
+def _shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_points_are_sent_once_to_each_cell_around(spark):
+    """Eight cells of 300 points in ten slices each: a point goes to eight cells and to the slices of its own, not to all eighty."""
+    ca = spark.range(2400).selectExpr("'s' AS structure_id", "int(id) AS pos", "id % 2 * 8 + 1D AS x", "id div 2 % 2 * 8 + 1D AS y", "id div 4 % 2 * 8 + 1D + id / 1000 AS z")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled_rows(spark)
+        contacts.structural_contacts(ca, tile=30).write.format("noop").mode("overwrite").save()
+        sent = _shuffled_rows(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 2400 * (8 + 10) <= sent < 2400 * 30
+
+
+def test_contacts_are_whole_in_many_tiles_and_slices(spark):
+    rng = random.Random(6)
+    data = [("s", i, *[rng.uniform(-9, 9) for _ in "xyz"]) for i in range(120)]
+    want = sorted((a[1], b[1]) for a in data for b in data if abs(a[1] - b[1]) > 2 and sum((a[i] - b[i]) ** 2 for i in (2, 3, 4)) < 64)
+    got = contacts.structural_contacts(spark.createDataFrame(data, POINTS), tile=2, most=7)
+    assert sorted((r.pos, r.partner) for r in got.collect()) == want
+
+
 def test_contacts_are_the_same_for_any_tile(spark):
     """Also with places that are null, not finite or beyond the numbers of cells."""
     rng = random.Random(5)
