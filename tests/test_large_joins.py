@@ -102,6 +102,11 @@ def test_rows_of_a_sequence_meet_in_any_block(spark):
     assert {(r[0], r[1] // 10**8 + 1, r[2] // 10**8 + 1, r[3], r[4]): r.n for r in C.pair_counts_joined(far).collect()} == want
 
 
+def test_pairs_are_found_behind_many_empty_ones(spark):
+    rows = spark.createDataFrame([("p", 1, "-" * 60 + "A" + "-" * 18 + "C")], "protein_id string, seq_id long, aligned string")
+    assert [tuple(r) for r in C.joined_counts(rows).collect()] == [("p", 60, 79, "A", "C", 1)]
+
+
 def test_bitmaps_take_little_beside_them():
     strings = pa.array(["ACDEFGHIKLMNPQRSTVWY-ACD"] * 300_000)
     tracemalloc.start()
